@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from flowloom.llm import mixing
+from flowloom.llm import chat, mixing, quality
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_quality": quality.op2_quality,
+        "op4_chat": chat.op4_chat,
     }
 
 
 def oracle_sql():
     return {
         "op1_mixing": mixing.OP1_SQL,
+        "op2_quality": quality.OP2_SQL,
+        "op4_chat": chat.OP4_SQL,
     }
