@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from flowloom.llm import chat, mixing, quality
+from flowloom.llm import bpe, chat, fingerprint, mixing, quality, secrets
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_quality": quality.op2_quality,
+        "op3_bpe": bpe.op3_bpe,
         "op4_chat": chat.op4_chat,
+        "op5_fingerprint": fingerprint.op5_fingerprint,
+        "op8_secrets": secrets.op8_secrets,
     }
 
 
