@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowloom.llm import bpe, chat, fingerprint, mixing, quality, secrets
+from flowloom.llm import bpe, chat, fingerprint, langid, mixing, quality, secrets
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_chat": chat.op4_chat,
         "op5_fingerprint": fingerprint.op5_fingerprint,
         "op8_secrets": secrets.op8_secrets,
+        "op9_langid": langid.op9_langid,
     }
 
 
