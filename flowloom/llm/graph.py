@@ -1,0 +1,28 @@
+"""Connected components of a link table, by joins only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flowloom.llm.common import materialize
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links(a, b) of longs -> node, label: the smallest node of its component, for every node that has a link.
+
+    Each round takes the least label among a node's neighbours and then jumps to that label's own label, so
+    long chains shrink geometrically. A round is written to the shared folder; nothing is collected but one
+    count of changes.
+    """
+    edges = materialize(links.where("a != b").select("a", "b").union(links.where("a != b").select(F.col("b"), F.col("a"))).distinct())
+    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    while True:
+        around = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("least"))
+        pulled = labels.join(around, "node").select("node", F.col("label").alias("was"), F.least("label", "least").alias("label"))
+        pulled = materialize(pulled)
+        jump = pulled.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        new = materialize(pulled.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")))
+        if not new.where("was != label").limit(1).count():
+            return new.select("node", "label")
+        labels = new.select("node", "label")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowloom.llm import bpe, chat, fingerprint, langid, mixing, quality, secrets
+from flowloom.llm import bpe, chat, fingerprint, jaccard, langid, mixing, quality, secrets
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_fingerprint": fingerprint.op5_fingerprint,
         "op8_secrets": secrets.op8_secrets,
         "op9_langid": langid.op9_langid,
+        "op10_jaccard": jaccard.op10_jaccard,
     }
 
 
