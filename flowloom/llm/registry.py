@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowloom.llm import bpe, brown, chat, fingerprint, jaccard, langid, mixing, quality, secrets
+from flowloom.llm import bpe, brown, chat, fingerprint, jaccard, langid, mixing, quality, secrets, suffixes
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_bpe": bpe.op3_bpe,
         "op4_chat": chat.op4_chat,
         "op5_fingerprint": fingerprint.op5_fingerprint,
+        "op6_suffixes": suffixes.op6_suffixes,
         "op7_brown": brown.op7_brown,
         "op8_secrets": secrets.op8_secrets,
         "op9_langid": langid.op9_langid,
