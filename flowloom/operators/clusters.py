@@ -96,6 +96,20 @@ def absorb_overlaps(clusters: DataFrame, targets: DataFrame, radius: float, shar
     return both.where(alike > share).select(F.col("id").alias("keep"), F.col("other").alias("drop"), alike.alias("similarity"))
 
 
+def shifted(moved, n):
+    """Whether a cluster of n points counts as moved: any move below 30 points, else more than n * (1 + n / 100) millionths, n up to 500."""
+    n = F.least(n, F.lit(500))
+    return F.when(n < 30, moved > 0).otherwise(moved > n * (F.lit(1) + F.floor(n / F.lit(100))) * F.lit(1e-6))
+
+
+def shifts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Tiles of both tables with how far each went: zoom, cell_x, cell_y, moved, shifted. A new tile counts as shifted."""
+    key = ["zoom", "cell_x", "cell_y"]
+    both = after.join(before.select(*key, F.col("mx").alias("ox"), F.col("my").alias("oy")), key, "left")
+    moved = F.sqrt(length2("mx", "my", "ox", "oy"))
+    return both.select(*key, moved.alias("moved"), F.coalesce(shifted(moved, F.col("num_points")), F.lit(True)).alias("shifted"))
+
+
 # k-means
 
 

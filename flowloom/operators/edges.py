@@ -95,3 +95,10 @@ def isolated(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges (id) without any compatible partner in pairs(a, b)."""
     partners = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     return edges.join(partners, "id", "left_anti")
+
+
+def moved_leaves(leaves: DataFrame, moved: DataFrame) -> DataFrame:
+    """Cluster edges (ax, ay, bx, by) with an end in moved(cell_x, cell_y): those that bundling must take up again."""
+    a = moved.select(F.col("cell_x").alias("ax"), F.col("cell_y").alias("ay"), F.lit(True).alias("_a"))
+    b = moved.select(F.col("cell_x").alias("bx"), F.col("cell_y").alias("by"), F.lit(True).alias("_b"))
+    return leaves.join(a, ["ax", "ay"], "left").join(b, ["bx", "by"], "left").where("_a or _b").drop("_a", "_b")

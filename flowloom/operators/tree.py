@@ -156,6 +156,19 @@ class Tree:
             node.children.append(inner)
             self.size += 1
 
+    def matches(self, ends: tuple, hit: float = 0.6, descend: float = 0.3) -> list[Node]:
+        """Leaves compatible with a segment; a branch is entered only if its node scores above `descend`."""
+        found, open_ = [], list(self.roots)
+        while open_:
+            node = open_.pop()
+            value = score(node.ends, ends)
+            if node.children:
+                if value > descend:
+                    open_ += node.children
+            elif value > hit:
+                found.append(node)
+        return found
+
     def representative(self, node: Node) -> Node:
         return node.parent or node
 

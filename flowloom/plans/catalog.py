@@ -411,6 +411,37 @@ def shared_targets(spark, sf_dir):
     return clusters.absorb_overlaps(c, t, 1.5).withColumn("similarity", F.round("similarity", 6))
 
 
+def _half_tiles(name: str, where: str) -> str:
+    return f"""{name} AS (SELECT CAST(floor(mx * (512.0 * 32 / 40)) AS BIGINT) AS cell_x, CAST(floor(my * (512.0 * 32 / 40)) AS BIGINT) AS cell_y, round(sum(mx * n) / sum(n), 6) AS mx, round(sum(my * n) / sum(n), 6) AS my, sum(n) AS num_points
+  FROM (SELECT {mx_sql('lon')} AS mx, {my_sql('lat')} AS my, count(*) AS n FROM (SELECT lo_lon AS lon, lo_lat AS lat FROM (SELECT DISTINCT lo_lon, lo_lat, hi_lon, hi_lat FROM canon WHERE {where}) UNION ALL SELECT hi_lon, hi_lat FROM (SELECT DISTINCT lo_lon, lo_lat, hi_lon, hi_lat FROM canon WHERE {where})) GROUP BY lon, lat) GROUP BY 1, 2)"""
+
+
+SHIFTS = f"""WITH {FLIGHTS}, {canonical_sql('flights')}, {_half_tiles('old_', f'ts <= {HALF}')}, {_half_tiles('new_', 'true')},
+d AS (SELECT n.cell_x, n.cell_y, least(n.num_points, 500) AS n, sqrt((n.mx - o.mx) * (n.mx - o.mx) + (n.my - o.my) * (n.my - o.my)) AS moved FROM new_ n LEFT JOIN old_ o USING (cell_x, cell_y)),
+shifts AS (SELECT cell_x, cell_y, moved, coalesce(CASE WHEN n < 30 THEN moved > 0 ELSE moved > n * (1 + n // 100) * 1e-6 END, true) AS shifted FROM d)"""
+
+
+def _shifts(spark, sf_dir):
+    def t(e):
+        p = edges.endpoints(e, distinct=False).groupBy("lon", "lat").agg(F.count("*").alias("n"))
+        return clusters.tiles(p, RADIUS, 5, 5).withColumns({"mx": F.round("mx", 6), "my": F.round("my", 6)})
+
+    return clusters.shifts(t(_two(spark, sf_dir)[0]), t(flight_edges(spark, sf_dir)))
+
+
+@query(f"{SHIFTS} SELECT cell_x, cell_y, round(moved, 6) AS moved, shifted FROM shifts")
+def shifted_clusters(spark, sf_dir):
+    """Clusters that the second half of the data moved: F24."""
+    return _shifts(spark, sf_dir).select("cell_x", "cell_y", F.round("moved", 6).alias("moved"), "shifted")
+
+
+@query(f"""{SHIFTS}, {cells_sql(5)}, m AS (SELECT cell_x, cell_y FROM shifts WHERE shifted)
+SELECT ax, ay, bx, by_ AS "by", weight FROM rolled WHERE EXISTS (SELECT 1 FROM m WHERE cell_x = ax AND cell_y = ay) OR EXISTS (SELECT 1 FROM m WHERE cell_x = bx AND cell_y = by_)""")
+def moved_leaves(spark, sf_dir):
+    """Cluster edges at an end that moved: B8, U4."""
+    return edges.moved_leaves(rollup.to_tiles(flight_edges(spark, sf_dir), 5, RADIUS), _shifts(spark, sf_dir).where("shifted")).select("ax", "ay", "bx", "by", "weight")
+
+
 # Tree cut
 
 
