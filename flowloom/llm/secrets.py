@@ -124,3 +124,29 @@ def mask(text: Column, found: Column, with_text: str = "[SECRET]") -> Column:
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def _found_sql(i: int, pattern: str, group: int = 0, least: int = 0) -> str:
+    """The same spans in SQL: the pieces between the matches add up to their places. RE2 has no look-behind; greedy runs need none."""
+    r = "'" + pattern.replace("'", "''") + "'"
+    lengths = lambda c: f"coalesce(list_sum(list_transform({c}, lambda x: length(x))), 0)"
+    return f"""SELECT rid, {i} AS kind, text, CAST({lengths('p[1:i]')} + {lengths('m[1:i-1]')} AS BIGINT) AS s, CAST({lengths('p[1:i]')} + {lengths('m[1:i]')} AS BIGINT) AS e
+  FROM (SELECT rid, text, m, v, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, text, regexp_extract_all(text, {r}, 0) AS m, regexp_extract_all(text, {r}, {group}) AS v, string_split_regex(text, {r}) AS p FROM d WHERE regexp_matches(text, {r})))
+  WHERE length(v[i]) >= {least}"""
+
+
+_RE2 = {"assign": ASSIGN.replace("((?i)password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"), "token": TOKEN.partition(")")[2]}
+_PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "login": LOGIN, "token": TOKEN, "endpoint": ENDPOINT}
+_SIDES = "CASE WHEN kind IN (1, 3, 5) THEN 'name' ELSE 'secret' END"
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_found_sql(i, _RE2.get(k, p), *((2, ASSIGNED) if k == "assign" else ())) for i, (k, p) in enumerate(_PATTERNS.items()))}),
+g AS (SELECT rid, kind, s, e FROM f WHERE kind <> 4 OR (regexp_matches(text[s + 1:e], '[0-9]') AND regexp_matches(text[s + 1:e], '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM f b WHERE b.rid = f.rid AND b.kind < 3 AND b.s = f.s AND b.e = f.e))),
+h AS (SELECT *, {_SIDES} AS side, ['assign', 'access', 'hex', 'login', 'token', 'endpoint'][kind + 1] || ':' || s || ':' || e AS t FROM g),
+a AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    string_agg(t, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(t, ',' ORDER BY s, kind) AS spans
+  FROM h WHERE kind < 3 OR EXISTS (SELECT 1 FROM h o WHERE o.rid = h.rid AND o.side <> h.side AND o.s <= h.e + {SCOPE} AND o.e >= h.s - {SCOPE}) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)
+"""
