@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import compat
 from flowloom.functions.geo import gradient, length2
-from flowloom.operators.store import settle
+from flowloom.operators.graph import components
 
 THRESHOLD = 0.6
 #: Schedule of the force-directed method: cycles, first iterations, their decay, first step, stiffness.
@@ -59,20 +59,6 @@ def compatible_pairs(edges: DataFrame, threshold: float = THRESHOLD) -> DataFram
     return scored.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), "score")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links(a, b) -> id, component: the smallest id that is reachable."""
-    edges = settle(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = settle(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
-    while True:
-        around = edges.join(labels.select(F.col("id").alias("b"), F.col("component").alias("l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l"))
-        pulled = settle(labels.join(around, "id").select("id", F.col("component").alias("was"), F.least("component", "l").alias("component")))
-        jump = pulled.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
-        new = settle(pulled.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("beyond", "component")).alias("component")))
-        if not new.where("was != component").limit(1).count():
-            return new.select("id", "component")
-        labels = new.select("id", "component")
-
-
 # The kernel
 
 

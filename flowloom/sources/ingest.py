@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAME_PLACE = 1e-5
+# The field names of the raw feed.
 RAW = (
     "ds_tweet_reply_graph struct<tweet_from:bigint,tweet_to:bigint,from_create_at:string,to_create_at:string,from_text:string,to_text:string,"
     "from_coordinate:array<double>,to_coordinate:array<double>,from_bounding_box:array<array<double>>,to_bounding_box:array<array<double>>>"
