@@ -1,16 +1,14 @@
-"""What the training-data operators share: inputs, the shared work folder, word patterns."""
+"""What the training-data operators share: inputs, written steps, word patterns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.operators.store import settle as materialize  # noqa: F401  the operators' way to cut lineage
+
 #: A word is a maximal run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -18,42 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
-
-    Only where that setting is absent (tests, local mode) a temporary folder stands in for it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = getattr(spark, "_flowloom_shared", None)
-    if own is None:
-        own = spark._flowloom_shared = tempfile.mkdtemp(prefix="flowloom-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    What was shuffled for it is deleted when it has been written, so that a chain of steps holds the shuffle
-    files of one step at a time.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/flowloom-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def utf8(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).cast("binary")

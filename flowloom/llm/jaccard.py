@@ -6,7 +6,7 @@ count depends on a size class; a set uses the scheme of its own class and of the
 can link meet in a scheme. Rows that share an equal block are the only non-zero entries of the product.
 
 For these, overlap is accumulated in steps, and a pair is discarded as soon as the bound derived from its
-sizes can't be met: first over a sketch of 4 H finer blocks of one byte each (unequal blocks are differences),
+sizes can't be met: first over a sketch of 8 H finer blocks of one byte each (unequal blocks are differences),
 then over the n-grams themselves. Pairs are never expanded inside a group: sets that are equal
 are one class from the start; each bucket is first compared with one pivot, the links found are joined into
 components, and only sets of different components in a bucket are compared after that, in blocks inside a
@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import materialize, table
-from flowloom.llm.graph import components
+from flowloom.operators.graph import components
 
 #: Words of a shingle, and the similarity in hundredths.
 WORDS, PERCENT = 3, 90
+#: Finer blocks of the sketch in each block.
+FINE = 8
 #: Members of a bucket that are compared in one task as one block, about.
 BLOCK = 512
+#: Members above which a bucket leaves a pair to the least of the crowded buckets that the two share.
+CROWDED = 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -100,8 +104,8 @@ def block_signatures(grams: np.ndarray, k: int, schemes: Schemes) -> tuple[np.nd
     sums = np.zeros(n, dtype=np.uint64)
     np.add.at(sums, at % n, mix(grams, 0x51ED))
     keys = mix(sums ^ mix(np.arange(n, dtype=np.uint64) + np.uint64(k << 32), 0x77))
-    fine = np.zeros(4 * n, dtype=np.uint64)
-    np.add.at(fine, at % (4 * n), mix(grams, 0xBEEF))
+    fine = np.zeros(FINE * n, dtype=np.uint64)
+    np.add.at(fine, at % (FINE * n), mix(grams, 0xBEEF))
     return keys, (fine >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
@@ -159,7 +163,8 @@ def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of a block that stand in different components and that the sketch leaves possible.
 
-    rows: key, first, second (the two parts of the bucket compared here), part, own, node, n, label, sketch, sorted by key, first, second.
+    rows: key, first, second (the two parts of the bucket compared here), part, own, node, n, label, sketch, and of crowded
+    buckets own_keys, other_keys (all crowded keys of the node); sorted by key, first, second.
     """
 
     def compare(group):
@@ -168,6 +173,15 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         label, part, own = (np.array([g[c] for g in group]) for c in ("label", "part", "own"))
         first, second = group[0]["first"], group[0]["second"]
         sketch = np.frombuffer(b"".join(g["sketch"] for g in group), np.uint8).reshape(len(group), -1)
+        crowds = [(set(g["own_keys"]), set(g["other_keys"])) if g["own_keys"] is not None else None for g in group]
+
+        def elsewhere(i, j):
+            """Whether a smaller crowded bucket, in which this pair counts too, is the one to return it."""
+            if crowds[i] is None or crowds[j] is None:
+                return False
+            (p, q), (r, t) = crowds[i], crowds[j]
+            return min((p & r) | (p & t) | (q & r)) != group[0]["key"]
+
         for i in range(len(group)):
             other = np.flatnonzero((label != label[i]) & (own | own[i]) & ((part == second) if part[i] == first else False))
             if first == second:
@@ -176,8 +190,9 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 total = size[other] + size[i]
                 bound = total - 2 * (-(-percent * total // (100 + percent)))
                 for j in other[(sketch[other] != sketch[i]).sum(axis=1) <= bound]:
-                    a, b = group[i]["node"], group[int(j)]["node"]
-                    found.add((min(a, b), max(a, b)))
+                    if not elsewhere(i, j):
+                        a, b = group[i]["node"], group[int(j)]["node"]
+                        found.add((min(a, b), max(a, b)))
         return found
 
     def run(batches):
@@ -241,27 +256,32 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     """
     docs = docs.select("doc_id", "text")
     whole = materialize(digest(docs, percent, words))
-    nodes = materialize(whole.where("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("schemes").alias("schemes")))
-    flat = nodes.select("node", "n", F.explode("schemes").alias("s")).select("node", "n", "s.own", "s.keys", "s.sketch")
+    nodes = materialize(whole.where("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc"), F.min("doc_id").alias("least")))
+    flat = whole.where("node is not null").select("node", "n", F.explode("schemes").alias("s")).select("node", "n", "s.own", "s.keys", "s.sketch")
     entry = flat.select("node", "own", F.explode("keys").alias("key"))
     of_key = Window.partitionBy("key")
-    # A bucket counts if it has two members, one of them in its own size class.
-    shared = entry.withColumn("m", F.count("*").over(of_key)).withColumn("owners", F.sum(F.col("own").cast("int")).over(of_key)).where("m > 1 and owners > 0").select("key", "node", "own", "m")
-    shared = materialize(shared)
-    buckets = materialize(shared.join(flat.select("node", "own", "n", "sketch"), ["node", "own"]))
+    # A bucket counts if it holds two different sets, one of them in its own size class; copies of a set are one member.
+    mixed = (F.min("node").over(of_key) < F.max("node").over(of_key)) & F.max("own").over(of_key)
+    shared = entry.withColumn("mixed", mixed).where("mixed").select("key", "node", "own").dropDuplicates().withColumn("m", F.count("*").over(of_key))
+    sketches = flat.select("node", "own", "n", "sketch").dropDuplicates(["node", "own"])
+    buckets = materialize(shared.join(sketches, ["node", "own"]))
     pivot = F.min_by(F.struct("node", "n", "sketch"), F.struct((~F.col("own")).alias("x"), F.col("node").alias("y"))).over(of_key)
     first = overlaps(materialize(pivot_pairs(buckets.withColumn("pivot", pivot), percent)), nodes.select("node", "doc"), docs, percent, words)
     first = materialize(first)
-    label = components(first)
+    label = components(first).toDF("node", "label")
     members = buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = members.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key)).where("low < high").drop("low", "high")
+    open_ = materialize(open_)
+    crowd = open_.where(F.col("m") > CROWDED).groupBy("node").agg(F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own_keys"), F.collect_set(F.when(~F.col("own"), F.col("key"))).alias("other_keys"))
+    crowd = crowd.withColumnRenamed("node", "in_crowd")
+    open_ = open_.join(crowd, (F.col("node") == F.col("in_crowd")) & (F.col("m") > CROWDED), "left").drop("in_crowd")
     parts = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     dealt = open_.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", F.least("part", "with").alias("first"), F.greatest("part", "with").alias("second"), "part", "own", "node", "n", "label", "sketch")
+    dealt = dealt.select("key", F.least("part", "with").alias("first"), F.greatest("part", "with").alias("second"), "part", "own", "node", "n", "label", "sketch", "own_keys", "other_keys")
     sorted_ = dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
     second = overlaps(materialize(cross_pairs(sorted_, percent)), nodes.select("node", "doc"), docs, percent, words)
-    ends = components(materialize(first.union(second)))
+    ends = components(materialize(first.union(second))).toDF("node", "label")
     placed = nodes.select("node", "least").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     final = placed.join(smallest, "label").select("node", "component_id")

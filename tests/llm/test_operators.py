@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.llm import bpe, brown, chat, fingerprint, jaccard, langid, mixing, quality, secrets, suffixes
-from flowloom.llm.graph import components
+from flowloom.operators.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -296,7 +296,7 @@ def test_jaccard(spark, docs, rows, nothing):
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    got = {r["node"]: r["label"] for r in components(links).collect()}
+    got = {r["id"]: r["component"] for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
