@@ -25,27 +25,68 @@ DOCS_PER_LANG, WINDOWS, WINDOW = 300, 4, 24
 HASHED = 1 << 16
 EPOCHS, RATE, DECAY = 40, 0.5, 1e-4
 CHUNK = 32
+#: Steps after which states are brought back to scale.
+SCALE = 8
 #: Words handled at once and words remembered by a task, about.
 STEP_WORDS, MEMO_WORDS = 60_000, 200_000
 FOLDS = 5
 UNKNOWN = "und"
+PUNCTUATION = ".,;:!?\"'()[]{}|*#$%&<>"
 
 
 def has_letter(word: str) -> bool:
     return any(map(str.isalpha, word))
 
 
-def features(word: bytes, lexicon: dict[bytes, int]) -> list[int]:
-    """Hashed features of a word; none if it has no letter."""
+def plain(word: bytes) -> bytes:
+    """Lower case without punctuation around it; empty if the word has no letter."""
     text = word.decode("utf-8", "replace").lower()
-    if not has_letter(text):
-        return []
-    text = text.strip(".,;:!?\"'()[]{}|*#$%&<>")
-    own = f"^{text}$"
-    found = [f"w{text}", *(f"p{text[:k]}" for k in (1, 2, 3)), *(f"s{text[-k:]}" for k in (1, 2, 3)), *(own[i : i + 3] for i in range(len(own) - 2))]
-    if (lang := lexicon.get(text.encode())) is not None:
-        found.append(f"l{lang}")
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % HASHED for x in found]
+    return text.strip(PUNCTUATION).encode("utf-8", "surrogatepass") if text.isalpha() or has_letter(text) else b""
+
+
+def features(words: list[bytes], lexicon: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features of the words: (feature, index of its word) pairs, and which words have a letter.
+
+    The word itself, its affixes of one to four bytes, its byte trigrams between marks, and its lexicon.
+    """
+    texts = [plain(w) for w in words]
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    lettered = size > 0
+    raw = np.frombuffer(b"^" + b"$^".join(texts) + b"$  ", dtype=np.uint8).astype(np.uint32)
+    start = np.cumsum(size + 2) - size - 2  # of each word's opening mark
+    owner = np.repeat(np.arange(len(words)), size)
+    at = np.arange(len(owner)) + 2 * owner  # trigrams begin at the mark and at all bytes but the last
+    place = [raw[at] * np.uint32(0x9E3779B1) + raw[at + 1] * np.uint32(0x85EBCA77) + raw[at + 2] * np.uint32(0xC2B2AE3D)]
+    owners = [owner]
+    ahead, behind = np.zeros(len(words), dtype=np.uint32), np.zeros(len(words), dtype=np.uint32)
+    for k in range(1, 5):
+        long = np.flatnonzero(size >= k)
+        ahead[long] = ahead[long] * np.uint32(0x01000193) + raw[start[long] + k] + np.uint32(k)
+        behind[long] = behind[long] * np.uint32(0x01000193) + raw[start[long] + 1 + size[long] - k] + np.uint32(k)
+        place += [ahead[long] + np.uint32(0x1000 + k), behind[long] * np.uint32(0x27D4EB2F) + np.uint32(0x2000 + k)]
+        owners += [long, long]
+    whole = np.flatnonzero(lettered)
+    place.append(np.array([zlib.crc32(texts[i]) for i in whole], dtype=np.uint32))
+    owners.append(whole)
+    known = [(i, lang) for i in whole.tolist() if (lang := lexicon.get(texts[i])) is not None]
+    place.append(np.array([0x3000 + lang for _, lang in known], dtype=np.uint32))
+    owners.append(np.array([i for i, _ in known], dtype=np.int64))
+    h = np.concatenate(place)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    return ((h ^ (h >> np.uint32(15))) % np.uint32(HASHED)).astype(np.int64), np.concatenate(owners), lettered
+
+
+class Numbers(dict):
+    """word -> its number by first sight; `new` holds the words numbered since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class Field:
@@ -58,13 +99,15 @@ class Field:
 
     def emissions(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of the words by label, and whether a word has a letter."""
-        lists = [features(w, self.lexicon) for w in words]
-        size = np.array([len(x) for x in lists], dtype=np.int64)
-        flat = np.array([f for x in lists for f in x], dtype=np.int64)
-        out = np.zeros((len(words), len(self.labels)))
-        if len(flat):
-            np.add.at(out, np.repeat(np.arange(len(words)), size), self.weight[flat])
-        return out / np.sqrt(np.maximum(size, 1))[:, None], size > 0
+        flat, owner, lettered = features(words, self.lexicon)
+        return self.sums(flat, owner, len(words)), lettered
+
+    def sums(self, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Weights of each word's features, added up and scaled by the root of their number."""
+        held = self.weight[flat]
+        size = np.bincount(owner, minlength=n)
+        total = np.stack([np.bincount(owner, held[:, k], n) for k in range(held.shape[1])], axis=1) if held.shape[1] else np.zeros((n, 0))
+        return total / np.sqrt(np.maximum(size, 1))[:, None]
 
 
 def marginals(scores: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -81,11 +124,16 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> np.nda
     seen[row, col] = np.exp(scores - scores.max(axis=1, keepdims=True))
     there[row, col] = True
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    short = np.flatnonzero(~there[:, -1])  # the last chunks of chains: they stop early
     carry = np.broadcast_to(np.eye(n_labels), (total, n_labels, n_labels)).copy()
+    flat = carry.reshape(-1, n_labels)
     for t in range(CHUNK):
-        new = (carry @ step) * seen[:, t, None, :]
-        new /= new.max(axis=(1, 2), keepdims=True)
-        carry = np.where(there[:, t, None, None], new, carry)
+        rest = short[~there[short, t]]
+        kept = carry[rest]
+        np.multiply((flat @ step).reshape(carry.shape), seen[:, t, None, :], out=carry)
+        if t % SCALE == SCALE - 1:
+            carry /= carry.max(axis=(1, 2), keepdims=True)
+        carry[rest] = kept
     into, out = np.full((total, n_labels), 1 / n_labels), np.full((total, n_labels), 1 / n_labels)
     order = np.argsort(-chunks, kind="stable")
     falling = -chunks[order]
@@ -96,16 +144,23 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> np.nda
     for j in range(1, int(chunks.max(initial=0))):
         now = last[order[: np.searchsorted(falling, -j, side="left")]] - j
         out[now] = norm(np.einsum("kab,kb->ka", carry[now + 1], out[now + 1]))
-    ahead = np.empty((total, CHUNK, n_labels))
+    ahead = np.empty((CHUNK, total, n_labels))
     state = into
-    for t in range(CHUNK):
-        state = np.where(there[:, t, None], norm((state @ step) * seen[:, t]), state)
-        ahead[:, t] = state
-    state = out
+    for t in range(CHUNK):  # behind a short chunk's end the states aren't read
+        state = (state @ step) * seen[:, t]
+        if t % SCALE == SCALE - 1:
+            state /= state.max(axis=1, keepdims=True)
+        ahead[t] = state
+    state, back = out, step.T.copy()
     for t in range(CHUNK - 1, -1, -1):
-        ahead[:, t] = norm(ahead[:, t] * state)
-        state = np.where(there[:, t, None], norm((state * seen[:, t]) @ step.T), state)
-    return ahead[row, col]
+        ahead[t] *= state
+        rest = short[~there[short, t]]
+        kept = state[rest]
+        state = (state * seen[:, t]) @ back
+        if t % SCALE == 0:
+            state /= state.max(axis=1, keepdims=True)
+        state[rest] = kept
+    return norm(ahead[col, row])
 
 
 def fit(windows: list[tuple[str, list[bytes]]], seed: int = 5) -> Field:
@@ -115,8 +170,8 @@ def fit(windows: list[tuple[str, list[bytes]]], seed: int = 5) -> Field:
     counts: dict[bytes, Counter] = defaultdict(Counter)
     for lang, words in windows:
         for w in words:
-            counts[w.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]{}|*#$%&<>").encode()][lang] += 1
-    lexicon = {w: at[c.most_common(1)[0][0]] for w, c in counts.items() if sum(c.values()) >= 4 and c.most_common(1)[0][1] >= 0.8 * sum(c.values())}
+            counts[plain(w)][lang] += 1
+    lexicon = {w: at[c.most_common(1)[0][0]] for w, c in counts.items() if w and sum(c.values()) >= 4 and c.most_common(1)[0][1] >= 0.8 * sum(c.values())}
     field = Field(labels, lexicon)
     if len(labels) < 1:
         return field
@@ -134,28 +189,21 @@ def fit(windows: list[tuple[str, list[bytes]]], seed: int = 5) -> Field:
     ids = np.array([index.setdefault(w, len(index)) for words, _ in chains for w in words])
     gold = np.array([g for _, gs in chains for g in gs])
     sizes = np.array([len(w) for w, _ in chains])
-    lists = [features(w, lexicon) for w in index]
-    size = np.array([len(x) for x in lists])
-    flat, owner = np.array([f for x in lists for f in x], dtype=np.int64), np.repeat(np.arange(len(lists)), size)
-    scale = 1 / np.sqrt(np.maximum(size, 1))[:, None]
+    flat, owner, used = features(list(index), lexicon)
+    scale = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=len(index)), 1))[:, None]
     n_labels = len(labels)
     hot = np.eye(n_labels)[gold]
     inner = np.ones(len(ids), dtype=bool)
     inner[np.cumsum(sizes) - sizes] = False
     pairs = np.flatnonzero(inner)
     squares, move_squares = np.full((HASHED, n_labels), 1e-8), np.full((n_labels, n_labels), 1e-8)
-    used = np.bincount(owner, minlength=len(lists)) > 0
     lettered = used[ids][:, None]
     for _ in range(EPOCHS):
-        score = np.zeros((len(lists), n_labels))
-        np.add.at(score, owner, field.weight[flat])
-        score *= scale
-        here = score[ids]
+        here = field.sums(flat, owner, len(index))[ids]
         p = marginals(here, sizes, field.move)
-        by_word = np.zeros((len(lists), n_labels))
-        np.add.at(by_word, ids, (hot - p) * lettered)
-        g = np.zeros((HASHED, n_labels))
-        np.add.at(g, flat, (by_word * scale)[owner])
+        add = lambda i, x, n: np.stack([np.bincount(i, x[:, k], n) for k in range(n_labels)], axis=1)
+        by_word = add(ids, (hot - p) * lettered, len(index))
+        g = add(flat, (by_word * scale)[owner], HASHED)
         g -= DECAY * len(ids) * field.weight / 100
         squares += g * g
         field.weight += RATE * g / np.sqrt(squares)
@@ -219,21 +267,20 @@ def predict(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
 
         model: Field = held.value
         n_labels = len(model.labels)
-        memo: dict[bytes, int] = {}
+        memo = Numbers()
         scores, letters = np.zeros((0, n_labels)), np.zeros(0, dtype=bool)
 
         def label(texts):
             nonlocal memo, scores, letters
             words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
             if len(memo) > MEMO_WORDS:
-                memo, scores, letters = {}, np.zeros((0, n_labels)), np.zeros(0, dtype=bool)
-            new = list({w for ws in words for w in ws if w not in memo})
-            if new:
-                s, has = model.emissions(new)
-                memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
-                scores, letters = np.concatenate((scores, s)), np.concatenate((letters, has))
+                memo, scores, letters = Numbers(), np.zeros((0, n_labels)), np.zeros(0, dtype=bool)
             out = [(UNKNOWN, 0.0, [0.0] * n_labels)] * len(texts)
             ids = [np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws)) for ws in words]
+            if memo.new:
+                s, has = model.emissions(memo.new)
+                scores, letters = np.concatenate((scores, s)), np.concatenate((letters, has))
+                memo.new = []
             live = [i for i, x in enumerate(ids) if n_labels and len(x) and letters[x].any()]
             if live:
                 flat, sizes = np.concatenate([ids[i] for i in live]), np.array([len(ids[i]) for i in live])
