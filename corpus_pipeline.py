@@ -6,7 +6,7 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import bpe, jaccard, langid, mixing, secrets
@@ -14,6 +14,8 @@ from flowloom.llm.common import materialize, table
 
 #: A document stays if the mean marginal of its language is at least this.
 SURE = 0.4
+#: Columns inside a stage.
+KEY, TURNS = "_document", "_turns"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +24,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(docs.columns)
 
 
+def identity(*more: Column) -> Column:
+    """What makes a row a document: its id (or that it has none) and its text; a struct without nulls."""
+    return F.struct(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"), jaccard.text_hash().alias("h"), *more)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the smallest id."""
-    groups = jaccard.join(docs).where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(groups, docs.doc_id.eqNullSafe(groups.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Keeps one document of each group of near copies: the one with the smallest id.
+
+    Documents that share an id, or have none, are told apart by their texts. Rows that repeat a document, and documents
+    without words, stay once for each id and text.
+    """
+    found = jaccard.join(docs).withColumn("document", F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), "h"))
+    groups = found.where("n_shingles > 0").groupBy("component").agg(F.min("document").alias("document")).select("document")
+    wanted = groups.union(found.where("n_shingles = 0").select("document")).distinct()
+    wanted = wanted.select(F.struct("document.id", "document.no_id", "document.h").alias(KEY))
+    return docs.withColumn(KEY, identity()).join(wanted, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +51,15 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix reads it: whole turns, and once more for a part of one."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("d"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    joined = docs.join(taken, docs.doc_id.eqNullSafe(taken.d))
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+    """Each document as often as the mix reads it: whole turns, and once more for a part of one.
+
+    Rows that repeat a document (id, source and text) give it the turns of all of them together.
+    """
+    keyed = docs.withColumn(KEY, identity(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source")))
+    taken = mixing.mix(keyed.select(F.col(KEY).alias("doc_id"), "source", "text")).where("taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias(KEY)).agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(TURNS))
+    once = keyed.join(times, KEY).dropDuplicates([KEY])
+    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), TURNS)).alias(KEY)).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,9 +109,13 @@ def block_signatures(grams: np.ndarray, k: int, schemes: Schemes) -> tuple[np.nd
     return keys, (fine >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+def text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def digest(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n, node (hash of the set, null without words), schemes: array of struct(own, keys, sketch)."""
-    schema = "doc_id long, n long, node long, schemes array<struct<own:boolean,keys:array<long>,sketch:binary>>"
+    """doc_id, h (hash of the text), n, node (hash of the set, null without words), schemes: array of struct(own, keys, sketch)."""
+    schema = "doc_id long, h long, n long, node long, schemes array<struct<own:boolean,keys:array<long>,sketch:binary>>"
 
     def run(batches):
         import pyarrow as pa
@@ -137,9 +141,9 @@ def digest(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
                             keys, sketch = block_signatures(grams, j, schemes)
                             rows.append({"own": j == k, "keys": keys.view(np.int64), "sketch": sketch})
                     all_schemes.append(rows)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(all_schemes, kind)], ["doc_id", "n", "node", "schemes"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(all_schemes, kind)], ["doc_id", "h", "n", "node", "schemes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", text_hash().alias("h")).mapInArrow(run, schema)
 
 
 def apart(a: bytes, b: bytes) -> int:
@@ -248,11 +252,12 @@ def overlaps(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
 
 
 def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id reachable by links.
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id reachable by links), h, component.
 
-    Texts without words have no shingles and are components of their own. One row per input row; rows with one
-    doc_id and different texts are documents of their own. A null doc_id has a null component only if no other
-    id is in its component.
+    h is text_hash() of the row; component tells components apart even where ids repeat or are null, and is null
+    without words. Texts without words have no shingles and are components of their own. One row per input row; rows
+    with one doc_id and different texts are documents of their own. A null doc_id has a null component_id only if no
+    other id is in its component.
     """
     docs = docs.select("doc_id", "text")
     whole = materialize(digest(docs, percent, words))
@@ -284,10 +289,11 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     ends = components(materialize(first.union(second))).toDF("node", "label")
     placed = nodes.select("node", "least").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-    final = placed.join(smallest, "label").select("node", "component_id")
-    out = whole.where("node is not null").select("doc_id", "n", "node").join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(whole.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    final = placed.join(smallest, "label").select("node", "component_id", "label")
+    out = whole.where("node is not null").select("doc_id", "h", "n", "node").join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "h", F.col("label").alias("component"))
+    alone = whole.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "h", F.lit(None).cast("long").alias("component"))
+    return out.unionByName(alone)
 
 
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -313,3 +313,20 @@ def test_pipeline(spark, sf):
     done = corpus_pipeline.tokens(spark, docs, sf)
     assert done.where("n_tokens <= 0").count() == 0
     assert not json.dumps([r["text"] for r in docs.select("text").collect()]).count('token = \\"')
+
+
+def test_pipeline_rows_that_repeat(spark):
+    """Ids that repeat or are missing, repeated rows, texts without words: no document is lost, none is read twice as often."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(50))
+    data = [(1, text(1)), (1, text(1)), (1, text(2)), (2, text(1)), (None, text(3)), (None, text(4)), (None, text(2)), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 1 else "a", None) for i, t in data], SCHEMA)
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect())
+    assert got == sorted([(1, text(1)), (1, text(2)), (0, text(3)), (0, text(4)), (5, ""), (6, "")])
+    read = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mixture(spark, docs, "").collect())
+    assert set(read) <= {d for d in data if d[1]} and all(n <= 2 * data.count(d) for d, n in read.items())
+    assert 350 <= sum(read.values()) * 50 <= 2 * 350
+    empty = docs.where("false")
+    assert corpus_pipeline.near_copies(spark, empty, "").count() == corpus_pipeline.mixture(spark, empty, "").count() == 0
