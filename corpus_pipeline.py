@@ -14,6 +14,8 @@ from flowloom.llm.common import materialize, table
 
 #: A document stays if the mean marginal of its language is at least this.
 SURE = 0.4
+#: Words of a shingle and similarity in hundredths of near copies here; op10 has its own.
+WORDS, PERCENT = 5, 80
 #: Columns inside a stage.
 KEY, TURNS = "_document", "_turns"
 
@@ -35,7 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents that share an id, or have none, are told apart by their texts. Rows that repeat a document, and documents
     without words, stay once for each id and text.
     """
-    found = jaccard.join(docs).withColumn("document", F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), "h"))
+    found = jaccard.join(docs, percent=PERCENT, words=WORDS).withColumn("document", F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), "h"))
     groups = found.where("n_shingles > 0").groupBy("component").agg(F.min("document").alias("document")).select("document")
     wanted = groups.union(found.where("n_shingles = 0").select("document")).distinct()
     wanted = wanted.select(F.struct("document.id", "document.no_id", "document.h").alias(KEY))

@@ -330,3 +330,34 @@ def test_pipeline_rows_that_repeat(spark):
     assert 350 <= sum(read.values()) * 50 <= 2 * 350
     empty = docs.where("false")
     assert corpus_pipeline.near_copies(spark, empty, "").count() == corpus_pipeline.mixture(spark, empty, "").count() == 0
+
+
+def test_pipeline_near_copies_with_few_edits(spark):
+    """Shingles of five words, 0.8 or more: one word of 50, two of 100 and ten of 500 changed, against brute force."""
+    import corpus_pipeline
+
+    def text(name, n, changed=(), by="x"):
+        return " ".join(f"{by}{name}{i}" if i in changed else f"{name}{i}" for i in range(n))
+
+    held = [(1, text("a", 50)), (2, text("a", 50, (20,))), (3, text("b", 100)), (4, text("b", 100, (20, 60))), (5, text("c", 500)), (6, text("c", 500, range(20, 500, 48)))]
+    held += [(7, text("d", 50)), (8, text("d", 50, (10, 30))), (9, text("d", 50, (30,), "y")), (10, text("e", 3)), (11, text("e", 3, (1,))), (12, text("e", 3)), (13, "")]
+    r = random.Random(5)
+    for i in range(20, 120):  # runs of copies of copies
+        n = r.choice((8, 25, 60, 140))
+        words = held[-1][1].split() if i % 4 else [f"w{i}.{j}" for j in range(n)]
+        held.append((i, " ".join(w if r.random() > 0.02 else f"v{r.randrange(99)}" for w in words)))
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, first = {i: grams(t) for i, t in held}, {i: i for i, _ in held}
+    for a in sets:
+        for b in sets:
+            if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and first[a] != first[b]:
+                low, high = sorted((first[a], first[b]))
+                first = {k: low if v == high else v for k, v in first.items()}
+    docs = spark.createDataFrame(held, "doc_id long, text string")
+    kept = {x["doc_id"] for x in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert kept == set(first.values())
+    assert not kept & {2, 4, 6} and {1, 3, 5, 7, 8, 10, 11, 13} <= kept
