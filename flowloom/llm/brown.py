@@ -1,9 +1,11 @@
 """LM scoring: a class-based bigram model whose classes come from exchange clustering.
 
 P(word | previous) = P(class | previous class) * P(word | class). The exchange works on types: the HEAD most
-frequent training words are types of their own, every other word belongs to the type of its ending, so all
+frequent training words are types of their own, every other word starts with the type of its ending, so all
 words and all bigrams of the training texts take part and the exchange stays bounded (TYPES squared counts
-on the driver). Word counts are never cut and stay distributed: documents are dealt to blocks of about
+on the driver). Then every other training word moves, in a distributed step, to the class that its own
+bigrams with the classes of the fixed table favour; only words without training counts keep the class of their
+ending. The class bigrams are counted again after that. Word counts are never cut and stay distributed: documents are dealt to blocks of about
 BLOCK_BYTES, each block's distinct words fetch their counts with one join, and a block is scored with
 just its own dictionary.
 """
@@ -138,25 +140,147 @@ def type_bigrams(docs: DataFrame, head: list[bytes]) -> np.ndarray:
     return out.reshape(TYPES, TYPES)
 
 
-def type_totals(counts: DataFrame, head: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Training words and distinct training words of each type (TYPES rows reach the driver)."""
+def contexts(docs: DataFrame, head: list[bytes], of: np.ndarray) -> DataFrame:
+    """word, at, c: how often a word outside the head has a class after it (at < CLASSES), before it (at - CLASSES), or itself (2 * CLASSES)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        types, at, cls, names = Types(head), {}, [], []
+        found: list[np.ndarray] = []
+
+        def number(word):
+            if (i := at.get(word)) is None:
+                i = at[word] = len(names)
+                t = types[word]
+                names.append(word)
+                cls.append((t >= HEAD, of[t]))
+            return i
+
+        def out():
+            packed, c = np.unique(np.concatenate(found), return_counts=True)
+            which, used = np.unique(packed >> 8, return_inverse=True)
+            words = pa.array([names[i] for i in which], pa.binary()).take(pa.array(used))
+            return pa.RecordBatch.from_arrays([words, pa.array((packed & 255).astype(np.int16)), pa.array(c)], ["word", "at", "c"])
+
+        held = 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                ids = [-1]
+                for text in batch["text"].slice(low, 256).to_pylist():
+                    ids += map(number, tokens(text))
+                    ids.append(-1)
+                ids = np.array(ids)
+                table = np.array([*cls, (False, of[END])], dtype=np.int64)[ids]
+                rest = np.flatnonzero(table[:, 0])
+                w, after, before = ids[rest], ids[rest + 1], ids[rest - 1]
+                found.append((w << 8) + np.where(after == w, 2 * CLASSES, table[rest + 1, 1]))
+                other = before != w
+                found.append((w[other] << 8) + CLASSES + table[rest - 1, 1][other])
+                held += len(w)
+                if held > 4_000_000 or len(names) > 300_000:
+                    yield out()
+                    at.clear()
+                    cls.clear()
+                    names.clear()
+                    found.clear()
+                    held = 0
+        if held:
+            yield out()
+
+    return docs.select("text").mapInArrow(run, "word binary, at short, c long")
+
+
+def best_classes(own: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Class of each word that raises the likelihood most, the others staying where `counts` (class bigrams) has them.
+
+    own: the words' classes; seen: their counts (words, 2 * CLASSES + 1), as contexts() numbers them. The gain is that of exchange().
+    """
+    n, k = len(own), CLASSES
+    f = lambda x: x * np.log(np.maximum(x, 1e-12))
+    row, col, self_ = seen[:, :k], seen[:, k : 2 * k], seen[:, 2 * k]
+    here_ = np.arange(n)
+    gain = np.zeros((n, k))
+    for side, across, table in ((row, col, counts.T), (col, row, counts)):
+        w, j = np.nonzero(side)  # only these columns (rows) of the table change
+        base = table[j].astype(float)
+        x = side[w, j]
+        base[np.arange(len(w)), own[w]] -= x
+        at_own = j == own[w]
+        base[at_own] -= across[w[at_own]]
+        base[at_own, j[at_own]] -= self_[w[at_own]]
+        np.add.at(gain, w, f(base + x[:, None]) - f(base))
+    here = np.repeat(np.diag(counts)[None].astype(float), n, axis=0)
+    here[here_, own] -= row[here_, own] + col[here_, own] + self_
+    gain += f(here + row + col + self_[:, None]) + f(here) - f(here + row) - f(here + col)
+    for side, across, total in ((row, col, counts.sum(axis=1)), (col, row, counts.sum(axis=0))):
+        mass = side.sum(axis=1) + self_
+        total = total[None] - across
+        total[here_, own] -= mass
+        gain -= f(total + mass[:, None]) - f(total)
+    # All words move at once, and would crowd a class that holds no words yet: the table says nothing about it.
+    allowed = (counts.sum(axis=1) + counts.sum(axis=0) > 0)[None] | (np.arange(k)[None] == own[:, None])
+    new = np.argmax(np.where(allowed, gain, -np.inf)[:, : k - 1], axis=1)
+    return np.where(gain[here_, new] > gain[here_, own] + 1e-9, new, own)
+
+
+def rest_classes(docs: DataFrame, head: list[bytes], of: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """word, k: the class of every training word outside the head, by its own bigrams against the fixed class table."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = Types(head)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2048):
+                part = batch.slice(low, 2048)
+                own = of[np.fromiter(map(types.__getitem__, part["word"].to_pylist()), np.int64, part.num_rows)]
+                lists, values = part["seen"], part["seen"].flatten()
+                seen = np.zeros((part.num_rows, 2 * CLASSES + 1))
+                which = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                seen[which, values.field(0).to_numpy()] = values.field(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([part["word"], pa.array(best_classes(own, seen, counts).astype(np.int32))], ["word", "k"])
+
+    rows = contexts(docs, head, of).repartition("word").groupBy("word", "at").agg(F.sum("c").alias("c"))
+    return rows.groupBy("word").agg(F.collect_list(F.struct("at", "c")).alias("seen")).mapInArrow(run, "word binary, k int")
+
+
+def class_bigrams(blocks: DataFrame, dictionary: DataFrame, end: int) -> np.ndarray:
+    """Counts of neighbouring classes over all training texts; dictionary(block, word, k)."""
+
+    def run(key, part, words):
+        import pyarrow as pa
+
+        at = dict(zip(words["word"].to_pylist(), words["k"].to_pylist(), strict=True))
+        counts = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        for chunk in part.to_batches(max_chunksize=256):
+            ids = [end]
+            for text in chunk["text"].to_pylist():
+                ids += map(at.__getitem__, tokens(text))
+                ids.append(end)
+            ids = np.array(ids)
+            counts += np.bincount(ids[:-1] * CLASSES + ids[1:], minlength=CLASSES * CLASSES)
+        return pa.table({"at": pa.array(np.arange(CLASSES * CLASSES), pa.int32()), "c": pa.array(counts)})
+
+    found = blocks.where("train").select("block", "text").groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, "at int, c long")
+    out = np.zeros(CLASSES * CLASSES)
+    for r in materialize(found.groupBy("at").agg(F.sum("c").alias("c"))).collect():
+        out[r["at"]] = r["c"]
+    return out.reshape(CLASSES, CLASSES)
+
+
+def type_classes(counts: DataFrame, head: list[bytes], of: np.ndarray) -> DataFrame:
+    """counts(word, c, k) with a class for every word: that of its type where k is null."""
 
     def run(batches):
         import pyarrow as pa
 
         types = Types(head)
-        total, distinct = np.zeros(TYPES, dtype=np.int64), np.zeros(TYPES, dtype=np.int64)
         for batch in batches:
-            of = np.fromiter(map(types.__getitem__, batch["word"].to_pylist()), np.int64, batch.num_rows)
-            c = batch["c"].to_numpy(zero_copy_only=False)
-            np.add.at(total, of, c)
-            np.add.at(distinct, of, c > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TYPES), pa.int32()), pa.array(total), pa.array(distinct)], ["type", "n", "v"])
+            k = [of[types[w]] if k is None else k for w, k in zip(batch["word"].to_pylist(), batch["k"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(k, pa.int32())], ["word", "c", "k"])
 
-    total, distinct = np.zeros(TYPES), np.zeros(TYPES)
-    for r in counts.mapInArrow(run, "type int, n long, v long").groupBy("type").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        total[r["type"]], distinct[r["type"]] = r["n"], r["v"]
-    return total, distinct
+    return counts.select("word", "c", "k").mapInArrow(run, "word binary, c long, k int")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -178,24 +302,30 @@ def score(docs: DataFrame) -> DataFrame:
     pairs = type_bigrams(docs.where("train"), head)
     of = exchange(pairs)
     one = np.eye(CLASSES)[of]
-    moves, (total, distinct) = one.T @ pairs @ one, type_totals(counts, head)
-    total[END], distinct[END] = n_texts, min(1, n_texts)
-    class_total, class_distinct = one.T @ total, one.T @ distinct
+    rest = materialize(rest_classes(docs.where("train"), head, of, one.T @ pairs @ one))
+    counts = materialize(type_classes(counts.join(rest, "word", "left"), head, of))
+    dictionary = local.select("block", "word").join(counts, "word")
+    end_class = int(of[END])
+    moves = class_bigrams(blocks, dictionary.select("block", "word", "k"), end_class)
+    class_total, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in counts.groupBy("k").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).collect():
+        class_total[r["k"]], class_distinct[r["k"]] = r["n"], r["v"]
+    class_total[end_class] += n_texts
+    class_distinct[end_class] += min(1, n_texts)
     share = class_total / max(class_total.sum(), 1)
     with np.errstate(divide="ignore"):
         log_move = np.log10((moves + PRIOR * share) / (moves.sum(axis=1, keepdims=True) + PRIOR)) if n_texts else np.zeros((CLASSES, CLASSES))
     log_move = np.maximum(log_move, -12.0)
-    model = docs.sparkSession.sparkContext.broadcast((head, of, log_move, class_total, class_distinct))
+    model = docs.sparkSession.sparkContext.broadcast((log_move, class_total, class_distinct))
 
     def run(key, part, words):
         import pyarrow as pa
 
-        head, of, log_move, class_total, class_distinct = model.value
-        types = Types(head)
+        log_move, class_total, class_distinct = model.value
         names = words["word"].to_pylist()
         c = np.array([*words["c"].to_pylist(), n_texts], dtype=float)
         at = {w: i for i, w in enumerate(names)}
-        cls = of[np.array([*map(types.__getitem__, names), END])]
+        cls = np.array([*words["k"].to_pylist(), end_class])
         base = np.log10((c + 1) / (n_train + vocabulary + 1))
         n, v = np.maximum(class_total[cls], 1), class_distinct[cls]
         emit = np.where(c > 0, np.maximum(c - DISCOUNT, 1e-9) / n, np.where(v > 0, DISCOUNT * v / n / (v + 1), 1 / (n_train + vocabulary + 1)))
@@ -214,7 +344,6 @@ def score(docs: DataFrame) -> DataFrame:
             rows.append(pa.RecordBatch.from_arrays([chunk["doc_id"], pa.array([not t for t in chunk["train"].to_pylist()]), pa.array(sizes, pa.int64()), pa.array(add((c[ids] > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(sizes), n_train), pa.int64()), pa.array(add(base[ids])), pa.array(add(emit[ids] + log_move[before, k]))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.Table.from_batches(rows, schema=None if rows else pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
 
-    dictionary = local.select("block", "word").join(counts, "word")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, schema)
 

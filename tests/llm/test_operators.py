@@ -206,6 +206,37 @@ def test_exchange_raises_likelihood():
     assert all(len(set(of[:60][group == g])) == 1 for g in range(3)) and len(set(of[:60])) == 3
 
 
+def test_words_outside_the_head_move_by_their_own_bigrams(spark):
+    rng = np.random.default_rng(3)
+    head = [f"{c}{i}".encode() for c in "abcd" for i in range(3)] + [f"{c}{i}ly".encode() for c in "xy" for i in range(3)]
+    pick = lambda c: f"{c}{rng.integers(3)}"
+    lines = [f"{pick('a')} {x}ly {pick('b')} {pick('c')} {y}ly {pick('d')}" for x, y in ((f"x{i}", f"y{i}") for i in range(20)) for _ in range(3)]
+    lines += ["x6ly x6ly y2ly x3ly", "y0ly", "", "q9ly q9ly q9ly"]
+    docs = spark.createDataFrame([(t,) for t in lines], "text string").repartition(3)
+    of = np.arange(brown.TYPES) % 7 + 8
+    of[: len(head)], of[brown.END] = [i // 3 for i in range(18)], brown.CLASSES - 1
+    pairs = brown.type_bigrams(docs, head)
+    one = np.eye(brown.CLASSES)[of]
+    counts = one.T @ pairs @ one
+    got = {bytes(r["word"]): r["k"] for r in brown.rest_classes(docs, head, of, counts).collect()}
+    types, f = brown.Types(head), lambda x: float((x * np.log(np.maximum(x, 1e-12))).sum())
+    runs = [[None, *brown.tokens(t), None] for t in lines]
+    cls = lambda w: of[brown.END if w is None else types[w]]
+    rest = {w for r in runs for w in r if w is not None and w not in head}
+    known = [k for k in range(brown.CLASSES - 1) if counts[k].sum() + counts[:, k].sum()]
+    assert set(got) == rest
+    for w in rest:  # the likelihood of all bigrams with the word in each class
+        value = {}
+        for k in known:
+            c = np.zeros((brown.CLASSES, brown.CLASSES))
+            for r in runs:
+                for a, b in zip(r, r[1:], strict=False):
+                    c[k if a == w else cls(a), k if b == w else cls(b)] += 1
+            value[k] = f(c) - f(c.sum(axis=1)) - f(c.sum(axis=0))
+        assert value[got[w]] == pytest.approx(max(value.values()))
+    assert {got[f"x{i}ly".encode()] for i in range(5, 20)}.isdisjoint({got[f"y{i}ly".encode()] for i in range(5, 20)})
+
+
 def test_secrets(spark, docs, rows, nothing):
     keyed = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
