@@ -47,12 +47,28 @@ def tile_of(lon: str, lat: str, zoom: int, radius: float, prefix: str) -> dict:
     return {f"{prefix}_x": F.floor(mx * k).cast("long"), f"{prefix}_y": F.floor(my * k).cast("long")}
 
 
-def greedy(points: DataFrame, radius: float = 40.0, min_zoom: int = 0, max_zoom: int = MAX_ZOOM, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def first_come(ids: DataFrame, earlier: DataFrame) -> DataFrame:
+    """id, centre for every id: a centre unless one of its earlier(id, other) is a centre; runs until none is undecided."""
+    state = settle(ids.join(earlier.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("centre")))
+    left = ids.count() - state.count()
+    while left:
+        open_ = ids.join(state, "id", "left_anti").select("id")
+        judged = earlier.join(open_, "id").join(state.select(F.col("id").alias("other"), "centre"), "other", "left")
+        judged = judged.groupBy("id").agg(F.max(F.coalesce("centre", F.lit(False))).alias("covered"), F.sum(F.col("centre").isNull().cast("int")).alias("waiting"))
+        new = settle(judged.where("covered or waiting = 0").select("id", (~F.col("covered")).alias("centre")))
+        if not (found := new.count()):
+            raise RuntimeError(f"{left} points can't be decided")
+        state, left = settle(state.unionByName(new)), left - found
+    return state
+
+
+def greedy(points: DataFrame, radius: float = 40.0, min_zoom: int = 0, max_zoom: int = MAX_ZOOM) -> tuple[DataFrame, DataFrame]:
     """points(id, lon, lat, n) -> clusters (zoom, id, mx, my, num_points) and memberships (zoom, child, centre) of the greedy hierarchy.
 
     From the finest zoom up: a cluster becomes a centre unless an earlier one (by id) is a centre within the zoom's radius;
     every other joins its nearest centre. The order-first rule is settled in rounds: a point whose earlier
-    neighbours are all decided is decided itself. Each zoom clusters the centroids of the zoom before.
+    neighbours are all decided is decided itself. Each zoom clusters the centroids of the zoom before. Points are inserted
+    one by one; inserting pairs, hyperedges and attaching one side of a pair are not built.
     """
     now = mercator(points).select("id", F.col("mx").alias("x"), F.col("my").alias("y"), "n")
     out = None
@@ -61,16 +77,7 @@ def greedy(points: DataFrame, radius: float = 40.0, min_zoom: int = 0, max_zoom:
         now = settle(now)
         near = settle(radius_join(now, now, r).where("id != other").select("id", "other", "distance"))
         earlier = near.where("other < id").select("id", "other")
-        state = now.join(earlier.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("centre"))
-        state = settle(state)
-        for _ in range(rounds):
-            open_ = now.join(state, "id", "left_anti").select("id")
-            judged = earlier.join(open_, "id").join(state.select(F.col("id").alias("other"), "centre"), "other", "left")
-            judged = judged.groupBy("id").agg(F.max(F.coalesce("centre", F.lit(False))).alias("covered"), F.sum(F.col("centre").isNull().cast("int")).alias("waiting"))
-            new = settle(judged.where("covered or waiting = 0").select("id", (~F.col("covered")).alias("centre")))
-            if not new.limit(1).count():
-                break
-            state = settle(state.unionByName(new))
+        state = first_come(now.select("id"), earlier)
         centres = state.where("centre").select("id")
         joined = near.join(centres.select(F.col("id").alias("other")), "other").groupBy("id").agg(F.min_by("other", F.struct("distance", "other")).alias("c"))
         placed = now.join(centres.withColumn("own", F.lit(True)), "id", "left").join(joined, "id", "left")

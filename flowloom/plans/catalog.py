@@ -390,9 +390,9 @@ def ikmeans_full(spark, sf_dir):
 
 @query()
 def hgc_greedy(spark, sf_dir):
-    """The greedy hierarchy over all places, zooms 2 to 0: G3-G6, G8, G9."""
+    """The greedy hierarchy over all places, zooms 17 to 0: G8, G9. Inserting pairs (G3, G6), single ends from a zoom on (G4) and one-sided attach (G5) are not built."""
     p = _points(spark, sf_dir).withColumn("id", (F.round(F.col("lon") * 100).cast("long") + 18000) * 100000 + F.round(F.col("lat") * 100).cast("long") + 9000)
-    return clusters.greedy(p, RADIUS, 0, 2)[0]
+    return clusters.greedy(p, RADIUS)[0]
 
 
 @query(f"""WITH {EDGES}, {cells_sql(1)}, t AS (SELECT DISTINCT px * 100000 + py AS id, qx * 100000 + qy AS target FROM cells UNION SELECT DISTINCT qx * 100000 + qy, px * 100000 + py FROM cells),

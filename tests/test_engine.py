@@ -11,6 +11,7 @@ from flowloom.config import EngineConfig, Request
 from flowloom.functions import compat, geo, text
 from flowloom.operators import bundling, clusters, edges, treecut, viewport
 from flowloom.operators.tree import IncrementalBundler, Tree, star_groups
+from flowloom.plans import catalog
 from flowloom.sources import derived, ingest
 from flowloom.streaming import continuous, slicing
 
@@ -76,6 +77,21 @@ def test_greedy_keeps_its_rule(spark):
     assert got.agg(F.sum("num_points")).first()[0] == 60 and members.count() == 60
 
 
+def test_greedy_decides_every_point_or_raises(spark):
+    ids = spark.range(6)
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 6)], "id long, other long")
+    assert {r["id"]: r["centre"] for r in clusters.first_come(ids, chain).collect()} == {i: i % 2 == 0 for i in range(6)}
+    with pytest.raises(RuntimeError):
+        clusters.first_come(ids, chain.union(spark.createDataFrame([(4, 5), (3, 4)], "id long, other long"))).count()
+
+
+def test_greedy_query_has_all_zooms(spark, monkeypatch):
+    few = spark.createDataFrame([(i / 8, i / 9, 1) for i in range(9)], "lon double, lat double, n long")
+    monkeypatch.setattr(catalog, "_points", lambda spark, sf_dir: few)
+    got = {r["zoom"]: r["s"] for r in catalog.QUERIES["hgc_greedy"](spark, "").groupBy("zoom").agg(F.sum("num_points").alias("s")).collect()}
+    assert got == dict.fromkeys(range(18), 9)
+
+
 def test_kmeans_edges(spark):
     few = spark.createDataFrame([(0.0, 0.0), (0.0, 0.0), (5.0, 5.0)], "lon double, lat double")
     centers, sizes, history = clusters.kmeans(few, 17)
