@@ -23,7 +23,7 @@ class EngineConfig:
     #: Distinct edges above which bundling becomes incremental.
     incremental_above: int = 1000
     compatibility: float = 0.6
-    #: Edges that one bundling run takes at most; above it the heaviest are bundled and the rest stay straight.
+    #: Edges of one component of compatible edges that are bundled at most: the heaviest; the rest stay straight and are counted.
     most_bundled: int = 20000
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import compat
@@ -99,6 +99,14 @@ def bundle(ends: np.ndarray, pairs: np.ndarray, step: float = 0.025, cycles: int
     return paths
 
 
+def beyond(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """Edges (id) that lie beyond the `most` heaviest of their component of compatible edges."""
+    placed = components(pairs).join(edges.select("id", "weight"), "id")
+    large = placed.groupBy("component").count().where(F.col("count") > most).select("component")
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.col("weight").desc(), "id"))
+    return placed.join(large, "component").withColumn("rank", rank).where(F.col("rank") > most).select("id")
+
+
 def fdeb(edges: DataFrame, pairs: DataFrame, step: float = 0.025) -> DataFrame:
     """edges(id, fx, fy, tx, ty, weight) -> id, weight, path (array of struct x, y). Edges without partners stay straight."""
     label = components(pairs)

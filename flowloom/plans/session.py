@@ -133,11 +133,13 @@ class EngineSession:
             result.counters["edgesCnt"] = shown.count()
             e = shown.select("id", F.col("from_lon").alias("fx"), F.col("from_lat").alias("fy"), F.col("to_lon").alias("tx"), F.col("to_lat").alias("ty"), "weight")
             if r.bundling and r.bundlingAlgorithm != CLIENT:
-                # Above the cap the heaviest edges are bundled and the others stay straight.
-                heavy = e.orderBy(F.col("weight").desc(), "id").limit(self.config.most_bundled)
-                chosen = settle(heavy) if result.counters["edgesCnt"] > self.config.most_bundled else e
-                pairs = settle(bundling.compatible_pairs(chosen, max(self.config.compatibility, bundling.THRESHOLD)))
+                pairs = settle(bundling.compatible_pairs(e, max(self.config.compatibility, bundling.THRESHOLD)))
                 result.counters["isolatedEdgesCnt"] = edges.isolated(e, pairs).count()
+                # One component is one task: of a larger one the heaviest edges are bundled and the others stay straight.
+                left = settle(bundling.beyond(e, pairs, self.config.most_bundled))
+                result.counters["unbundledEdgesCnt"] = left.count()
+                if result.counters["unbundledEdgesCnt"]:
+                    pairs = settle(pairs.join(left.toDF("a"), "a", "left_anti").join(left.toDF("b"), "b", "left_anti").select("a", "b", "score"))
                 result.edges = bundling.segments(bundling.fdeb(e, pairs, geo.step_size(r.zoom)))
             else:
                 result.counters["isolatedEdgesCnt"] = result.counters["edgesCnt"]

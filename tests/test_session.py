@@ -47,3 +47,15 @@ def test_keyword_query(spark, sf):
     some = list(s.handle({"query": "question | answer", "edgeStatus": 0}))[-1].counters["repliesCnt"]
     everything = list(s.handle({"query": ""}))[-1].counters["repliesCnt"]
     assert 0 <= some <= everything and everything > 0
+
+
+def test_bound_of_bundling_holds_per_component(spark):
+    """Three far groups of three parallel edges each, bound 3: all are bundled; bound 2: one of each group stays straight and is reported."""
+    rows = [(10 * g + i, FIRST, 40.0 * g - 60, 0.2 * i, 40.0 * g - 40, 0.2 * i) for g in range(3) for i in range(3)] + [(99, FIRST, 0.0, -60.0, 0.5, -70.0)]
+    source = spark.createDataFrame(rows, "id long, ts timestamp, from_lon double, from_lat double, to_lon double, to_lat double")
+    for most, left in ((3, 0), (2, 3)):
+        s = EngineSession(source, EngineConfig(fixed_days=3000, most_bundled=most), FIRST, LAST, fixed_interval=True)
+        got = list(s.handle({"bundling": 1, "edgeStatus": 1}))[-1]
+        assert (got.counters["edgesCnt"], got.counters["isolatedEdgesCnt"], got.counters["unbundledEdgesCnt"]) == (10, 1, left)
+        # A straight edge is one segment.
+        assert got.edges.where("x1 = x2 - 20").count() == left and got.edges.count() > 100
