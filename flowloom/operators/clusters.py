@@ -140,8 +140,8 @@ def seeds(points: DataFrame, k: int) -> list[tuple[float, float]]:
     return [(r["lon"], r["lat"]) for r in rows]
 
 
-def kmeans(points: DataFrame, k: int = 17, most: int = 50, tol: float = 1e-6):
-    """Lloyd's iterations until the SSE falls by less than `tol` of itself: (centres, sizes, sse by iteration)."""
+def kmeans(points: DataFrame, k: int = 17, most: int = 2000, tol: float = 1e-6):
+    """Lloyd's iterations until the SSE falls by less than `tol` of itself: (centres, sizes, sse by iteration). Raises if `most` don't settle it."""
     centers, history, sizes = seeds(points, k), [], []
     for _ in range(most):
         if not centers:
@@ -151,6 +151,8 @@ def kmeans(points: DataFrame, k: int = 17, most: int = 50, tol: float = 1e-6):
         history.append(sum(r["sse"] for r in rows))
         if len(history) > 1 and history[-2] - history[-1] <= tol * max(history[-2], 1e-12):
             break
+    else:
+        raise RuntimeError(f"k-means is not settled after {most} iterations")
     return centers, sizes, history
 
 

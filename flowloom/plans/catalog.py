@@ -375,7 +375,7 @@ def kmeans_edge_rollup(spark, sf_dir):
 @query()
 def kmeans_full(spark, sf_dir):
     """k = 17, seeded by hash, until the SSE settles."""
-    centers, sizes, _ = clusters.kmeans(_bag(spark, sf_dir), most=20)
+    centers, sizes, _ = clusters.kmeans(_bag(spark, sf_dir))
     return spark.createDataFrame([(i, float(x), float(y), int(n)) for i, ((x, y), n) in enumerate(zip(centers, sizes, strict=True))], "k int, lon double, lat double, n long")
 
 

@@ -92,6 +92,17 @@ def test_greedy_query_has_all_zooms(spark, monkeypatch):
     assert got == dict.fromkeys(range(18), 9)
 
 
+def test_kmeans_settles_or_raises(spark, monkeypatch):
+    line = spark.range(200).select(F.col("id").cast("double").alias("lon"), (F.col("id") % 7).cast("double").alias("lat"))
+    with pytest.raises(RuntimeError):
+        clusters.kmeans(line, 5, most=2)
+    asked = []
+    monkeypatch.setattr(catalog, "_bag", lambda spark, sf_dir: line)
+    monkeypatch.setattr(clusters, "kmeans", lambda points, *a, **b: asked.append((a, b)) or ([(0.0, 0.0)], [1], [0.0]))
+    catalog.QUERIES["kmeans_full"](spark, "")
+    assert asked == [((), {})]
+
+
 def test_kmeans_edges(spark):
     few = spark.createDataFrame([(0.0, 0.0), (0.0, 0.0), (5.0, 5.0)], "lon double, lat double")
     centers, sizes, history = clusters.kmeans(few, 17)
