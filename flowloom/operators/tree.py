@@ -3,7 +3,8 @@
 Known leaves only gain weight. New or moved edges are grouped by greedy star covers over their compatible pairs; each
 group is inserted into the tree under the most compatible representative. A node of 50 children is split in
 two by a spectral cut; at the size cap the new node merges into its most alike sibling instead. The tree's
-size, not the number of edges, bounds the driver's work.
+size, not the number of edges, bounds the driver's work. No forces act here, and representatives have no control
+points: bundling a batch (B6), bundling changed leaves again (B8) and B13 are not built.
 """
 
 from __future__ import annotations

@@ -546,7 +546,7 @@ def fdeb_segments(spark, sf_dir):
 
 @query()
 def ifdeb_segments(spark, sf_dir):
-    """Two batches folded into the representative tree."""
+    """Three batches folded into the representative tree. Forces on a batch (B6), changed leaves (B8) and control points (B13) are not built."""
     bundler = IncrementalBundler()
     e = settle(_cluster_edges(spark, sf_dir))
     pairs = [(r["a"], r["b"]) for r in bundling.compatible_pairs(e).collect()]
