@@ -3,13 +3,19 @@
 A suffix array over a whole corpus fits in no task, so the text is first cut into stretches that can be
 compared apart: every 100-byte window belongs to the least hash among its 32-byte grams, a run of windows
 with the same least hash is a stretch, and equal windows always lie in stretches of the same hash. Stretches
-are grouped by that hash; equal stretches (copies, shared passages) collapse to their first, all later ones
-are removed without any comparison. What is left, different stretches of the same hash, is sorted:
-suffixes smaller than their successors directly, the others induced by bucket scans, then adjacent common
-prefixes of at least 100 bytes join equal windows, and all but the first are removed.
-
-Hashes that hold very many different stretches, and very long periodic stretches, are not put in one task:
-their windows are dealt one by one by a 128-bit hash, with the same result.
+are grouped by that hash; equal stretches (copies, shared passages; by 128-bit digests of their bytes) collapse
+to their first, all later ones are removed whole. What is left, different stretches of the same hash, is sorted:
+suffixes smaller than their successors directly, the others induced by bucket scans; the windows between adjacent common
+prefixes of 100 bytes are equal, and all but the first of them are removed.
+
+A hash that holds more than GROUP different stretches (the borders of a passage that very many documents share) is
+not one task's work: its stretches are cut again by the least of their 64-byte grams, then by 96 and at last by 100
+bytes, and collapse at each level, so that what lies inside the passage is gone before a single window is a
+row. Every level sends what is no longer crowded to the same suffix sort; at the last one stretches are equal or
+have nothing in common. All levels give the same result, so GROUP only says where work is done.
+
+Hot stretches: a task collapses the copies among the texts it has read (CHUNK_BYTES at a time) before anything is
+shuffled, deals the copies anywhere, and all but one of the different stretches of a hash by their content.
 """
 
 from __future__ import annotations
@@ -21,25 +27,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import materialize, table
-from flowloom.llm.jaccard import BASE, mix, powers
-
-LENGTH, GRAM = 100, 32
-SPAN = LENGTH - GRAM + 1
-#: Different stretches of a hash, and windows of a stretch, that one sort takes at most.
-GROUP, LONG = 256, 4096
-#: Bytes that are sorted at once, about.
-FLUSH = 1 << 20
+from flowloom.llm.jaccard import BASE, mix
+
+LENGTH = 100
+#: Bytes of a gram at each level of cutting; at the last a gram is a window.
+GRAMS = (32, 64, 96, LENGTH)
+#: Different stretches of a hash that one sort takes at most, before they are cut again.
+GROUP = 256
+#: Bytes that are sorted at once, about, and that a task collapses at once.
+FLUSH, CHUNK_BYTES = 1 << 20, 8 << 20
 STEP = 128
 LOWEST = -(1 << 63)
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of the 32 bytes from each place on."""
+def gram_hashes(raw: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the `width` bytes from each place on: doubled spans, put together by the bits of the width."""
     h, span, m = raw.astype(np.uint64) + np.uint64(1), 1, int(BASE)
-    while span < GRAM:
+    out, have = None, 0
+    while True:
+        if width & span:
+            out = h if out is None else out[: len(h) - have] * np.uint64(m) + h[have:]
+            have += span
+            if have == width:
+                return mix(out)
         h = h[: len(h) - span] * np.uint64(m) + h[span:]
         m, span = m * m % (1 << 64), span * 2
-    return mix(h)
 
 
 def sliding(h: np.ndarray, width: int, pick) -> np.ndarray:
@@ -51,50 +63,112 @@ def sliding(h: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def substring_hash(raw: np.ndarray):
-    """A function of start and end arrays: 64-bit hashes of those substrings."""
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    return lambda s, e, salt=0: mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), salt)
-
-
-def stretches(raw: np.ndarray):
-    """start, windows, least hash, content hash and whether a window may repeat inside, of each stretch."""
-    h = gram_hashes(raw)
-    least = sliding(h, SPAN, np.minimum)
+def stretches(raw: np.ndarray, gram: int = GRAMS[0]):
+    """start, windows, least hash, digest (two columns) and whether a window may repeat inside, of each stretch."""
+    h, span = gram_hashes(raw, gram), LENGTH - gram + 1
+    least = sliding(h, span, np.minimum)
     start = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     count = np.diff(np.concatenate((start, [len(least)])))
-    pad = np.zeros(SPAN - 1, dtype=np.uint64)
-    chosen = h[sliding(np.concatenate((pad, least, pad)), SPAN, np.maximum) == h]
+    pad = np.zeros(span - 1, dtype=np.uint64)
+    chosen = h[sliding(np.concatenate((pad, least, pad)), span, np.maximum) == h]
     values, times = np.unique(chosen, return_counts=True)
     again = values[times > 1]
     key = least[start]
-    content = substring_hash(raw)(start, start + count + LENGTH - 1)
+    bytes_, digest = memoryview(raw.tobytes()), hashlib.blake2b
+    ends = start + count + LENGTH - 1
+    content = np.frombuffer(b"".join([digest(bytes_[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
     return start, count, key, content, (np.isin(key, again) if len(again) else np.zeros(len(key), dtype=bool))
 
 
+FIELDS = ("deal", "key", "c1", "c2", "doc", "dup", "s", "n", "again", "later", "crowd")
+ROWS = "deal long, key long, c1 long, c2 long, doc long, dup long, s int, n int, again boolean, later boolean, crowd boolean"
+
+
+def collapse(key, c1, c2, doc, dup, s, n, again) -> list[np.ndarray]:
+    """The columns FIELDS of a task's stretches, with those that equal an earlier one of them marked `later`.
+
+    deal: where a row goes. Later ones go anywhere; of several different stretches of a hash (`crowd`) one goes by the hash and
+    the others by their content; a hash of one stretch is dealt by itself.
+    """
+    deal, later, crowd = key.copy(), np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    of = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
+    if len(of):
+        at = order[of]
+        at = at[np.lexsort((s[at], dup[at], doc[at], c2[at], c1[at], key[at]))]
+        other_key = np.concatenate(([True], key[at][1:] != key[at][:-1]))
+        other = other_key | np.concatenate(([True], (c1[at][1:] != c1[at][:-1]) | (c2[at][1:] != c2[at][:-1])))
+        later[at] = ~other
+        group = np.cumsum(other_key) - 1
+        crowd[at] = (np.bincount(group, other) > 1)[group]
+        spread = crowd[at] & ~other_key & other
+        deal[at[spread]] = mix((key ^ c1)[at[spread]].view(np.uint64), 7).view(np.int64)
+        gone = at[~other]
+        deal[gone] = mix((doc[gone] ^ (s[gone].astype(np.int64) << 20)).view(np.uint64), 9).view(np.int64)
+    return [deal, key, c1, c2, doc, dup, s, n, again, later, crowd]
+
+
 def stretch_rows(docs: DataFrame) -> DataFrame:
-    """docs(doc, dup, text) -> key, content, doc, dup, s (start), n (windows), again."""
+    """docs(doc, dup, text) -> FIELDS: its stretches by 32-byte grams."""
 
     def run(batches):
         import pyarrow as pa
 
+        cols, held = [[] for _ in range(8)], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in collapse(*map(np.concatenate, cols))], FIELDS)
+
         for batch in batches:
             for low in range(0, batch.num_rows, STEP):
                 part = batch.slice(low, STEP)
-                cols = [[] for _ in range(7)]
                 for doc, dup, text in zip(part["doc"].to_pylist(), part["dup"].to_pylist(), part["text"].to_pylist(), strict=True):
                     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                     if len(raw) < LENGTH:
                         continue
                     s, n, key, content, again = stretches(raw)
-                    for c, v in zip(cols, (key.view(np.int64), content.view(np.int64), np.full(len(s), doc), np.full(len(s), dup, np.int32), s.astype(np.int32), n.astype(np.int32), again), strict=True):
+                    found = (key.view(np.int64), content[:, 0], content[:, 1], np.full(len(s), doc), np.full(len(s), dup), s.astype(np.int32), n.astype(np.int32), again)
+                    for c, v in zip(cols, found, strict=True):
                         c.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["key", "content", "doc", "dup", "s", "n", "again"])
+                    held += len(raw)
+                    if held > CHUNK_BYTES:
+                        yield out()
+                        cols, held = [[] for _ in range(8)], 0
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, ROWS)
 
-    return docs.mapInArrow(run, "key long, content long, doc long, dup int, s int, n int, again boolean")
+
+def cut_again(pieces: DataFrame, level: int) -> DataFrame:
+    """pieces(doc, dup, s, n, data) -> FIELDS and data: their stretches by the grams of `level`."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        cols, data, held = [[] for _ in range(8)], [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in collapse(*map(np.concatenate, cols))), pa.array(data, pa.binary())], [*FIELDS, "data"])
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, STEP):
+                for row in batch.slice(low, STEP).to_pylist():
+                    raw = np.frombuffer(row["data"], np.uint8)
+                    s, n, key, content, again = stretches(raw, GRAMS[level])
+                    found = (mix(key, level).view(np.int64), content[:, 0], content[:, 1], np.full(len(s), row["doc"]), np.full(len(s), row["dup"]), (s + row["s"]).astype(np.int32), n.astype(np.int32), again)
+                    for c, v in zip(cols, found, strict=True):
+                        c.append(v)
+                    data += [row["data"][a : a + k + LENGTH - 1] for a, k in zip(s.tolist(), n.tolist(), strict=True)]
+                    held += sum(map(len, data[-len(s) :]))
+                    if held > CHUNK_BYTES:
+                        yield out()
+                        cols, data, held = [[] for _ in range(8)], [], 0
+        if held:
+            yield out()
+
+    return pieces.select("doc", "dup", "s", "n", "data").mapInArrow(run, ROWS + ", data binary")
 
 
 def word_at(raw: np.ndarray) -> np.ndarray:
@@ -143,6 +217,8 @@ def suffix_array(raw: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     pending[raw[n - 1]].append(np.array([n - 1]))
     bounds = np.searchsorted(raw[direct], np.arange(257))
     out = []
+    # Where the run of one byte that holds a place begins.
+    run_start = np.maximum.accumulate(np.where(np.concatenate(([True], raw[1:] != raw[:-1])), np.arange(n), 0))
 
     def induce(read, bucket):
         """Deals out the larger predecessors of the suffixes read; gives back those of the same bucket."""
@@ -162,27 +238,41 @@ def suffix_array(raw: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     for c in range(256):
         read = np.concatenate(pending[c]) if pending[c] else np.zeros(0, dtype=np.int64)
         pending[c] = []
-        while len(read):
+        for _ in range(depth):
+            if not len(read):
+                break
             out.append(read)
             read = induce(read, c)
+        if len(read):  # all that is left of these runs starts with `depth` times this byte: any order will do
+            begin = run_start[read]
+            count = read - begin + 1
+            out.append(np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum()))
+            induce(begin, c)
         read = direct[bounds[c] : bounds[c + 1]]
         out.append(read)
         induce(read, c)
     return np.concatenate(out)
 
 
+def common_prefixes(raw: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Length, up to LENGTH, of the common prefix of each suffix in order with the one before it; the first has none."""
+    word = np.concatenate((word_at(raw), np.zeros(LENGTH + 8, dtype=np.uint64)))
+    out, at = np.zeros(len(order), dtype=np.int64), np.arange(1, len(order))
+    bounds = np.uint64(1) << np.arange(56, -8, -8, dtype=np.uint64)
+    for offset in range(0, LENGTH, 8):
+        differ = word[order[at] + offset] ^ word[order[at - 1] + offset]
+        out[at] += (differ[:, None] < bounds).sum(axis=1)
+        at = at[differ == 0]
+    return np.minimum(out, LENGTH)
+
+
 def repeated_windows(raw: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """Places of the valid windows that equal a valid window before them."""
     order = suffix_array(raw)
     order = order[valid[order]]
     if not len(order):
         return order
-    word = np.concatenate((word_at(raw), np.zeros(LENGTH, dtype=np.uint64)))
-    same = np.ones(len(order) - 1, dtype=bool)
-    for offset in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-        at = np.flatnonzero(same)
-        same[at] = word[order[at] + offset] == word[order[at + 1] + offset]
-    starts = np.flatnonzero(np.concatenate(([True], ~same)))
+    starts = np.flatnonzero(common_prefixes(raw, order) < LENGTH)
     least = np.minimum.reduceat(order, starts)
     return np.sort(order[order > np.repeat(least, np.diff(np.concatenate((starts, [len(order)]))))])
 
@@ -208,7 +298,7 @@ def sort_stretches(rows: DataFrame) -> DataFrame:
         of = of[new]
         shift = np.array([g["s"] for g in group])[of] - base[of]
         cols = [np.array([g[c] for g in group])[of] for c in ("doc", "dup")]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(low + shift, pa.int32()), pa.array(high + shift, pa.int32())], ["doc", "dup", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(low + shift, pa.int32()), pa.array(high + shift, pa.int32())], ["doc", "dup", "low", "high"])
 
     def run(batches):
         group, size, at = [], 0, None
@@ -225,72 +315,67 @@ def sort_stretches(rows: DataFrame) -> DataFrame:
         if group and (out := flush(group)) is not None:
             yield out
 
-    return rows.mapInArrow(run, "doc long, dup int, low int, high int")
+    return rows.mapInArrow(run, "doc long, dup long, low int, high int")
 
 
 def stretch_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The stretches of `wanted` with their bytes; those of crowded hashes as single windows keyed by hashes of their content."""
-    asked = wanted.groupBy("doc", "dup").agg(F.collect_list(F.struct("key", "s", "n", "crowded")).alias("asked"))
+    """The stretches wanted(key, doc, dup, s, n) with their bytes, `data`."""
+    asked = wanted.groupBy("doc", "dup").agg(F.collect_list(F.struct("key", "s", "n")).alias("asked"))
     both = docs.join(asked, ["doc", "dup"]).select("doc", "dup", "text", "asked")
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["crowded", "key", "doc", "dup", "s", "n", "data"]
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["key", "doc", "dup", "s", "n", "data"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             for low in range(0, batch.num_rows, STEP):
                 part = batch.slice(low, STEP)
-                rows = [[] for _ in names]
-
-                def put(*values, rows=rows):
-                    for c, v in zip(rows, values, strict=True):
-                        c.append(v)
-
+                rows = []
                 for doc, dup, text, asked in zip(*(part[c].to_pylist() for c in ("doc", "dup", "text", "asked")), strict=True):
                     whole = text.encode("utf-8", "surrogatepass")
-                    hashed = None
-                    for a in asked:
-                        s, n = a["s"], a["n"]
-                        if not a["crowded"]:
-                            put(False, a["key"], doc, dup, s, n, whole[s : s + n + LENGTH - 1])
-                            continue
-                        hashed = hashed or substring_hash(np.frombuffer(whole, np.uint8))
-                        places = np.arange(s, s + n)
-                        one, two = hashed(places, places + LENGTH, 11), np.array([hash_two(whole[p : p + LENGTH]) for p in places], dtype=np.uint64)
-                        for p, x, y in zip(places.tolist(), one.view(np.int64).tolist(), two, strict=True):
-                            put(True, x, doc, dup, p, 1, int(y).to_bytes(8, "little"))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+                    rows += [(a["key"], doc, dup, a["s"], a["n"], whole[a["s"] : a["s"] + a["n"] + LENGTH - 1]) for a in asked]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return both.mapInArrow(run, "crowded boolean, key long, doc long, dup int, s int, n int, data binary")
+    return both.mapInArrow(run, "key long, doc long, dup long, s int, n int, data binary")
 
 
-def hash_two(window: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little")
+def classify(rows: DataFrame) -> DataFrame:
+    """Of FIELDS and more: the stretches to remove whole (later) and those that may share windows with others."""
+    rows = rows.repartition("deal")
+    turn = F.row_number().over(Window.partitionBy("deal", "key", "c1", "c2").orderBy("doc", "dup", "s"))
+    rows = rows.withColumn("later", F.col("later") | (turn > 1))
+    of_key = Window.partitionBy("deal", "key")
+    rows = rows.withColumn("m", F.sum((~F.col("later")).cast("int")).over(of_key)).withColumn("some", F.max("crowd").over(of_key))
+    return rows.where("later or m > 1 or some or again or crowd").drop("deal", "m", "some", "again", "crowd")
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """Stretches to remove whole (later) and stretches to compare (crowded or not): key, doc, dup, s, n, later, crowded."""
-    rows = stretch_rows(docs).repartition("key")
-    turn = F.row_number().over(Window.partitionBy("key", "content").orderBy("doc", "dup", "s"))
-    rows = rows.withColumn("later", turn > 1)
-    of_key = Window.partitionBy("key")
-    rows = rows.withColumn("m", F.sum((~F.col("later")).cast("int")).over(of_key)).withColumn("longest", F.max("n").over(of_key))
-    rows = rows.where("later or m > 1 or again")
-    return rows.select("key", "doc", "dup", "s", "n", "later", ((F.col("m") > GROUP) | (F.col("longest") > LONG)).alias("crowded"))
+def crowded(found: DataFrame) -> DataFrame:
+    """The hashes (k) that hold too many different stretches for one sort."""
+    return materialize(found.where("not later").groupBy(F.col("key").alias("k")).count().where(F.col("count") > GROUP).select("k"))
+
+
+def whole_runs(found: DataFrame) -> DataFrame:
+    return found.where("later").select("doc", "dup", F.col("s").alias("low"), (F.col("s") + F.col("n") + LENGTH - 1).alias("high"))
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
     """doc, dup, low, high: byte runs whose bytes go; they overlap."""
-    found = materialize(classify(docs))
-    pieces = materialize(stretch_bytes(docs, found.where("not later")))
-    few = sort_stretches(pieces.where("not crowded").drop("crowded").repartition("key").sortWithinPartitions("key"))
-    many = pieces.where("crowded")
-    firsts = many.groupBy("key", "data").agg(F.min(F.struct("doc", "dup", "s")).alias("first"), F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("k2"), F.col("data").alias("d2"), "first")
-    gone = many.join(firsts, (F.col("key") == F.col("k2")) & (F.col("data") == F.col("d2"))).where(F.struct("doc", "dup", "s") != F.col("first"))
-    many = gone.select("doc", "dup", F.col("s").alias("low"), (F.col("s") + LENGTH).alias("high"))
-    whole = found.where("later").select("doc", "dup", F.col("s").alias("low"), (F.col("s") + F.col("n") + LENGTH - 1).alias("high"))
-    return whole.unionByName(materialize(few.unionByName(many)))
+    found = materialize(classify(stretch_rows(docs)))
+    runs, sorts, level = whole_runs(found), None, 0
+    pieces = materialize(stretch_bytes(docs, found.where("not later").drop("c1", "c2", "later")))
+    many = crowded(found)
+    while True:
+        more = level + 1 < len(GRAMS) and bool(many.limit(1).count())
+        few = pieces.join(many, pieces.key == many.k, "left_anti") if more else pieces
+        few = few.select("key", "doc", "dup", "s", "n", "data")
+        sorts = few if sorts is None else sorts.unionByName(few)
+        if not more:
+            break
+        level += 1
+        found = materialize(classify(cut_again(pieces.join(many, pieces.key == many.k, "left_semi"), level)))
+        runs, pieces, many = runs.unionByName(whole_runs(found)), found.where("not later"), crowded(found)
+    return runs.unionByName(materialize(sort_stretches(sorts.repartition("key").sortWithinPartitions("key"))))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -300,11 +385,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     doc_id come in the order of a hash of their text. One row per input row.
     """
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    repeats = docs.groupBy("doc").count().where("count > 1").limit(1).count()
-    turn = F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"))) - 1 if repeats else F.lit(0)
-    docs = docs.withColumn("dup", turn.cast("int"))
+    if docs.groupBy("doc").count().where("count > 1").limit(1).count():
+        docs = docs.withColumn("dup", F.xxhash64("text")).groupBy("doc", "dup").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+        docs = materialize(docs)
+    else:
+        docs = docs.withColumn("dup", F.lit(0).cast("long")).withColumn("copies", F.lit(1).cast("long"))
     runs = removed_runs(docs).groupBy("doc", "dup").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    both = docs.join(runs, ["doc", "dup"], "left").select("doc_id", "text", "runs")
+    both = docs.join(runs, ["doc", "dup"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "text", "runs", "copy")
 
     def run(batches):
         import pyarrow as pa
@@ -314,8 +401,10 @@ def dedup(docs: DataFrame) -> DataFrame:
             for low in range(0, batch.num_rows, STEP):
                 part = batch.slice(low, STEP)
                 sizes, spans, kept = [], [], []
-                for text, runs_ in zip(part["text"].to_pylist(), part["runs"].to_pylist(), strict=True):
+                for text, runs_, copy in zip(part["text"].to_pylist(), part["runs"].to_pylist(), part["copy"].to_pylist(), strict=True):
                     whole = text.encode("utf-8", "surrogatepass")
+                    if copy > 1:  # all its windows stand in the row before
+                        runs_ = [{"low": 0, "high": len(whole)}] if len(whole) >= LENGTH else []
                     merged: list[list[int]] = []
                     for a, b in sorted((r["low"], r["high"]) for r in runs_ or ()):
                         if merged and a <= merged[-1][1]:
