@@ -1,22 +1,25 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-The n-grams (columns) are hashed into blocks. Two sets with a Jaccard similarity of at least 0.9 differ in at
-most H n-grams, H following from their sizes, so of H + 1 blocks at least one is equal in both. The block
-count depends on a size class; a set uses the scheme of its own class and of the next one, so that any two sets whose sizes
-can link meet in a scheme. Rows that share an equal block are the only non-zero entries of the product.
-
-For these, overlap is accumulated in steps, and a pair is discarded as soon as the bound derived from its
-sizes can't be met: first over a sketch of 8 H finer blocks of one byte each (unequal blocks are differences),
-then over the n-grams themselves. Pairs are never expanded inside a group: sets that are equal
-are one class from the start; each bucket is first compared with one pivot, the links found are joined into
-components, and only sets of different components in a bucket are compared after that, in blocks inside a
+Rows of the incidence matrix are distinct sets (copies collapse before anything is shuffled), columns are n-grams, hashed
+into blocks. Two sets that link differ in at most H n-grams, H following from their sizes, so of H + 1 + 2 e blocks at
+least 1 + 2 e are equal in both. A set leaves out its e smallest blocks, which say least; one equal block stays
+common to both, and only rows that share one are multiplied. The block count depends on a size class; a set
+uses the scheme of its own class and of the next one, so that any two sets whose sizes can link meet in a scheme.
+
+For these pairs the blocks of a sketch (a byte each) are counted first: more unequal ones than H, and the pair is
+discarded. The overlap of the others is accumulated exactly, column block by column block, and a pair is discarded
+as soon as what is left can't lift it to the bound derived from its sizes. Pairs are never expanded inside a group: sets
+that are equal are one row from the start; each bucket is first compared with one pivot, the links found are joined
+into components, and only sets of different components in a bucket are compared after that, in blocks inside a
 task, which return no more than the pairs that meet the bound.
+
+N-grams are 64-bit hashes; a set is told from others by 128 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import materialize, table
@@ -24,12 +27,16 @@ from flowloom.operators.graph import components
 
 #: Words of a shingle, and the similarity in hundredths.
 WORDS, PERCENT = 3, 90
-#: Finer blocks of the sketch in each block.
-FINE = 8
+#: One block in so many is spare: a set leaves out as many of its smallest blocks.
+SPARE = 8
+#: Column blocks in which an overlap is accumulated.
+COLUMNS = 8
 #: Members of a bucket that are compared in one task as one block, about.
 BLOCK = 512
 #: Members above which a bucket leaves a pair to the least of the crowded buckets that the two share.
 CROWDED = 64
+#: Sets that a task remembers, so as to cut equal ones into blocks once.
+SEEN = 1 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -92,35 +99,50 @@ class Schemes:
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.edges, size, side="right")) - 1
 
-    def blocks(self, k: int) -> int:
+    def most(self, k: int) -> int:
+        """N-grams in which two linked sets of scheme k differ at most; 0: only equal sets link."""
         top = 2 * (self.edge[k + 1] - 1)
-        return 1 + max(most_apart(s, self.percent) for s in range(max(2, top - 4), top + 1))
+        return max(most_apart(s, self.percent) for s in range(max(2, top - 4), top + 1))
+
+    def spare(self, k: int) -> int:
+        return self.most(k) // SPARE
+
+    def blocks(self, k: int) -> int:
+        return 1 + self.most(k) + 2 * self.spare(k)
 
 
 def block_signatures(grams: np.ndarray, k: int, schemes: Schemes) -> tuple[np.ndarray, bytes]:
-    """For scheme k: a 64-bit signature of every block, and the sketch of the finer blocks."""
+    """For scheme k: a 64-bit signature of every block but the smallest ones, and a byte of each block."""
     n = schemes.blocks(k)
-    at = (mix(grams, 0xA5A5) >> np.uint64(33)).astype(np.int64)
+    at = ((mix(grams, 0xA5A5) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
     sums = np.zeros(n, dtype=np.uint64)
-    np.add.at(sums, at % n, mix(grams, 0x51ED))
+    np.add.at(sums, at, mix(grams, 0x51ED))
     keys = mix(sums ^ mix(np.arange(n, dtype=np.uint64) + np.uint64(k << 32), 0x77))
-    fine = np.zeros(FINE * n, dtype=np.uint64)
-    np.add.at(fine, at % (FINE * n), mix(grams, 0xBEEF))
-    return keys, (fine >> np.uint64(56)).astype(np.uint8).tobytes()
+    kept = np.sort(np.argsort(np.bincount(at, minlength=n), kind="stable")[schemes.spare(k) :])
+    return keys[kept], (keys >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def text_hash():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def set_hash(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set as two signed longs."""
+    both = mix(np.array([mix(grams, salt).sum(dtype=np.uint64) for salt in (0x1234, 0x8765)], dtype=np.uint64), len(grams))
+    return tuple(both.view(np.int64).tolist())
+
+
 def digest(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, h (hash of the text), n, node (hash of the set, null without words), schemes: array of struct(own, keys, sketch)."""
-    schema = "doc_id long, h long, n long, node long, schemes array<struct<own:boolean,keys:array<long>,sketch:binary>>"
+    """doc_id, h (hash of the text), n, node, node2 (hash of the set, null without words), schemes: array of struct(own, keys, sketch).
+
+    schemes is empty where the task has had an equal set before.
+    """
+    schema = "doc_id long, h long, n long, node long, node2 long, schemes array<struct<own:boolean,keys:array<long>,sketch:binary>>"
 
     def run(batches):
         import pyarrow as pa
 
-        schemes = Schemes(percent)
+        schemes, seen = Schemes(percent), set()
         kind = pa.list_(pa.struct([("own", pa.bool_()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())]))
         for batch in batches:
             for low in range(0, batch.num_rows, STEP):
@@ -129,19 +151,21 @@ def digest(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
                 for text in part["text"].to_pylist():
                     grams = shingles(text, words)
                     sizes.append(len(grams))
-                    if not len(grams):
-                        nodes.append(None)
-                        all_schemes.append([])
-                        continue
-                    whole = int(mix(np.array([mix(grams, 0x1234).sum(dtype=np.uint64)]), len(grams))[0])
-                    nodes.append(whole - (1 << 64) if whole >> 63 else whole)
-                    k, rows = schemes.of(len(grams)), []
-                    for j in (k, k + 1):
-                        if schemes.blocks(j) > 1:  # else only equal sets can link
-                            keys, sketch = block_signatures(grams, j, schemes)
-                            rows.append({"own": j == k, "keys": keys.view(np.int64), "sketch": sketch})
+                    node, rows = (None, None), []
+                    if len(grams):
+                        node = set_hash(grams)
+                        if node not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add(node)
+                            k = schemes.of(len(grams))
+                            for j in (k, k + 1):
+                                if schemes.most(j):
+                                    keys, sketch = block_signatures(grams, j, schemes)
+                                    rows.append({"own": j == k, "keys": keys.view(np.int64), "sketch": sketch})
+                    nodes.append(node)
                     all_schemes.append(rows)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(all_schemes, kind)], ["doc_id", "h", "n", "node", "schemes"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h"], pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in nodes], pa.int64()) for i in (0, 1)), pa.array(all_schemes, kind)], ["doc_id", "h", "n", "node", "node2", "schemes"])
 
     return docs.select("doc_id", "text", text_hash().alias("h")).mapInArrow(run, schema)
 
@@ -151,17 +175,16 @@ def apart(a: bytes, b: bytes) -> int:
 
 
 def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's member and its pivot that the sketch leaves possible. rows: node, n, sketch, pivot (struct)."""
+    """Pairs (a, b) that the sketch leaves possible. rows: a, b, n, sketch, n2, sketch2."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            node, n, sketch, pivot = (batch[c].to_pylist() for c in ("node", "n", "sketch", "pivot"))
-            kept = {(min(x, p["node"]), max(x, p["node"])) for x, m, s, p in zip(node, n, sketch, pivot, strict=True) if x != p["node"] and apart(s, p["sketch"]) <= most_apart(m + p["n"], percent)}
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
+            kept = [(min(a, b), max(a, b)) for a, b, n, s, m, t in zip(*(batch[c].to_pylist() for c in ("a", "b", "n", "sketch", "n2", "sketch2")), strict=True) if apart(s, t) <= most_apart(n + m, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.select("node", "n", "sketch", "pivot").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("a", "b", "n", "sketch", "n2", "sketch2").mapInArrow(run, "a long, b long").distinct()
 
 
 def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -222,33 +245,53 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def overlaps(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose n-grams overlap enough; nodes(node, doc) names a document of each set."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = ends.join(nodes, "node").select("doc", F.col("node").alias("wanted"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), "text").join(needed, "doc")
+def incidence(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """nodes(node, rep) -> node, n, columns: the rows of the matrix as COLUMNS arrays of n-gram hashes. rep names a document of the set."""
+    rep = nodes.select(F.col("node").alias("wanted"), F.col("rep.h").alias("h"), F.col("rep.no_id").alias("no_id"), F.col("rep.id").alias("id"))
+    given = docs.select(text_hash().alias("h"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "text")
+    texts = given.join(rep, ["h", "no_id", "id"]).select("text", "wanted")
 
     def run(batches):
         import pyarrow as pa
 
+        edges = np.arange(1, COLUMNS, dtype=np.uint64) << np.uint64(64 - COLUMNS.bit_length() + 1)
+        kind = pa.list_(pa.list_(pa.int64()))
         for batch in batches:
             for low in range(0, batch.num_rows, STEP):
                 part = batch.slice(low, STEP)
-                node, sets = [], []
+                node, sizes, sets, had = [], [], [], set()
                 for text, wanted in zip(part["text"].to_pylist(), part["wanted"].to_pylist(), strict=True):
-                    grams = shingles(text, words)
-                    if not len(grams):
+                    if wanted in had:  # repeated rows
                         continue
-                    whole = int(mix(np.array([mix(grams, 0x1234).sum(dtype=np.uint64)]), len(grams))[0])
-                    if whole == wanted % (1 << 64):  # a repeated doc_id may have another text
-                        node.append(wanted)
-                        sets.append(grams.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+                    had.add(wanted)
+                    grams = shingles(text, words)
+                    node.append(wanted)
+                    sizes.append(len(grams))
+                    sets.append(np.split(grams.view(np.int64), np.searchsorted(grams, edges)))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, kind)], ["node", "n", "columns"])
+
+    return texts.mapInArrow(run, "node long, n long, columns array<array<long>>").dropDuplicates(["node"])
+
+
+def overlap(x: Column, y: Column, n: Column, m: Column, least: Column) -> Column:
+    """Overlap of two sets of n and m n-grams, accumulated over their column blocks; no longer once it can't reach `least`."""
+    long = lambda c: F.size(c).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("o"), n.alias("x"), m.alias("y"))
 
-    sets = materialize(texts.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    both = both.withColumn("o", F.size(F.array_intersect("x", "y")))
-    return both.where(100 * F.col("o") >= percent * (F.size("x") + F.size("y") - F.col("o"))).select("a", "b")
+    def step(a, z):
+        more = F.struct((a["o"] + long(F.array_intersect(z["x"], z["y"]))).alias("o"), (a["x"] - long(z["x"])).alias("x"), (a["y"] - long(z["y"])).alias("y"))
+        return F.when(a["o"] + F.least(a["x"], a["y"]) < least, a).otherwise(more)
+
+    return F.aggregate(F.arrays_zip(x.alias("x"), y.alias("y")), start, step, lambda a: a["o"])
+
+
+def overlaps(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs (a, b) whose n-grams overlap enough; nodes(node, rep) names a document of each set."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(incidence(nodes.join(ends, "node"), docs, words))
+    both = pairs.join(sets.toDF("a", "n", "x"), "a").join(sets.toDF("b", "m", "y"), "b")
+    least = F.ceil((F.col("n") + F.col("m")) * percent / F.lit(100 + percent))
+    return both.where(overlap(F.col("x"), F.col("y"), F.col("n"), F.col("m"), least) >= least).select("a", "b")
 
 
 def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -257,35 +300,42 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     h is text_hash() of the row; component tells components apart even where ids repeat or are null, and is null
     without words. Texts without words have no shingles and are components of their own. One row per input row; rows
     with one doc_id and different texts are documents of their own. A null doc_id has a null component_id only if no
-    other id is in its component.
+    other id is in its component. Other columns are ignored; an empty table gives no rows. Very long texts are one row
+    of a task each, with a few bytes for each word.
     """
     docs = docs.select("doc_id", "text")
     whole = materialize(digest(docs, percent, words))
-    nodes = materialize(whole.where("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc"), F.min("doc_id").alias("least")))
+    names = whole.where("node is not null").groupBy("node")
+    rep = F.min(F.struct("h", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")))
+    clashes = [r["node"] for r in names.agg(F.min("node2").alias("x"), F.max("node2").alias("y")).where("x < y").collect()]
+    if clashes:  # different sets with the same first 64 bits: n * n / 2**65 of n are expected
+        whole = whole.withColumn("node", F.when(F.col("node").isin(clashes), F.xxhash64("node", "node2")).otherwise(F.col("node")))
+    nodes = materialize(whole.where("node is not null").groupBy("node").agg(rep.alias("rep"), F.min("doc_id").alias("least")))
     flat = whole.where("node is not null").select("node", "n", F.explode("schemes").alias("s")).select("node", "n", "s.own", "s.keys", "s.sketch")
     entry = flat.select("node", "own", F.explode("keys").alias("key"))
     of_key = Window.partitionBy("key")
     # A bucket counts if it holds two different sets, one of them in its own size class; copies of a set are one member.
     mixed = (F.min("node").over(of_key) < F.max("node").over(of_key)) & F.max("own").over(of_key)
-    shared = entry.withColumn("mixed", mixed).where("mixed").select("key", "node", "own").dropDuplicates().withColumn("m", F.count("*").over(of_key))
+    shared = entry.withColumn("mixed", mixed).where("mixed").select("key", "node", "own").dropDuplicates()
+    shared = materialize(shared.withColumn("m", F.count("*").over(of_key)).withColumn("pivot", F.min(F.when(F.col("own"), F.col("node"))).over(of_key)))
     sketches = flat.select("node", "own", "n", "sketch").dropDuplicates(["node", "own"])
-    buckets = materialize(shared.join(sketches, ["node", "own"]))
-    pivot = F.min_by(F.struct("node", "n", "sketch"), F.struct((~F.col("own")).alias("x"), F.col("node").alias("y"))).over(of_key)
-    first = overlaps(materialize(pivot_pairs(buckets.withColumn("pivot", pivot), percent)), nodes.select("node", "doc"), docs, percent, words)
-    first = materialize(first)
+    tried = shared.where("node != pivot").select(F.col("node").alias("a"), "own", F.col("pivot").alias("b")).distinct()
+    of_pivot = sketches.where("own").select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    tried = tried.join(sketches.withColumnRenamed("node", "a"), ["a", "own"]).join(of_pivot, "b")
+    first = materialize(overlaps(materialize(pivot_pairs(tried, percent)), nodes.select("node", "rep"), docs, percent, words))
     label = components(first).toDF("node", "label")
-    members = buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = shared.drop("pivot").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = members.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key)).where("low < high").drop("low", "high")
     open_ = materialize(open_)
     crowd = open_.where(F.col("m") > CROWDED).groupBy("node").agg(F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own_keys"), F.collect_set(F.when(~F.col("own"), F.col("key"))).alias("other_keys"))
     crowd = crowd.withColumnRenamed("node", "in_crowd")
-    open_ = open_.join(crowd, (F.col("node") == F.col("in_crowd")) & (F.col("m") > CROWDED), "left").drop("in_crowd")
+    open_ = open_.join(sketches, ["node", "own"]).join(crowd, (F.col("node") == F.col("in_crowd")) & (F.col("m") > CROWDED), "left").drop("in_crowd")
     parts = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     dealt = open_.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("key", F.least("part", "with").alias("first"), F.greatest("part", "with").alias("second"), "part", "own", "node", "n", "label", "sketch", "own_keys", "other_keys")
     sorted_ = dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
-    second = overlaps(materialize(cross_pairs(sorted_, percent)), nodes.select("node", "doc"), docs, percent, words)
+    second = overlaps(materialize(cross_pairs(sorted_, percent)), nodes.select("node", "rep"), docs, percent, words)
     ends = components(materialize(first.union(second))).toDF("node", "label")
     placed = nodes.select("node", "least").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.groupBy("label").agg(F.min("least").alias("component_id"))
