@@ -8,11 +8,11 @@ to their first, all later ones are removed whole. What is left, different stretc
 suffixes smaller than their successors directly, the others induced by bucket scans; the windows between adjacent common
 prefixes of 100 bytes are equal, and all but the first of them are removed.
 
-A hash that holds more than GROUP different stretches (the borders of a passage that very many documents share) is
+A hash whose different stretches exceed GROUP_BYTES (the borders of a passage that very many documents share) is
 not one task's work: its stretches are cut again by the least of their 64-byte grams, then by 96 and at last by 100
 bytes, and collapse at each level, so that what lies inside the passage is gone before a single window is a
 row. Every level sends what is no longer crowded to the same suffix sort; at the last one stretches are equal or
-have nothing in common. All levels give the same result, so GROUP only says where work is done.
+have nothing in common. All levels give the same result, so GROUP_BYTES only says where work is done.
 
 Hot stretches: a task collapses the copies among the texts it has read (CHUNK_BYTES at a time) before anything is
 shuffled, deals the copies anywhere, and all but one of the different stretches of a hash by their content.
@@ -32,8 +32,8 @@ from flowloom.llm.jaccard import BASE, mix
 LENGTH = 100
 #: Bytes of a gram at each level of cutting; at the last a gram is a window.
 GRAMS = (32, 64, 96, LENGTH)
-#: Different stretches of a hash that one sort takes at most, before they are cut again.
-GROUP = 256
+#: Bytes of different stretches of a hash that one sort takes at most, before they are cut again.
+GROUP_BYTES = 1 << 20
 #: Bytes that are sorted at once, about, and that a task collapses at once.
 FLUSH, CHUNK_BYTES = 1 << 20, 8 << 20
 STEP = 128
@@ -352,7 +352,7 @@ def classify(rows: DataFrame) -> DataFrame:
 
 def crowded(found: DataFrame) -> DataFrame:
     """The hashes (k) that hold too many different stretches for one sort."""
-    return materialize(found.where("not later").groupBy(F.col("key").alias("k")).count().where(F.col("count") > GROUP).select("k"))
+    return materialize(found.where("not later").groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m"), F.sum(F.col("n") + LENGTH - 1).alias("size")).where((F.col("m") > 1) & (F.col("size") > GROUP_BYTES)).select("k"))
 
 
 def whole_runs(found: DataFrame) -> DataFrame:

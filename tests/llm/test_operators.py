@@ -187,17 +187,19 @@ def test_suffix_dedup(spark, docs, rows, nothing):
                 assert a[:n] == b[:n] and (n == 100 or a[n] != b[n])
 
 
-def test_suffix_dedup_of_crowded_hashes_and_periods(spark):
-    """A passage in over 256 surroundings, which is cut again by longer grams, and periods of 10,000 bytes and more."""
+def test_suffix_dedup_of_crowded_hashes_and_periods(spark, monkeypatch):
+    """A passage in 600 surroundings, cut again by longer grams or sorted at once, and periods of 10,000 bytes and more."""
     rng = random.Random(6)
     some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     passage, period = some("abcdefgh ij", 260), some("ABCDEFGH", 37)
     held = [some("klmno p", rng.choice([10, 120])) + passage[rng.choice([0, 0, 7]) :] + some("qrstuv", 90) for _ in range(600)]
     held += [period * 300, "".join(f"2024-01-01 INFO request served in the usual way id={i % 17} ok\n" for i in range(200)), "b" * 9000 + passage + "b" * 5000, "a" * 777]
     df = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string").repartition(5)
+    whole = {r["doc_id"]: bytes(r["kept"]) for r in suffixes.dedup(df).collect()}
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", 1 << 14)
     assert suffixes.crowded(suffixes.classify(suffixes.stretch_rows(df.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("dup"), "text")))).count() > 0
     got = {r["doc_id"]: bytes(r["kept"]) for r in suffixes.dedup(df).collect()}
-    assert [got[i] for i in range(len(held))] == brute_removed(held)
+    assert [got[i] for i in range(len(held))] == brute_removed(held) and whole == got
     odd = [(1, passage), (1, passage), (1, held[0]), (None, passage), (None, passage), (2, None)]
     kept = Counter((r["doc_id"], len(r["kept"])) for r in suffixes.dedup(spark.createDataFrame(odd, "doc_id long, text string")).collect())
     assert kept[(None, 260)] == kept[(None, 0)] == 1 and kept[(1, 0)] == 2 and kept[(2, 0)] == 1 and sum(kept.values()) == 6
