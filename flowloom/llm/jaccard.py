@@ -6,7 +6,7 @@ least 1 + 2 e are equal in both. A set leaves out its e smallest blocks, which s
 common to both, and only rows that share one are multiplied. The block count depends on a size class; a set
 uses the scheme of its own class and of the next one, so that any two sets whose sizes can link meet in a scheme.
 
-For these pairs the blocks of a sketch (a byte each) are counted first: more unequal ones than H, and the pair is
+For these pairs the blocks of a sketch (finer ones, a byte each) are counted first: more unequal ones than H, and the pair is
 discarded. The overlap of the others is accumulated exactly, column block by column block, and a pair is discarded
 as soon as what is left can't lift it to the bound derived from its sizes. Pairs are never expanded inside a group: sets
 that are equal are one row from the start; each bucket is first compared with one pivot, the links found are joined
@@ -29,6 +29,8 @@ from flowloom.operators.graph import components
 WORDS, PERCENT = 3, 90
 #: One block in so many is spare: a set leaves out as many of its smallest blocks.
 SPARE = 8
+#: Blocks of the sketch for each block of the own scheme, at least; their number is a power of two, so that sketches fold to one length.
+FINE = 6
 #: Column blocks in which an overlap is accumulated.
 COLUMNS = 8
 #: Members of a bucket that are compared in one task as one block, about.
@@ -111,15 +113,29 @@ class Schemes:
         return 1 + self.most(k) + 2 * self.spare(k)
 
 
-def block_signatures(grams: np.ndarray, k: int, schemes: Schemes) -> tuple[np.ndarray, bytes]:
-    """For scheme k: a 64-bit signature of every block but the smallest ones, and a byte of each block."""
+def block_signatures(grams: np.ndarray, k: int, schemes: Schemes) -> np.ndarray:
+    """For scheme k: a 64-bit signature of every block but the smallest ones."""
     n = schemes.blocks(k)
     at = ((mix(grams, 0xA5A5) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
     sums = np.zeros(n, dtype=np.uint64)
     np.add.at(sums, at, mix(grams, 0x51ED))
     keys = mix(sums ^ mix(np.arange(n, dtype=np.uint64) + np.uint64(k << 32), 0x77))
     kept = np.sort(np.argsort(np.bincount(at, minlength=n), kind="stable")[schemes.spare(k) :])
-    return keys[kept], (keys >> np.uint64(56)).astype(np.uint8).tobytes()
+    return keys[kept]
+
+
+def sketch(grams: np.ndarray, blocks: int) -> bytes:
+    """A byte for each of the finer blocks; sets that differ in d n-grams differ in d bytes at most, folded or not."""
+    n = 1 << (FINE * blocks - 1).bit_length()
+    sums = np.bincount((mix(grams, 0x3C3C) & np.uint64(n - 1)).astype(np.int64), (mix(grams, 0xBEEF) >> np.uint64(56)).astype(float), n)
+    return sums.astype(np.int64).astype(np.uint8).tobytes()
+
+
+def folded(a: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(a, np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] + out[len(out) // 2 :]
+    return out
 
 
 def text_hash():
@@ -133,25 +149,25 @@ def set_hash(grams: np.ndarray) -> tuple[int, int]:
 
 
 def digest(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, h (hash of the text), n, node, node2 (hash of the set, null without words), schemes: array of struct(own, keys, sketch).
+    """doc_id, h (hash of the text), n, node, node2 (hash of the set, null without words), sketch, schemes: array of struct(own, keys).
 
-    schemes is empty where the task has had an equal set before.
+    sketch is null and schemes empty where the task has had an equal set before.
     """
-    schema = "doc_id long, h long, n long, node long, node2 long, schemes array<struct<own:boolean,keys:array<long>,sketch:binary>>"
+    schema = "doc_id long, h long, n long, node long, node2 long, sketch binary, schemes array<struct<own:boolean,keys:array<long>>>"
 
     def run(batches):
         import pyarrow as pa
 
         schemes, seen = Schemes(percent), set()
-        kind = pa.list_(pa.struct([("own", pa.bool_()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())]))
+        kind = pa.list_(pa.struct([("own", pa.bool_()), ("keys", pa.list_(pa.int64()))]))
         for batch in batches:
             for low in range(0, batch.num_rows, STEP):
                 part = batch.slice(low, STEP)
-                sizes, nodes, all_schemes = [], [], []
+                sizes, nodes, all_schemes, sketches = [], [], [], []
                 for text in part["text"].to_pylist():
                     grams = shingles(text, words)
                     sizes.append(len(grams))
-                    node, rows = (None, None), []
+                    node, rows, fine = (None, None), [], None
                     if len(grams):
                         node = set_hash(grams)
                         if node not in seen:
@@ -161,17 +177,19 @@ def digest(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
                             k = schemes.of(len(grams))
                             for j in (k, k + 1):
                                 if schemes.most(j):
-                                    keys, sketch = block_signatures(grams, j, schemes)
-                                    rows.append({"own": j == k, "keys": keys.view(np.int64), "sketch": sketch})
+                                    rows.append({"own": j == k, "keys": block_signatures(grams, j, schemes).view(np.int64)})
+                            fine = sketch(grams, schemes.blocks(k))
                     nodes.append(node)
                     all_schemes.append(rows)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h"], pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in nodes], pa.int64()) for i in (0, 1)), pa.array(all_schemes, kind)], ["doc_id", "h", "n", "node", "node2", "schemes"])
+                    sketches.append(fine)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h"], pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in nodes], pa.int64()) for i in (0, 1)), pa.array(sketches, pa.binary()), pa.array(all_schemes, kind)], ["doc_id", "h", "n", "node", "node2", "sketch", "schemes"])
 
     return docs.select("doc_id", "text", text_hash().alias("h")).mapInArrow(run, schema)
 
 
 def apart(a: bytes, b: bytes) -> int:
-    return int((np.frombuffer(a, np.uint8) != np.frombuffer(b, np.uint8)).sum())
+    size = min(len(a), len(b))
+    return int((folded(a, size) != folded(b, size)).sum())
 
 
 def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -199,7 +217,8 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         size = np.array([g["n"] for g in group])
         label, part, own = (np.array([g[c] for g in group]) for c in ("label", "part", "own"))
         first, second = group[0]["first"], group[0]["second"]
-        sketch = np.frombuffer(b"".join(g["sketch"] for g in group), np.uint8).reshape(len(group), -1)
+        length = min(len(g["sketch"]) for g in group)
+        sketch = np.stack([folded(g["sketch"], length) for g in group])
         crowds = [(set(g["own_keys"]), set(g["other_keys"])) if g["own_keys"] is not None else None for g in group]
 
         def elsewhere(i, j):
@@ -311,17 +330,17 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     if clashes:  # different sets with the same first 64 bits: n * n / 2**65 of n are expected
         whole = whole.withColumn("node", F.when(F.col("node").isin(clashes), F.xxhash64("node", "node2")).otherwise(F.col("node")))
     nodes = materialize(whole.where("node is not null").groupBy("node").agg(rep.alias("rep"), F.min("doc_id").alias("least")))
-    flat = whole.where("node is not null").select("node", "n", F.explode("schemes").alias("s")).select("node", "n", "s.own", "s.keys", "s.sketch")
-    entry = flat.select("node", "own", F.explode("keys").alias("key"))
+    flat = whole.where("node is not null").select("node", F.explode("schemes").alias("s"))
+    entry = flat.select("node", "s.own", F.explode("s.keys").alias("key"))
     of_key = Window.partitionBy("key")
     # A bucket counts if it holds two different sets, one of them in its own size class; copies of a set are one member.
     mixed = (F.min("node").over(of_key) < F.max("node").over(of_key)) & F.max("own").over(of_key)
     shared = entry.withColumn("mixed", mixed).where("mixed").select("key", "node", "own").dropDuplicates()
     shared = materialize(shared.withColumn("m", F.count("*").over(of_key)).withColumn("pivot", F.min(F.when(F.col("own"), F.col("node"))).over(of_key)))
-    sketches = flat.select("node", "own", "n", "sketch").dropDuplicates(["node", "own"])
-    tried = shared.where("node != pivot").select(F.col("node").alias("a"), "own", F.col("pivot").alias("b")).distinct()
-    of_pivot = sketches.where("own").select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
-    tried = tried.join(sketches.withColumnRenamed("node", "a"), ["a", "own"]).join(of_pivot, "b")
+    met = shared.select("node").distinct()
+    sketches = materialize(whole.where("sketch is not null").select("node", "n", "sketch").join(met, "node").dropDuplicates(["node"]))
+    tried = shared.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    tried = tried.join(sketches.withColumnRenamed("node", "a"), "a").join(sketches.toDF("b", "n2", "sketch2"), "b")
     first = materialize(overlaps(materialize(pivot_pairs(tried, percent)), nodes.select("node", "rep"), docs, percent, words))
     label = components(first).toDF("node", "label")
     members = shared.drop("pivot").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -329,7 +348,7 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     open_ = materialize(open_)
     crowd = open_.where(F.col("m") > CROWDED).groupBy("node").agg(F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own_keys"), F.collect_set(F.when(~F.col("own"), F.col("key"))).alias("other_keys"))
     crowd = crowd.withColumnRenamed("node", "in_crowd")
-    open_ = open_.join(sketches, ["node", "own"]).join(crowd, (F.col("node") == F.col("in_crowd")) & (F.col("m") > CROWDED), "left").drop("in_crowd")
+    open_ = open_.join(sketches, "node").join(crowd, (F.col("node") == F.col("in_crowd")) & (F.col("m") > CROWDED), "left").drop("in_crowd")
     parts = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     dealt = open_.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
