@@ -1,18 +1,19 @@
 """LM scoring: a class-based bigram model whose classes come from exchange clustering.
 
-P(word | previous) = P(class | previous class) * P(word | class). The exchange works on types: the HEAD most
-frequent training words are types of their own, every other word starts with the type of its ending, so all
-words and all bigrams of the training texts take part and the exchange stays bounded (TYPES squared counts
-on the driver). Then every other training word moves, in a distributed step, to the class that its own
-bigrams with the classes of the fixed table favour; only words without training counts keep the class of their
-ending. The class bigrams are counted again after that. Word counts are never cut and stay distributed: documents are dealt to blocks of about
-BLOCK_BYTES, each block's distinct words fetch their counts with one join, and a block is scored with
-just its own dictionary.
+P(word | previous) = P(class | previous class) * P(word | class). All training words take part in the exchange, in two parts.
+The HEAD most frequent words move one at a time, each to the class that raises the likelihood most; every other word
+stands meanwhile in a bucket of its ending, whose bigrams count as well, so this part is bounded (TYPES squared counts on the
+driver). Then every other training word moves, in a distributed step, to the class that its own bigrams with the
+classes of the fixed table favour; only words without training counts keep the class of their ending. The class
+bigrams are counted again after that. Word counts are never cut and stay distributed.
+
+Texts are tokenised once: each task puts its documents into blocks of about BLOCK_BYTES, a row with the block's distinct
+words and its texts as places in them. Counts, contexts and scores are array work on those rows; only the words of
+each block are shuffled, one row for a word and block however often it stands there.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -24,31 +25,34 @@ from flowloom.llm.common import materialize, table
 HEAD, ENDINGS, CLASSES, SWEEPS = 512, 256, 48, 8
 END = HEAD + ENDINGS
 TYPES = END + 1
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 #: Taken from the count of every seen word, in favour of unseen ones; weight of the class frequencies in a transition.
 DISCOUNT, PRIOR = 0.5, 20.0
 FOLDS, HELD_OUT = 7, 2
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+BLOCK = "block long, words array<binary>, ending array<short>, c array<long>, doc_ids array<long>, train array<boolean>, sizes array<int>, ids array<int>"
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-class Types(dict):
-    """word -> type, remembered up to a bound."""
+def ending(word: bytes) -> int:
+    """Bucket of a word's last two characters."""
+    return zlib.crc32(word.decode("utf-8", "replace")[-2:].encode("utf-8", "replace")) % ENDINGS
 
-    def __init__(self, head: list[bytes]):
+
+class Places(dict):
+    """word -> its place in the block; `words` lists them. Place 0 is the text's end."""
+
+    def __init__(self):
         super().__init__()
-        self.head = {w: i for i, w in enumerate(head)}
+        self.words = [b""]
 
     def __missing__(self, word: bytes) -> int:
-        if (found := self.head.get(word)) is None:
-            found = HEAD + zlib.crc32(word.decode("utf-8", "replace")[-2:].encode("utf-8", "replace")) % ENDINGS
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = found
-        return found
+        self[word] = n = len(self.words)
+        self.words.append(word)
+        return n
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -97,98 +101,115 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """blocks(block, train, doc_id, text) -> block, word, c: each block's distinct words and their training counts in it."""
+def encode(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, train, text) -> BLOCK rows: distinct words with their endings and training counts, and the texts as places in
+    them, each closed by place 0. A block holds whole texts; one very long text is a block of its own."""
 
-    def run(part):
+    def run(batches):
         import pyarrow as pa
-        from collections import Counter
+        from pyspark import TaskContext
+
+        task, seq = TaskContext.get().partitionId(), 0
+        places, ids, doc_ids, train, held = Places(), [], [], [], 0
+
+        def out():
+            sizes = np.array([len(x) for x in ids], dtype=np.int32)
+            flat = np.concatenate(ids)
+            c = np.bincount(flat[np.repeat(np.array(train, dtype=bool), sizes)], minlength=len(places.words))
+            values = [(task << 32) + seq], [places.words], [[ending(w) for w in places.words]], [c], [doc_ids], [train], [sizes], [flat]
+            kinds = pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                for d, t, text in zip(part["doc_id"].to_pylist(), part["train"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    found = tokens(text)
+                    one = np.zeros(len(found) + 1, dtype=np.int32)
+                    one[:-1] = np.fromiter(map(places.__getitem__, found), np.int32, len(found))
+                    ids.append(one)
+                    doc_ids.append(d)
+                    train.append(t)
+                    held += len(text or "")
+                    if held >= BLOCK_BYTES:
+                        yield out()
+                        places, ids, doc_ids, train, held, seq = Places(), [], [], [], 0, seq + 1
+        if ids:
+            yield out()
+
+    return docs.select("doc_id", "train", "text").mapInArrow(run, BLOCK)
+
+
+def array_of(part, name: str) -> np.ndarray:
+    """The one array in a column of a one-row batch."""
+    return part[name].flatten().to_numpy(zero_copy_only=False)
+
+
+def training_places(part) -> np.ndarray:
+    """Places of all training texts of a block, one text after another, with an end before the first."""
+    kept = np.repeat(array_of(part, "train").astype(bool), array_of(part, "sizes"))
+    return np.concatenate(([0], array_of(part, "ids")[kept])).astype(np.int64)
+
 
-        block = part["block"][0].as_py()
-        seen, known = Counter(), Counter()
-        for chunk in part.to_batches(max_chunksize=256):
-            for text, train in zip(chunk["text"].to_pylist(), chunk["train"].to_pylist(), strict=True):
-                (known if train else seen).update(tokens(text))
-        words = [*known, *(w for w in seen if w not in known)]
-        return pa.table({"block": pa.array([block] * len(words), pa.int32()), "word": pa.array(words, pa.binary()), "c": pa.array([known.get(w, 0) for w in words], pa.int64())})
+def types_of(part, head: list[bytes]) -> np.ndarray:
+    """Type of each word of a block: its place in the head, or HEAD and the bucket of its ending; END for the text's end."""
+    types = HEAD + array_of(part, "ending").astype(np.int64)
+    at = {w: i for i, w in enumerate(head)}
+    for i, w in enumerate(part["words"].flatten().to_pylist()):
+        if (found := at.get(w)) is not None:
+            types[i] = found
+    types[0] = END
+    return types
 
-    return blocks.groupBy("block").applyInArrow(run, "block int, word binary, c long")
 
+def rows_of(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1)
 
-def type_bigrams(docs: DataFrame, head: list[bytes]) -> np.ndarray:
+
+def type_bigrams(blocks: DataFrame, head: list[bytes]) -> np.ndarray:
     """Counts of neighbouring types over all training texts, each text between two ends."""
 
     def run(batches):
         import pyarrow as pa
 
-        types = Types(head)
         counts = np.zeros(TYPES * TYPES, dtype=np.int64)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                run_ = [END]
-                for text in batch["text"].slice(low, 256).to_pylist():
-                    run_ += map(types.__getitem__, tokens(text))
-                    run_.append(END)
-                ids = np.array(run_)
-                counts += np.bincount(ids[:-1] * TYPES + ids[1:], minlength=TYPES * TYPES)
+        for part in rows_of(batches):
+            ids = types_of(part, head)[training_places(part)]
+            counts += np.bincount(ids[:-1] * TYPES + ids[1:], minlength=TYPES * TYPES)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["at", "c"])
 
-    found = docs.select("text").mapInArrow(run, "at int, c long").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
+    found = blocks.select("words", "ending", "train", "sizes", "ids").mapInArrow(run, "at int, c long").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
     out = np.zeros(TYPES * TYPES)
     out[found["at"].to_numpy(dtype=np.int64)] = found["c"].to_numpy()
     return out.reshape(TYPES, TYPES)
 
 
-def contexts(docs: DataFrame, head: list[bytes], of: np.ndarray) -> DataFrame:
-    """word, at, c: how often a word outside the head has a class after it (at < CLASSES), before it (at - CLASSES), or itself (2 * CLASSES)."""
+def contexts(blocks: DataFrame, head: list[bytes], of: np.ndarray) -> DataFrame:
+    """word, at, c (two arrays), for each block and word outside the head: how often it has a class after it (at < CLASSES),
+    before it (at - CLASSES), or itself (2 * CLASSES)."""
 
     def run(batches):
         import pyarrow as pa
 
-        types, at, cls, names = Types(head), {}, [], []
-        found: list[np.ndarray] = []
-
-        def number(word):
-            if (i := at.get(word)) is None:
-                i = at[word] = len(names)
-                t = types[word]
-                names.append(word)
-                cls.append((t >= HEAD, of[t]))
-            return i
-
-        def out():
-            packed, c = np.unique(np.concatenate(found), return_counts=True)
-            which, used = np.unique(packed >> 8, return_inverse=True)
-            words = pa.array([names[i] for i in which], pa.binary()).take(pa.array(used))
-            return pa.RecordBatch.from_arrays([words, pa.array((packed & 255).astype(np.int16)), pa.array(c)], ["word", "at", "c"])
-
-        held = 0
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                ids = [-1]
-                for text in batch["text"].slice(low, 256).to_pylist():
-                    ids += map(number, tokens(text))
-                    ids.append(-1)
-                ids = np.array(ids)
-                table = np.array([*cls, (False, of[END])], dtype=np.int64)[ids]
-                rest = np.flatnonzero(table[:, 0])
-                w, after, before = ids[rest], ids[rest + 1], ids[rest - 1]
-                found.append((w << 8) + np.where(after == w, 2 * CLASSES, table[rest + 1, 1]))
-                other = before != w
-                found.append((w[other] << 8) + CLASSES + table[rest - 1, 1][other])
-                held += len(w)
-                if held > 4_000_000 or len(names) > 300_000:
-                    yield out()
-                    at.clear()
-                    cls.clear()
-                    names.clear()
-                    found.clear()
-                    held = 0
-        if held:
-            yield out()
+        for part in rows_of(batches):
+            types, ids = types_of(part, head), training_places(part)
+            cls = of[types]
+            rest = np.flatnonzero((types[ids] >= HEAD) & (ids > 0))
+            if not len(rest):
+                continue
+            w, after, before = ids[rest], ids[rest + 1], ids[rest - 1]
+            other = before != w
+            packed = np.concatenate(((w << 8) + np.where(after == w, 2 * CLASSES, cls[after]), (w[other] << 8) + CLASSES + cls[before[other]]))
+            packed, c = np.unique(packed, return_counts=True)
+            which, first = np.unique(packed >> 8, return_index=True)
+            offsets = pa.array(np.append(first, len(packed)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array((packed & 255).astype(np.int16)), pa.array(c.astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays([part["words"].flatten().take(pa.array(which)), *lists], ["word", "at", "c"])
 
-    return docs.select("text").mapInArrow(run, "word binary, at short, c long")
+    return blocks.select("words", "ending", "train", "sizes", "ids").mapInArrow(run, "word binary, at array<short>, c array<long>")
 
 
 def best_classes(own: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -224,49 +245,65 @@ def best_classes(own: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> np.nd
     return np.where(gain[here_, new] > gain[here_, own] + 1e-9, new, own)
 
 
-def rest_classes(docs: DataFrame, head: list[bytes], of: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """word, k: the class of every training word outside the head, by its own bigrams against the fixed class table."""
-
-    def run(batches):
-        import pyarrow as pa
+class Chooser:
+    """best_classes() with a memory for words that stand once, which differ only in their class and the two around them."""
 
-        types = Types(head)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
-                own = of[np.fromiter(map(types.__getitem__, part["word"].to_pylist()), np.int64, part.num_rows)]
-                lists, values = part["seen"], part["seen"].flatten()
-                seen = np.zeros((part.num_rows, 2 * CLASSES + 1))
-                which = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                seen[which, values.field(0).to_numpy()] = values.field(1).to_numpy()
-                yield pa.RecordBatch.from_arrays([part["word"], pa.array(best_classes(own, seen, counts).astype(np.int32))], ["word", "k"])
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.memo = counts, np.full(CLASSES**3, -1, dtype=np.int64)
 
-    rows = contexts(docs, head, of).repartition("word").groupBy("word", "at").agg(F.sum("c").alias("c"))
-    return rows.groupBy("word").agg(F.collect_list(F.struct("at", "c")).alias("seen")).mapInArrow(run, "word binary, k int")
+    def __call__(self, own: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        out = np.empty(len(own), dtype=np.int64)
+        once = (seen[:, :CLASSES].sum(axis=1) == 1) & (seen[:, CLASSES : 2 * CLASSES].sum(axis=1) == 1) & (seen[:, 2 * CLASSES] == 0)
+        more = np.flatnonzero(~once)
+        for low in range(0, len(more), 4096):
+            at = more[low : low + 4096]
+            out[at] = best_classes(own[at], seen[at], self.counts)
+        at = np.flatnonzero(once)
+        code = (own[at] * CLASSES + seen[at, :CLASSES].argmax(axis=1)) * CLASSES + seen[at, CLASSES : 2 * CLASSES].argmax(axis=1)
+        new, first = np.unique(code, return_index=True)
+        lacking = self.memo[new] < 0
+        new, first = new[lacking], at[first[lacking]]
+        for low in range(0, len(new), 4096):
+            part = first[low : low + 4096]
+            self.memo[new[low : low + 4096]] = best_classes(own[part], seen[part], self.counts)
+        out[at] = self.memo[code]
+        return out
 
 
-def class_bigrams(blocks: DataFrame, dictionary: DataFrame, end: int) -> np.ndarray:
-    """Counts of neighbouring classes over all training texts; dictionary(block, word, k)."""
+def rest_classes(found: DataFrame, of: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """word, k of contexts(): the class of every training word outside the head, by its own bigrams against the fixed class table."""
 
-    def run(key, part, words):
+    def run(batches):
         import pyarrow as pa
 
-        at = dict(zip(words["word"].to_pylist(), words["k"].to_pylist(), strict=True))
-        counts = np.zeros(CLASSES * CLASSES, dtype=np.int64)
-        for chunk in part.to_batches(max_chunksize=256):
-            ids = [end]
-            for text in chunk["text"].to_pylist():
-                ids += map(at.__getitem__, tokens(text))
-                ids.append(end)
-            ids = np.array(ids)
-            counts += np.bincount(ids[:-1] * CLASSES + ids[1:], minlength=CLASSES * CLASSES)
-        return pa.table({"at": pa.array(np.arange(CLASSES * CLASSES), pa.int32()), "c": pa.array(counts)})
+        choose, last, waiting = Chooser(counts), None, None
 
-    found = blocks.where("train").select("block", "text").groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, "at int, c long")
-    out = np.zeros(CLASSES * CLASSES)
-    for r in materialize(found.groupBy("at").agg(F.sum("c").alias("c"))).collect():
-        out[r["at"]] = r["c"]
-    return out.reshape(CLASSES, CLASSES)
+        def out(words, seen):
+            own = of[HEAD + np.array([ending(w) for w in words])]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(choose(own, seen).astype(np.int32))], ["word", "k"])
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, 16384):
+                part = batch.slice(low, 16384)
+                words = part["word"].to_pylist()
+                new = np.array([a != b for a, b in zip(words, [last, *words[:-1]], strict=True)])
+                group = np.cumsum(new) - new[0]
+                seen = np.zeros((group[-1] + 1, 2 * CLASSES + 1))
+                np.add.at(seen, (np.repeat(group, np.diff(part["at"].offsets.to_numpy())), part["at"].flatten().to_numpy()), part["c"].flatten().to_numpy())
+                if not new[0]:
+                    seen[0] += waiting
+                names = [w for w, n in zip(words, new, strict=True) if n]
+                if last is not None and new[0]:
+                    yield out([last], waiting[None])
+                elif last is not None:
+                    names = [last, *names]
+                if len(names) > 1:
+                    yield out(names[:-1], seen[:-1])
+                last, waiting = names[-1], seen[-1]
+        if last is not None:
+            yield out([last], waiting[None])
+
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, k int")
 
 
 def type_classes(counts: DataFrame, head: list[bytes], of: np.ndarray) -> DataFrame:
@@ -275,77 +312,118 @@ def type_classes(counts: DataFrame, head: list[bytes], of: np.ndarray) -> DataFr
     def run(batches):
         import pyarrow as pa
 
-        types = Types(head)
+        at = {w: i for i, w in enumerate(head)}
         for batch in batches:
-            k = [of[types[w]] if k is None else k for w, k in zip(batch["word"].to_pylist(), batch["k"].to_pylist(), strict=True)]
+            k = [of[at[w] if w in at else HEAD + ending(w)] if k is None else k for w, k in zip(batch["word"].to_pylist(), batch["k"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(k, pa.int32())], ["word", "c", "k"])
 
     return counts.select("word", "c", "k").mapInArrow(run, "word binary, c long, k int")
 
 
+def with_classes(blocks: DataFrame, dictionary: DataFrame, end: tuple[int, int]) -> DataFrame:
+    """The blocks' texts with arrays c and k of their words, from dictionary(block, at, c, k); `end`: c and k of the text's end."""
+
+    def run(key, part, words):
+        import pyarrow as pa
+
+        at = words["at"].to_numpy()
+        c, k = np.full(len(at) + 1, end[0], dtype=np.int64), np.full(len(at) + 1, end[1], dtype=np.int32)
+        c[at], k[at] = words["c"].to_numpy(), words["k"].to_numpy()
+        return part.append_column("c", pa.array([c], pa.list_(pa.int64()))).append_column("k", pa.array([k], pa.list_(pa.int32())))
+
+    texts = blocks.select("block", "doc_ids", "train", "sizes", "ids")
+    schema = "block long, doc_ids array<long>, train array<boolean>, sizes array<int>, ids array<int>, c array<long>, k array<int>"
+    return texts.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, schema)
+
+
+def class_bigrams(classed: DataFrame) -> np.ndarray:
+    """Counts of neighbouring classes over all training texts of with_classes()."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        for part in rows_of(batches):
+            ids = array_of(part, "k").astype(np.int64)[training_places(part)]
+            counts += np.bincount(ids[:-1] * CLASSES + ids[1:], minlength=CLASSES * CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES), pa.int32()), pa.array(counts)], ["at", "c"])
+
+    out = np.zeros(CLASSES * CLASSES)
+    for r in classed.select("train", "sizes", "ids", "k").mapInArrow(run, "at int, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
+        out[r["at"]] = r["c"]
+    return out.reshape(CLASSES, CLASSES)
+
+
+class Model:
+    """What a fit leaves: the blocks' texts with counts and classes, the words' (word, c, k), and the tables of the classes."""
+
+    def __init__(self, docs: DataFrame):
+        train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT
+        docs = docs.select("doc_id", "text", train.alias("train"))
+        self.n_texts = n_texts = docs.agg(F.sum(F.col("train").cast("long")).alias("t")).first()["t"] or 0
+        blocks = materialize(encode(docs))
+        local = blocks.select("block", F.posexplode(F.arrays_zip("words", "c")).alias("at", "w")).where("at > 0").select("block", "at", "w.words", "w.c").toDF("block", "at", "word", "c")
+        counts = materialize(local.groupBy("word").agg(F.sum("c").alias("c")))
+        sums = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
+        self.n_train, self.vocabulary = (sums["n"] or 0) + n_texts, (sums["v"] or 0) + (n_texts > 0)
+        head = [bytes(r["word"]) for r in counts.where("c > 0").orderBy(F.col("c").desc(), "word").limit(HEAD).collect()]
+        pairs = type_bigrams(blocks, head)
+        of = exchange(pairs)
+        one = np.eye(CLASSES)[of]
+        rest = rest_classes(contexts(blocks, head, of), of, one.T @ pairs @ one)
+        self.words = words = materialize(type_classes(counts.join(rest, "word", "left"), head, of))
+        self.end = end = int(of[END])
+        self.classed = materialize(with_classes(blocks, local.select("block", "at", "word").join(words, "word").select("block", "at", "c", "k"), (n_texts, end)))
+        moves = class_bigrams(self.classed)
+        self.class_total, self.class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
+        for r in words.groupBy("k").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).collect():
+            self.class_total[r["k"]], self.class_distinct[r["k"]] = r["n"], r["v"]
+        self.class_total[end] += n_texts
+        self.class_distinct[end] += min(1, n_texts)
+        share = self.class_total / max(self.class_total.sum(), 1)
+        with np.errstate(divide="ignore"):
+            log_move = np.log10((moves + PRIOR * share) / (moves.sum(axis=1, keepdims=True) + PRIOR)) if n_texts else np.zeros((CLASSES, CLASSES))
+        self.log_move = np.maximum(log_move, -12.0)
+
+    def tables(self):
+        return self.log_move, self.class_total, self.class_distinct, self.n_train, self.vocabulary, self.end
+
+
+def emissions(c: np.ndarray, k: np.ndarray, class_total, class_distinct, n_train: int, vocabulary: int) -> np.ndarray:
+    """log10 of the probability of words with counts c in their classes k: discounted counts; the rest of a class is for its unseen words."""
+    n, v = np.maximum(class_total[k], 1), class_distinct[k]
+    p = np.where(c > 0, np.maximum(c - DISCOUNT, 1e-9) / n, np.where(v > 0, DISCOUNT * v / n / (v + 1), 1 / (n_train + vocabulary + 1)))
+    return np.log10(np.minimum(p, 1.0))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row.
 
     Learns from rows whose crc32(doc_id as text) mod 7 is not 2 (a null doc_id counts as an empty text). A null
-    or empty text is the end token alone. Where nothing can be learned every token has probability 1.
+    or empty text is the end token alone. Where nothing can be learned every token has probability 1. Repeated rows count as
+    often as they stand; among equal words the first by bytes is in the head, among equal gains the first class is taken.
+    Other columns are ignored; an empty table gives no rows.
     """
-    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT
-    docs = docs.select("doc_id", "text", train.alias("train"))
-    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.sum(F.col("train").cast("long")).alias("t")).first()
-    n_blocks, n_texts = max(1, math.ceil((size["b"] or 0) / BLOCK_BYTES)), size["t"] or 0
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    local = materialize(word_counts(blocks))
-    counts = materialize(local.groupBy("word").agg(F.sum("c").alias("c")))
-    sums = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
-    n_train, vocabulary = (sums["n"] or 0) + n_texts, (sums["v"] or 0) + (n_texts > 0)
-    head = [bytes(r["word"]) for r in counts.where("c > 0").orderBy(F.col("c").desc(), "word").limit(HEAD).collect()]
-    pairs = type_bigrams(docs.where("train"), head)
-    of = exchange(pairs)
-    one = np.eye(CLASSES)[of]
-    rest = materialize(rest_classes(docs.where("train"), head, of, one.T @ pairs @ one))
-    counts = materialize(type_classes(counts.join(rest, "word", "left"), head, of))
-    dictionary = local.select("block", "word").join(counts, "word")
-    end_class = int(of[END])
-    moves = class_bigrams(blocks, dictionary.select("block", "word", "k"), end_class)
-    class_total, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy("k").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).collect():
-        class_total[r["k"]], class_distinct[r["k"]] = r["n"], r["v"]
-    class_total[end_class] += n_texts
-    class_distinct[end_class] += min(1, n_texts)
-    share = class_total / max(class_total.sum(), 1)
-    with np.errstate(divide="ignore"):
-        log_move = np.log10((moves + PRIOR * share) / (moves.sum(axis=1, keepdims=True) + PRIOR)) if n_texts else np.zeros((CLASSES, CLASSES))
-    log_move = np.maximum(log_move, -12.0)
-    model = docs.sparkSession.sparkContext.broadcast((log_move, class_total, class_distinct))
+    model = Model(docs)
+    held = docs.sparkSession.sparkContext.broadcast(model.tables())
 
-    def run(key, part, words):
+    def run(batches):
         import pyarrow as pa
 
-        log_move, class_total, class_distinct = model.value
-        names = words["word"].to_pylist()
-        c = np.array([*words["c"].to_pylist(), n_texts], dtype=float)
-        at = {w: i for i, w in enumerate(names)}
-        cls = np.array([*words["k"].to_pylist(), end_class])
-        base = np.log10((c + 1) / (n_train + vocabulary + 1))
-        n, v = np.maximum(class_total[cls], 1), class_distinct[cls]
-        emit = np.where(c > 0, np.maximum(c - DISCOUNT, 1e-9) / n, np.where(v > 0, DISCOUNT * v / n / (v + 1), 1 / (n_train + vocabulary + 1)))
-        emit = np.log10(np.minimum(emit, 1.0))
-        if len(names) == 0 and n_texts == 0:
-            emit[:] = 0.0
-        end, rows = len(names), []
-        for chunk in part.to_batches(max_chunksize=256):
-            found = [tokens(t) for t in chunk["text"].to_pylist()]
-            sizes = np.array([len(w) + 1 for w in found])
-            ids = np.array([i for w in found for i in (*map(at.__getitem__, w), end)])
-            k = cls[ids]
-            before = np.concatenate(([cls[end]], k[:-1]))  # the token before a text's first is the end of another
-            starts = np.cumsum(sizes) - sizes
+        log_move, class_total, class_distinct, n_train, vocabulary, end = held.value
+        for part in rows_of(batches):
+            c, k, ids, sizes = (array_of(part, x) for x in ("c", "k", "ids", "sizes"))
+            base = np.log10((c + 1) / (n_train + vocabulary + 1))
+            emit = emissions(c, k, class_total, class_distinct, n_train, vocabulary)
+            here = k[ids]
+            before = np.concatenate(([end], here[:-1]))  # the token before a text's first is the end of another
+            starts = np.cumsum(sizes, dtype=np.int64) - sizes
             add = lambda x: np.add.reduceat(x, starts)  # noqa: E731,B023
-            rows.append(pa.RecordBatch.from_arrays([chunk["doc_id"], pa.array([not t for t in chunk["train"].to_pylist()]), pa.array(sizes, pa.int64()), pa.array(add((c[ids] > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(sizes), n_train), pa.int64()), pa.array(add(base[ids])), pa.array(add(emit[ids] + log_move[before, k]))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.Table.from_batches(rows, schema=None if rows else pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
+            values = part["doc_ids"].flatten(), pa.array(~array_of(part, "train").astype(bool)), pa.array(sizes, pa.int64()), pa.array(add((c[ids] > 0).astype(np.int64))), pa.array(np.full(len(sizes), n_train), pa.int64()), pa.array(add(base[ids])), pa.array(add(emit[ids] + log_move[before, here]))
+            yield pa.RecordBatch.from_arrays(list(values), ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, schema)
+    return model.classed.select("doc_ids", "train", "sizes", "ids", "c", "k").mapInArrow(run, schema)
 
 
 def op7_brown(spark, sf_dir: str) -> DataFrame:

@@ -218,6 +218,39 @@ def test_scores(docs, rows, nothing):
     assert brown.score(nothing).count() == 0
 
 
+def test_scores_by_brute_force(spark):
+    """log10 P(text) from the model's classes and counts, with the class bigrams counted one by one."""
+    rng = random.Random(7)
+    held = [(i, " ".join(rng.choice(["a", "b", "Cd", "ef", "gg", f"x{rng.randrange(40)}"]) for _ in range(rng.choice([0, 1, 9, 40])))) for i in range(60)]
+    docs = spark.createDataFrame(held, "doc_id long, text string").repartition(3)
+    model = brown.Model(docs)
+    k = {bytes(r["word"]): r["k"] for r in model.words.collect()} | {None: model.end}
+    lines = {d: [None, *brown.tokens(t), None] for d, t in held}
+    train = {d for d, _ in held if zlib.crc32(str(d).encode()) % 7 != 2}
+    c = Counter(w for d in train for w in lines[d][1:])
+    moves = Counter((k[a], k[b]) for d in train for a, b in zip(lines[d], lines[d][1:], strict=False))
+    total, kinds, out = Counter(), Counter(), Counter()
+    for w, n in c.items():
+        total[k[w]] += n
+        kinds[k[w]] += 1
+    for (a, _), n in moves.items():
+        out[a] += n
+    n, v = sum(c.values()), len(c)
+
+    def word(w):
+        j = k[w]
+        if c[w]:
+            return (c[w] - brown.DISCOUNT) / total[j]
+        return brown.DISCOUNT * kinds[j] / total[j] / (kinds[j] + 1) if kinds[j] else 1 / (n + v + 1)
+
+    def move(a, b):
+        return max(1e-12, (moves[k[a], k[b]] + brown.PRIOR * total[k[b]] / n) / (out[k[a]] + brown.PRIOR))
+
+    want = {d: sum(math.log10(move(a, b)) + math.log10(word(b)) for a, b in zip(x, x[1:], strict=False)) for d, x in lines.items()}
+    got = {r["doc_id"]: r["score"] for r in brown.score(docs).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(1)
     group = np.arange(60) % 3
@@ -238,11 +271,12 @@ def test_words_outside_the_head_move_by_their_own_bigrams(spark):
     docs = spark.createDataFrame([(t,) for t in lines], "text string").repartition(3)
     of = np.arange(brown.TYPES) % 7 + 8
     of[: len(head)], of[brown.END] = [i // 3 for i in range(18)], brown.CLASSES - 1
-    pairs = brown.type_bigrams(docs, head)
+    blocks = brown.encode(docs.select(F.lit(1).cast("long").alias("doc_id"), F.lit(True).alias("train"), "text"))
+    pairs = brown.type_bigrams(blocks, head)
     one = np.eye(brown.CLASSES)[of]
     counts = one.T @ pairs @ one
-    got = {bytes(r["word"]): r["k"] for r in brown.rest_classes(docs, head, of, counts).collect()}
-    types, f = brown.Types(head), lambda x: float((x * np.log(np.maximum(x, 1e-12))).sum())
+    got = {bytes(r["word"]): r["k"] for r in brown.rest_classes(brown.contexts(blocks, head, of), of, counts).collect()}
+    types, f = {w: head.index(w) if w in head else brown.HEAD + brown.ending(w) for t in lines for w in brown.tokens(t)}, lambda x: float((x * np.log(np.maximum(x, 1e-12))).sum())
     runs = [[None, *brown.tokens(t), None] for t in lines]
     cls = lambda w: of[brown.END if w is None else types[w]]
     rest = {w for r in runs for w in r if w is not None and w not in head}
