@@ -5,7 +5,8 @@ document gets the label with the largest mean marginal. Features: the word, its
 trigrams and the lexicons of the languages, hashed; transitions between labels are learned with them.
 
 The field is fitted on the driver on a bounded sample of labelled rows: DOCS_PER_LANG documents of each
-language, chosen by a hash of doc_id, WINDOWS windows of WINDOW words each, spread over the whole text.
+language, chosen by a hash of doc_id, with all their words, cut into chains of WINDOW words. The gradient is the exact one of the
+log-likelihood: single and pair marginals come from the same forward and backward messages.
 Prediction covers all words of all documents and needs no shuffle. Long texts are cut into chunks whose transfer matrices
 are computed side by side and then chained, which gives the exact marginals of the whole chain.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import table
 
-DOCS_PER_LANG, WINDOWS, WINDOW = 300, 4, 24
+DOCS_PER_LANG, WINDOW = 120, 24
 HASHED = 1 << 16
 EPOCHS, RATE, DECAY = 40, 0.5, 1e-4
 CHUNK = 32
@@ -123,6 +124,7 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> np.nda
     seen, there = np.ones((total, CHUNK, n_labels)), np.zeros((total, CHUNK), dtype=bool)
     seen[row, col] = np.exp(scores - scores.max(axis=1, keepdims=True))
     there[row, col] = True
+    seen[first, 0] /= step.mean(axis=0)  # no move leads to a chain's first word: this undoes the one from `into`
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
     short = np.flatnonzero(~there[:, -1])  # the last chunks of chains: they stop early
     carry = np.broadcast_to(np.eye(n_labels), (total, n_labels, n_labels)).copy()
@@ -163,6 +165,33 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> np.nda
     return norm(ahead[col, row])
 
 
+def expected(scores: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of short chains: label marginals of the words, the expected number of each move between neighbours, and the log of the
+    partition function, summed over the chains."""
+    n_labels, longest = scores.shape[1], int(sizes.max(initial=0))
+    step = np.exp(move)
+    chain = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(scores)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    seen, there = np.ones((longest, len(sizes), n_labels)), np.zeros((longest, len(sizes), 1), dtype=bool)
+    top = scores.max(axis=1, keepdims=True)
+    seen[at, chain], there[at, chain] = np.exp(scores - top), True
+    ahead, back, log_z = np.empty_like(seen), np.ones_like(seen), float(top.sum())
+    for t in range(longest):
+        state = seen[t] if t == 0 else (ahead[t - 1] @ step) * seen[t]
+        total = state.sum(axis=1, keepdims=True)
+        log_z += float(np.log(total[there[t]]).sum())
+        ahead[t] = state / total
+    joint = np.zeros((n_labels, n_labels))
+    for t in range(longest - 1, 0, -1):
+        after = seen[t] * back[t] * there[t]
+        mass = np.einsum("ca,ab,cb->c", ahead[t - 1], step, after)[:, None]
+        after = after / np.where(mass > 0, mass, 1)
+        joint += step * (ahead[t - 1].T @ after)
+        back[t - 1] = np.where(there[t], after @ step.T, 1.0)
+    p = ahead[at, chain] * back[at, chain]
+    return p / p.sum(axis=1, keepdims=True), joint, log_z
+
+
 def fit(windows: list[tuple[str, list[bytes]]], seed: int = 5) -> Field:
     """A field from (label, words) windows. A part of them is spliced with a window of another label, so that switches are seen."""
     labels = sorted({lang for lang, _ in windows})
@@ -200,17 +229,14 @@ def fit(windows: list[tuple[str, list[bytes]]], seed: int = 5) -> Field:
     lettered = used[ids][:, None]
     for _ in range(EPOCHS):
         here = field.sums(flat, owner, len(index))[ids]
-        p = marginals(here, sizes, field.move)
+        p, joint, _ = expected(here, sizes, field.move)
         add = lambda i, x, n: np.stack([np.bincount(i, x[:, k], n) for k in range(n_labels)], axis=1)
         by_word = add(ids, (hot - p) * lettered, len(index))
         g = add(flat, (by_word * scale)[owner], HASHED)
         g -= DECAY * len(ids) * field.weight / 100
         squares += g * g
         field.weight += RATE * g / np.sqrt(squares)
-        step = np.exp(field.move)
-        joint = p[pairs - 1][:, :, None] * p[pairs][:, None, :] * step  # close to the pair marginals; their sums are matched
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        m = (hot[pairs - 1].T @ hot[pairs]) - joint.sum(axis=0)
+        m = (hot[pairs - 1].T @ hot[pairs]) - joint
         m -= DECAY * len(ids) * field.move
         move_squares += m * m
         field.move += RATE * 0.2 * m / np.sqrt(move_squares)
@@ -242,8 +268,7 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Field:
             langs, windows = [], []
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = text.encode().split()
-                starts = {len(words) * k // WINDOWS for k in range(WINDOWS)} if len(words) > WINDOW * WINDOWS else range(0, len(words), WINDOW)
-                for s in sorted(starts):
+                for s in range(0, len(words), WINDOW):
                     langs.append(lang)
                     windows.append(words[s : s + WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.list_(pa.binary()))], ["lang", "words"])
@@ -252,10 +277,52 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Field:
     return fit(sorted((r["lang"], [bytes(w) for w in r["words"]]) for r in rows))
 
 
+class Labeller:
+    """A fitted field at work in a task: it remembers the scores of words it has met."""
+
+    def __init__(self, field: Field):
+        self.field, self.n_labels = field, len(field.labels)
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo, self.scores, self.letters = Numbers(), np.zeros((0, self.n_labels)), np.zeros(0, dtype=bool)
+
+    def __call__(self, texts):
+        """Of the texts with a letter: their places, numbers of words, and of all their words the marginals and whether they have a letter."""
+        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        if len(self.memo) > MEMO_WORDS:
+            self.forget()
+        ids = [np.fromiter(map(self.memo.__getitem__, ws), np.int64, len(ws)) for ws in words]
+        if self.memo.new:
+            s, has = self.field.emissions(self.memo.new)
+            self.scores, self.letters = np.concatenate((self.scores, s)), np.concatenate((self.letters, has))
+            self.memo.new = []
+        live = [i for i, x in enumerate(ids) if self.n_labels and len(x) and self.letters[x].any()]
+        if not live:
+            return [], np.zeros(0, dtype=np.int64), np.zeros((0, self.n_labels)), np.zeros(0, dtype=bool)
+        flat, sizes = np.concatenate([ids[i] for i in live]), np.array([len(ids[i]) for i in live])
+        return live, sizes, marginals(self.scores[flat], sizes, self.field.move), self.letters[flat]
+
+
+def portions(batches, text_col: str):
+    """Slices of the batches with about STEP_WORDS words each, one text at least, and their texts."""
+    for batch in batches:
+        texts, low = batch[text_col].to_pylist(), 0
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and (high == low or size < STEP_WORDS * 6):
+                size += len(texts[high] or "")
+                high += 1
+            yield batch.slice(low, high - low), texts[low:high]
+            low = high
+
+
 def predict(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """Adds lang_pred (string), score (double) and lang_shares (array of mean marginals, in the order of field.labels).
 
-    `und` and score 0 for a text that is null or has no letter. Other columns stay; those of these names are replaced.
+    `und` and score 0 for a text that is null or has no letter. Among equal shares the first label by code points wins.
+    Other columns stay; those of these names are replaced. One very long text is handled whole, with some 100 bytes
+    for each of its words and labels. An empty table gives no rows; repeated rows get equal results.
     """
     held = docs.sparkSession.sparkContext.broadcast(field)
     docs = docs.drop("lang_pred", "score", "lang_shares")
@@ -265,47 +332,43 @@ def predict(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        model: Field = held.value
-        n_labels = len(model.labels)
-        memo = Numbers()
-        scores, letters = np.zeros((0, n_labels)), np.zeros(0, dtype=bool)
-
-        def label(texts):
-            nonlocal memo, scores, letters
-            words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-            if len(memo) > MEMO_WORDS:
-                memo, scores, letters = Numbers(), np.zeros((0, n_labels)), np.zeros(0, dtype=bool)
-            out = [(UNKNOWN, 0.0, [0.0] * n_labels)] * len(texts)
-            ids = [np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws)) for ws in words]
-            if memo.new:
-                s, has = model.emissions(memo.new)
-                scores, letters = np.concatenate((scores, s)), np.concatenate((letters, has))
-                memo.new = []
-            live = [i for i, x in enumerate(ids) if n_labels and len(x) and letters[x].any()]
+        label = Labeller(held.value)
+        for part, texts in portions(batches, text_col):
+            got = [(UNKNOWN, 0.0, [0.0] * label.n_labels)] * len(texts)
+            live, sizes, p, letters = label(texts)
             if live:
-                flat, sizes = np.concatenate([ids[i] for i in live]), np.array([len(ids[i]) for i in live])
-                p = marginals(scores[flat], sizes, model.move) * letters[flat][:, None]
                 starts = np.cumsum(sizes) - sizes
-                share = np.add.reduceat(p, starts, axis=0) / np.add.reduceat(letters[flat].astype(float), starts)[:, None]
-                best = share.argmax(axis=1)
-                for i, b, x in zip(live, best, share, strict=True):
-                    out[i] = (model.labels[b], float(min(1.0, x[b])), x.tolist())
-            return out
+                share = np.add.reduceat(p * letters[:, None], starts, axis=0) / np.add.reduceat(letters.astype(float), starts)[:, None]
+                for i, b, x in zip(live, share.argmax(axis=1), share, strict=True):
+                    got[i] = (label.field.labels[b], float(min(1.0, x[b])), x.tolist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names)
 
-        for batch in batches:
-            texts = batch[text_col].to_pylist()
-            low = 0
-            while low < len(texts) or (low == 0 and not texts):
-                high, size = low, 0
-                while high < len(texts) and (high == low or size < STEP_WORDS * 6):
-                    size += len(texts[high] or "")
-                    high += 1
-                got = label(texts[low:high])
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names)
-                low = high
-                if not texts:
-                    break
+    return docs.mapInArrow(run, schema)
+
+
+def label_words(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+    """Adds lang_runs: array of struct(start, end, lang), runs of words (end exclusive) with one most probable label.
+
+    Words without letters take part in their chain. A text that is null or has no letter has no runs; a column of this name is replaced.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(field)
+    docs = docs.drop("lang_runs")
+    names = [*docs.columns, "lang_runs"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "lang_runs array<struct<start:int,end:int,lang:string>>"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        label, kind = Labeller(held.value), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+        for part, texts in portions(batches, text_col):
+            runs = [[] for _ in texts]
+            live, sizes, p, _ = label(texts)
+            best = p.argmax(axis=1) if live else []
+            for i, low, n in zip(live, np.cumsum(sizes) - sizes, sizes, strict=True):
+                own = best[low : low + n]
+                cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), int(n)]
+                runs[i] = [{"start": a, "end": b, "lang": label.field.labels[own[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(runs, kind)], names)
 
     return docs.mapInArrow(run, schema)
 

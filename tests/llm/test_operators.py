@@ -325,7 +325,7 @@ def test_marginals_are_exact():
     for n in sizes:
         seen, step, ahead, v = np.exp(scores[at : at + n]), np.exp(move), [], np.ones(3) / 3
         for t in range(n):
-            v = (v @ step) * seen[t]
+            v = (v @ step if t else v) * seen[t]
             ahead.append(v := v / v.sum())
         back = np.ones(3)
         for t in range(n - 1, -1, -1):
@@ -336,6 +336,63 @@ def test_marginals_are_exact():
         at += n
 
 
+def test_gradient_of_the_field():
+    """Expected moves and marginals are the derivatives of the log partition function."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 4, 2, 24, 7])
+    scores, move, eps = rng.normal(size=(sizes.sum(), 3)), rng.normal(size=(3, 3)), 1e-5
+    p, joint, _ = langid.expected(scores, sizes, move)
+    z = lambda s, m: langid.expected(s, sizes, m)[2]
+    assert np.allclose(p, langid.marginals(scores, sizes, move))
+    for a in range(3):
+        for b in range(3):
+            d = np.zeros((3, 3))
+            d[a, b] = eps
+            assert joint[a, b] == pytest.approx((z(scores, move + d) - z(scores, move - d)) / (2 * eps), rel=1e-4)
+    for i in (0, 3, 20):
+        d = np.zeros_like(scores)
+        d[i, 1] = eps
+        assert p[i, 1] == pytest.approx((z(scores + d, move) - z(scores - d, move)) / (2 * eps), rel=1e-4)
+
+
+def test_fit_by_brute_force():
+    """One label where all texts have it; ties go to the first label; a word seen in one language alone decides."""
+    chains = [("b", [b"ja", b"nein"] * 6), ("a", [b"yes", b"no"] * 6)] * 10
+    field = langid.fit(chains)
+    assert field.labels == ["a", "b"] and np.diag(field.move).min() > max(field.move[0, 1], field.move[1, 0])
+    label = langid.Labeller(field)
+    _, _, p, _ = label(["yes no yes no yes no ja nein ja nein ja nein"])
+    assert p.argmax(axis=1).tolist() == [0] * 6 + [1] * 6
+    assert langid.Labeller(langid.fit([]))(["x"])[0] == []
+
+
+def test_code_switched_words(spark, sf):
+    """Held-out texts of two languages, spliced in runs of 12 words: the words get their own language."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and size(split(text, ' ')) > 40")
+    field = langid.learn(docs)
+    held = [(r["lang"], r["text"].encode().split()) for r in docs.where(langid.remainder() == 0).orderBy("doc_id").collect()]
+    held = [(lang, w) for lang, w in held if lang in field.labels][:40]
+    rows, gold = [], {}
+    for i, ((la, a), (lb, b)) in enumerate(zip(held, held[1:], strict=False)):
+        words, labels = [], []
+        for k in range(0, 36, 12):
+            for lang, w in ((la, a), (lb, b)):
+                words += w[k : k + 12]
+                labels += [lang] * len(w[k : k + 12])
+        rows.append((i, b" ".join(words).decode("utf-8", "replace")))
+        gold[i] = labels
+    right = total = 0
+    for r in langid.label_words(spark.createDataFrame([*rows, (999, None), (998, "1 2")], "doc_id long, text string"), field).collect():
+        if r["doc_id"] in gold:
+            got = [x["lang"] for x in r["lang_runs"] for _ in range(x["start"], x["end"])]
+            right += sum(x == y for x, y in zip(got, gold[r["doc_id"]], strict=True))
+            total += len(got)
+        else:
+            assert r["lang_runs"] == []
+    print("words of code-switched texts labelled rightly:", right / total)
+    assert right / total > 0.9
+
+
 def test_language(spark, sf, docs, nothing):
     held = spark.read.parquet(f"{sf}/documents.parquet")
     field = langid.learn(held)
