@@ -16,14 +16,15 @@ from flowloom.llm.common import materialize, table
 SURE = 0.4
 #: Words of a shingle and similarity in hundredths of near copies here; op10 has its own.
 WORDS, PERCENT = 5, 80
-#: Columns inside a stage.
-KEY, TURNS = "_document", "_turns"
+#: Columns inside a stage. Documents may have columns of any other name.
+KEY, TURNS, SPANS = "_document", "_turns", "_spans"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no text, no letter) or whose words agree on none."""
-    found = langid.predict(docs, langid.learn(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(docs.columns)
+    names = [f"_{i}" for i in range(len(docs.columns))]  # so that nothing of theirs is replaced
+    found = langid.predict(docs.toDF(*names), langid.learn(docs.select("doc_id", "text", "lang")), names[docs.columns.index("text")])
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(names).toDF(*docs.columns)
 
 
 def identity(*more: Column) -> Column:
@@ -46,10 +47,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret and every linked part of a credential by a mask."""
-    found = secrets.scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "spans").dropDuplicates(["d", "k"])
-    joined = docs.join(found, docs.doc_id.eqNullSafe(found.d) & (F.xxhash64(F.coalesce("text", F.lit(""))) == found.k), "left")
-    masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.mask(F.col("text"), F.col("spans")))
-    return joined.select(*[masked.alias("text") if c == "text" else F.length(masked).cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    held = F.struct(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"), "h")
+    found = secrets.scan(docs).where(F.size("spans") > 0).select(held.alias(KEY), F.col("spans").alias(SPANS)).dropDuplicates([KEY])
+    joined = docs.withColumn(KEY, identity()).join(found, KEY, "left")
+    masked = secrets.mask(F.col("text"), F.col(SPANS))
+    masked = F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(masked)
+    joined = joined.withColumn("text", masked)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
