@@ -506,3 +506,21 @@ def test_pipeline_near_copies_with_few_edits(spark):
     kept = {x["doc_id"] for x in corpus_pipeline.near_copies(spark, docs, "").collect()}
     assert kept == set(first.values())
     assert not kept & {2, 4, 6} and {1, 3, 5, 7, 8, 10, 11, 13} <= kept
+
+
+def test_pipeline_stages_with_odd_tables(spark, sf):
+    """Each stage over an empty table, null and repeated ids, null texts, and columns that stages use inside."""
+    import corpus_pipeline
+
+    held = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = {"score": F.lit(-5.0), "spans": F.lit("own"), "lang_pred": F.lit("xx"), "lang_shares": F.lit(1), "d": F.lit(2), "k": F.lit(3), "h": F.lit(4), "key": F.lit(5), "label": F.lit(6), "component": F.lit(7), "size": F.lit(8), "n": F.lit(9)}
+    docs = held.limit(60).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 20))
+    docs = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0)], SCHEMA)).withColumns(extra)
+    docs = corpus_pipeline.materialize(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialize(stage(spark, docs, sf))
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        assert out.count() > 0 and not out.where("score != -5.0 or spans != 'own' or lang_pred != 'xx' or d != 2 or k != 3 or h != 4 or label != 6 or n != 9").count(), name
+        assert stage(spark, docs.where("false"), sf).count() == 0, name
+    masked = corpus_pipeline.without_secrets(spark, docs, sf)
+    assert masked.count() == docs.count() and not masked.where("length(text) != n_chars").count()
