@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +31,26 @@ BLOCK_BYTES = 8_000_000
 DISCOUNT, PRIOR = 0.5, 20.0
 FOLDS, HELD_OUT = 7, 2
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-BLOCK = "block long, words array<binary>, ending array<short>, c array<long>, doc_ids array<long>, train array<boolean>, sizes array<int>, ids array<int>"
+#: A block: its words, and packed arrays: of each word its ending and training count, of each text its size, of all texts the places of their words.
+BLOCK = "block long, words binary, ending binary, c binary, doc_ids array<long>, train binary, sizes binary, ids binary"
+#: A class near a word (see contexts()) and how often.
+NEAR = np.dtype([("at", np.uint8), ("c", "<u4")])
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
+def pack(a: np.ndarray) -> bytes:
+    """An array's bytes, all first ones, then all second ones and so on, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+
+
+def unpack(raw: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def ending(word: bytes) -> int:
     """Bucket of a word's last two characters."""
     return zlib.crc32(word.decode("utf-8", "replace")[-2:].encode("utf-8", "replace")) % ENDINGS
@@ -116,9 +130,11 @@ def encode(docs: DataFrame) -> DataFrame:
             sizes = np.array([len(x) for x in ids], dtype=np.int32)
             flat = np.concatenate(ids)
             c = np.bincount(flat[np.repeat(np.array(train, dtype=bool), sizes)], minlength=len(places.words))
-            values = [(task << 32) + seq], [places.words], [[ending(w) for w in places.words]], [c], [doc_ids], [train], [sizes], [flat]
-            kinds = pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
+            words = zstandard.ZstdCompressor(level=1).compress(b" ".join(places.words))
+            ends = np.fromiter(map(ending, places.words), np.int16, len(places.words))
+            values = (task << 32) + seq, words, pack(ends), pack(c), doc_ids, pack(np.array(train, dtype=bool)), pack(sizes), pack(flat)
+            kinds = pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
@@ -140,22 +156,45 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "train", "text").mapInArrow(run, BLOCK)
 
 
+KINDS = {"ending": np.int16, "c": np.int64, "train": bool, "sizes": np.int32, "ids": np.int32, "k": np.int32}
+
+
 def array_of(part, name: str) -> np.ndarray:
-    """The one array in a column of a one-row batch."""
-    return part[name].flatten().to_numpy(zero_copy_only=False)
+    """The packed array in a column of a one-row batch."""
+    return unpack(part[name][0].as_py(), KINDS[name])
+
+
+def words_of(part) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(part["words"][0].as_py()).split(b" ")
 
 
 def training_places(part) -> np.ndarray:
     """Places of all training texts of a block, one text after another, with an end before the first."""
-    kept = np.repeat(array_of(part, "train").astype(bool), array_of(part, "sizes"))
+    kept = np.repeat(array_of(part, "train"), array_of(part, "sizes"))
     return np.concatenate(([0], array_of(part, "ids")[kept])).astype(np.int64)
 
 
+def block_words(blocks: DataFrame) -> DataFrame:
+    """block, at, word, c of every word of every block; place 0, the text's end, is left out."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in rows_of(batches):
+            words, c = words_of(part)[1:], array_of(part, "c")[1:]
+            for low in range(0, len(words), 65536):
+                some = words[low : low + 65536]
+                at = pa.array(np.arange(low + 1, low + 1 + len(some)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.repeat(part["block"][0], len(some)), at, pa.array(some, pa.binary()), pa.array(c[low : low + len(some)])], ["block", "at", "word", "c"])
+
+    return blocks.select("block", "words", "c").mapInArrow(run, "block long, at int, word binary, c long")
+
+
 def types_of(part, head: list[bytes]) -> np.ndarray:
     """Type of each word of a block: its place in the head, or HEAD and the bucket of its ending; END for the text's end."""
     types = HEAD + array_of(part, "ending").astype(np.int64)
     at = {w: i for i, w in enumerate(head)}
-    for i, w in enumerate(part["words"].flatten().to_pylist()):
+    for i, w in enumerate(words_of(part)):
         if (found := at.get(w)) is not None:
             types[i] = found
     types[0] = END
@@ -188,8 +227,8 @@ def type_bigrams(blocks: DataFrame, head: list[bytes]) -> np.ndarray:
 
 
 def contexts(blocks: DataFrame, head: list[bytes], of: np.ndarray) -> DataFrame:
-    """word, at, c (two arrays), for each block and word outside the head: how often it has a class after it (at < CLASSES),
-    before it (at - CLASSES), or itself (2 * CLASSES)."""
+    """word, near (an array of NEAR as bytes), for each block and word outside the head: how often it has a class after it
+    (at < CLASSES), before it (at - CLASSES), or itself (2 * CLASSES)."""
 
     def run(batches):
         import pyarrow as pa
@@ -205,11 +244,14 @@ def contexts(blocks: DataFrame, head: list[bytes], of: np.ndarray) -> DataFrame:
             packed = np.concatenate(((w << 8) + np.where(after == w, 2 * CLASSES, cls[after]), (w[other] << 8) + CLASSES + cls[before[other]]))
             packed, c = np.unique(packed, return_counts=True)
             which, first = np.unique(packed >> 8, return_index=True)
-            offsets = pa.array(np.append(first, len(packed)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array((packed & 255).astype(np.int16)), pa.array(c.astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays([part["words"].flatten().take(pa.array(which)), *lists], ["word", "at", "c"])
+            near = np.empty(len(packed), NEAR)
+            near["at"], near["c"] = packed & 255, c
+            raw, cuts, words = near.tobytes(), (np.append(first, len(packed)) * NEAR.itemsize).tolist(), words_of(part)
+            for low in range(0, len(which), 65536):
+                at = which[low : low + 65536].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in at], pa.binary()), pa.array([raw[cuts[j] : cuts[j + 1]] for j in range(low, low + len(at))], pa.binary())], ["word", "near"])
 
-    return blocks.select("words", "ending", "train", "sizes", "ids").mapInArrow(run, "word binary, at array<short>, c array<long>")
+    return blocks.select("words", "ending", "train", "sizes", "ids").mapInArrow(run, "word binary, near binary")
 
 
 def best_classes(own: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -289,7 +331,10 @@ def rest_classes(found: DataFrame, of: np.ndarray, counts: np.ndarray) -> DataFr
                 new = np.array([a != b for a, b in zip(words, [last, *words[:-1]], strict=True)])
                 group = np.cumsum(new) - new[0]
                 seen = np.zeros((group[-1] + 1, 2 * CLASSES + 1))
-                np.add.at(seen, (np.repeat(group, np.diff(part["at"].offsets.to_numpy())), part["at"].flatten().to_numpy()), part["c"].flatten().to_numpy())
+                raw = part["near"].to_pylist()
+                near = np.frombuffer(b"".join(raw), NEAR)
+                cell = np.repeat(group, [len(x) // NEAR.itemsize for x in raw]) * seen.shape[1] + near["at"]
+                seen += np.bincount(cell, near["c"], seen.size).reshape(seen.shape)
                 if not new[0]:
                     seen[0] += waiting
                 names = [w for w, n in zip(words, new, strict=True) if n]
@@ -329,10 +374,10 @@ def with_classes(blocks: DataFrame, dictionary: DataFrame, end: tuple[int, int])
         at = words["at"].to_numpy()
         c, k = np.full(len(at) + 1, end[0], dtype=np.int64), np.full(len(at) + 1, end[1], dtype=np.int32)
         c[at], k[at] = words["c"].to_numpy(), words["k"].to_numpy()
-        return part.append_column("c", pa.array([c], pa.list_(pa.int64()))).append_column("k", pa.array([k], pa.list_(pa.int32())))
+        return part.append_column("c", pa.array([pack(c)], pa.binary())).append_column("k", pa.array([pack(k)], pa.binary()))
 
     texts = blocks.select("block", "doc_ids", "train", "sizes", "ids")
-    schema = "block long, doc_ids array<long>, train array<boolean>, sizes array<int>, ids array<int>, c array<long>, k array<int>"
+    schema = "block long, doc_ids array<long>, train binary, sizes binary, ids binary, c binary, k binary"
     return texts.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -362,7 +407,7 @@ class Model:
         docs = docs.select("doc_id", "text", train.alias("train"))
         self.n_texts = n_texts = docs.agg(F.sum(F.col("train").cast("long")).alias("t")).first()["t"] or 0
         blocks = materialize(encode(docs))
-        local = blocks.select("block", F.posexplode(F.arrays_zip("words", "c")).alias("at", "w")).where("at > 0").select("block", "at", "w.words", "w.c").toDF("block", "at", "word", "c")
+        local = block_words(blocks)
         counts = materialize(local.groupBy("word").agg(F.sum("c").alias("c")))
         sums = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
         self.n_train, self.vocabulary = (sums["n"] or 0) + n_texts, (sums["v"] or 0) + (n_texts > 0)
@@ -419,7 +464,7 @@ def score(docs: DataFrame) -> DataFrame:
             before = np.concatenate(([end], here[:-1]))  # the token before a text's first is the end of another
             starts = np.cumsum(sizes, dtype=np.int64) - sizes
             add = lambda x: np.add.reduceat(x, starts)  # noqa: E731,B023
-            values = part["doc_ids"].flatten(), pa.array(~array_of(part, "train").astype(bool)), pa.array(sizes, pa.int64()), pa.array(add((c[ids] > 0).astype(np.int64))), pa.array(np.full(len(sizes), n_train), pa.int64()), pa.array(add(base[ids])), pa.array(add(emit[ids] + log_move[before, here]))
+            values = part["doc_ids"].flatten(), pa.array(~array_of(part, "train")), pa.array(sizes, pa.int64()), pa.array(add((c[ids] > 0).astype(np.int64))), pa.array(np.full(len(sizes), n_train), pa.int64()), pa.array(add(base[ids])), pa.array(add(emit[ids] + log_move[before, here]))
             yield pa.RecordBatch.from_arrays(list(values), ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
