@@ -343,8 +343,10 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     tried = tried.join(sketches.withColumnRenamed("node", "a"), "a").join(sketches.toDF("b", "n2", "sketch2"), "b")
     first = materialize(overlaps(materialize(pivot_pairs(tried, percent)), nodes.select("node", "rep"), docs, percent, words))
     label = components(first).toDF("node", "label")
-    members = shared.drop("pivot").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = members.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key)).where("low < high").drop("low", "high")
+    # All have met the pivot; the others of a bucket meet if they stand in different components and one is in its own class.
+    members = shared.where("node != pivot").drop("pivot").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = members.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key)).withColumn("some", F.max("own").over(of_key))
+    open_ = open_.where("low < high and some").drop("low", "high", "some")
     open_ = materialize(open_)
     crowd = open_.where(F.col("m") > CROWDED).groupBy("node").agg(F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own_keys"), F.collect_set(F.when(~F.col("own"), F.col("key"))).alias("other_keys"))
     crowd = crowd.withColumnRenamed("node", "in_crowd")
