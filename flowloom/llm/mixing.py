@@ -143,22 +143,27 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 2048) -> DataFrame:
-    """Words that the mix takes of each document: doc_id, size, source_size, target, taken.
+    """Words that the mix takes of each document, and where in the schedule: doc_id, size, source_size, target, taken,
+    first_slot (null if nothing is taken), n_slots.
 
-    `docs` has doc_id, source, text; other columns are ignored. A null text has size 0 and takes 0.
-    A null source is a source of its own, the last one. One row per input row.
+    `docs` has doc_id, source, text; other columns are ignored, whatever their names. A null text has size 0 and takes 0.
+    A null source is a source of its own, the last one. One row per input row; repeated rows are documents of their
+    own, and a very long text is many slots. An empty table gives no rows.
     """
     plan = mix_schedule(sized_documents(docs), weights, share, cap, block_words)
-    keyed = plan.where("size > 0").groupBy("source_rank", "start", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    cols = ["doc_id", "size", "source_size", "target", "taken"]
-    return keyed.select(cols).unionByName(plan.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(cols))
+    keyed = plan.where("size > 0").groupBy("source_rank", "start", "doc_id", "size", "source_size", "target")
+    read = F.when(F.col("word_to") > F.col("word_from"), F.col("slot"))
+    keyed = keyed.agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"), F.min(read).alias("first_slot"), F.count(read).alias("n_slots"))
+    cols = ["doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots"]
+    none = {"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long"), "n_slots": F.lit(0).cast("long")}
+    return keyed.select(cols).unionByName(plan.where("size = 0").withColumns(none).select(cols))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-OP1_SQL = r"""
+OP1_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
@@ -175,11 +180,33 @@ levels AS (
   WINDOW w AS (ORDER BY cap / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT *, CASE WHEN ratio > level THEN min_by(level, ratio) FILTER (WHERE ratio > level) OVER () * weight ELSE cap END AS target FROM levels),
+src2 AS (
+  SELECT *, CASE WHEN source_size > 0 THEN turns * blocks + CAST(ceil((goal - turns * source_size) / 2048.0) AS BIGINT) ELSE 0 END AS slots
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS turns, CAST(ceil(source_size / 2048.0) AS BIGINT) AS blocks
+    FROM (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS goal FROM targets))),
+src3 AS (SELECT *, CAST(sum(slots) OVER (ORDER BY source_rank) AS BIGINT) AS slot_to FROM src2),
+src4 AS (SELECT *, slot_to - slots AS slot_from, max(slot_to) OVER () AS total FROM src3),
+points AS (SELECT slot, x - floor(x) AS u FROM (
+  SELECT slot, CAST(slot >> 20 AS DOUBLE) * CAST('{((1 << 20) * PHI) % 1.0!r}' AS DOUBLE) + CAST(slot & 1048575 AS DOUBLE) * CAST('{PHI!r}' AS DOUBLE) AS x
+  FROM (SELECT unnest(range((SELECT coalesce(max(total), 0) FROM src4))) AS slot))),
+drawn AS (
+  SELECT t.*, p.slot, row_number() OVER (PARTITION BY t.source_rank ORDER BY p.slot) - 1 AS rank
+  FROM points p JOIN src4 t ON t.slots > 0 AND p.u * t.total >= t.slot_from AND p.u * t.total < t.slot_to),
+got AS (SELECT t.source_rank, count(d.slot) AS got FROM src4 t LEFT JOIN drawn d USING (source_rank) GROUP BY t.source_rank),
+ranked AS (
+  SELECT source_rank, slot, rank, blocks, goal, source_size FROM drawn WHERE rank < slots
+  UNION ALL SELECT source_rank, total + rank - got, rank, blocks, goal, source_size
+    FROM (SELECT t.*, got, unnest(range(got, t.slots)) AS rank FROM src4 t JOIN got USING (source_rank) WHERE got < t.slots)),
+sched AS (
+  SELECT source_rank, rank % blocks AS block, slot, least((rank % blocks + 1) * 2048, source_size, goal - rank // blocks * source_size) AS slot_end FROM ranked),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS goal,
+  SELECT row_number() OVER () AS rid, s.doc_id, s.size, t.source_rank, t.source_size, t.target,
     CAST(coalesce(sum(s.size) OVER (PARTITION BY t.source_rank ORDER BY s.h, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(
-    greatest(0, least(start + size, goal) - start) + greatest(0, least(start + size, goal - source_size) - start) AS BIGINT) AS taken
-FROM placed
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+pieces AS (
+  SELECT rid, source_rank, block, greatest(start, block * 2048) AS low, least(start + size, (block + 1) * 2048) AS high
+  FROM (SELECT *, unnest(range(start // 2048, (start + size - 1) // 2048 + 1)) AS block FROM placed WHERE size > 0)),
+reads AS (SELECT rid, slot, least(high, slot_end) - low AS n FROM pieces JOIN sched USING (source_rank, block) WHERE least(high, slot_end) > low),
+sums AS (SELECT rid, CAST(sum(n) AS BIGINT) AS taken, min(slot) AS first_slot, count(*) AS n_slots FROM reads GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots FROM placed LEFT JOIN sums USING (rid)
 """
