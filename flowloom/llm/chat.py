@@ -4,8 +4,9 @@ Template, one line group per turn:  `### Name: ` body ` </turn>` newline. In a b
 makes the next character literal; an unescaped ` </turn>` with its newline ends the turn. The three usual
 roles have names of their own; any other role stands after an `@`.
 
-Every turn is first rendered as it is and reparsed by the deterministic parser; only where the recovered
-turn differs from the source are its control strings escaped, and it is parsed again. The whole
+Every turn is first rendered as it is and reparsed by the deterministic parser, which takes no unescaped `### ` or
+`</turn>` in a body; where it finds one, or the recovered turn differs from the source, the turn's control strings are
+escaped, and it is parsed again. The whole
 conversation is then parsed once more and must give back all turns.
 """
 
@@ -41,7 +42,7 @@ def head(role: str) -> str:
 
 
 _HEAD = re.compile(r"### (?:(User|Assistant|System)|@((?:[^\\:]|\\.)*)): ", re.S)
-_STOP = re.compile(r"\\.|" + re.escape(END), re.S)
+_STOP = re.compile(r"\\.|" + re.escape(END) + "|### |</turn>", re.S)
 
 
 def parse(formatted: str) -> list[tuple[str, int, int]] | None:
@@ -55,7 +56,7 @@ def parse(formatted: str) -> list[tuple[str, int, int]] | None:
         start = at = m.end()
         while True:
             stop = _STOP.search(formatted, at)
-            if not stop:
+            if not stop or stop[0] in ("### ", "</turn>"):
                 return None
             at = stop.end()
             if stop[0] == END:
@@ -146,7 +147,7 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 t AS (
-  SELECT *, CASE WHEN contains(text, '\') OR contains(text, ' </turn>' || chr(10))
+  SELECT *, CASE WHEN contains(text, '\') OR contains(text, '### ') OR contains(text, '</turn>')
       THEN replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>') ELSE text END AS body,
     CASE WHEN role IN ('user', 'assistant', 'system') THEN length(role)
       ELSE 1 + length(replace(replace(role, '\', '\\'), ':', '\:')) END AS name_chars
