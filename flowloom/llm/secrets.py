@@ -30,28 +30,42 @@ KINDS = ("assign", "access", "hex", "login", "token", "endpoint")
 SPANS = "array<struct<start:long,end:long>>"
 
 
-def spans(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
-    """Code point spans of the leftmost non-overlapping matches, from the pieces between them."""
+#: Matches that one fold takes: a fold copies its list at each step, so a text of many matches is folded in parts.
+FOLD = 256
+
+
+def let(value: Column, use) -> Column:
+    return F.transform(F.array(value), use)[0]
+
+
+def spans(text: Column, pattern: str, group: int | None = None, least: int = 0, accept=None) -> Column:
+    """Code point spans of the leftmost non-overlapping matches, from the pieces between them.
+
+    Only matches whose group has `least` characters and whose text `accept` takes count. The places inside a part of FOLD
+    matches come from a fold, those of the parts from a fold over parts, so work grows little faster than the matches.
+    """
     long = lambda c: c.cast("long")
     lengths = lambda c: F.transform(c, lambda x: long(F.length(x)))
-    gaps, hits = lengths(F.split(text, pattern, -1)), lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    held = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else hits
-    steps = F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h"), held.alias("v")), lambda x: x)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,v:bigint>>")
+    found = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    good = F.transform(found(group or 0), lambda x: F.length(x) >= least)
+    if accept is not None:
+        good = F.transform(found(0), accept)
+    steps = F.arrays_zip(lengths(F.split(text, pattern, -1)).alias("g"), lengths(found(0)).alias("h"), good.alias("v"))
+    zero, kind = F.lit(0).cast("long"), "array<struct<start:bigint,end:bigint,v:boolean>>"
 
     def step(a, x):
         start = a["at"] + x["g"]
-        end = start + F.coalesce(x["h"], F.lit(0).cast("long"))
-        one = F.struct(start.alias("start"), end.alias("end"), x["v"].alias("v"))
-        return F.struct(end.alias("at"), F.when(x["h"].isNull() | (x["v"] < least), a["out"]).otherwise(F.concat(a["out"], F.array(one))).alias("out"))
-
-    folded = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda a: F.transform(a["out"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(SPANS))
+        end = start + F.coalesce(x["h"], zero)
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.coalesce(x["v"], F.lit(False)).alias("v")))).alias("out"))
 
+    def places(all_):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / FOLD).cast("int")), lambda i: F.slice(all_, i * FOLD + 1, FOLD))
+        folded = F.transform(parts, lambda p: F.aggregate(p, F.struct(zero.alias("at"), F.array().cast(kind).alias("out")), step))
+        first = lambda f: F.aggregate(f, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        moved = let(folded, lambda f: F.zip_with(f, first(f), lambda x, low: F.transform(F.filter(x["out"], lambda s: s["v"]), lambda s: F.struct((s["start"] + low).alias("start"), (s["end"] + low).alias("end")))))
+        return F.flatten(moved)
 
-def mixed(text: Column, found: Column) -> Column:
-    """Those spans whose text has a digit and a letter."""
-    return F.filter(found, lambda s: F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).rlike("[0-9]") & F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).rlike("[A-Za-z]"))
+    return F.when(text.rlike(pattern), let(steps, places)).otherwise(F.array().cast(SPANS))
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -60,9 +74,9 @@ def parts(docs: DataFrame) -> DataFrame:
     found = docs.select(
         "doc_id", F.xxhash64("text").alias("h"), "text",
         spans(F.col("text"), ASSIGN, 2, ASSIGNED).alias("assign"), spans(F.col("text"), ACCESS).alias("access"), spans(F.col("text"), HEX).alias("hex"),
-        spans(F.col("text"), LOGIN).alias("login"), spans(F.col("text"), TOKEN).alias("token"), spans(F.col("text"), ENDPOINT).alias("endpoint"),
+        spans(F.col("text"), LOGIN).alias("login"), spans(F.col("text"), TOKEN, accept=lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]")).alias("token"), spans(F.col("text"), ENDPOINT).alias("endpoint"),
     )
-    token = F.when(F.size("token") > 0, F.array_except(mixed(F.col("text"), F.col("token")), F.concat("assign", "access", "hex"))).otherwise(F.col("token"))
+    token = F.when(F.size("token") > 0, F.array_except("token", F.concat("assign", "access", "hex"))).otherwise(F.col("token"))
     return found.withColumn("token", token).drop("text")
 
 
@@ -93,7 +107,9 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, h, base and spans: arrays of (start, kind, end), kind an index into KINDS, in order.
 
     base holds the strong patterns alone, spans those and the linked weak parts. One row per input row; null and
-    empty texts have no spans.
+    empty texts have no spans, an empty table gives no rows, and other columns are ignored. Spans with one start stand in the order of
+    KINDS. Rows that repeat a document get the same spans each; rows with one id are told apart by their texts. A text is taken whole,
+    however long.
     """
     found = materialize(parts(docs))
     base = F.flatten(F.array(*[tagged(k) for k in KINDS[:3]]))
