@@ -25,5 +25,6 @@ def oracle_sql():
         "op1_mixing": mixing.OP1_SQL,
         "op2_quality": quality.OP2_SQL,
         "op4_chat": chat.OP4_SQL,
+        "op5_fingerprint": fingerprint.OP5_SQL,
         "op8_secrets": secrets.OP8_SQL,
     }
