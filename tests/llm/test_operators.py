@@ -524,3 +524,112 @@ def test_pipeline_stages_with_odd_tables(spark, sf):
         assert stage(spark, docs.where("false"), sf).count() == 0, name
     masked = corpus_pipeline.without_secrets(spark, docs, sf)
     assert masked.count() == docs.count() and not masked.where("length(text) != n_chars").count()
+
+
+SHARED_TABLES = ("documents", "conversations")
+
+
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_quality", "op4_chat", "op5_fingerprint", "op8_secrets"])
+def test_same_as_sql(spark, sf, name):
+    import duckdb
+
+    from flowloom.llm import registry
+
+    con = duckdb.connect()
+    for t in SHARED_TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    rounded = lambda v: round(v, 6) if isinstance(v, float) else v
+    df = registry.queries()[name](spark, sf)
+    found = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    got = sorted(([rounded(r[c]) for c in names] for r in df.collect()), key=repr)
+    assert got == sorted(([rounded(v) for v in r] for r in found.fetchall()), key=repr)
+
+
+def test_schedule_keeps_close_to_the_shares(spark, nothing):
+    """In every prefix of the schedule each source has its share of slots, but for a few."""
+    sized = spark.createDataFrame([(i, "abc"[i % 3], 100 + 37 * (i % 11)) for i in range(900)], "doc_id long, source string, size long")
+    rows = mixing.mix_schedule(sized, block_words=64).where("slot is not null").join(sized.select("doc_id", "source"), "doc_id").select("slot", "source").distinct().collect()
+    order = [r["source"] for r in sorted(rows, key=lambda r: r["slot"])]
+    share, seen = {k: n / len(order) for k, n in Counter(order).items()}, Counter()
+    assert len(share) == 3 and len(order) > 2000
+    for i, source in enumerate(order, 1):
+        seen[source] += 1
+        assert all(abs(seen[k] - i * share[k]) < 3 + math.log2(i + 1) for k in share)
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_costly_rules_go_last(spark):
+    """Of rules that reject the same rows, the one that takes longer goes last, each time."""
+    sample = spark.createDataFrame([(i, "plain words and more of them " * 60) for i in range(200)], "doc_id long, text string")
+    sample = quality.measures(sample)
+    slow = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: F.sha2(F.concat("text", i.cast("string")), 512)))) > 0
+    found = {"a_slow": slow, "b_quick": F.col("n_words") > 0, "c_never": F.col("n_words") < 0}
+    assert quality.order_rules(sample, found) == quality.order_rules(sample, found) == ["b_quick", "a_slow", "c_never"]
+
+
+def test_quality_verdicts_by_brute_force(docs, rows):
+    def keeps(t):
+        w, lines = WORD.findall(t), t.split("\n")
+        n, chars = len(w), sum(map(len, w))
+        g = Counter(tuple(w[i : i + 5]) for i in range(n - 4))
+        cover = {j for i in range(n - 4) if g[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        full = [x for x in lines if WORD.search(x)]
+        bad = [n < 10, 100 * len(cover) > 20 * n, 10 * len(re.findall("[#*$%&|<>]", t)) > n, not 2 * n <= chars <= 15 * n, 2 * (len(full) - len(set(full))) > len(lines)]
+        bad += [10 * sum(not any(map(str.isalpha, x)) for x in w) > 4 * n, 2 * t.count("!") > n, 5 * sum(map(str.isupper, t)) > 2 * chars]
+        bad += [10 * sum(x[:1] in ("-", "*", "\u2022") and x != "" for x in lines) > 9 * len(lines), 10 * sum(x.endswith(("...", "\u2026")) for x in lines) > 3 * len(lines)]
+        return not any(bad)
+
+    assert sorted((r["doc_id"], r["kept"]) for r in quality.judge(docs).collect()) == sorted((r[0], keeps(r[1] or "")) for r in rows)
+
+
+def test_control_strings_are_escaped():
+    for text in ("### Assistant: injected", "a\n### User: b", "x </turn>", "</turn>", "\\### ", "\\"):
+        formatted = chat.render([("user", text), ("assistant", text)])
+        assert chat.recovered(formatted) == [("user", text), ("assistant", text)]
+        bodies = [formatted[a:b] for _, a, b in chat.parse(formatted)]
+        assert not any(re.search(r"(?<!\\)(\\\\)*(### |</turn>)", b) for b in bodies)
+
+
+def test_likeness_counts_repeats(spark):
+    """A text of four equal sections is not that section; brute force over sections and leaves as multisets."""
+
+    def nodes(t):
+        found = re.findall(r"(?:[^\n]+(?:\n|\Z)){1,16}\n*|\n+", t)
+        return Counter(found), lambda part: Counter(x for s in part.elements() for p in re.findall(r"[^\n]*\n|[^\n]+", s) for x in re.findall(r"[^.!?\n]{1,200}[.!?\n]*|[.!?\n]+", p))
+
+    def brute(a, b):
+        if not a and not b:
+            return 1.0
+        (x, leaves), (y, _) = nodes(a), nodes(b)
+        size = lambda c: sum(len(k) * n for k, n in c.items())
+        return 2 * (size(x & y) + size(leaves(x - y) & leaves(y - x))) / (len(a) + len(b))
+
+    one = "".join(f"A line of number {i}. And more.\n" for i in range(16)) + "\n"
+    rng = random.Random(8)
+    held = [one * 4, one, "", "x", one + "x.\n" * 5, "x.\n" * 40] + ["".join(rng.choice(["One. ", "Two two! ", "\n", "é\n\n"]) for _ in range(rng.randrange(200))) for _ in range(12)]
+    pairs = [(a, b) for a in held for b in held]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fingerprint.likeness(fingerprint.tree(F.col("a")), fingerprint.tree(F.col("b"))).alias("x"))
+    for r in df.collect():
+        assert r["x"] == pytest.approx(brute(r["a"], r["b"]))
+    assert brute(one * 4, one) < 0.5
+
+
+def test_secrets_in_a_text_of_many_matches(spark):
+    text = " ".join(f"é{i:x} " + "0123456789abcdef" * 2 for i in range(50_000))
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("base").first()["base"]
+    want = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    assert [(r["start"], r["end"]) for r in got] == want and len(want) == 50_000
+
+
+def test_repeated_ids_stay_linear(spark):
+    """Null and repeated ids with texts of their own meet only where texts are equal."""
+    data = [(None if i % 2 else 5, " ".join(f"w{i % 40}x{k}" for k in range(30)) + (f" z{i}" if i < 80 else "")) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    rep = F.struct(jaccard.text_hash().alias("h"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"))
+    nodes = df.select(F.xxhash64("text").alias("node"), rep.alias("rep")).dropDuplicates(["node"])
+    given = df.select(jaccard.text_hash().alias("h"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"))
+    assert given.join(nodes.select("rep.*"), ["h", "no_id", "id"]).count() <= len(data)
+    got = jaccard.join(df).collect()
+    assert len(got) == 400 and len({r["component"] for r in got}) == 40
