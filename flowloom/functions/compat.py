@@ -2,55 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.geo import distance, length2
 
 
+#: Columns of with_geometry(): length, its square, midpoint.
+GEOMETRY = ("len", "l2", "mx", "my")
+
+
+def with_geometry(edges: DataFrame) -> DataFrame:
+    """edges(fx, fy, tx, ty, ...) with GEOMETRY, so that a join of pairs computes them once for each edge."""
+    ends = ("fx", "fy", "tx", "ty")
+    return edges.withColumns({"len": distance(*ends), "l2": length2(*ends), "mx": (F.col("fx") + F.col("tx")) / 2, "my": (F.col("fy") + F.col("ty")) / 2})
+
+
 def _of(p: str):
     return tuple(F.col(f"{p}.{c}") for c in ("fx", "fy", "tx", "ty"))
 
 
-def _len(p):
-    return distance(*_of(p))
+def _geometry(p: str, known: bool):
+    """GEOMETRY of p: its own columns if they are known, else from its ends."""
+    if known:
+        return tuple(F.col(f"{p}.{c}") for c in GEOMETRY)
+    ax, ay, bx, by = _of(p)
+    return distance(ax, ay, bx, by), length2(ax, ay, bx, by), (ax + bx) / 2, (ay + by) / 2
 
 
-def angle(p: str, q: str) -> Column:
+def angle(p: str, q: str, known: bool = False) -> Column:
     (ax, ay, bx, by), (cx, cy, dx, dy) = _of(p), _of(q)
     dot = (bx - ax) * (dx - cx) + (by - ay) * (dy - cy)
-    return F.abs(dot / (_len(p) * _len(q)))
+    return F.abs(dot / (_geometry(p, known)[0] * _geometry(q, known)[0]))
 
 
-def scale(p: str, q: str) -> Column:
-    a, b = _len(p), _len(q)
+def scale(p: str, q: str, known: bool = False) -> Column:
+    a, b = _geometry(p, known)[0], _geometry(q, known)[0]
     mean = (a + b) / 2
     return F.lit(2.0) / (mean / F.least(a, b) + F.greatest(a, b) / mean)
 
 
-def _middle(p):
-    ax, ay, bx, by = _of(p)
-    return (ax + bx) / 2, (ay + by) / 2
-
-
-def position(p: str, q: str) -> Column:
-    mean = (_len(p) + _len(q)) / 2
-    return mean / (mean + distance(*_middle(p), *_middle(q)))
+def position(p: str, q: str, known: bool = False) -> Column:
+    (a, _, ax, ay), (b, _, bx, by) = _geometry(p, known), _geometry(q, known)
+    mean = (a + b) / 2
+    return mean / (mean + distance(ax, ay, bx, by))
 
 
-def _seen(p: str, q: str) -> Column:
+def _seen(p: str, q: str, known: bool) -> Column:
     """Visibility of q from p, by the places r0, r1 of q's ends on p's line; 0 where both fall together."""
     ax, ay, bx, by = _of(p)
     cx, cy, dx, dy = _of(q)
-    whole = length2(ax, ay, bx, by)
+    whole = _geometry(p, known)[1]
     r0 = ((cx - ax) * (bx - ax) + (cy - ay) * (by - ay)) / whole
     r1 = ((dx - ax) * (bx - ax) + (dy - ay) * (by - ay)) / whole
     return F.when(r0 == r1, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(2.0) * F.abs(F.lit(0.5) - (r0 + r1) / 2) / F.abs(r1 - r0)))
 
 
-def visibility(p: str, q: str) -> Column:
-    return F.least(_seen(p, q), _seen(q, p))
+def visibility(p: str, q: str, known: bool = False) -> Column:
+    return F.least(_seen(p, q, known), _seen(q, p, known))
 
 
-def score(p: str, q: str) -> Column:
-    return angle(p, q) * scale(p, q) * position(p, q) * visibility(p, q)
+def score(p: str, q: str, known: bool = False) -> Column:
+    return angle(p, q, known) * scale(p, q, known) * position(p, q, known) * visibility(p, q, known)

@@ -107,20 +107,32 @@ def parse(query: str):
     return tree
 
 
+def without_stop_words(tree):
+    """The tree without stop words and what they leave empty; None if nothing is left."""
+    if isinstance(tree, str):
+        return None if tree in STOP else tree
+    parts = [without_stop_words(x) for x in tree[1:]]
+    if tree[0] == "!":
+        return None if parts[0] is None else ("!", parts[0])
+    left = [x for x in parts if x is not None]
+    return (tree[0], *left) if len(left) == 2 else left[0] if left else None
+
+
 def matches(text: Column, query: str, stemmed: bool = True) -> Column:
-    """True where the text satisfies the query. Stop words in the query match every text, as in a text search index."""
+    """True where the text satisfies the query. Stemmed queries lose their stop words; one of stop words alone matches no text."""
+    tree = parse(query)
     held = words(text)
     if stemmed:
-        held = F.transform(held, stem_column)
+        held, tree = F.transform(held, stem_column), without_stop_words(tree)
+        if tree is None:
+            return F.lit(False)
 
     def test(tree) -> Column:
         if isinstance(tree, str):
-            if stemmed and tree in STOP:
-                return F.lit(True)
             return F.array_contains(held, stem(tree) if stemmed else tree)
         if tree[0] == "!":
             return ~test(tree[1])
         a, b = test(tree[1]), test(tree[2])
         return a & b if tree[0] == "&" else a | b
 
-    return test(parse(query))
+    return test(tree)

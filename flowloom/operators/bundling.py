@@ -24,10 +24,10 @@ CYCLES, ITERATIONS, DECAY, STIFFNESS, EPS = 6, 50, 2 / 3, 0.1, 1e-6
 MOST_RATIO = (0.4 + math.sqrt(0.16 + 4 * 0.6 * 3.4)) / 1.2
 
 
-def with_geometry(edges: DataFrame) -> DataFrame:
-    """edges(id, fx, fy, tx, ty) with length, midpoint and the bands of the join."""
-    rows = edges.withColumn("len", F.sqrt(length2("fx", "fy", "tx", "ty"))).where("len > 0")
-    return rows.withColumns({"mx": (F.col("fx") + F.col("tx")) / 2, "my": (F.col("fy") + F.col("ty")) / 2, "band": F.floor(F.log("len") / F.lit(math.log(MOST_RATIO))).cast("long")})
+def with_bands(edges: DataFrame) -> DataFrame:
+    """edges(id, fx, fy, tx, ty) with their geometry and the length bands of the join."""
+    rows = compat.with_geometry(edges).where("len > 0")
+    return rows.withColumn("band", F.floor(F.log("len") / F.lit(math.log(MOST_RATIO))).cast("long"))
 
 
 def compatible_pairs(edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -39,10 +39,10 @@ def compatible_pairs(edges: DataFrame, threshold: float = THRESHOLD) -> DataFram
     """
     if threshold < THRESHOLD:
         raise ValueError("the prunes hold for thresholds from 0.6 on")
-    rows = with_geometry(edges)
+    rows = with_bands(edges)
     width = lambda band: F.lit(1 / THRESHOLD - 1) * F.exp((band + 1) * F.lit(math.log(MOST_RATIO)))
     cells = lambda rows: rows.withColumns({"i": F.floor(F.col("mx") / width(F.col("scheme"))).cast("long"), "j": F.floor(F.col("my") / width(F.col("scheme"))).cast("long")})
-    keep = ["id", "fx", "fy", "tx", "ty", "len", "mx", "my", "band", "scheme", "i", "j"]
+    keep = ["id", "fx", "fy", "tx", "ty", *compat.GEOMETRY, "band", "scheme", "i", "j"]
     own = cells(rows.withColumn("scheme", F.col("band"))).select(keep)
     both = cells(rows.withColumn("scheme", F.explode(F.array("band", F.col("band") + 1)))).select(keep)
     near = F.sequence(F.lit(-1), F.lit(1))
@@ -55,7 +55,11 @@ def compatible_pairs(edges: DataFrame, threshold: float = THRESHOLD) -> DataFram
     close = length2("p.mx", "p.my", "q.mx", "q.my") < (mean * (1 / THRESHOLD - 1)) * (mean * (1 / THRESHOLD - 1))
     alike = F.greatest("p.len", "q.len") < F.least("p.len", "q.len") * MOST_RATIO
     pairs = p.join(q, same & once & close & alike)
-    scored = pairs.withColumn("score", compat.score("p", "q")).where(F.col("score") > threshold)
+    # No factor is above 1 by more than its last bits, so a pair whose product falls below the threshold needs no further factor.
+    low = threshold - 1e-9
+    scored = pairs.withColumn("score", compat.angle("p", "q", True) * compat.scale("p", "q", True)).where(F.col("score") > low)
+    scored = scored.withColumn("score", F.col("score") * compat.position("p", "q", True)).where(F.col("score") > low)
+    scored = scored.withColumn("score", F.col("score") * compat.visibility("p", "q", True)).where(F.col("score") > threshold)
     return scored.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), "score")
 
 

@@ -96,10 +96,13 @@ def absorb_overlaps(clusters: DataFrame, targets: DataFrame, radius: float, shar
 
     clusters(id, x, y), targets(id, target).
     """
-    sets = targets.groupBy("id").agg(F.collect_set("target").alias("t"))
-    near = radius_join(clusters, clusters, radius).where("id < other")
-    both = near.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("t").alias("u")), "other")
-    alike = F.size(F.array_intersect("t", "u")) / F.least(F.size("t"), F.size("u"))
+    links = targets.select("id", "target").distinct()
+    sizes = links.groupBy("id").agg(F.count("*").alias("size"))
+    near = radius_join(clusters, clusters, radius).where("id < other").select("id", "other")
+    # One row for each target of the first cluster of a pair, and a sum: no set is gathered.
+    hit = near.join(links, "id").join(links.select(F.col("id").alias("other"), "target"), ["other", "target"]).groupBy("id", "other").agg(F.count("*").alias("shared"))
+    both = hit.join(sizes, "id").join(sizes.select(F.col("id").alias("other"), F.col("size").alias("size2")), "other")
+    alike = F.col("shared") / F.least("size", "size2")
     return both.where(alike > share).select(F.col("id").alias("keep"), F.col("other").alias("drop"), alike.alias("similarity"))
 
 

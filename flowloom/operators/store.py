@@ -11,15 +11,18 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset (tests, local mode)."""
+    """spark.checkpoint.dir of the session, or the context's checkpoint folder. A temporary folder only in local mode (tests), where
+    driver and executors are one process; elsewhere a missing setting is an error, as executors would not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    own = getattr(spark, "_flowloom_store", None)
-    if own is None:
-        own = spark._flowloom_store = tempfile.mkdtemp(prefix="flowloom-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="flowloom-"))
+    return context.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -227,3 +227,41 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = {tuple(r) for r in continuous.totals(spark, str(tmp_path / "out")).select(*edges.KEY, "weight").collect()}
     assert got == {tuple(r) for r in edges.weighted(df).select(*edges.KEY, "weight").collect()}
+
+
+def test_stop_words_leave_the_query(spark):
+    """Stop words drop out of the tree, with whatever they leave empty; a query of them alone matches nothing."""
+    from flowloom.functions import text
+
+    df = spark.createDataFrame([("a dog",), ("red cat",), ("the end",)], "t string")
+    found = lambda q: [r["t"] for r in df.where(text.matches(F.col("t"), q)).collect()]
+    assert found("the | cat") == found("!the & cat") == found("the cat") == ["red cat"]
+    assert found("the") == found("!(the | is)") == []
+    assert found("!cat") == ["a dog", "the end"]
+
+
+def test_factors_from_known_geometry(spark):
+    """The factors are the same from the ends alone and from geometry computed once for each edge."""
+    rng = np.random.default_rng(4)
+    rows = [tuple(map(float, rng.normal(size=4))) for _ in range(20)]
+    e = compat.with_geometry(spark.createDataFrame(rows, "fx double, fy double, tx double, ty double"))
+    pairs = e.alias("p").crossJoin(e.alias("q"))
+    for f in (compat.angle, compat.scale, compat.position, compat.visibility, compat.score):
+        assert pairs.where(f("p", "q") != f("p", "q", True)).count() == 0
+
+
+def test_shared_folder(spark, monkeypatch):
+    from flowloom.operators import store
+
+    class Far:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master, getCheckpointDir = "spark://far:7077", staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Far)
+    Far.sparkContext.getCheckpointDir = staticmethod(lambda: "hdfs://own")
+    assert store.shared_dir(Far) == "hdfs://own"
+    assert store.shared_dir(spark)
