@@ -10,8 +10,10 @@ For these pairs the blocks of a sketch (finer ones, a byte each) are counted fir
 discarded. The overlap of the others is accumulated exactly, column block by column block, and a pair is discarded
 as soon as what is left can't lift it to the bound derived from its sizes. Pairs are never expanded inside a group: sets
 that are equal are one row from the start; each bucket is first compared with one pivot, the links found are joined
-into components, and only sets of different components in a bucket are compared after that, in blocks inside a
-task, which return no more than the pairs that meet the bound.
+into components, and only sets of different components in a bucket are compared after that, in blocks inside a task. Blocks
+return pairs in rounds: one partner for each member, then 16, 256 and so on in all, without those whose
+components have become one meanwhile. So a large group is linked by about as many pairs as it has members, and yet every
+pair that the sketch allows is verified, or lies within one component already.
 
 N-grams are 64-bit hashes; a set is told from others by 128 bits.
 """
@@ -35,8 +37,8 @@ FINE = 6
 COLUMNS = 8
 #: Members of a bucket that are compared in one task as one block, about.
 BLOCK = 512
-#: Members above which a bucket leaves a pair to the least of the crowded buckets that the two share.
-CROWDED = 64
+#: Partners of a member that the rounds of the second comparison take: 1, then so many times as many in all, until none is left.
+WIDEN = 16
 #: Sets that a task remembers, so as to cut equal ones into blocks once.
 SEEN = 1 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -205,41 +207,40 @@ def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "n", "sketch", "n2", "sketch2").mapInArrow(run, "a long, b long").distinct()
 
 
-def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a block that stand in different components and that the sketch leaves possible.
+def cross_pairs(rows: DataFrame, percent: int, low: int, high: int) -> DataFrame:
+    """What a round of the second comparison leaves to verify: a, b of pairs, or the key alone of a bucket with more to come.
 
-    rows: key, first, second (the two parts of the bucket compared here), part, own, node, n, label, sketch, and of crowded
-    buckets own_keys, other_keys (all crowded keys of the node); sorted by key, first, second.
+    A member's possible partners in a block are those of other components at the start (label) that the sketch allows, in
+    the order of a hash of the pair. The round takes those at places low to high; partners whose component (now) has
+    become the member's own meanwhile are left out, as such a link would add nothing.
+
+    rows: key, first, second (the two parts of the bucket compared here), part, own, node, n, label, now, sketch; sorted by
+    key, first, second.
     """
 
     def compare(group):
-        found = set()
         size = np.array([g["n"] for g in group])
-        label, part, own = (np.array([g[c] for g in group]) for c in ("label", "part", "own"))
+        node, label, now, part, own = (np.array([g[c] for g in group]) for c in ("node", "label", "now", "part", "own"))
         first, second = group[0]["first"], group[0]["second"]
         length = min(len(g["sketch"]) for g in group)
         sketch = np.stack([folded(g["sketch"], length) for g in group])
-        crowds = [(set(g["own_keys"]), set(g["other_keys"])) if g["own_keys"] is not None else None for g in group]
-
-        def elsewhere(i, j):
-            """Whether a smaller crowded bucket, in which this pair counts too, is the one to return it."""
-            if crowds[i] is None or crowds[j] is None:
-                return False
-            (p, q), (r, t) = crowds[i], crowds[j]
-            return min((p & r) | (p & t) | (q & r)) != group[0]["key"]
-
-        for i in range(len(group)):
-            other = np.flatnonzero((label != label[i]) & (own | own[i]) & ((part == second) if part[i] == first else False))
+        possible = np.zeros((len(group), len(group)), dtype=bool)
+        for i in np.flatnonzero(part == first):
+            other = np.flatnonzero((label != label[i]) & (own | own[i]) & (part == second))
             if first == second:
                 other = other[other > i]
             if len(other):
                 total = size[other] + size[i]
                 bound = total - 2 * (-(-percent * total // (100 + percent)))
-                for j in other[(sketch[other] != sketch[i]).sum(axis=1) <= bound]:
-                    if not elsewhere(i, j):
-                        a, b = group[i]["node"], group[int(j)]["node"]
-                        found.add((min(a, b), max(a, b)))
-        return found
+                possible[i, other] = (sketch[other] != sketch[i]).sum(axis=1) <= bound
+        possible |= possible.T
+        found, more = set(), False
+        for i in np.flatnonzero(possible.any(axis=1)):
+            other = np.flatnonzero(possible[i])
+            other = other[np.argsort(mix((node[other] ^ node[i]).view(np.uint64)), kind="stable")]
+            more = more or bool((now[other[high:]] != now[i]).any())
+            found |= {(min(x, y), max(x, y)) for j in other[low:high] if now[j] != now[i] for x, y in [(int(node[i]), int(node[j]))]}
+        return [(*pair, None) for pair in found] + [(None, None, group[0]["key"])] * more
 
     def run(batches):
         import pyarrow as pa
@@ -247,11 +248,11 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         at, group = None, []
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.int64()) for i in (0, 1, 2)], ["a", "b", "key"])
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                for row in batch.slice(low, 1024).to_pylist():
+            for start in range(0, batch.num_rows, 1024):
+                for row in batch.slice(start, 1024).to_pylist():
                     key = (row["key"], row["first"], row["second"])
                     if key != at and group:
                         yield out(compare(group))
@@ -261,7 +262,16 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if group:
             yield out(compare(group))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, key long").distinct()
+
+
+def dealt(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members of buckets, each bucket in parts of about BLOCK, every two of which meet in one task."""
+    parts = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    both = members.join(sketches, "node").withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    both = both.select("key", F.least("part", "with").alias("first"), F.greatest("part", "with").alias("second"), "part", "own", "node", "n", "label", "now", "sketch")
+    return both.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
 
 
 def incidence(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -342,22 +352,24 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     tried = shared.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     tried = tried.join(sketches.withColumnRenamed("node", "a"), "a").join(sketches.toDF("b", "n2", "sketch2"), "b")
     first = materialize(overlaps(materialize(pivot_pairs(tried, percent)), nodes.select("node", "rep"), docs, percent, words))
-    label = components(first).toDF("node", "label")
+    label = components(first)
     # All have met the pivot; the others of a bucket meet if they stand in different components and one is in its own class.
-    members = shared.where("node != pivot").drop("pivot").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = members.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key)).withColumn("some", F.max("own").over(of_key))
-    open_ = open_.where("low < high and some").drop("low", "high", "some")
-    open_ = materialize(open_)
-    crowd = open_.where(F.col("m") > CROWDED).groupBy("node").agg(F.collect_set(F.when(F.col("own"), F.col("key"))).alias("own_keys"), F.collect_set(F.when(~F.col("own"), F.col("key"))).alias("other_keys"))
-    crowd = crowd.withColumnRenamed("node", "in_crowd")
-    open_ = open_.join(sketches, "node").join(crowd, (F.col("node") == F.col("in_crowd")) & (F.col("m") > CROWDED), "left").drop("in_crowd")
-    parts = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
-    part = F.pmod(F.xxhash64("node"), parts).cast("int")
-    dealt = open_.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", F.least("part", "with").alias("first"), F.greatest("part", "with").alias("second"), "part", "own", "node", "n", "label", "sketch", "own_keys", "other_keys")
-    sorted_ = dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
-    second = overlaps(materialize(cross_pairs(sorted_, percent)), nodes.select("node", "rep"), docs, percent, words)
-    ends = components(materialize(first.union(second))).toDF("node", "label")
+    members = shared.where("node != pivot").drop("pivot").join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members, links = members.withColumn("now", F.col("label")), first
+    low, high = 0, 1
+    while True:
+        apart_ = members.withColumn("least", F.min("now").over(of_key)).withColumn("most", F.max("now").over(of_key)).withColumn("some", F.max("own").over(of_key))
+        members = materialize(apart_.where("least < most and some").drop("least", "most", "some"))
+        found = materialize(cross_pairs(dealt(members, sketches), percent, low, high))
+        pairs, more = found.where("key is null").select("a", "b"), found.where("key is not null").select("key").distinct()
+        if pairs.limit(1).count():
+            links = materialize(links.union(overlaps(pairs, nodes.select("node", "rep"), docs, percent, words)))
+            label = components(links)
+        if not more.limit(1).count():
+            break
+        members = members.drop("now").join(more, "key", "left_semi").join(label.toDF("node", "now"), "node", "left").withColumn("now", F.coalesce("now", "node"))
+        low, high = high, high * WIDEN
+    ends = label.toDF("node", "label")
     placed = nodes.select("node", "least").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     final = placed.join(smallest, "label").select("node", "component_id", "label")
