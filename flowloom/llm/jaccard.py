@@ -11,8 +11,8 @@ discarded. The overlap of the others is accumulated exactly, column block by col
 as soon as what is left can't lift it to the bound derived from its sizes. Pairs are never expanded inside a group: sets
 that are equal are one row from the start; each bucket is first compared with one pivot, the links found are joined
 into components, and only sets of different components in a bucket are compared after that, in blocks inside a task. Blocks
-return pairs in rounds: one partner for each member, then 16, 256 and so on in all, without those whose
-components have become one meanwhile. So a large group is linked by about as many pairs as it has members, and yet every
+return pairs in rounds: one partner for each member, then up to 16, 256 and so on of those whose components have not
+become one meanwhile. So a large group is linked by about as many pairs as it has members, and yet every
 pair that the sketch allows is verified, or lies within one component already.
 
 N-grams are 64-bit hashes; a set is told from others by 128 bits.
@@ -37,7 +37,7 @@ FINE = 6
 COLUMNS = 8
 #: Members of a bucket that are compared in one task as one block, about.
 BLOCK = 512
-#: Partners of a member that the rounds of the second comparison take: 1, then so many times as many in all, until none is left.
+#: Partners of a member that a round of the second comparison takes: 1, in the next so many times as many, until none is left.
 WIDEN = 16
 #: Sets that a task remembers, so as to cut equal ones into blocks once.
 SEEN = 1 << 20
@@ -207,20 +207,20 @@ def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "n", "sketch", "n2", "sketch2").mapInArrow(run, "a long, b long").distinct()
 
 
-def cross_pairs(rows: DataFrame, percent: int, low: int, high: int) -> DataFrame:
-    """What a round of the second comparison leaves to verify: a, b of pairs, or the key alone of a bucket with more to come.
+def cross_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """A round of the second comparison: a, b of pairs to verify, and key, a of each member (in a bucket) of a pair left for later.
 
-    A member's possible partners in a block are those of other components at the start (label) that the sketch allows, in
-    the order of a hash of the pair. The round takes those at places low to high; partners whose component (now) has
-    become the member's own meanwhile are left out, as such a link would add nothing.
+    A member's possible partners in a block are those of other components that the sketch allows, in the order of a hash of
+    the pair. The round takes the first `most` of them. Of the rest, a pair that becomes one component meanwhile
+    would add nothing; the others come again, with a larger `most`.
 
-    rows: key, first, second (the two parts of the bucket compared here), part, own, node, n, label, now, sketch; sorted by
+    rows: key, first, second (the two parts of the bucket compared here), part, own, node, n, label, sketch; sorted by
     key, first, second.
     """
 
     def compare(group):
         size = np.array([g["n"] for g in group])
-        node, label, now, part, own = (np.array([g[c] for g in group]) for c in ("node", "label", "now", "part", "own"))
+        node, label, part, own = (np.array([g[c] for g in group]) for c in ("node", "label", "part", "own"))
         first, second = group[0]["first"], group[0]["second"]
         length = min(len(g["sketch"]) for g in group)
         sketch = np.stack([folded(g["sketch"], length) for g in group])
@@ -234,13 +234,14 @@ def cross_pairs(rows: DataFrame, percent: int, low: int, high: int) -> DataFrame
                 bound = total - 2 * (-(-percent * total // (100 + percent)))
                 possible[i, other] = (sketch[other] != sketch[i]).sum(axis=1) <= bound
         possible |= possible.T
-        found, more = set(), False
+        found, more = set(), set()
         for i in np.flatnonzero(possible.any(axis=1)):
             other = np.flatnonzero(possible[i])
             other = other[np.argsort(mix((node[other] ^ node[i]).view(np.uint64)), kind="stable")]
-            more = more or bool((now[other[high:]] != now[i]).any())
-            found |= {(min(x, y), max(x, y)) for j in other[low:high] if now[j] != now[i] for x, y in [(int(node[i]), int(node[j]))]}
-        return [(*pair, None) for pair in found] + [(None, None, group[0]["key"])] * more
+            found |= {(min(x, y), max(x, y)) for x, y in ((int(node[i]), int(node[j])) for j in other[:most])}
+            if len(other) > most:
+                more |= {int(node[i]), *node[other[most:]].tolist()}
+        return [(*pair, None) for pair in found] + [(x, None, group[0]["key"]) for x in more]
 
     def run(batches):
         import pyarrow as pa
@@ -270,7 +271,7 @@ def dealt(members: DataFrame, sketches: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     both = members.join(sketches, "node").withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    both = both.select("key", F.least("part", "with").alias("first"), F.greatest("part", "with").alias("second"), "part", "own", "node", "n", "label", "now", "sketch")
+    both = both.select("key", F.least("part", "with").alias("first"), F.greatest("part", "with").alias("second"), "part", "own", "node", "n", "label", "sketch")
     return both.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
 
 
@@ -355,20 +356,19 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     label = components(first)
     # All have met the pivot; the others of a bucket meet if they stand in different components and one is in its own class.
     members = shared.where("node != pivot").drop("pivot").join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members, links = members.withColumn("now", F.col("label")), first
-    low, high = 0, 1
+    links, most = first, 1
     while True:
-        apart_ = members.withColumn("least", F.min("now").over(of_key)).withColumn("most", F.max("now").over(of_key)).withColumn("some", F.max("own").over(of_key))
-        members = materialize(apart_.where("least < most and some").drop("least", "most", "some"))
-        found = materialize(cross_pairs(dealt(members, sketches), percent, low, high))
-        pairs, more = found.where("key is null").select("a", "b"), found.where("key is not null").select("key").distinct()
+        low, high, some, m = F.min("label").over(of_key), F.max("label").over(of_key), F.max("own").over(of_key), F.count("*").over(of_key)
+        members = materialize(members.withColumns({"low": low, "high": high, "some": some, "m": m}).where("low < high and some").drop("low", "high", "some"))
+        found = materialize(cross_pairs(dealt(members, sketches), percent, most))
+        pairs, more = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("node")).distinct()
         if pairs.limit(1).count():
             links = materialize(links.union(overlaps(pairs, nodes.select("node", "rep"), docs, percent, words)))
             label = components(links)
         if not more.limit(1).count():
             break
-        members = members.drop("now").join(more, "key", "left_semi").join(label.toDF("node", "now"), "node", "left").withColumn("now", F.coalesce("now", "node"))
-        low, high = high, high * WIDEN
+        members = members.drop("label").join(more, ["key", "node"], "left_semi").join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        most *= WIDEN
     ends = label.toDF("node", "label")
     placed = nodes.select("node", "least").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.groupBy("label").agg(F.min("least").alias("component_id"))

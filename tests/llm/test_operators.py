@@ -633,3 +633,36 @@ def test_repeated_ids_stay_linear(spark):
     assert given.join(nodes.select("rep.*"), ["h", "no_id", "id"]).count() <= len(data)
     got = jaccard.join(df).collect()
     assert len(got) == 400 and len({r["component"] for r in got}) == 40
+
+
+def test_jaccard_links_a_group_by_few_pairs(spark, monkeypatch):
+    """Variants of one text, compared in blocks of 16: all links of brute force, by far fewer pairs than the group has."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    held = {}
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(400), rng.choice((1, 3, 6, 9))):
+            words[at] = f"x{rng.randrange(10**6)}"
+        held[i] = " ".join(words)
+    sets = {i: {tuple(w[j : j + 3]) for j in range(398)} for i, w in ((i, t.split()) for i, t in held.items())}
+    label = {i: i for i in sets}
+    linked = 0
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                linked += 1
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = {k: new if v == old else v for k, v in label.items()}
+    verified, real = [], jaccard.overlaps
+
+    def counting(pairs, *rest):
+        verified.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "overlaps", counting)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    got = jaccard.join(spark.createDataFrame(list(held.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == label
+    assert 1 < len(set(label.values())) < len(label)
+    assert sum(verified) < linked / 2
