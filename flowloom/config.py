@@ -20,7 +20,7 @@ class EngineConfig:
     k: int = 17
     min_zoom: int = 0
     max_zoom: int = 17
-    #: Distinct edges above which bundling becomes incremental; not built, so nothing reads it.
+    #: Distinct edges above which bundling becomes incremental, if the request asks for it.
     incremental_above: int = 1000
     compatibility: float = 0.6
     #: Edges of one component of compatible edges that are bundled at most: the heaviest; the rest stay straight and are counted.

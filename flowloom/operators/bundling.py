@@ -79,13 +79,24 @@ def resample(paths: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def bundle(ends: np.ndarray, pairs: np.ndarray, step: float = 0.025, cycles: int = CYCLES, iterations: int = ITERATIONS) -> np.ndarray:
-    """Force-directed bundling. ends: (n, 4); pairs: (m, 2) of row numbers, in either direction once. Paths (n, points, 2); ends never move."""
+def units(d: np.ndarray) -> np.ndarray:
+    """Directions of the vectors; none where they are shorter than EPS."""
+    size = np.sqrt((d**2).sum(axis=2, keepdims=True))
+    return np.where(size > EPS, d / np.maximum(size, EPS), 0.0)
+
+
+def bundle(ends: np.ndarray, pairs: np.ndarray, step: float = 0.025, cycles: int = CYCLES, iterations: int = ITERATIONS, pulled: np.ndarray | None = None, pulls: np.ndarray | None = None) -> np.ndarray:
+    """Force-directed bundling. ends: (n, 4); pairs: (m, 2) of row numbers, in either direction once. Paths (n, points, 2); ends never move.
+
+    Row pulled[i] is also drawn to the control points of the segment pulls[i] (k, 4), which stay on it.
+    """
     paths = np.stack((ends[:, :2], ends[:, 2:]), axis=1).astype(float)
     length = np.maximum(np.sqrt(((ends[:, 2:] - ends[:, :2]) ** 2).sum(axis=1)), EPS)
     both = np.concatenate((pairs, pairs[:, ::-1])) if len(pairs) else np.zeros((0, 2), dtype=int)
     parts, s, turns = 1, step, float(iterations)
     paths = resample(paths, 2 * parts)
+    some = pulled is not None and len(pulled) > 0
+    held = resample(np.stack((pulls[:, :2], pulls[:, 2:]), axis=1).astype(float), 2 * parts) if some else None
     for cycle in range(cycles):
         inner = paths.shape[1] - 2
         k = (STIFFNESS / (length * (parts + 1)))[:, None, None]
@@ -93,27 +104,37 @@ def bundle(ends: np.ndarray, pairs: np.ndarray, step: float = 0.025, cycles: int
             spring = (paths[:, :-2] + paths[:, 2:] - 2 * paths[:, 1:-1]) * k
             pull = np.zeros((len(paths), inner, 2))
             if len(both):
-                d = paths[both[:, 1], 1:-1] - paths[both[:, 0], 1:-1]
-                size = np.sqrt((d**2).sum(axis=2, keepdims=True))
-                np.add.at(pull, both[:, 0], np.where(size > EPS, d / np.maximum(size, EPS), 0.0))
+                np.add.at(pull, both[:, 0], units(paths[both[:, 1], 1:-1] - paths[both[:, 0], 1:-1]))
+            if some:
+                np.add.at(pull, pulled, units(held[:, 1:-1] - paths[pulled, 1:-1]))
             paths[:, 1:-1] += s * (spring + pull)
         if cycle + 1 < cycles:
             parts, s, turns = parts * 2, s / 2, turns * DECAY
-        paths = resample(paths, parts * 2 + 1 if cycle + 1 == cycles else parts + 1)
+        points = parts * 2 + 1 if cycle + 1 == cycles else parts + 1
+        paths = resample(paths, points)
+        held = resample(held, points) if some else None
     return paths
 
 
-def beyond(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """Edges (id) that lie beyond the `most` heaviest of their component of compatible edges."""
-    placed = components(pairs).join(edges.select("id", "weight"), "id")
+def beyond(edges: DataFrame, pairs: DataFrame, most: int, label: DataFrame | None = None) -> DataFrame:
+    """Edges (id) that lie beyond the `most` heaviest of their component of compatible edges. label: components(pairs), if at hand."""
+    placed = (components(pairs) if label is None else label).join(edges.select("id", "weight"), "id")
     large = placed.groupBy("component").count().where(F.col("count") > most).select("component")
     rank = F.row_number().over(Window.partitionBy("component").orderBy(F.col("weight").desc(), "id"))
     return placed.join(large, "component").withColumn("rank", rank).where(F.col("rank") > most).select("id")
 
 
-def fdeb(edges: DataFrame, pairs: DataFrame, step: float = 0.025) -> DataFrame:
-    """edges(id, fx, fy, tx, ty, weight) -> id, weight, path (array of struct x, y). Edges without partners stay straight."""
-    label = components(pairs)
+def fdeb(edges: DataFrame, pairs: DataFrame, step: float = 0.025, pulls: DataFrame | None = None, label: DataFrame | None = None) -> DataFrame:
+    """edges(id, fx, fy, tx, ty, weight) -> id, weight, path (array of struct x, y). Edges without partners stay straight.
+
+    pulls(id, fx, fy, tx, ty): fixed segments that draw edge id to them; label: components(pairs), if at hand.
+    """
+    ends = ["fx", "fy", "tx", "ty"]
+    label = components(pairs) if label is None else label
+    links = pairs.select("a", "b", *[F.lit(None).cast("double").alias(c) for c in ends])
+    if pulls is not None:
+        label = label.unionByName(pulls.select("id").distinct().join(label, "id", "left_anti").withColumn("component", F.col("id")))
+        links = links.unionByName(pulls.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), *ends))
     schema = "id long, weight long, path array<struct<x:double,y:double>>"
     straight = edges.join(label, "id", "left_anti").select("id", "weight", F.array(F.struct(F.col("fx").alias("x"), F.col("fy").alias("y")), F.struct(F.col("tx").alias("x"), F.col("ty").alias("y"))).alias("path"))
 
@@ -121,13 +142,15 @@ def fdeb(edges: DataFrame, pairs: DataFrame, step: float = 0.025) -> DataFrame:
         import pandas as pd
 
         nodes = nodes.sort_values("id")
-        at = {v: i for i, v in enumerate(nodes["id"])}
-        link = np.array([[at[a], at[b]] for a, b in zip(links["a"], links["b"], strict=True)], dtype=int).reshape(-1, 2)
-        paths = bundle(nodes[["fx", "fy", "tx", "ty"]].to_numpy(float), link, step)
+        at = pd.Series(np.arange(len(nodes)), index=nodes["id"])
+        inner, fixed = links[links["b"].notna()], links[links["b"].isna()].sort_values(["a", *ends])
+        link = np.stack([at.loc[inner[c].astype("int64")].to_numpy() for c in ("a", "b")], axis=1)
+        paths = bundle(nodes[ends].to_numpy(float), link, step, pulled=at.loc[fixed["a"]].to_numpy(), pulls=fixed[ends].to_numpy(float))
         return pd.DataFrame({"id": nodes["id"].to_numpy(), "weight": nodes["weight"].to_numpy(), "path": [[{"x": float(x), "y": float(y)} for x, y in p] for p in paths]})
 
-    placed = edges.join(label, "id").withColumnRenamed("component", "of_nodes")
-    linked = pairs.join(label.select(F.col("id").alias("a"), F.col("component").alias("of_links")), "a").select("a", "b", "of_links")
+    placed = edges.select("id", *ends, "weight").join(label, "id").withColumnRenamed("component", "of_nodes")
+    # b as text: a long with nulls would become a float in pandas.
+    linked = links.withColumn("b", F.col("b").cast("string")).join(label.select(F.col("id").alias("a"), F.col("component").alias("of_links")), "a").select("a", "b", *ends, "of_links")
     bent = placed.groupBy("of_nodes").cogroup(linked.groupBy("of_links")).applyInPandas(run, schema)
     return bent.unionByName(straight)
 

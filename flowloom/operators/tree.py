@@ -1,10 +1,14 @@
-"""Incremental bundling: representatives of edges in a bounded tree on the driver.
+"""Incremental bundling: representatives of edges in a tree of bounded size, edges themselves in a table.
 
-Known leaves only gain weight. New or moved edges are grouped by greedy star covers over their compatible pairs; each
-group is inserted into the tree under the most compatible representative. A node of 50 children is split in
-two by a spectral cut; at the size cap the new node merges into its most alike sibling instead. The tree's
-size, not the number of edges, bounds the driver's work. No forces act here, and representatives have no control
-points: bundling a batch (B6), bundling changed leaves again (B8) and B13 are not built.
+Each edge seen is a leaf, a row of a table in the shared folder with its bundled path and the tree node that stands for it.
+A step takes the edges as they are now. Known ones only change weights; new ones, and those whose ends moved, are bundled:
+forces act between compatible edges of the batch, and from the compatible representatives, whose control points
+stay on their lines. New edges are then grouped by greedy star covers, and each group's centroid goes into the tree
+below the most compatible node. A node of 50 children is split in two by a spectral cut; at the size cap a new node
+merges into its most alike sibling instead.
+
+Pairs, paths and covers are made by Spark; the driver holds the tree alone (at most SIZE_CAP nodes) and inserts the groups of a
+batch one after another. Weights and centroids of a node are those of all leaves below it.
 """
 
 from __future__ import annotations
@@ -14,33 +18,50 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from flowloom.operators import bundling
+from flowloom.operators.graph import components
+from flowloom.operators.store import settle
 
 SIZE_CAP, CHILDREN, SIGMA = 16_400, 50, 0.2
+#: Score above which a representative pulls an edge, and above which the nodes below it are looked at.
+HIT, DESCEND = 0.6, 0.3
+ENDS = ["fx", "fy", "tx", "ty"]
+LEAVES = "id long, fx double, fy double, tx double, ty double, weight long, node long, lonely boolean, path array<struct<x:double,y:double>>"
+
+
+def scores(p: np.ndarray, q) -> np.ndarray:
+    """Compatibility of each segment of p (n, 4) with the segment q; 0 where it isn't defined."""
+    p, q = np.asarray(p, dtype=float).reshape(-1, 4), np.asarray(q, dtype=float)
+    u, v = p[:, 2:] - p[:, :2], q[2:] - q[:2]
+    lp, lq = np.hypot(u[:, 0], u[:, 1]), math.hypot(*v)
+    good = (lp >= 1e-12) & (lq >= 1e-12)
+    lp, lq = np.where(good, lp, 1.0), lq or 1.0
+    mean = (lp + lq) / 2
+    angle = np.abs(u @ v) / (lp * lq)
+    scale = 2 / (mean / np.minimum(lp, lq) + np.maximum(lp, lq) / mean)
+    apart = np.sqrt((((p[:, :2] + p[:, 2:] - q[:2] - q[2:]) / 2) ** 2).sum(axis=1))
 
+    def seen(start, along, length, first, last):
+        r0, r1 = (((x - start) * along).sum(axis=1) / length**2 for x in (first, last))
+        width = np.abs(r1 - r0)
+        return np.where(width > 0, np.maximum(0.0, 1 - 2 * np.abs(0.5 - (r0 + r1) / 2) / np.where(width > 0, width, 1.0)), 0.0)
 
-def score(p, q) -> float:
-    """Compatibility of two segments (fx, fy, tx, ty); 0 where it isn't defined."""
-    lp, lq = math.hypot(p[2] - p[0], p[3] - p[1]), math.hypot(q[2] - q[0], q[3] - q[1])
-    if lp < 1e-12 or lq < 1e-12:
-        return 0.0
-    mean = (lp + lq) / 2
-    angle = abs((p[2] - p[0]) * (q[2] - q[0]) + (p[3] - p[1]) * (q[3] - q[1])) / (lp * lq)
-    scale = 2 / (mean / min(lp, lq) + max(lp, lq) / mean)
-    apart = math.hypot((p[0] + p[2] - q[0] - q[2]) / 2, (p[1] + p[3] - q[1] - q[3]) / 2)
+    visible = np.minimum(seen(p[:, :2], u, lp, q[None, :2], q[None, 2:]), seen(q[None, :2], v[None], lq, p[:, :2], p[:, 2:]))
+    return np.where(good, angle * scale * mean / (mean + apart) * visible, 0.0)
 
-    def seen(a, b, length):
-        r0 = ((b[0] - a[0]) * (a[2] - a[0]) + (b[1] - a[1]) * (a[3] - a[1])) / length**2
-        r1 = ((b[2] - a[0]) * (a[2] - a[0]) + (b[3] - a[1]) * (a[3] - a[1])) / length**2
-        return 0.0 if r0 == r1 else max(0.0, 1 - 2 * abs(0.5 - (r0 + r1) / 2) / abs(r1 - r0))
 
-    return angle * scale * mean / (mean + apart) * min(seen(p, q, lp), seen(q, p, lq))
+def score(p, q) -> float:
+    return float(scores(np.array([p]), q)[0])
 
 
 @dataclass
 class Node:
-    ends: tuple
+    id: int
+    ends: np.ndarray
     weight: float
-    leaf: bool = True
     parent: Node | None = None
     children: list[Node] = field(default_factory=list)
 
@@ -67,19 +88,13 @@ def star_groups(ids: list[int], pairs: list[tuple[int, int]]) -> list[list[int]]
     return groups
 
 
-def centroid(members: list[tuple[tuple, float]]) -> tuple:
-    """Mean of segments, ends put left to right, by weight."""
-    total = sum(w for _, w in members)
-    sides = [e if (e[0], e[1]) <= (e[2], e[3]) else (e[2], e[3], e[0], e[1]) for e, _ in members]
-    return tuple(sum(e[k] * w for e, (_, w) in zip(sides, members, strict=True)) / total for k in range(4))
-
-
 def spectral_halves(nodes: list[Node]) -> tuple[list[Node], list[Node]]:
     """Two parts by the sign of the second eigenvector of the normalised Laplacian of the score matrix."""
-    n = len(nodes)
-    a = np.array([[1.0 if i == j else math.exp(-((1 - score(nodes[i].ends, nodes[j].ends)) ** 2) / (2 * SIGMA**2)) for j in range(n)] for i in range(n)])
+    ends = np.array([x.ends for x in nodes])
+    a = np.exp(-((1 - np.array([scores(ends, e) for e in ends])) ** 2) / (2 * SIGMA**2))
+    np.fill_diagonal(a, 1.0)
     d = 1 / np.sqrt(a.sum(axis=1))
-    _, v = np.linalg.eigh(np.eye(n) - a * d[:, None] * d[None, :])
+    _, v = np.linalg.eigh(np.eye(len(nodes)) - a * d[:, None] * d[None, :])
     side = v[:, 1] >= np.median(v[:, 1])
     return [x for x, s in zip(nodes, side, strict=True) if s], [x for x, s in zip(nodes, side, strict=True) if not s]
 
@@ -87,63 +102,73 @@ def spectral_halves(nodes: list[Node]) -> tuple[list[Node], list[Node]]:
 class Tree:
     def __init__(self, cap: int = SIZE_CAP, most: int = CHILDREN):
         self.roots: list[Node] = []
-        self.leaves: dict[tuple, Node] = {}
-        self.size, self.cap, self.most = 0, cap, most
-
-    def known(self, key: tuple, weight: float) -> bool:
-        """Adds the weight to a known leaf, as to all nodes above it."""
-        node = self.leaves.get(key)
-        if node is None:
-            return False
-        self._raise(node, node.ends, weight)
-        return True
-
-    def _raise(self, node: Node | None, ends: tuple, weight: float) -> None:
+        self.nodes: dict[int, Node] = {}
+        self.next, self.cap, self.most = 0, cap, most
+
+    def _new(self, ends, weight: float, parent: Node | None = None) -> Node:
+        node = Node(self.next, np.array(ends, dtype=float), float(weight), parent)
+        self.nodes[node.id] = node
+        self.next += 1
+        return node
+
+    def change(self, node: Node | None, sums, weight: float) -> None:
+        """Adds to the weight, and to the weighted sum of ends, of a node and all above it."""
         while node is not None:
-            if not node.leaf:
-                node.ends = centroid([(node.ends, node.weight), (ends, weight)])
-            node.weight += weight
-            node = node.parent
+            total = node.weight + weight
+            if total > 0:
+                node.ends = (node.ends * node.weight + np.asarray(sums, dtype=float)) / total
+            node.weight, node = total, node.parent
 
-    def insert(self, ends: tuple, weight: float, key: tuple | None = None) -> Node:
-        node = Node(ends, weight)
+    def insert(self, ends, weight: float) -> int:
+        """The id of the node that now stands for the segment."""
         if len(self.roots) < self.most:
+            node = self._new(ends, weight)
             self.roots.append(node)
-            self.size += 1
-        else:
-            node = self._place(node)
-        if key is not None:
-            self.leaves[key] = node
-        return node
-
-    def _place(self, node: Node) -> Node:
-        """Best-first descent: go down while a child is more alike than its parent."""
-        best = max(self.roots, key=lambda r: score(r.ends, node.ends))
-        value = score(best.ends, node.ends)
-        while best.children:
-            child = max(best.children, key=lambda c: score(c.ends, node.ends))
-            s = score(child.ends, node.ends)
-            if s <= value:
-                break
-            best, value = child, s
-        if self.size >= self.cap:
-            self._raise(best, node.ends, node.weight)
-            return best
-        if best.leaf and not best.children:
-            copy = Node(best.ends, best.weight, parent=best)
-            best.children.append(copy)
-            best.leaf = False
-            self.size += 1
-            for k, v in self.leaves.items():
-                if v is best:
-                    self.leaves[k] = copy
-        node.parent = best
-        best.children.append(node)
-        self.size += 1
-        self._raise(best, node.ends, node.weight)
-        if len(best.children) > self.most:
-            self._split(best)
-        return node
+            return node.id
+        above = self.nearest(ends)
+        sums = np.asarray(ends, dtype=float) * weight
+        if len(self.nodes) >= self.cap:
+            while above.children:  # the new node would be one of them: it merges into the most alike, at the bottom
+                above = above.children[int(np.argmax(scores([c.ends for c in above.children], ends)))]
+            self.change(above, sums, weight)
+            return above.id
+        if not above.children:
+            # What stands for edges stays at the bottom under its id; a new inner node takes its place.
+            above = self._inner(above)
+        node = self._new(ends, weight, above)
+        above.children.append(node)
+        self.change(above, sums, weight)
+        if len(above.children) >= self.most:
+            self._split(above)
+        return node.id
+
+    def _inner(self, node: Node) -> Node:
+        inner = self._new(node.ends, node.weight, node.parent)
+        siblings = node.parent.children if node.parent else self.roots
+        siblings[siblings.index(node)] = inner
+        inner.children, node.parent = [node], inner
+        return inner
+
+    def nearest(self, ends) -> Node:
+        """Best-first search, from the two upper levels on: the last of the nodes that each score above all before them."""
+        heap, opened = [], set()
+
+        def look_at(nodes):
+            new = [n for n in nodes if n.id not in opened]
+            if new:
+                opened.update(n.id for n in new)
+                for n, value in zip(new, scores([n.ends for n in new], ends).tolist(), strict=True):
+                    heapq.heappush(heap, (-value, n.id))
+
+        look_at(self.roots)
+        look_at([c for r in self.roots for c in r.children])
+        best, top = self.roots[0], -1.0
+        while heap and -heap[0][0] > top:
+            value, i = heapq.heappop(heap)
+            best, top = self.nodes[i], -value
+            known = all(c.id in opened for c in best.children)
+            look_at([g for c in best.children for g in c.children] if known else best.children)
+        return best
 
     def _split(self, node: Node) -> None:
         halves = [h for h in spectral_halves(node.children) if h]
@@ -151,67 +176,126 @@ class Tree:
             return
         node.children = []
         for half in halves:
-            inner = Node(centroid([(c.ends, c.weight) for c in half]), sum(c.weight for c in half), False, node, half)
+            weight = sum(c.weight for c in half)
+            inner = self._new(sum(c.ends * c.weight for c in half) / weight, weight, node)
+            inner.children = half
             for c in half:
                 c.parent = inner
             node.children.append(inner)
-            self.size += 1
-
-    def matches(self, ends: tuple, hit: float = 0.6, descend: float = 0.3) -> list[Node]:
-        """Leaves compatible with a segment; a branch is entered only if its node scores above `descend`."""
-        found, open_ = [], list(self.roots)
-        while open_:
-            node = open_.pop()
-            value = score(node.ends, ends)
-            if node.children:
-                if value > descend:
-                    open_ += node.children
-            elif value > hit:
-                found.append(node)
-        return found
-
-    def representative(self, node: Node) -> Node:
-        return node.parent or node
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ends of all nodes level by level, the row of each one's parent (-1 for roots), and the level bounds."""
+        rows, above, bounds = list(self.roots), [-1] * len(self.roots), [0, len(self.roots)]
+        while bounds[-1] > bounds[-2]:
+            for i in range(bounds[-2], bounds[-1]):
+                rows += rows[i].children
+                above += [i] * len(rows[i].children)
+            bounds.append(len(rows))
+        return np.array([n.ends for n in rows]).reshape(-1, 4), np.array(above, dtype=int), bounds[:-1]
+
+    def partners(self, edges: DataFrame) -> DataFrame:
+        """id, fx, fy, tx, ty: the representatives that pull each edge, turned its way. A branch ends at the first that does, or
+        at one that scores DESCEND or less. The tree goes to the tasks whole: it has a cap."""
+        ends, above, bounds = self.table()
+
+        def run(parts):
+            import pandas as pd
+
+            for part in parts:
+                ids, found = [], [np.zeros((0, 4))]
+                for i, q in zip(part["id"], part[ENDS].to_numpy(float), strict=True):
+                    value = scores(ends, q)
+                    reached = above < 0
+                    for low, high in zip(bounds[1:-1], bounds[2:], strict=True):
+                        up = above[low:high]
+                        reached[low:high] = reached[up] & (value[up] > DESCEND) & (value[up] <= HIT)
+                    hit = ends[reached & (value > HIT)]
+                    turned = ((hit[:, 2:] - hit[:, :2]) @ (q[2:] - q[:2]) < 0)[:, None]
+                    found.append(np.where(turned, hit[:, [2, 3, 0, 1]], hit))
+                    ids += [i] * len(hit)
+                yield pd.DataFrame(np.concatenate(found), columns=ENDS).assign(id=np.array(ids, dtype="int64"))[["id", *ENDS]]
+
+        return edges.select("id", *ENDS).mapInPandas(run, "id long, fx double, fy double, tx double, ty double")
 
     def total(self) -> float:
         return sum(r.weight for r in self.roots)
 
 
-class IncrementalBundler:
-    """Folds batches of edges (key, ends, weight) and their compatible pairs into the tree."""
+def left_to_right(row: str = "") -> list[Column]:
+    """The four coordinates of a segment, the end of smaller x (then y) first."""
+    c = {k: F.col(row + k) for k in ENDS}
+    forward = (c["fx"] < c["tx"]) | ((c["fx"] == c["tx"]) & (c["fy"] <= c["ty"]))
+    return [F.when(forward, c[a]).otherwise(c[b]) for a, b in (("fx", "tx"), ("fy", "ty"), ("tx", "fx"), ("ty", "fy"))]
 
-    def __init__(self, cap: int = SIZE_CAP, most: int = CHILDREN):
-        self.tree = Tree(cap, most)
-
-    def add(self, edges: list[tuple[int, tuple, float]], pairs: list[tuple[int, int]]) -> int:
-        """Number of edges that were new."""
-        new = {i: (ends, w) for i, ends, w in edges if not self.tree.known(tuple(ends), w)}
-        groups = star_groups(sorted(new), [(a, b) for a, b in pairs if a in new and b in new])
-        for group in groups:
-            if len(group) == 1:
-                ends, w = new[group[0]]
-                self.tree.insert(ends, w, tuple(ends))
-                continue
-            members = [new[i] for i in group]
-            parent = self.tree.insert(centroid(members), sum(w for _, w in members))
-            if parent.leaf and not parent.children and self.tree.size + len(group) <= self.tree.cap:
-                parent.leaf = False
-                for ends, w in members:
-                    child = Node(ends, w, parent=parent)
-                    parent.children.append(child)
-                    self.tree.leaves[tuple(ends)] = child
-                self.tree.size += len(group)
-            else:
-                for ends, _ in members:
-                    self.tree.leaves[tuple(ends)] = parent
-        return len(new)
-
-    def paths(self) -> list[tuple[tuple, float, list[tuple[float, float]]]]:
-        """Each known leaf as (ends, weight, path): straight at its ends, drawn towards its representative between."""
-        out = []
-        for ends, node in self.tree.leaves.items():
-            r = self.tree.representative(node).ends
-            flip = math.hypot(r[0] - ends[0], r[1] - ends[1]) + math.hypot(r[2] - ends[2], r[3] - ends[3]) > math.hypot(r[2] - ends[0], r[3] - ends[1]) + math.hypot(r[0] - ends[2], r[1] - ends[3])
-            a, b = ((r[2], r[3]), (r[0], r[1])) if flip else ((r[0], r[1]), (r[2], r[3]))
-            out.append((ends, node.weight, [(ends[0], ends[1]), a, b, (ends[2], ends[3])]))
-        return out
+
+def leaders(edges: DataFrame, pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """id, leader of the star cover, for every edge; label(id, component) tells the components of pairs(a, b), each one task."""
+
+    def run(links):
+        import pandas as pd
+
+        groups = star_groups(sorted({*links["a"], *links["b"]}), list(zip(links["a"], links["b"], strict=True)))
+        return pd.DataFrame([(i, g[0]) for g in groups for i in g], columns=["id", "leader"])
+
+    held = edges.select("id")
+    inside = pairs.join(held.toDF("a"), "a").join(held.toDF("b"), "b").select("a", "b").join(label.toDF("a", "component"), "a")
+    covered = inside.groupBy("component").applyInPandas(run, "id long, leader long")
+    return held.join(covered, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+
+
+class IncrementalBundler:
+    """Bundles growing edges step by step. `tolerance`: how far (in units of the ends) an end may go before its edge is bundled again."""
+
+    def __init__(self, cap: int = SIZE_CAP, most: int = CHILDREN, step: float = 0.025, threshold: float = bundling.THRESHOLD, most_bundled: int = 20000, tolerance: float = 1e-6):
+        self.tree, self.leaves = Tree(cap, most), None
+        self.step, self.threshold, self.most_bundled, self.tolerance = step, threshold, most_bundled, tolerance
+
+    def add(self, edges: DataFrame) -> dict[str, int]:
+        """edges(id, fx, fy, tx, ty, weight): those shown now, ids unique, weights in total. Counts of new, moved, unbundled edges.
+
+        Leaves that are not among them stay as they are. Of a component of compatible edges with more than `most_bundled`, the
+        lightest stay straight (unbundled).
+        """
+        spark = edges.sparkSession
+        leaves = spark.createDataFrame([], LEAVES) if self.leaves is None else self.leaves
+        was = leaves.select("id", F.struct(*ENDS, "weight").alias("was"), "node")
+        far = F.lit(False)
+        for c in ENDS:
+            far = far | (F.abs(F.col(c) - F.col(f"was.{c}")) > self.tolerance)
+        state = edges.select("id", *ENDS, F.col("weight").cast("long").alias("weight")).join(was, "id", "left")
+        state = settle(state.withColumns({"new": F.col("was").isNull(), "moved": F.coalesce(far, F.lit(False))}))
+        known = state.where("not new")
+        sums = [F.sum(F.when(F.col("moved"), a).otherwise(b) * F.col("weight") - b * F.col("was.weight")).alias(k) for k, a, b in zip(ENDS, left_to_right(), left_to_right("was."), strict=True)]
+        for row in known.groupBy("node").agg(F.sum(F.col("weight") - F.col("was.weight")).alias("more"), *sums).orderBy("node").collect():  # one row for each tree node, at most
+            self.tree.change(self.tree.nodes[row["node"]], [row[k] for k in ENDS], row["more"])
+
+        batch = state.where("new or moved").select("id", *ENDS, "weight", "node", "new")
+        pairs = settle(bundling.compatible_pairs(batch, self.threshold))
+        label = components(pairs)
+        left = settle(bundling.beyond(batch, pairs, self.most_bundled, label))
+        unbundled = left.count()
+        if unbundled:
+            pairs = settle(pairs.join(left.toDF("a"), "a", "left_anti").join(left.toDF("b"), "b", "left_anti").select("a", "b", "score"))
+            label = components(pairs)
+        pulls = settle(self.tree.partners(batch))
+        bent = settle(bundling.fdeb(batch, pairs, self.step, pulls, label))
+
+        new = batch.where("new")
+        led = settle(leaders(new, pairs, label))
+        means = [(F.sum(c * F.col("weight")) / F.sum("weight")).alias(k) for k, c in zip(ENDS, left_to_right(), strict=True)]
+        groups = new.join(led, "id").groupBy("leader").agg(F.sum("weight").alias("weight"), *means)
+        placed = [(g["leader"], self.tree.insert([g[k] for k in ENDS], g["weight"])) for g in groups.orderBy("leader").toLocalIterator()]
+        at = spark.createDataFrame(placed, "leader long, at long")
+        nodes = led.join(at, "leader").select("id", "at")
+        partners = label.select("id").union(pulls.select("id")).distinct().withColumn("bent", F.lit(True))
+        done = batch.join(nodes, "id", "left").join(bent.select("id", "path"), "id").join(partners, "id", "left")
+        done = done.select("id", *ENDS, "weight", F.coalesce("node", "at").alias("node"), F.col("bent").isNull().alias("lonely"), "path")
+        kept = leaves.withColumnRenamed("weight", "w").join(batch.select("id"), "id", "left_anti").join(known.where("not moved").select("id", "weight"), "id", "left")
+        kept = kept.select("id", *ENDS, F.coalesce("weight", "w").alias("weight"), "node", "lonely", "path")
+        self.leaves = settle(kept.unionByName(done))
+        counts = state.agg(F.count_if("new").alias("new"), F.count_if("moved").alias("moved")).first()
+        return {"new": counts["new"], "moved": counts["moved"], "unbundled": unbundled}
+
+    def paths(self, edges: DataFrame) -> DataFrame:
+        """id, weight, path, lonely of the leaves of these edges (id)."""
+        return self.leaves.join(edges.select("id"), "id", "left_semi").select("id", "weight", "path", "lonely")

@@ -487,9 +487,9 @@ def treecut_edges(spark, sf_dir):
 # Bundling
 
 
-def _cluster_edges(spark, sf_dir) -> DataFrame:
-    """All flights rolled up to wide tiles of zoom 0, as segments between tile centres."""
-    e = rollup.to_tiles(flight_edges(spark, sf_dir), 0, 80.0).where("ax != bx or ay != by")
+def _cluster_edges(spark, sf_dir, flights=None) -> DataFrame:
+    """All flights (or these edges) rolled up to wide tiles of zoom 0, as segments between tile centres."""
+    e = rollup.to_tiles(flight_edges(spark, sf_dir) if flights is None else flights, 0, 80.0).where("ax != bx or ay != by")
     at = lambda c: (F.col(c) + F.lit(0.5)) * F.lit(10.0) + F.col(c) * F.col(c) * F.lit(0.125)
     return e.select((F.col("ax") * 1000000 + F.col("ay") * 10000 + F.col("bx") * 100 + F.col("by")).alias("id"), at("ax").alias("fx"), at("ay").alias("fy"), at("bx").alias("tx"), at("by").alias("ty"), "weight")
 
@@ -546,16 +546,12 @@ def fdeb_segments(spark, sf_dir):
 
 @query()
 def ifdeb_segments(spark, sf_dir):
-    """Three batches folded into the representative tree. Forces on a batch (B6), changed leaves (B8) and control points (B13) are not built."""
+    """The first half of the time, then all of it, folded into the representative tree."""
     bundler = IncrementalBundler()
-    e = settle(_cluster_edges(spark, sf_dir))
-    pairs = [(r["a"], r["b"]) for r in bundling.compatible_pairs(e).collect()]
-    rows = [(r["id"], (r["fx"], r["fy"], r["tx"], r["ty"]), float(r["weight"])) for r in e.orderBy("id").collect()]
-    for batch in (rows[::2], rows[1::2], rows[::3]):
-        held = {r[0] for r in batch}
-        bundler.add(batch, [(a, b) for a, b in pairs if a in held and b in held])
-    out = [(i, int(w), [(float(x), float(y)) for x, y in p]) for i, (_, w, p) in enumerate(bundler.paths())]
-    return bundling.segments(spark.createDataFrame(out, "id long, weight long, path array<struct<x:double,y:double>>"))
+    for flights in (_two(spark, sf_dir)[0], None):
+        e = settle(_cluster_edges(spark, sf_dir, flights))
+        bundler.add(e)
+    return bundling.segments(bundler.paths(e))
 
 
 # Rendering

@@ -1,7 +1,7 @@
 """A session: requests in, results out. Progressive over time slices for a new query, from kept state for a new viewport.
 
 Points and edges stay DataFrames; `to_json` renders them. State is the weighted edge table alone (written to the
-shared folder after each slice), so a change of zoom or viewport never scans the source again, and a new query
+shared folder after each slice), and with incremental bundling the bundler of the present zoom, so a change of zoom or viewport never scans the source again, and a new query
 starts from nothing.
 """
 
@@ -17,6 +17,7 @@ from flowloom.config import EngineConfig, Request, Result
 from flowloom.functions import geo, text
 from flowloom.operators import bundling, clusters, edges, render, rollup, treecut, viewport
 from flowloom.operators.store import settle
+from flowloom.operators.tree import IncrementalBundler
 from flowloom.streaming import slicing
 
 #: Values of Request.clusteringAlgorithm and of Request.bundlingAlgorithm.
@@ -35,6 +36,7 @@ class EngineSession:
         self.total: DataFrame | None = None
         self.model = clusters.IncrementalKMeans(self.config.k)
         self.centers: list = []
+        self.bundler, self.view = None, None
 
     def handle(self, message: str | dict) -> Iterator[Result]:
         """One result for each slice of a new query (flag N until the last, which has Y); one for a new viewport; none for a heartbeat."""
@@ -94,16 +96,20 @@ class EngineSession:
         return clusters.tiles(bag, self.request.radius, self.config.min_zoom, self.config.max_zoom)
 
     def drawn_edges(self) -> DataFrame:
-        """from_lon, from_lat, to_lon, to_lat, weight of what is shown: clustered, cut to the view, with off-screen ends raised."""
+        """id, from_lon, from_lat, to_lon, to_lat, weight of what is shown: clustered, cut to the view, with off-screen ends raised.
+
+        An edge between clusters keeps its id when their centres move; others are named by their ends.
+        """
         r = self.request
+        named, by_ends = ["id", *edges.ENDS, "weight"], F.xxhash64(*edges.ENDS)
         if not r.clustering:
             e = self.total.select(F.col("lo_lon").alias("from_lon"), F.col("lo_lat").alias("from_lat"), F.col("hi_lon").alias("to_lon"), F.col("hi_lat").alias("to_lat"), "weight")
-            return viewport.edge_classes(e, self.box).select(*edges.ENDS, "weight")
+            return viewport.edge_classes(e, self.box).withColumn("id", by_ends).select(named)
         if r.clusteringAlgorithm != HGC:
             at = self.total.sparkSession.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(self.centers)], "k int, lon double, lat double")
             e = rollup.to_centers(self.total, self.centers).where("a != b")
             e = e.join(at.toDF("a", "from_lon", "from_lat"), "a").join(at.toDF("b", "to_lon", "to_lat"), "b")
-            return viewport.edge_classes(e, self.box).select(*edges.ENDS, "weight")
+            return viewport.edge_classes(e, self.box).withColumn("id", F.xxhash64("a", "b")).select(named)
         zoom, t = self.zoom, settle(self.tiles())
         cen = t.select("zoom", "cell_x", "cell_y", geo.x_lng("mx").alias("lon"), geo.y_lat("my").alias("lat"))
         here = cen.where(F.col("zoom") == zoom)
@@ -111,15 +117,25 @@ class EngineSession:
         e = e.join(here.select(F.col("cell_x").alias("ax"), F.col("cell_y").alias("ay"), F.col("lon").alias("from_lon"), F.col("lat").alias("from_lat")), ["ax", "ay"])
         e = e.join(here.select(F.col("cell_x").alias("bx"), F.col("cell_y").alias("by"), F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat")), ["bx", "by"])
         e = e.where(geo.length2(*edges.ENDS) > self.config.least_length2)
-        e = settle(viewport.edge_classes(e, self.box))
+        e = settle(viewport.edge_classes(e, self.box).withColumn("id", F.xxhash64("ax", "ay", "bx", "by")))
         if not r.treeCut:
-            return e.select(*edges.ENDS, "weight")
+            return e.select(named)
         inner, outer = e.where("edge_class = 'internal'"), e.where("edge_class = 'boundary'")
         out = lambda a, b: F.when(F.col("from_in"), F.col(b)).otherwise(F.col(a))
         cut = outer.select(out("to_lon", "from_lon").alias("in_lon"), out("to_lat", "from_lat").alias("in_lat"), out("ax", "bx").alias("cx"), out("ay", "by").alias("cy"), "weight")
         seen = e.where("from_in").select(F.col("ax").alias("cx"), F.col("ay").alias("cy")).union(e.where("to_in").select("bx", "by"))
         raised = treecut.rewrite(cut, treecut.cut(cut.select("cx", "cy"), seen, zoom), cen, self.config.least_length2)
-        return inner.select(*edges.ENDS, "weight").unionByName(raised.select(F.col("in_lon").alias("from_lon"), F.col("in_lat").alias("from_lat"), F.col("out_lon").alias("to_lon"), F.col("out_lat").alias("to_lat"), "weight"))
+        raised = raised.select(F.col("in_lon").alias("from_lon"), F.col("in_lat").alias("from_lat"), F.col("out_lon").alias("to_lon"), F.col("out_lat").alias("to_lat"), "weight")
+        return inner.select(named).unionByName(raised.withColumn("id", by_ends))
+
+    def incremental(self) -> IncrementalBundler:
+        """The bundler of the present zoom and clustering; another one starts from nothing."""
+        r = self.request
+        view = (r.clustering, r.clusteringAlgorithm, r.zoom, r.radius)
+        if self.bundler is None or self.view != view:
+            self.bundler = IncrementalBundler(step=geo.step_size(r.zoom), threshold=max(self.config.compatibility, bundling.THRESHOLD), most_bundled=self.config.most_bundled)
+            self.view = view
+        return self.bundler
 
     def draw(self, flag: str) -> Result:
         r, result = self.request, Result(flag)
@@ -129,10 +145,16 @@ class EngineSession:
             result.points = settle(self.points())
             result.counters["clustersCnt"] = result.points.count()
         if r.edgeStatus:
-            shown = settle(self.drawn_edges().withColumn("id", F.xxhash64(*edges.ENDS)))
+            shown = settle(self.drawn_edges())
             result.counters["edgesCnt"] = shown.count()
             e = shown.select("id", F.col("from_lon").alias("fx"), F.col("from_lat").alias("fy"), F.col("to_lon").alias("tx"), F.col("to_lat").alias("ty"), "weight")
-            if r.bundling and r.bundlingAlgorithm != CLIENT:
+            if r.bundling and r.bundlingAlgorithm == INCREMENTAL and counts["edges_cnt"] > self.config.incremental_above:
+                bundler = self.incremental()
+                result.counters["unbundledEdgesCnt"] = bundler.add(e)["unbundled"]
+                paths = bundler.paths(e)
+                result.counters["isolatedEdgesCnt"] = paths.where("lonely").count()
+                result.edges = bundling.segments(paths)
+            elif r.bundling and r.bundlingAlgorithm != CLIENT:
                 pairs = settle(bundling.compatible_pairs(e, max(self.config.compatibility, bundling.THRESHOLD)))
                 result.counters["isolatedEdgesCnt"] = edges.isolated(e, pairs).count()
                 # One component is one task: of a larger one the heaviest edges are bundled and the others stay straight.

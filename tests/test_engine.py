@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowloom.config import EngineConfig, Request
 from flowloom.functions import compat, geo, text
 from flowloom.operators import bundling, clusters, edges, treecut, viewport
-from flowloom.operators.tree import IncrementalBundler, Tree, star_groups
+from flowloom.operators.tree import IncrementalBundler, Tree, score, star_groups
 from flowloom.plans import catalog
 from flowloom.sources import derived, ingest
 from flowloom.streaming import continuous, slicing
@@ -136,17 +136,75 @@ def test_bundling_keeps_ends():
     assert paths[0, 33, 1] > 0 and paths[2, 33, 1] < 2
 
 
+def below(node):
+    return [node] if not node.children else [x for c in node.children for x in below(c)]
+
+
 def test_tree_conserves_weight():
     rng = np.random.default_rng(3)
-    tree = Tree(cap=400, most=6)
-    for i in range(300):
-        ends = tuple(rng.uniform(0, 10, 4))
-        tree.insert(ends, 1 + i % 3, ends)
-    assert tree.total() == pytest.approx(sum(1 + i % 3 for i in range(300)))
+    for cap in (60, 400, 10000):
+        tree = Tree(cap=cap, most=6)
+        sums = np.zeros(4)
+        for i in range(300):
+            ends = rng.uniform(0, 10, 4)
+            at = tree.insert(ends, 1 + i % 3)
+            sums += ends * (1 + i % 3)
+            assert not tree.nodes[at].children
+        assert tree.total() == pytest.approx(sum(1 + i % 3 for i in range(300)))
+        assert len(tree.nodes) < cap + 6 and all(len(n.children) <= 6 for n in tree.nodes.values())
+        for node in tree.nodes.values():
+            assert node.weight == pytest.approx(sum(x.weight for x in below(node)))
+            assert node.ends == pytest.approx(sum(x.ends * x.weight for x in below(node)) / node.weight)
+        assert sum(r.ends * r.weight for r in tree.roots) == pytest.approx(sums)
     assert star_groups([1, 2, 3, 4], [(1, 2), (1, 3)]) == [[1, 2, 3], [4]]
+
+
+def test_tree_takes_the_branch_below_a_weaker_root():
+    """The best node lies below a root that is not the best one."""
+    tree = Tree(most=2)
+    for y in (0.0, 30.0):
+        tree.insert((0.0, y, 10.0, y), 1)
+    a, b = tree.roots
+    far = tree._new((0.0, 5.0, 10.0, 5.0), 1, b)
+    b.children = [far]
+    wanted = (0.0, 4.9, 10.0, 4.9)
+    assert score(a.ends, wanted) > score(b.ends, wanted) and tree.nearest(wanted) is far
+
+
+def test_fixed_segments_pull():
+    from flowloom.operators.bundling import bundle
+
+    ends = np.array([[0.0, 0.0, 10.0, 0.0], [0.0, 50.0, 10.0, 50.0]])
+    paths = bundle(ends, np.zeros((0, 2), dtype=int), pulled=np.array([0]), pulls=np.array([[0.0, 1.0, 10.0, 1.0]]))
+    assert 0 < paths[0, 33, 1] <= 1.1 and (paths[1, :, 1] == 50).all()
+    assert (paths[0, 0] == ends[0, :2]).all() and (paths[0, -1] == ends[0, 2:]).all()
+
+
+def test_incremental_bundling_step_by_step(spark):
+    """Batches of parallel edges: pairs across batches act through representatives, weights add up, moved edges are bundled again."""
+    names = "id long, fx double, fy double, tx double, ty double, weight long"
+    first = [(i, 0.0, 0.2 * i, 10.0, 0.2 * i, 2) for i in range(4)] + [(9, 80.0, 80.0, 80.0, 85.0, 1)]
     b = IncrementalBundler(most=4)
-    rows = [(i, (0.0, i * 0.1, 10.0, i * 0.1), 2.0) for i in range(20)]
-    assert b.add(rows, [(i, i + 1) for i in range(19)]) == 20 and b.add(rows, []) == 0
+    assert b.add(spark.createDataFrame(first, names)) == {"new": 5, "moved": 0, "unbundled": 0} and b.tree.total() == 9
+    # Edge 20 is alone in its batch, and runs the other way; the representative of the first batch pulls it.
+    second = [(i, 0.0, 0.2 * i, 10.0, 0.2 * i, 5) for i in range(4)] + [(20, 10.0, 1.0, 0.0, 1.0, 7)]
+    e = spark.createDataFrame(second, names)
+    assert b.add(e) == {"new": 1, "moved": 0, "unbundled": 0} and b.tree.total() == 28
+    rows = {r["id"]: r for r in b.paths(e).collect()}
+    assert set(rows) == {0, 1, 2, 3, 20} and rows[0]["weight"] == 5 and not rows[20]["lonely"]
+    middle = rows[20]["path"][len(rows[20]["path"]) // 2]
+    assert middle["y"] < 1 and tuple(rows[20]["path"][0]) == (10.0, 1.0)
+    assert b.leaves.where("id = 9").first()["lonely"]
+    moved = spark.createDataFrame([(0, 0.0, 0.5, 10.0, 0.5, 6)], names)
+    assert b.add(moved) == {"new": 0, "moved": 1, "unbundled": 0} and b.tree.total() == 29
+    assert tuple(b.paths(moved).first()["path"][0]) == (0.0, 0.5) and b.leaves.count() == 6
+    total = sum(r.ends * r.weight for r in b.tree.roots)
+    want = np.zeros(4)
+    for r in b.leaves.collect():
+        side = [r["fx"], r["fy"], r["tx"], r["ty"]] if (r["fx"], r["fy"]) <= (r["tx"], r["ty"]) else [r["tx"], r["ty"], r["fx"], r["fy"]]
+        want += np.array(side) * r["weight"]
+    assert total == pytest.approx(want)
+    assert b.add(spark.createDataFrame([], names)) == {"new": 0, "moved": 0, "unbundled": 0} and b.leaves.count() == 6
 
 
 def test_drum_golden():

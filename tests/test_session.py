@@ -59,3 +59,22 @@ def test_bound_of_bundling_holds_per_component(spark):
         assert (got.counters["edgesCnt"], got.counters["isolatedEdgesCnt"], got.counters["unbundledEdgesCnt"]) == (10, 1, left)
         # A straight edge is one segment.
         assert got.edges.where("x1 = x2 - 20").count() == left and got.edges.count() > 100
+
+
+def test_incremental_bundling_above_the_bound(spark, sf):
+    """Above incremental_above distinct edges, algorithm 1 folds slices into the tree; below it, it bundles at once."""
+    ask = {"clustering": 1, "clusteringAlgorithm": 0, "zoom": 0, "radius": 80, "bundling": 1, "bundlingAlgorithm": 1, "pointStatus": 0}
+    s = EngineSession(derived.flights(spark, sf), EngineConfig(fixed_days=1300, incremental_above=10), FIRST, LAST, fixed_interval=True)
+    got = list(s.handle(ask))
+    assert len(got) == 2 and got[-1].edges.count() > got[-1].counters["edgesCnt"] > 0
+    shown = s.drawn_edges()
+    assert s.bundler.leaves.count() >= shown.count() == s.bundler.paths(shown).count()
+    assert s.bundler.tree.total() == s.bundler.leaves.agg({"weight": "sum"}).first()[0]
+    kept = s.bundler
+    list(s.handle({"newQuery": False, "lowerLongitude": -100}))
+    assert s.bundler is kept
+    list(s.handle({"zoom": 1, "lowerLongitude": -20, "upperLongitude": 20}))
+    assert s.bundler is not kept
+    s = EngineSession(derived.flights(spark, sf), EngineConfig(fixed_days=1300, incremental_above=10**9), FIRST, LAST, fixed_interval=True)
+    list(s.handle(ask))
+    assert s.bundler is None
