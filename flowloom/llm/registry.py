@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowloom.llm import bpe, brown, chat, fingerprint, jaccard, langid, mixing, quality, secrets, suffixes
+from flowloom.llm import bpe, brown, chat, codes, fingerprint, jaccard, langid, mixing, packing, quality, search, secrets, suffixes
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_secrets": secrets.op8_secrets,
         "op9_langid": langid.op9_langid,
         "op10_jaccard": jaccard.op10_jaccard,
+        "op11_codes": codes.op11_codes,
+        "op12_packing": packing.op12_packing,
+        "op13_search": search.op13_search,
     }
 
 
@@ -27,4 +30,6 @@ def oracle_sql():
         "op4_chat": chat.OP4_SQL,
         "op5_fingerprint": fingerprint.OP5_SQL,
         "op8_secrets": secrets.OP8_SQL,
+        "op11_codes": codes.OP11_SQL,
+        "op13_search": search.OP13_SQL,
     }
