@@ -10,7 +10,7 @@ Spark then numbers the pieces of each length: a running number inside a task, pl
 however common, meets in one task. The number picks the pattern, the sequence and the place in it.
 
 Texts are tokenised in Arrow batches. The tokenizer splits at white space and its normaliser never acts across a space, so
-a text's ids are those of its stretches between spaces and line ends, and each stretch is tokenised once for a task's bounded memo.
+a text's ids are those of its stretches between spaces and line ends, and each stretch is tokenised once for a worker's bounded memo.
 
 Defined cases: a null or empty text has no ids but the closing one; a document too long for one sequence is cut into full pieces and a
 last one that may be shorter; rows that repeat a doc_id, or have none, are documents of their own; an empty table gives no rows;
@@ -20,7 +20,9 @@ other columns are not read. Very long texts cost their ids once, as one row at a
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import Counter
 from itertools import groupby
 
@@ -32,33 +34,62 @@ from flowloom.llm.common import materialize, table
 
 #: Tokens of a sequence at most, and the id that ends each document.
 LENGTH, END = 2048, 0
-#: Stretches of text a task remembers before it starts over, and the longest one that it remembers.
-MEMO, MEMO_CHARS = 400_000, 40
+#: Stretches, and words of them, that a Python worker remembers before it starts over, and the longest stretch that it remembers.
+MEMO, MEMO_CHARS = 500_000, 40
 STEP = 256
 
 
+#: Stretches that are lower-cased and split here, by rule, before the model: no character is composed, none of the contractions or special tokens occur.
+PLAIN = re.compile("[!-&(-;=-{}~\xa1-\u012f]+")
+#: The tokenizer's own split of such a stretch.
+SPLIT = r"\p{L}+|\p{N}|[^\p{L}\p{N}]+"
+#: Characters that stand for bytes in the vocabulary: printable ones of Latin-1 for themselves, the others from 256 on.
+_own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTES = {b: b if b in _own else 256 + i - sum(x < b for x in _own) for i, b in enumerate(range(256))}
+
+
 class Memo(dict):
     """A stretch of text -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, described: str):
         super().__init__()
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(described)
+        self.tokenizer, self.split = Tokenizer.from_str(described), regex.compile(SPLIT).findall
+        self.model, self.words = self.tokenizer.model, {}
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word: the model's, without the tokenizer's costlier steps before it."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+        packed = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(self.words) >= MEMO:
+            self.words.clear()
+        self.words[word] = packed
+        return packed
 
     def __missing__(self, stretch: str) -> bytes:
-        packed = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(stretch) <= MEMO_CHARS and PLAIN.fullmatch(stretch):
+            words = self.words
+            packed = b"".join([words.get(w) or self.word(w) for w in self.split(stretch.lower())])
+        else:
+            packed = array("I", self.tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
         if len(stretch) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
             self[stretch] = packed
         return packed
 
-    def learn(self, stretches: set[str]) -> None:
-        """Tokenises at once what a batch brings that isn't known."""
-        if len(self) + len(stretches) > MEMO:
-            self.clear()
-        new = [s for s in stretches if s not in self and len(s) <= MEMO_CHARS]
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[s] = np.array(e.ids, "<u4").tobytes()
+
+_memo: dict[str, Memo] = {}
+
+
+def memo_of(described: str) -> Memo:
+    """The memo of a Python worker, which outlives a task."""
+    if described not in _memo:
+        _memo.clear()
+        _memo[described] = Memo(described)
+    return _memo[described]
 
 
 def stretches(text: str) -> list[str]:
@@ -76,12 +107,11 @@ def pieces(docs: DataFrame, described: str, length: int = LENGTH, end: int = END
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import pyarrow as pa
 
-        memo, last = Memo(sent.value), np.array([end], "<u4").tobytes()
+        memo, last = memo_of(sent.value), np.array([end], "<u4").tobytes()
         for batch in batches:
             for low in range(0, batch.num_rows, STEP):
                 part = batch.slice(low, STEP)
                 cut = [stretches(t or "") for t in part["text"].to_pylist()]
-                memo.learn(set().union(*cut))
                 out: list[list] = [[], [], [], [], [], []]
                 for doc, own in zip(part["doc_id"].to_pylist(), cut, strict=True):
                     ids = b"".join(map(memo.__getitem__, own)) + last
@@ -215,7 +245,7 @@ def pack(found: DataFrame, length: int = LENGTH) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
     planned = found.sparkSession.sparkContext.broadcast(runs(plan(histogram, length)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    numbered = rows.join(counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before")), ["part", "length"]).select(*names, "local", "before")
+    numbered = rows.join(counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before")).hint("merge"), ["part", "length"]).select(*names, "local", "before")
 
     def place(batches):
         import pyarrow as pa
