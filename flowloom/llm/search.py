@@ -9,8 +9,8 @@ k-th best score found is the query's threshold. Then every other block, sorted b
 until the bound drops below the threshold, which rises as better documents turn up. A block whose bound equals the threshold is
 scored, as a document of equal score and smaller id may lie in it. Results are those of scoring every document.
 
-Nothing is shuffled by term, so a very common term is no hot key, and copies of one document give at most k rows for each batch
-that a task reads. Queries go to the tasks in groups of at most `ITEMS`, which bounds what is broadcast.
+Nothing is shuffled by term, so a very common term is no hot key, and copies of one document give at most k rows for each
+task. Queries go to the tasks in groups of at most `ITEMS`, which bounds what is broadcast.
 
 Defined cases: a text that is null or has no term gives no document (it counts in neither N nor L); an empty table of documents
 gives no rows; a query without terms gives no rows; rows of one item_id, null included, are one item with the terms of all of them;
@@ -41,7 +41,8 @@ VOCABULARY = 1 << 20
 BEST = 10
 #: ASCII digits and letters and all bytes of longer characters are parts of terms; A-Z are lower-cased, the rest are gaps.
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
-STEP = 256
+#: Rows of an Arrow batch handled at once.
+STEP = 128
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -50,7 +51,10 @@ def terms_of(text: str | None) -> list[bytes]:
 
 
 def forward(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n (terms with repeats), terms, tfs, for each text with a term; with a vocabulary, only its terms are listed."""
+    """docs(doc_id, text) -> doc_id, n (terms with repeats), terms (distinct, between spaces), tfs (32-bit integers), for each text with a term.
+
+    With a vocabulary, only its terms are listed.
+    """
     wanted = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 
     def run(batches):
@@ -65,11 +69,11 @@ def forward(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFrame:
                         counts = Counter(found if wanted is None else filter(wanted.value.__contains__, found))
                         ids.append(doc)
                         ns.append(len(found))
-                        terms.append(list(counts))
-                        tfs.append(list(counts.values()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(terms, pa.list_(pa.binary())), pa.array(tfs, pa.list_(pa.int64()))], ["doc_id", "n", "terms", "tfs"])
+                        terms.append(b" ".join(counts).decode("utf-8", "replace"))
+                        tfs.append(np.fromiter(counts.values(), np.int32, len(counts)).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.binary())], ["doc_id", "n", "terms", "tfs"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, terms array<binary>, tfs array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, terms string, tfs binary")
 
 
 def impact(tf: np.ndarray, n: np.ndarray, total: int, length: int) -> np.ndarray:
@@ -81,7 +85,8 @@ def impact(tf: np.ndarray, n: np.ndarray, total: int, length: int) -> np.ndarray
     return (1_000_000_000 * tf) // (1000 * tf + 8 * m)
 
 
-BLOCK = "block long, doc_ids array<long>, ends array<int>, places array<int>, gives array<long>, terms array<binary>, most array<long>"
+#: A block; terms lie between spaces, the other binary columns are arrays of 32-bit integers.
+BLOCK = "block long, doc_ids array<long>, ends binary, places binary, gives binary, terms string, most binary"
 
 
 def index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> tuple[DataFrame, DataFrame, int, int]:
@@ -91,7 +96,7 @@ def index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> tuple[DataFr
     """
     rows = materialize(forward(docs, vocabulary))
     total, length = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequencies = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    frequencies = rows.where("terms != ''").select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
     def pack(batches):
         import pyarrow as pa
@@ -101,29 +106,28 @@ def index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> tuple[DataFr
 
         def block():
             nonlocal number
-            names: dict[bytes, int] = {}
-            ends, places, tf, n = [], [], [], []
-            for _, size, terms, tfs in held:
-                places += [names.setdefault(t, len(names)) for t in terms]
-                tf += tfs
-                n += [size] * len(terms)
-                ends.append(len(places))
-            gives = impact(np.array(tf, np.int64), np.array(n, np.int64), total, length)
+            names: dict[str, int] = {}
+            places = np.array([names.setdefault(t, len(names)) for h in held for t in h[2]], np.int32)
+            sizes = [len(h[2]) for h in held]
+            tf, n = np.concatenate([h[3] for h in held]).astype(np.int64), np.repeat(np.array([h[1] for h in held], np.int64), sizes)
+            gives = impact(tf, n, total, length)
             most = np.zeros(len(names), np.int64)
             np.maximum.at(most, places, gives)
             number += 1
-            row = {"block": number - 1, "doc_ids": [h[0] for h in held], "ends": ends, "places": places, "gives": gives, "terms": list(names), "most": most}
-            kinds = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "ends": pa.list_(pa.int32()), "places": pa.list_(pa.int32()), "gives": pa.list_(pa.int64()), "terms": pa.list_(pa.binary()), "most": pa.list_(pa.int64())}
-            return pa.RecordBatch.from_arrays([pa.array([row[k]], kind) for k, kind in kinds.items()], list(kinds))
+            small = lambda x: pa.array([np.asarray(x, np.int32).tobytes()], pa.binary())
+            cols = [pa.array([number - 1]), pa.array([[h[0] for h in held]], pa.list_(pa.int64())), small(np.cumsum(sizes)), small(places), small(gives), pa.array([" ".join(names)]), small(most)]
+            return pa.RecordBatch.from_arrays(cols, ["block", "doc_ids", "ends", "places", "gives", "terms", "most"])
 
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "terms", "tfs")), strict=True):
-                if row[2]:
-                    held.append(row)
-                    entries += len(row[2])
-                if len(held) >= DOCS or entries >= ENTRIES:
-                    yield block()
-                    held, entries = [], 0
+            for low in range(0, batch.num_rows, STEP):
+                part = batch.slice(low, STEP)
+                for doc, n, terms, tfs in zip(*(part[c].to_pylist() for c in ("doc_id", "n", "terms", "tfs")), strict=True):
+                    if terms:
+                        held.append((doc, n, terms.split(" "), np.frombuffer(tfs, np.int32)))
+                        entries += len(held[-1][2])
+                    if len(held) >= DOCS or entries >= ENTRIES:
+                        yield block()
+                        held, entries = [], 0
         if held:
             yield block()
 
@@ -134,7 +138,7 @@ def index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> tuple[DataFr
 class Queries:
     """Queries as flat arrays: the entries of query i, from starts[i] on, are (place of a term, weight); no query is empty."""
 
-    def __init__(self, found: dict, weights: dict[bytes, int]):
+    def __init__(self, found: dict, weights: dict[str, int]):
         listed = [(item, [t for t in sorted(terms) if t in weights]) for item, terms in found.items()]
         listed = [(item, terms) for item, terms in listed if terms]
         self.items = [item for item, _ in listed]
@@ -143,27 +147,28 @@ class Queries:
         self.weight = np.array([weights[t] for _, terms in listed for t in terms], np.int64)
         self.starts = np.cumsum([0, *(len(terms) for _, terms in listed)])[:-1]
 
-    def bounds(self, terms: list[bytes], most: list[int]) -> np.ndarray:
-        """For each query, what no document of a block scores above."""
-        held = np.zeros(len(self.place), np.int64)
-        for t, x in zip(terms, most, strict=True):
-            if (p := self.place.get(t)) is not None:
-                held[p] = x
-        return np.add.reduceat(held[self.at] * self.weight, self.starts)
+    def bounds(self, batch) -> np.ndarray:
+        """For each block of a batch and each query, what no document of the block scores above."""
+        out, get = [], self.place.get
+        for terms, most in zip(batch["terms"].to_pylist(), batch["most"].to_pylist(), strict=True):
+            held = np.zeros(len(self.place) + 1, np.int64)  # the last place is that of terms in no query
+            held[[get(t, -1) for t in terms.split(" ")]] = np.frombuffer(most, np.int32)
+            out.append(np.add.reduceat(held[self.at] * self.weight, self.starts))
+        return np.array(out)
 
     def scorer(self, block: dict):
-        """A function of a query's number: the scores of a block's documents."""
-        back = np.array([self.place.get(t, -1) for t in block["terms"]], np.int64)
-        at, gives = back[np.array(block["places"], np.int64)], np.array(block["gives"], np.int64)
-        ends, stops = np.array(block["ends"], np.int64), [*self.starts[1:], len(self.at)]
+        """Ids of a block's documents, and a function of a query's number: their scores."""
+        of = lambda c: np.frombuffer(block[c], np.int32)
+        back = np.array([self.place.get(t, -1) for t in block["terms"].split(" ")], np.int64)
+        at, gives, ends, stops = back[of("places")], of("gives").astype(np.int64), of("ends"), [*self.starts[1:], len(self.at)]
 
         def scores(q: int) -> np.ndarray:
-            weight = np.zeros(len(self.place) + 1, np.int64)  # the last place is that of terms in no query
+            weight = np.zeros(len(self.place) + 1, np.int64)
             mine = slice(self.starts[q], stops[q])
             weight[self.at[mine]] = self.weight[mine]
             return np.diff(np.cumsum(weight[at] * gives)[ends - 1], prepend=0)
 
-        return scores
+        return block["doc_ids"], scores
 
 
 def better(row) -> tuple:
@@ -183,6 +188,13 @@ def rows_of(found: list) -> object:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["q", "doc_id", "score"])
 
 
+def slices(batches):
+    """Batches of at most STEP blocks, none empty."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, STEP):
+            yield batch.slice(low, STEP)
+
+
 def highest_blocks(blocks: DataFrame, queries, most: int) -> DataFrame:
     """q, block: the `most` blocks of each query with the highest bounds above 0. Reads the maxima only."""
 
@@ -190,11 +202,9 @@ def highest_blocks(blocks: DataFrame, queries, most: int) -> DataFrame:
         import pyarrow as pa
 
         asked, top, at = queries.value, None, None
-        for batch in batches:
-            bounds = np.array([asked.bounds(t, m) for t, m in zip(batch["terms"].to_pylist(), batch["most"].to_pylist(), strict=True)])
-            if not len(bounds):
-                continue
-            ids = np.repeat(np.array(batch["block"].to_pylist(), np.int64)[:, None], bounds.shape[1], 1)
+        for part in slices(batches):
+            bounds = asked.bounds(part)
+            ids = np.repeat(part["block"].to_numpy()[:, None], bounds.shape[1], 1)
             if top is not None:
                 bounds, ids = np.vstack([top, bounds]), np.vstack([at, ids])
             order = np.argsort(-bounds, axis=0, kind="stable")[:most]
@@ -213,43 +223,38 @@ def score_chosen(blocks: DataFrame, chosen: dict[int, list[int]], queries, k: in
     """The k best (q, doc_id, score) of each chosen pair of block and query."""
 
     def run(batches):
-        for batch in batches:
-            for block in batch.to_pylist():
-                scores, out = queries.value.scorer(block), []
+        for part in slices(batches):
+            out = []
+            for block in part.to_pylist():
+                ids, scores = queries.value.scorer(block)
                 for q in chosen[block["block"]]:
-                    own = [(q, d, s) for d, s in zip(block["doc_ids"], scores(q).tolist(), strict=True) if s > 0]
-                    out += sorted(own, key=better)[:k]
-                yield rows_of(out)
+                    out += sorted(((q, d, s) for d, s in zip(ids, scores(q).tolist(), strict=True) if s > 0), key=better)[:k]
+            yield rows_of(out)
 
     return blocks.where(F.col("block").isin(list(chosen))).mapInArrow(run, "q int, doc_id long, score long")
 
 
 def score_rest(blocks: DataFrame, queries, thresholds, k: int) -> DataFrame:
-    """For each batch a task reads, the k best (q, doc_id, score) of each query that reach its threshold."""
+    """For each task, the k best (q, doc_id, score) of each query that reach its threshold."""
 
     def run(batches):
         asked, floor = queries.value, thresholds.value.copy()
-        for batch in batches:
-            bounds = np.array([asked.bounds(t, m) for t, m in zip(batch["terms"].to_pylist(), batch["most"].to_pylist(), strict=True)])
-            if not len(bounds):
-                continue
-            scorers, out = {}, []
+        best: dict[int, list] = {}
+        for part in slices(batches):
+            bounds, scorers = asked.bounds(part), {}
             for q in np.flatnonzero((bounds >= floor).any(0)).tolist():
-                best: list = []
                 for b in np.argsort(-bounds[:, q], kind="stable").tolist():
                     if bounds[b, q] < floor[q]:
                         break
                     if b not in scorers:
-                        block = batch.slice(b, 1).to_pylist()[0]
-                        scorers[b] = block["doc_ids"], asked.scorer(block)
+                        scorers[b] = asked.scorer(part.slice(b, 1).to_pylist()[0])
                     ids, scores = scorers[b]
                     found = scores(q)
                     at = np.flatnonzero(found >= floor[q]).tolist()
-                    best = sorted([*best, *((q, ids[i], int(found[i])) for i in at)], key=better)[:k]
-                    if len(best) == k:
-                        floor[q] = max(floor[q], best[-1][2])
-                out += best
-            yield rows_of(out)
+                    best[q] = sorted([*best.get(q, []), *((q, ids[i], int(found[i])) for i in at)], key=better)[:k]
+                    if len(best[q]) == k:
+                        floor[q] = max(floor[q], best[q][-1][2])
+        yield rows_of([row for rows in best.values() for row in rows])
 
     return blocks.mapInArrow(run, "q int, doc_id long, score long")
 
@@ -266,10 +271,11 @@ def search(blocks: DataFrame, frequencies: DataFrame, total: int, found: dict, k
     """item_id, rank, doc_id, score: the k best documents with a score above 0 of each of at most ITEMS queries (item -> terms)."""
     spark = blocks.sparkSession
     context = spark.sparkContext
-    wanted = spark.createDataFrame([(bytearray(t),) for t in sorted(set().union(*found.values()))], "term binary")
+    asked_for = {i: {t.decode("utf-8", "replace") for t in terms} for i, terms in found.items()}
+    wanted = spark.createDataFrame([(t,) for t in sorted(set().union(*asked_for.values()))], "term string")
     held = frequencies.join(F.broadcast(wanted), "term").collect()  # one row for each term of the queries at most
-    weights = {bytes(r["term"]): math.floor(1000 * math.log((2 * total + 2) / (2 * r["df"] + 1))) for r in held}
-    asked = Queries(found, weights)
+    weights = {r["term"]: math.floor(1000 * math.log((2 * total + 2) / (2 * r["df"] + 1))) for r in held}
+    asked = Queries(asked_for, weights)
     if not asked.items:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     sent = context.broadcast(asked)
