@@ -526,10 +526,10 @@ def test_pipeline_stages_with_odd_tables(spark, sf):
     assert masked.count() == docs.count() and not masked.where("length(text) != n_chars").count()
 
 
-SHARED_TABLES = ("documents", "conversations")
+SHARED_TABLES = ("documents", "conversations", "embeddings", "benchmark")
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op2_quality", "op4_chat", "op5_fingerprint", "op8_secrets"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_quality", "op4_chat", "op5_fingerprint", "op8_secrets", "op11_codes", "op13_search"])
 def test_same_as_sql(spark, sf, name):
     import duckdb
 
