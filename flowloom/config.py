@@ -23,8 +23,8 @@ class EngineConfig:
     #: Distinct edges above which bundling becomes incremental, if the request asks for it.
     incremental_above: int = 1000
     compatibility: float = 0.6
-    #: Edges of one component of compatible edges that are bundled at most: the heaviest; the rest stay straight and are counted.
-    most_bundled: int = 20000
+    #: Edges of one component of compatible edges above which it is bundled in blocks of as many.
+    bundling_block: int = 20000
 
 
 @dataclass

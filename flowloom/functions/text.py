@@ -1,4 +1,4 @@
-"""Keyword search: tokens, an English stemmer and boolean queries with & | ! and parentheses."""
+"""Keyword search: tokens, English stems and boolean queries with & | ! and parentheses."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowloom.functions.stemmer import stem, stem_column
+
 STOP = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 _WORD = r"[^a-z0-9]+"
 
@@ -16,52 +18,6 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _WORD), lambda w: w != ""))
 
 
-def stem(word: str) -> str:
-    """A light suffix stripper: plurals, -ed, -ing, -ly and a final e or y."""
-    w = word.lower()
-    if len(w) > 4 and w.endswith("sses"):
-        w = w[:-2]
-    elif len(w) > 4 and w.endswith("ies"):
-        w = w[:-3] + "y"
-    elif len(w) > 3 and w.endswith("s") and not w.endswith(("ss", "us", "is")):
-        w = w[:-1]
-    for end in ("ing", "ed", "ly"):
-        if len(w) - len(end) >= 3 and w.endswith(end) and re.search("[aeiouy]", w[: -len(end)]):
-            w = w[: -len(end)]
-            if len(w) > 3 and w[-1] == w[-2] and w[-1] not in "lsz":
-                w = w[:-1]
-            break
-    if len(w) > 3 and w.endswith("e"):
-        w = w[:-1]
-    return w[:-1] + "i" if len(w) > 3 and w.endswith("y") else w
-
-
-def stem_column(word: Column) -> Column:
-    """stem() inside Spark SQL, so that no Python runs on the rows."""
-    vowel = lambda c: c.rlike("[aeiouy]")
-    w = F.when((F.length(word) > 4) & word.endswith("sses"), word.substr(F.lit(1), F.length(word) - 2))
-    w = w.when((F.length(word) > 4) & word.endswith("ies"), F.concat(word.substr(F.lit(1), F.length(word) - 3), F.lit("y")))
-    w = w.when((F.length(word) > 3) & word.endswith("s") & ~word.rlike("(ss|us|is)$"), word.substr(F.lit(1), F.length(word) - 1)).otherwise(word)
-
-    def let(value, use):
-        return F.transform(F.array(value), use)[0]
-
-    def cut(w):
-        out = None
-        for end in ("ing", "ed", "ly"):
-            root = w.substr(F.lit(1), F.length(w) - len(end))
-            fits = (F.length(w) >= 3 + len(end)) & w.endswith(end) & vowel(root)
-            twin = F.when((F.length(root) > 3) & root.rlike(r"([^lsz])\1$"), root.substr(F.lit(1), F.length(root) - 1)).otherwise(root)
-            out = F.when(fits, twin) if out is None else out.when(fits, twin)
-        return out.otherwise(w)
-
-    def last(w):
-        w = F.when((F.length(w) > 3) & w.endswith("e"), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w)
-        return let(w, lambda v: F.when((F.length(v) > 3) & v.endswith("y"), F.concat(v.substr(F.lit(1), F.length(v) - 1), F.lit("i"))).otherwise(v))
-
-    return let(w, lambda v: let(cut(v), last))
-
-
 def parse(query: str):
     """Boolean tree of a query: a word, ('!', x), ('&', x, y) or ('|', x, y); neighbouring words are joined by &."""
     tokens = re.findall(r"[&|!()]|[^\s&|!()]+", query.lower())

@@ -1,8 +1,8 @@
 """Edge bundling: the compatibility join, force-directed bundling, the representative tree, rendered segments.
 
 The pair search is the distributed part: an equi-join on length bands and midpoint cells, pruned without loss, then
-the exact score. Forces act only between compatible edges, so each connected component is bundled in
-a task of its own, by a vectorised kernel over its pair list.
+the exact score. Forces act only between compatible edges, so a connected component can be bundled in
+a task of its own, by a vectorised kernel over its pair list; a large one goes through blocks of edges that exchange control points.
 """
 
 from __future__ import annotations
@@ -10,16 +10,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import compat
 from flowloom.functions.geo import gradient, length2
+from flowloom.operators import forces, kernel
 from flowloom.operators.graph import components
+from flowloom.operators.store import settle
 
 THRESHOLD = 0.6
-#: Schedule of the force-directed method: cycles, first iterations, their decay, first step, stiffness.
-CYCLES, ITERATIONS, DECAY, STIFFNESS, EPS = 6, 50, 2 / 3, 0.1, 1e-6
 #: Length ratio above which the scale factor alone is below the threshold (0.6 q^2 - 0.4 q - 3.4 = 0).
 MOST_RATIO = (0.4 + math.sqrt(0.16 + 4 * 0.6 * 3.4)) / 1.2
 
@@ -55,104 +55,84 @@ def compatible_pairs(edges: DataFrame, threshold: float = THRESHOLD) -> DataFram
     close = length2("p.mx", "p.my", "q.mx", "q.my") < (mean * (1 / THRESHOLD - 1)) * (mean * (1 / THRESHOLD - 1))
     alike = F.greatest("p.len", "q.len") < F.least("p.len", "q.len") * MOST_RATIO
     pairs = p.join(q, same & once & close & alike)
-    # No factor is above 1 by more than its last bits, so a pair whose product falls below the threshold needs no further factor.
+    # No factor is above 1 by more than its last bits, so a pair whose product falls below the threshold needs no further factor. explode binds
+    # a product to a column of its own: filters would otherwise be pushed into the join, each with all factors before it written out again.
+    bound = lambda c: F.explode(F.array(c))
     low = threshold - 1e-9
-    scored = pairs.withColumn("score", compat.angle("p", "q", True) * compat.scale("p", "q", True)).where(F.col("score") > low)
-    scored = scored.withColumn("score", F.col("score") * compat.position("p", "q", True)).where(F.col("score") > low)
-    scored = scored.withColumn("score", F.col("score") * compat.visibility("p", "q", True)).where(F.col("score") > threshold)
+    scored = pairs.withColumn("score", bound(compat.angle("p", "q", True) * compat.scale("p", "q", True))).where(F.col("score") > low)
+    scored = scored.withColumn("score", bound(F.col("score") * compat.position("p", "q", True))).where(F.col("score") > low)
+    scored = scored.withColumn("score", bound(F.col("score") * compat.visibility("p", "q", True))).where(F.col("score") > threshold)
     return scored.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), "score")
 
 
-# The kernel
+# Forces
 
+#: Edges of a component of compatible edges up to which one task bundles it. Larger ones are bundled in blocks of as many (forces.py), with the same result.
+BLOCK = 20_000
+PATH = "array<struct<x:double,y:double>>"
 
-def resample(paths: np.ndarray, parts: int) -> np.ndarray:
-    """Each path (n, m, 2) as `parts` stretches of equal arc length."""
-    steps = np.sqrt((np.diff(paths, axis=1) ** 2).sum(axis=2))
-    along = np.concatenate((np.zeros((len(paths), 1)), np.cumsum(steps, axis=1)), axis=1)
-    out = np.empty((len(paths), parts + 1, 2))
-    for i, (p, s) in enumerate(zip(paths, along, strict=True)):
-        want = np.linspace(0, s[-1], parts + 1)
-        for axis in (0, 1):
-            out[i, :, axis] = np.interp(want, s, p[:, axis])
-        out[i, 0], out[i, -1] = p[0], p[-1]
-    return out
 
+def as_points(paths: np.ndarray):
+    """Paths (n, points, 2) as an Arrow column of PATH."""
+    import pyarrow as pa
 
-def units(d: np.ndarray) -> np.ndarray:
-    """Directions of the vectors; none where they are shorter than EPS."""
-    size = np.sqrt((d**2).sum(axis=2, keepdims=True))
-    return np.where(size > EPS, d / np.maximum(size, EPS), 0.0)
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(paths[..., i]).ravel()) for i in (0, 1)], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(paths) * paths.shape[1] + 1, paths.shape[1]), pa.int32()), points)
 
 
-def bundle(ends: np.ndarray, pairs: np.ndarray, step: float = 0.025, cycles: int = CYCLES, iterations: int = ITERATIONS, pulled: np.ndarray | None = None, pulls: np.ndarray | None = None) -> np.ndarray:
-    """Force-directed bundling. ends: (n, 4); pairs: (m, 2) of row numbers, in either direction once. Paths (n, points, 2); ends never move.
+def unpacked(rows: DataFrame) -> DataFrame:
+    """id, weight, path as PATH of rows with packed paths."""
 
-    Row pulled[i] is also drawn to the control points of the segment pulls[i] (k, 4), which stay on it.
-    """
-    paths = np.stack((ends[:, :2], ends[:, 2:]), axis=1).astype(float)
-    length = np.maximum(np.sqrt(((ends[:, 2:] - ends[:, :2]) ** 2).sum(axis=1)), EPS)
-    both = np.concatenate((pairs, pairs[:, ::-1])) if len(pairs) else np.zeros((0, 2), dtype=int)
-    parts, s, turns = 1, step, float(iterations)
-    paths = resample(paths, 2 * parts)
-    some = pulled is not None and len(pulled) > 0
-    held = resample(np.stack((pulls[:, :2], pulls[:, 2:]), axis=1).astype(float), 2 * parts) if some else None
-    for cycle in range(cycles):
-        inner = paths.shape[1] - 2
-        k = (STIFFNESS / (length * (parts + 1)))[:, None, None]
-        for _ in range(math.ceil(turns - 1e-9)):
-            spring = (paths[:, :-2] + paths[:, 2:] - 2 * paths[:, 1:-1]) * k
-            pull = np.zeros((len(paths), inner, 2))
-            if len(both):
-                np.add.at(pull, both[:, 0], units(paths[both[:, 1], 1:-1] - paths[both[:, 0], 1:-1]))
-            if some:
-                np.add.at(pull, pulled, units(held[:, 1:-1] - paths[pulled, 1:-1]))
-            paths[:, 1:-1] += s * (spring + pull)
-        if cycle + 1 < cycles:
-            parts, s, turns = parts * 2, s / 2, turns * DECAY
-        points = parts * 2 + 1 if cycle + 1 == cycles else parts + 1
-        paths = resample(paths, points)
-        held = resample(held, points) if some else None
-    return paths
-
-
-def beyond(edges: DataFrame, pairs: DataFrame, most: int, label: DataFrame | None = None) -> DataFrame:
-    """Edges (id) that lie beyond the `most` heaviest of their component of compatible edges. label: components(pairs), if at hand."""
-    placed = (components(pairs) if label is None else label).join(edges.select("id", "weight"), "id")
-    large = placed.groupBy("component").count().where(F.col("count") > most).select("component")
-    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.col("weight").desc(), "id"))
-    return placed.join(large, "component").withColumn("rank", rank).where(F.col("rank") > most).select("id")
-
-
-def fdeb(edges: DataFrame, pairs: DataFrame, step: float = 0.025, pulls: DataFrame | None = None, label: DataFrame | None = None) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["weight"], as_points(forces.unpacked(batch["path"]))], ["id", "weight", "path"])
+
+    return rows.mapInArrow(run, f"id long, weight long, path {PATH}")
+
+
+def fdeb(edges: DataFrame, pairs: DataFrame, step: float = 0.025, pulls: DataFrame | None = None, label: DataFrame | None = None, block: int = BLOCK, cycles: int = kernel.CYCLES, iterations: int = kernel.ITERATIONS) -> DataFrame:
     """edges(id, fx, fy, tx, ty, weight) -> id, weight, path (array of struct x, y). Edges without partners stay straight.
 
-    pulls(id, fx, fy, tx, ty): fixed segments that draw edge id to them; label: components(pairs), if at hand.
+    pulls(id, fx, fy, tx, ty): fixed segments that draw edge id to them; label: components(pairs), if at hand. Components of more than `block` edges are
+    bundled in blocks, an iteration at a time; every other is one group of a task.
     """
     ends = ["fx", "fy", "tx", "ty"]
+    edges = edges.select("id", *ends, F.col("weight").cast("long").alias("weight"))
     label = components(pairs) if label is None else label
+    if pulls is not None:
+        label = settle(label.unionByName(pulls.select("id").distinct().join(label, "id", "left_anti").withColumn("component", F.col("id"))))
+    straight = edges.join(label, "id", "left_anti").select("id", "weight", F.array(F.struct(F.col("fx").alias("x"), F.col("fy").alias("y")), F.struct(F.col("tx").alias("x"), F.col("ty").alias("y"))).alias("path"))
+    sized = label.groupBy("component").agg(F.count("*").alias("n"))
+    large = settle(label.join(sized.where(F.col("n") > block), "component").select("id"))
+    out = straight
+    if not large.isEmpty():
+        inside = lambda t, c: t.join(large.withColumnRenamed("id", c), c, "left_semi")
+        held = pulls if pulls is None else inside(pulls, "id")
+        bent = forces.bundle_in_blocks(inside(edges, "id"), inside(pairs, "a"), held, step, block, cycles, iterations)
+        out = out.unionByName(unpacked(bent))
+        label = label.join(large, "id", "left_anti")
     links = pairs.select("a", "b", *[F.lit(None).cast("double").alias(c) for c in ends])
     if pulls is not None:
-        label = label.unionByName(pulls.select("id").distinct().join(label, "id", "left_anti").withColumn("component", F.col("id")))
         links = links.unionByName(pulls.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), *ends))
-    schema = "id long, weight long, path array<struct<x:double,y:double>>"
-    straight = edges.join(label, "id", "left_anti").select("id", "weight", F.array(F.struct(F.col("fx").alias("x"), F.col("fy").alias("y")), F.struct(F.col("tx").alias("x"), F.col("ty").alias("y"))).alias("path"))
 
     def run(key, nodes, links):
-        import pandas as pd
-
-        nodes = nodes.sort_values("id")
-        at = pd.Series(np.arange(len(nodes)), index=nodes["id"])
-        inner, fixed = links[links["b"].notna()], links[links["b"].isna()].sort_values(["a", *ends])
-        link = np.stack([at.loc[inner[c].astype("int64")].to_numpy() for c in ("a", "b")], axis=1)
-        paths = bundle(nodes[ends].to_numpy(float), link, step, pulled=at.loc[fixed["a"]].to_numpy(), pulls=fixed[ends].to_numpy(float))
-        return pd.DataFrame({"id": nodes["id"].to_numpy(), "weight": nodes["weight"].to_numpy(), "path": [[{"x": float(x), "y": float(y)} for x, y in p] for p in paths]})
-
-    placed = edges.select("id", *ends, "weight").join(label, "id").withColumnRenamed("component", "of_nodes")
-    # b as text: a long with nulls would become a float in pandas.
-    linked = links.withColumn("b", F.col("b").cast("string")).join(label.select(F.col("id").alias("a"), F.col("component").alias("of_links")), "a").select("a", "b", *ends, "of_links")
-    bent = placed.groupBy("of_nodes").cogroup(linked.groupBy("of_links")).applyInPandas(run, schema)
-    return bent.unionByName(straight)
+        import pyarrow as pa
+
+        nodes, links = nodes.sort_by("id"), links.sort_by([(c, "ascending") for c in ("a", *ends)])
+        ids, a, inner = nodes["id"].to_numpy(), links["a"].to_numpy(), links["b"].is_valid().to_numpy()
+        at = np.searchsorted(ids, a)
+        b = np.searchsorted(ids, links["b"].filter(pa.array(inner)).to_numpy())
+        fixed = np.stack([links[c].to_numpy()[~inner] for c in ends], axis=1)
+        paths = kernel.bundle(np.stack([nodes[c].to_numpy() for c in ends], axis=1), np.stack([at[inner], b], axis=1), step, cycles, iterations, at[~inner], fixed)
+        return pa.Table.from_arrays([nodes["id"].combine_chunks(), nodes["weight"].combine_chunks(), as_points(paths)], ["id", "weight", "path"])
+
+    placed = edges.join(label, "id").withColumnRenamed("component", "of_nodes")
+    linked = links.join(label.select(F.col("id").alias("a"), F.col("component").alias("of_links")), "a").select("a", "b", *ends, "of_links")
+    bent = placed.groupBy("of_nodes").cogroup(linked.groupBy("of_links")).applyInArrow(run, f"id long, weight long, path {PATH}")
+    return bent.unionByName(out)
 
 
 def segments(paths: DataFrame) -> DataFrame:

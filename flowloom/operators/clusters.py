@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.geo import lat_y, length2, lng_x
+from flowloom.operators.graph import components
 from flowloom.operators.store import settle
 from flowloom.operators.viewport import radius_join
 
@@ -106,6 +107,34 @@ def absorb_overlaps(clusters: DataFrame, targets: DataFrame, radius: float, shar
     return both.where(alike > share).select(F.col("id").alias("keep"), F.col("other").alias("drop"), alike.alias("similarity"))
 
 
+def absorb_once(clusters: DataFrame, targets: DataFrame, into: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """clusters(id, x, y, n) and targets(id, target) after each cluster of into(id, component) has become part of its component's."""
+    put = lambda t, c: t.join(into.select(F.col("id").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+    mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+    targets = put(put(targets.select("id", "target"), "id"), "target").where("id != target").distinct()
+    return put(clusters, "id").groupBy("id").agg(mean("x"), mean("y"), F.sum("n").alias("n")), targets
+
+
+def absorb(clusters: DataFrame, targets: DataFrame, radius: float, share: float = 0.6) -> tuple[DataFrame, DataFrame | None]:
+    """Merges overlapping clusters, with the sets of their targets, until no pair within `radius` agrees for more than `share`.
+
+    Clusters that are joined by pairs, directly or not, become one at once: the one with the smallest id, at the weighted mean. Returns clusters (id, x, y, n) and
+    kept (id, kept) for every absorbed or absorbing cluster; None if there is no such pair.
+    """
+    kept = None
+    while True:
+        pairs = settle(absorb_overlaps(clusters, targets, radius, share))
+        if pairs.isEmpty():
+            return clusters, kept
+        into = components(pairs.select(F.col("keep").alias("a"), F.col("drop").alias("b")))
+        clusters, targets = (settle(t) for t in absorb_once(clusters, targets, into))
+        new = into.select("id", F.col("component").alias("kept"))
+        if kept is not None:
+            onward = kept.join(new.select(F.col("id").alias("kept"), F.col("kept").alias("beyond")), "kept", "left").select("id", F.coalesce("beyond", "kept").alias("kept"))
+            new = onward.unionByName(new.join(onward.select("id"), "id", "left_anti"))
+        kept = settle(new)
+
+
 def shifted(moved, n):
     """Whether a cluster of n points counts as moved: any move below 30 points, else more than n * (1 + n / 100) millionths, n up to 500."""
     n = F.least(n, F.lit(500))
@@ -125,8 +154,13 @@ def shifts(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def assign(points: DataFrame, centers: list[tuple[float, float]]) -> DataFrame:
     """Adds `k`, the nearest of the fixed few centres (the lowest index among equals), and its squared distance."""
-    options = F.array(*[F.struct(length2("lon", "lat", F.lit(float(x)), F.lit(float(y))).alias("d2"), F.lit(i).alias("k")) for i, (x, y) in enumerate(centers)])
-    return points.withColumn("_b", F.array_min(options)).withColumns({"k": F.col("_b.k"), "d2": F.col("_b.d2")}).drop("_b")
+    far = [length2("lon", "lat", F.lit(float(x)), F.lit(float(y))) for x, y in centers]
+    least = F.least(*far) if len(far) > 1 else far[0]
+    at = points.withColumn("d2", least)
+    k = F.lit(len(centers) - 1)
+    for i in range(len(centers) - 2, -1, -1):
+        k = F.when(far[i] == F.col("d2"), F.lit(i)).otherwise(k)
+    return at.withColumn("k", k).select(*points.columns, "k", "d2")
 
 
 def lloyd_step(points: DataFrame, centers) -> DataFrame:

@@ -78,17 +78,21 @@ def unknown(batch: DataFrame, leaves: DataFrame) -> DataFrame:
 def matching(edges: DataFrame, existing: DataFrame, radius: float) -> DataFrame:
     """Pairs of an edge and an existing hyperedge whose ends lie within `radius` of each other, side by side.
 
-    An equi-join on the cells of both ends (the existing edge stands in its 3 x 3 neighbourhood at either end), then
-    the exact distances.
+    An equi-join on the cells of both ends, then the exact distances: one side stands in the 3 x 3 cells around its lower end, the other in those
+    around its higher end, so that a pair meets once, each row has nine copies, and a place of many edges is split by their other ends.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
-    e = edges.select(*[F.col(c).alias(f"e_{c}") for c in KEY], *[cell(c).alias(f"c{i}") for i, c in enumerate(KEY)])
-    near = F.sequence(F.lit(-1), F.lit(1))
-    h = existing.select(*[F.col(c).alias(f"h_{c}") for c in KEY], *[cell(c).alias(f"b{i}") for i, c in enumerate(KEY)])
-    for i in range(4):
-        h = h.withColumn(f"o{i}", F.explode(near)).withColumn(f"c{i}", F.col(f"b{i}") + F.col(f"o{i}")).drop(f"o{i}", f"b{i}")
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+
+    def placed(rows, p, spread):
+        out = rows.select(*[F.col(c).alias(f"{p}_{c}") for c in KEY], *[cell(c).alias(f"c{i}") for i, c in enumerate(KEY)])
+        for i in spread:
+            out = out.withColumn("_o", near).withColumn(f"c{i}", F.col(f"c{i}") + F.col("_o")).drop("_o")
+        return out
+
     d = lambda a: length2(f"e_{a}_lon", f"e_{a}_lat", f"h_{a}_lon", f"h_{a}_lat") <= radius * radius
-    return e.join(h, ["c0", "c1", "c2", "c3"]).where(d("lo") & d("hi")).select(*[f"e_{c}" for c in KEY], *[f"h_{c}" for c in KEY])
+    joined = placed(edges, "e", (2, 3)).join(placed(existing, "h", (0, 1)), ["c0", "c1", "c2", "c3"])
+    return joined.where(d("lo") & d("hi")).select(*[f"e_{c}" for c in KEY], *[f"h_{c}" for c in KEY])
 
 
 def isolated(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.geo import line_width
+from flowloom.operators.ranking import dense_ids
+from flowloom.operators.store import settle
 
 BLUE, RED = (0, 0, 255), (255, 0, 0)
 
@@ -31,17 +33,10 @@ def edges_json(segments: DataFrame) -> DataFrame:
 
 
 def node_export(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Dense node ids, as text, in the order of their coordinates, and links between them: (node, lon, lat), (source, target, weight).
-
-    Ids come from counts per longitude and a rank inside it, so that only the distinct longitudes are ordered in one place.
-    """
+    """Dense node ids, as text, in the order of their coordinates, and links between them: (node, lon, lat), (source, target, weight)."""
     from flowloom.operators.edges import endpoints
 
-    nodes = endpoints(edges)
-    per = nodes.groupBy("lon").agg(F.count("*").alias("n"))
-    per = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("lon").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = nodes.withColumn("r", F.row_number().over(Window.partitionBy("lon").orderBy("lat")) - 1)
-    ids = ranked.join(per, "lon").select((F.col("before") + F.col("r")).cast("string").alias("node"), "lon", "lat")
+    ids = settle(dense_ids(endpoints(edges), "lon", "lat", name="node")).withColumn("node", F.col("node").cast("string"))
     a = ids.select(F.col("node").alias("source"), F.col("lon").alias("lo_lon"), F.col("lat").alias("lo_lat"))
     b = ids.select(F.col("node").alias("target"), F.col("lon").alias("hi_lon"), F.col("lat").alias("hi_lat"))
     return ids, edges.join(a, ["lo_lon", "lo_lat"]).join(b, ["hi_lon", "hi_lat"]).select("source", "target", "weight")

@@ -35,4 +35,13 @@ def settle(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.settled_at = path
+    return back
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a settled table that nothing reads any more."""
+    spark, path = df.sparkSession, df.settled_at
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

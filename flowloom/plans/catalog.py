@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions import compat, geo, text
-from flowloom.operators import bundling, clusters, edges, render, rollup, treecut, viewport
+from flowloom.operators import bundling, clusters, edges, pairs, render, rollup, treecut, viewport
+from flowloom.operators.graph import components
+from flowloom.operators.grid import Grid, stored
 from flowloom.operators.store import settle, shared_dir
 from flowloom.operators.tree import IncrementalBundler
 from flowloom.sources import derived, ingest
@@ -112,6 +114,14 @@ def text_match(spark, sf_dir):
     return rows.where(hit("from_text") | hit("to_text")).select("id", *edges.ENDS)
 
 
+@query()
+def text_match_stemmed(spark, sf_dir):
+    """P2 with stems and stop words: replies with both words in any form, or a third one; DuckDB has no stemmer here."""
+    r = derived.replies(spark, sf_dir)
+    hit = lambda c: text.matches(F.col(c), "(the der & dies) | than")
+    return r.where(hit("from_text") | hit("to_text")).select("id")
+
+
 @query(f"WITH {REPLIES} SELECT id FROM replies WHERE ({MATCH}) AND ts > TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '2024-01-03'")
 def text_match_timeslice(spark, sf_dir):
     """Keyword and time: S2."""
@@ -246,6 +256,41 @@ def grid_cells(spark, sf_dir):
     return viewport.grid(edges.endpoints(flight_edges(spark, sf_dir)), "lon", "lat", -180.0, 0.2, 1800)
 
 
+GRID = Grid(step=5.0)
+GRID_POINTS = f"WITH {EDGES}, {ENDS}, p AS (SELECT DISTINCT lon AS x, lat AS y FROM ends), c(q, qx, qy) AS (VALUES " + ", ".join(f"({i}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" for i, (x, y) in enumerate(CENTERS)) + ")"
+
+
+def _index(spark, sf_dir) -> DataFrame:
+    points = GRID.index(edges.endpoints(flight_edges(spark, sf_dir)).toDF("x", "y"))
+    return stored(points, f"{shared_dir(spark)}/grid-{uuid.uuid4().hex}")
+
+
+def _asked(spark) -> DataFrame:
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(CENTERS)], "q int, qx double, qy double")
+
+
+@query(f"{GRID_POINTS} SELECT q, x, y FROM p, c WHERE sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)) <= 20")
+def grid_within(spark, sf_dir):
+    """Places within 20 degrees of each centre; cells inside the circle's square are taken unchecked."""
+    return GRID.within(_index(spark, sf_dir), _asked(spark), 20.0).select("q", "x", "y")
+
+
+@query(f"{GRID_POINTS} SELECT q, x, y FROM p, c WHERE x > qx - 12.5 AND x < qx + 30 AND y > qy - 7.25 AND y < qy + 15")
+def grid_range(spark, sf_dir):
+    """Places strictly inside a box around each centre."""
+    boxes = _asked(spark).select("q", (F.col("qx") - 12.5).alias("x1"), (F.col("qy") - 7.25).alias("y1"), (F.col("qx") + 30).alias("x2"), (F.col("qy") + 15).alias("y2"))
+    return GRID.range(_index(spark, sf_dir), boxes).select("q", "x", "y")
+
+
+@query(f"""{GRID_POINTS}, gone AS (SELECT * FROM p WHERE CAST(floor(x * 100) AS BIGINT) % 3 = 0), asked AS (SELECT CAST(round(x * 100) AS BIGINT) AS q, x, y FROM p WHERE y > 0)
+SELECT q, a.x, a.y FROM asked a JOIN p ON a.x = p.x AND a.y = p.y WHERE CAST(floor(a.x * 100) AS BIGINT) % 3 <> 0""")
+def grid_delete_find(spark, sf_dir):
+    """Of the places in the north, those found after some have been deleted."""
+    index = _index(spark, sf_dir)
+    left = GRID.delete(index, index.where("cast(floor(x * 100) as bigint) % 3 = 0"))
+    return GRID.find(left, index.where("y > 0").select(F.round(F.col("x") * 100).cast("long").alias("q"), "x", "y")).select("q", "x", "y")
+
+
 # Clusters
 
 
@@ -390,11 +435,29 @@ def ikmeans_full(spark, sf_dir):
 
 @query()
 def hgc_greedy(spark, sf_dir):
-    """The greedy hierarchy over all places, zooms 17 to 0: G8, G9. Inserting pairs (G3, G6), single ends from a zoom on (G4) and one-sided attach (G5) are not built."""
+    """The greedy hierarchy over all places inserted one by one, zooms 17 to 0: G9."""
     p = _points(spark, sf_dir).withColumn("id", (F.round(F.col("lon") * 100).cast("long") + 18000) * 100000 + F.round(F.col("lat") * 100).cast("long") + 9000)
     return clusters.greedy(p, RADIUS)[0]
 
 
+@query()
+def hgc_pairs(spark, sf_dir):
+    """The greedy hierarchy over pairs of all flights, zooms 17 to 0: G3-G8. Clusters with the number of their edges and of the clusters that they hold."""
+    found, members, between = pairs.hierarchy(*pairs.leaves(flight_edges(spark, sf_dir)), RADIUS)
+    ends = between.select("zoom", F.col("a").alias("id")).union(between.select("zoom", "b")).groupBy("zoom", "id").agg(F.count("*").alias("edges"))
+    held = members.groupBy("zoom", F.col("parent").alias("id")).agg(F.count("*").alias("children"))
+    return found.join(held, ["zoom", "id"]).join(ends, ["zoom", "id"], "left").fillna({"edges": 0})
+
+
+def _targets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Tiles of zoom 1 (id, x, y, n: their links) and their links (id, target)."""
+    e = flight_edges(spark, sf_dir).withColumns(clusters.tile_of("lo_lon", "lo_lat", 1, RADIUS, "p") | clusters.tile_of("hi_lon", "hi_lat", 1, RADIUS, "q"))
+    a, b = F.col("p_x") * 100000 + F.col("p_y"), F.col("q_x") * 100000 + F.col("q_y")
+    t = settle(e.select(a.alias("id"), b.alias("target")).union(e.select(b, a)).distinct())
+    c = t.groupBy("id").agg(F.count("*").alias("n")).select("id", "n", F.floor(F.col("id") / 100000).cast("double").alias("x"), (F.col("id") % 100000).cast("double").alias("y"))
+    return c, t
+
+
 @query(f"""WITH {EDGES}, {cells_sql(1)}, t AS (SELECT DISTINCT px * 100000 + py AS id, qx * 100000 + qy AS target FROM cells UNION SELECT DISTINCT qx * 100000 + qy, px * 100000 + py FROM cells),
 c AS (SELECT DISTINCT id, CAST(id // 100000 AS DOUBLE) AS x, CAST(id % 100000 AS DOUBLE) AS y FROM t),
 s AS (SELECT id, count(*) AS n FROM t GROUP BY id),
@@ -404,13 +467,34 @@ FROM i JOIN c p ON p.id = i.id JOIN c q ON q.id = i.other JOIN s ON s.id = i.id
 WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 2.25 AND both_ / CAST(least(s.n, r.n) AS DOUBLE) > 0.6""")
 def shared_targets(spark, sf_dir):
     """Neighbouring clusters that link to mostly the same clusters: J9, G7."""
-    e = flight_edges(spark, sf_dir).withColumns(clusters.tile_of("lo_lon", "lo_lat", 1, RADIUS, "p") | clusters.tile_of("hi_lon", "hi_lat", 1, RADIUS, "q"))
-    a, b = F.col("p_x") * 100000 + F.col("p_y"), F.col("q_x") * 100000 + F.col("q_y")
-    t = settle(e.select(a.alias("id"), b.alias("target")).union(e.select(b, a)).distinct())
-    c = t.select("id").distinct().select("id", F.floor(F.col("id") / 100000).cast("double").alias("x"), (F.col("id") % 100000).cast("double").alias("y"))
+    c, t = _targets(spark, sf_dir)
     return clusters.absorb_overlaps(c, t, 1.5).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"""WITH RECURSIVE {EDGES}, {cells_sql(1)}, t AS (SELECT DISTINCT px * 100000 + py AS id, qx * 100000 + qy AS target FROM cells UNION SELECT DISTINCT qx * 100000 + qy, px * 100000 + py FROM cells),
+c AS (SELECT id, CAST(id // 100000 AS DOUBLE) AS x, CAST(id % 100000 AS DOUBLE) AS y, count(*) AS n FROM t GROUP BY id),
+s AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+i AS (SELECT a.id, b.id AS other, count(*) AS both_ FROM t a JOIN t b ON a.target = b.target AND a.id < b.id GROUP BY 1, 2),
+o AS (SELECT i.id AS a, i.other AS b FROM i JOIN c p ON p.id = i.id JOIN c q ON q.id = i.other JOIN s ON s.id = i.id JOIN s r ON r.id = i.other
+  WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 2.25 AND both_ / CAST(least(s.n, r.n) AS DOUBLE) > 0.8),
+l AS (SELECT a, b FROM o UNION SELECT b, a FROM o),
+w(id, root) AS (SELECT id, id FROM c UNION SELECT l.b, w.root FROM w JOIN l ON l.a = w.id),
+k AS (SELECT id, min(root) AS root FROM w GROUP BY id),
+m AS (SELECT root AS id, sum(x * n) / sum(n) AS x, sum(y * n) / sum(n) AS y, sum(n) AS n, count(*) AS held FROM k JOIN c USING (id) GROUP BY root),
+g AS (SELECT DISTINCT p.root AS id, q.root AS target FROM t JOIN k p ON p.id = t.id JOIN k q ON q.id = t.target WHERE p.root <> q.root)
+SELECT m.id, round(x, 6) AS x, round(y, 6) AS y, CAST(n AS BIGINT) AS n, held, (SELECT count(*) FROM g WHERE g.id = m.id) AS targets FROM m""")
+def absorb_round(spark, sf_dir):
+    """One round of absorption over the tiles of zoom 1: overlapping tiles with over 80 % common targets become one: G7, J9."""
+    c, t = _targets(spark, sf_dir)
+    over = clusters.absorb_overlaps(c, t, 1.5, 0.8).select(F.col("keep").alias("a"), F.col("drop").alias("b"))
+    into = components(over)
+    after, linked = clusters.absorb_once(c, t, into)
+    held = c.select("id").join(into, "id", "left").groupBy(F.coalesce("component", "id").alias("id")).agg(F.count("*").alias("held"))
+    targets = linked.groupBy("id").agg(F.count("*").alias("targets"))
+    out = after.join(held, "id").join(targets, "id", "left").fillna({"targets": 0})
+    return out.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n", "held", "targets")
+
+
 def _half_tiles(name: str, where: str) -> str:
     return f"""{name} AS (SELECT CAST(floor(mx * (512.0 * 32 / 40)) AS BIGINT) AS cell_x, CAST(floor(my * (512.0 * 32 / 40)) AS BIGINT) AS cell_y, round(sum(mx * n) / sum(n), 6) AS mx, round(sum(my * n) / sum(n), 6) AS my, sum(n) AS num_points
   FROM (SELECT {mx_sql('lon')} AS mx, {my_sql('lat')} AS my, count(*) AS n FROM (SELECT lo_lon AS lon, lo_lat AS lat FROM (SELECT DISTINCT lo_lon, lo_lat, hi_lon, hi_lat FROM canon WHERE {where}) UNION ALL SELECT hi_lon, hi_lat FROM (SELECT DISTINCT lo_lon, lo_lat, hi_lon, hi_lat FROM canon WHERE {where})) GROUP BY lon, lat) GROUP BY 1, 2)"""
@@ -581,33 +665,52 @@ def node_edge_export(spark, sf_dir):
 # Ingest
 
 
-LINES = [
-    '[{"ds_tweet_reply_graph":{"tweet_from":1,"tweet_to":9,"from_create_at":"2016-01-01 00:00:00","to_create_at":"2016-01-01 00:01:00","from_text":"one\\ntwo|three","to_text":"x","from_coordinate":[1.5,2.5],"to_coordinate":[3.5,4.5]}}',
-    ',{"ds_tweet_reply_graph":{"tweet_from":2,"tweet_to":9,"from_create_at":"2016-01-01 00:00:00","to_create_at":"2016-01-01 00:01:00","from_text":"a","to_text":"x","from_coordinate":[1.0,2.0],"to_bounding_box":[[10,20],[12,24]]}}',
-    ',{"ds_tweet_reply_graph":{"tweet_from":3,"tweet_to":9,"from_create_at":"2016-01-01 00:00:00","to_create_at":"2016-01-01 00:01:00","from_text":"a","to_text":"x","from_bounding_box":[[0,0],[2,4]],"to_coordinate":[9,9]}}',
-    ',{"ds_tweet_reply_graph":{"tweet_from":4,"tweet_to":9,"from_create_at":"2016-01-01 00:00:00","to_create_at":"2016-01-01 00:01:00","from_text":"a","to_text":"x","from_bounding_box":[[0,0],[2,4]],"to_bounding_box":[[6,6],[8,8]]}}',
-    ',{"ds_tweet_reply_graph":{"tweet_from":5,"tweet_to":9,"from_create_at":"2016-01-01 00:00:00","to_create_at":"2016-01-01 00:01:00","from_text":"a","to_text":"x","from_coordinate":[1,2],"to_coordinate":[1,2]}}',
-    "",
-    "]",
-]
-
-
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 1, 'one two three', CAST(1.5 AS DOUBLE), CAST(2.5 AS DOUBLE), CAST(3.5 AS DOUBLE), CAST(4.5 AS DOUBLE)), (2, 2, 'a', 1.0, 2.0, 11.0, 22.0), (3, 3, 'a', 1.0, 2.0, 9.0, 9.0), (4, 4, 'a', 1.0, 2.0, 7.0, 7.0)) t(tweet_from, status, from_text, from_longitude, from_latitude, to_longitude, to_latitude)""")
+# Each reply as the feed brings it: a bracket, a comma or nothing around the object, exact places or boxes by turns, some replies
+# to a place of their own, and lines that are no replies.
+def _feed(spark, sf_dir) -> DataFrame:
+    r = derived.replies(spark, sf_dir)
+    here = F.col("id") % 7 == 0
+    r = r.withColumns({"to_lon": F.when(here, F.col("from_lon")).otherwise(F.col("to_lon")), "to_lat": F.when(here, F.col("from_lat")).otherwise(F.col("to_lat"))})
+    exact = lambda s, n: F.when(F.col("id") % n == 0, F.array(f"{s}_lon", f"{s}_lat")).alias(f"{s}_coordinate")
+    corner = lambda s, x, y: F.array(F.col(f"{s}_lon") + x, F.col(f"{s}_lat") + y)
+    box = lambda s, n: F.when(F.col("id") % n != 0, F.array(corner(s, -1, -2), corner(s, 3, 2))).alias(f"{s}_bounding_box")
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    fields = [F.col("id").alias("tweet_from"), (F.col("id") + 1).alias("tweet_to"), at.alias("from_create_at"), at.alias("to_create_at"), "from_text", "to_text", exact("from", 2), exact("to", 3), box("from", 2), box("to", 3)]
+    text = F.to_json(F.struct(F.struct(*fields).alias("ds_tweet_reply_graph")))
+    return r.select(F.concat(F.element_at(F.array(F.lit("["), F.lit(","), F.lit("  , "), F.lit("")), (F.col("id") % 4 + 1).cast("int")), text, F.when(F.col("id") % 5 == 0, F.lit("]\n\nnot json")).when(F.col("id") % 5 == 1, F.lit(" ,")).otherwise(F.lit(""))).alias("value"))
+
+
+@query(f"""WITH {REPLIES}, f AS (SELECT id, ts, from_text, to_text, from_lon, from_lat, CASE WHEN id % 7 = 0 THEN from_lon ELSE to_lon END AS to_lon, CASE WHEN id % 7 = 0 THEN from_lat ELSE to_lat END AS to_lat FROM replies),
+p AS (SELECT id AS tweet_from, id + 1 AS tweet_to, ts AS from_create_at, ts AS to_create_at, translate(from_text, chr(10) || '|', '  ') AS from_text, translate(to_text, chr(10) || '|', '  ') AS to_text,
+  CASE WHEN id % 2 = 0 THEN from_lon ELSE from_lon + 1 END AS from_longitude, from_lat AS from_latitude, CASE WHEN id % 3 = 0 THEN to_lon ELSE to_lon + 1 END AS to_longitude, to_lat AS to_latitude,
+  CASE WHEN id % 6 = 0 THEN 1 WHEN id % 2 = 0 THEN 2 WHEN id % 3 = 0 THEN 3 ELSE 4 END AS status FROM f)
+SELECT tweet_from, tweet_to, strftime(from_create_at, '%Y-%m-%d %H:%M:%S') AS from_create_at, strftime(to_create_at, '%Y-%m-%d %H:%M:%S') AS to_create_at, from_text, to_text, status,
+  round(from_longitude, 6) AS from_longitude, round(from_latitude, 6) AS from_latitude, round(to_longitude, 6) AS to_longitude, round(to_latitude, 6) AS to_latitude
+FROM p WHERE NOT (abs(from_longitude - to_longitude) <= 1e-5 AND abs(from_latitude - to_latitude) <= 1e-5)""")
 def ingest_fallback(spark, sf_dir):
-    """S8-S13 on hand-made lines."""
-    lines = spark.createDataFrame([(x,) for x in LINES], "value string")
-    return ingest.parse_lines(lines).select("tweet_from", "status", "from_text", "from_longitude", "from_latitude", "to_longitude", "to_latitude")
+    """All replies written as lines of the raw feed, read, repaired and parsed."""
+    path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    _feed(spark, sf_dir).write.text(path)
+    rows, at = ingest.read_json(spark, path), lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    places = [F.round(c, 6).alias(c) for c in ("from_longitude", "from_latitude", "to_longitude", "to_latitude")]
+    return rows.select("tweet_from", "tweet_to", at("from_create_at"), at("to_create_at"), "from_text", "to_text", "status", *places)
 
 
-@query(f"WITH {REPLIES} SELECT count(*) AS n, sum(id) AS ids FROM replies")
+@query(f"""WITH {REPLIES} SELECT CAST(id AS VARCHAR) AS tweet_from, strftime(ts, '%Y-%m-%d %H:%M') AS from_create_at, translate(from_text, chr(10) || '|', '  ') || ' "' || id || '"' AS from_text,
+  round(from_lon, 6) AS from_longitude, round(from_lat, 6) AS from_latitude, CAST(id + 1 AS VARCHAR) AS tweet_to, strftime(ts, '%Y-%m-%d %H:%M') AS to_create_at, CASE WHEN id % 3 = 0 THEN NULL ELSE 'a|b "c" ' || id END AS to_text,
+  round(to_lon, 6) AS to_longitude, round(to_lat, 6) AS to_latitude FROM replies""")
 def csv_round_trip(spark, sf_dir):
-    """Written bar-separated, read back."""
+    """The ten columns written bar-separated and read back, with quotes, bars and missing texts among them."""
     rows = derived.replies(spark, sf_dir)
-    rows = rows.select(F.col("id").alias("tweet_from"), F.col("ts").alias("from_create_at"), ingest.clean(F.col("from_text")).alias("from_text"), F.col("from_lon").alias("from_longitude"), F.col("from_lat").alias("from_latitude"), F.col("id").alias("tweet_to"), F.col("ts").alias("to_create_at"), ingest.clean(F.col("to_text")).alias("to_text"), F.col("to_lon").alias("to_longitude"), F.col("to_lat").alias("to_latitude"))
+    to_text = F.when(F.col("id") % 3 != 0, F.concat(F.lit('a|b "c" '), F.col("id").cast("string")))
+    from_text = F.concat(ingest.clean(F.col("from_text")), F.lit(' "'), F.col("id").cast("string"), F.lit('"'))
+    rows = rows.select(F.col("id").alias("tweet_from"), F.col("ts").alias("from_create_at"), from_text.alias("from_text"), F.col("from_lon").alias("from_longitude"), F.col("from_lat").alias("from_latitude"), (F.col("id") + 1).alias("tweet_to"), F.col("ts").alias("to_create_at"), to_text.alias("to_text"), F.col("to_lon").alias("to_longitude"), F.col("to_lat").alias("to_latitude"))
     path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     ingest.write_csv(rows, path)
-    back = spark.read.option("sep", "|").option("escape", '"').csv(path)
-    return back.agg(F.count("*").alias("n"), F.sum(F.col("_c0").cast("long")).alias("ids"))
+    back = spark.read.option("sep", "|").option("escape", '"').csv(path).toDF(*ingest.COLUMNS)
+    at = lambda c: F.regexp_replace(F.substring(c, 1, 16), "T", " ").alias(c)
+    number = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+    return back.select("tweet_from", at("from_create_at"), "from_text", number("from_longitude"), number("from_latitude"), "tweet_to", at("to_create_at"), "to_text", number("to_longitude"), number("to_latitude"))
 
 
 # Pacing

@@ -133,7 +133,7 @@ class EngineSession:
         r = self.request
         view = (r.clustering, r.clusteringAlgorithm, r.zoom, r.radius)
         if self.bundler is None or self.view != view:
-            self.bundler = IncrementalBundler(step=geo.step_size(r.zoom), threshold=max(self.config.compatibility, bundling.THRESHOLD), most_bundled=self.config.most_bundled)
+            self.bundler = IncrementalBundler(step=geo.step_size(r.zoom), threshold=self.config.compatibility, block=self.config.bundling_block)
             self.view = view
         return self.bundler
 
@@ -150,19 +150,14 @@ class EngineSession:
             e = shown.select("id", F.col("from_lon").alias("fx"), F.col("from_lat").alias("fy"), F.col("to_lon").alias("tx"), F.col("to_lat").alias("ty"), "weight")
             if r.bundling and r.bundlingAlgorithm == INCREMENTAL and counts["edges_cnt"] > self.config.incremental_above:
                 bundler = self.incremental()
-                result.counters["unbundledEdgesCnt"] = bundler.add(e)["unbundled"]
+                bundler.add(e)
                 paths = bundler.paths(e)
                 result.counters["isolatedEdgesCnt"] = paths.where("lonely").count()
                 result.edges = bundling.segments(paths)
             elif r.bundling and r.bundlingAlgorithm != CLIENT:
-                pairs = settle(bundling.compatible_pairs(e, max(self.config.compatibility, bundling.THRESHOLD)))
+                pairs = settle(bundling.compatible_pairs(e, self.config.compatibility))
                 result.counters["isolatedEdgesCnt"] = edges.isolated(e, pairs).count()
-                # One component is one task: of a larger one the heaviest edges are bundled and the others stay straight.
-                left = settle(bundling.beyond(e, pairs, self.config.most_bundled))
-                result.counters["unbundledEdgesCnt"] = left.count()
-                if result.counters["unbundledEdgesCnt"]:
-                    pairs = settle(pairs.join(left.toDF("a"), "a", "left_anti").join(left.toDF("b"), "b", "left_anti").select("a", "b", "score"))
-                result.edges = bundling.segments(bundling.fdeb(e, pairs, geo.step_size(r.zoom)))
+                result.edges = bundling.segments(bundling.fdeb(e, pairs, geo.step_size(r.zoom), block=self.config.bundling_block))
             else:
                 result.counters["isolatedEdgesCnt"] = result.counters["edgesCnt"]
                 halves = render.half_edges(e)

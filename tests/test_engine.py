@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.config import EngineConfig, Request
 from flowloom.functions import compat, geo, text
-from flowloom.operators import bundling, clusters, edges, treecut, viewport
+from flowloom.operators import bundling, clusters, edges, kernel, treecut, viewport
 from flowloom.operators.tree import IncrementalBundler, Tree, score, star_groups
 from flowloom.plans import catalog
 from flowloom.sources import derived, ingest
@@ -130,7 +130,7 @@ def test_tree_cut_by_parents(spark):
 
 def test_bundling_keeps_ends():
     ends = np.array([[0, 0, 10, 0], [0, 1, 10, 1], [0, 2, 10, 2]], float)
-    paths = bundling.bundle(ends, np.array([[0, 1], [1, 2]]))
+    paths = kernel.bundle(ends, np.array([[0, 1], [1, 2]]))
     assert paths.shape[1] == 66
     assert np.allclose(paths[:, 0], ends[:, :2]) and np.allclose(paths[:, -1], ends[:, 2:])
     assert paths[0, 33, 1] > 0 and paths[2, 33, 1] < 2
@@ -172,7 +172,7 @@ def test_tree_takes_the_branch_below_a_weaker_root():
 
 
 def test_fixed_segments_pull():
-    from flowloom.operators.bundling import bundle
+    from flowloom.operators.kernel import bundle
 
     ends = np.array([[0.0, 0.0, 10.0, 0.0], [0.0, 50.0, 10.0, 50.0]])
     paths = bundle(ends, np.zeros((0, 2), dtype=int), pulled=np.array([0]), pulls=np.array([[0.0, 1.0, 10.0, 1.0]]))
@@ -185,18 +185,18 @@ def test_incremental_bundling_step_by_step(spark):
     names = "id long, fx double, fy double, tx double, ty double, weight long"
     first = [(i, 0.0, 0.2 * i, 10.0, 0.2 * i, 2) for i in range(4)] + [(9, 80.0, 80.0, 80.0, 85.0, 1)]
     b = IncrementalBundler(most=4)
-    assert b.add(spark.createDataFrame(first, names)) == {"new": 5, "moved": 0, "unbundled": 0} and b.tree.total() == 9
+    assert b.add(spark.createDataFrame(first, names)) == {"new": 5, "moved": 0} and b.tree.total() == 9
     # Edge 20 is alone in its batch, and runs the other way; the representative of the first batch pulls it.
     second = [(i, 0.0, 0.2 * i, 10.0, 0.2 * i, 5) for i in range(4)] + [(20, 10.0, 1.0, 0.0, 1.0, 7)]
     e = spark.createDataFrame(second, names)
-    assert b.add(e) == {"new": 1, "moved": 0, "unbundled": 0} and b.tree.total() == 28
+    assert b.add(e) == {"new": 1, "moved": 0} and b.tree.total() == 28
     rows = {r["id"]: r for r in b.paths(e).collect()}
     assert set(rows) == {0, 1, 2, 3, 20} and rows[0]["weight"] == 5 and not rows[20]["lonely"]
     middle = rows[20]["path"][len(rows[20]["path"]) // 2]
     assert middle["y"] < 1 and tuple(rows[20]["path"][0]) == (10.0, 1.0)
     assert b.leaves.where("id = 9").first()["lonely"]
     moved = spark.createDataFrame([(0, 0.0, 0.5, 10.0, 0.5, 6)], names)
-    assert b.add(moved) == {"new": 0, "moved": 1, "unbundled": 0} and b.tree.total() == 29
+    assert b.add(moved) == {"new": 0, "moved": 1} and b.tree.total() == 29
     assert tuple(b.paths(moved).first()["path"][0]) == (0.0, 0.5) and b.leaves.count() == 6
     total = sum(r.ends * r.weight for r in b.tree.roots)
     want = np.zeros(4)
@@ -204,7 +204,7 @@ def test_incremental_bundling_step_by_step(spark):
         side = [r["fx"], r["fy"], r["tx"], r["ty"]] if (r["fx"], r["fy"]) <= (r["tx"], r["ty"]) else [r["tx"], r["ty"], r["fx"], r["fy"]]
         want += np.array(side) * r["weight"]
     assert total == pytest.approx(want)
-    assert b.add(spark.createDataFrame([], names)) == {"new": 0, "moved": 0, "unbundled": 0} and b.leaves.count() == 6
+    assert b.add(spark.createDataFrame([], names)) == {"new": 0, "moved": 0} and b.leaves.count() == 6
 
 
 def test_drum_golden():

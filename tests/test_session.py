@@ -2,11 +2,12 @@
 
 import json
 from datetime import datetime
+from functools import partial
 
 import pytest
 
 from flowloom.config import EngineConfig
-from flowloom.operators import edges
+from flowloom.operators import bundling, edges
 from flowloom.plans.session import EngineSession
 from flowloom.sources import derived
 
@@ -49,16 +50,25 @@ def test_keyword_query(spark, sf):
     assert 0 <= some <= everything and everything > 0
 
 
-def test_bound_of_bundling_holds_per_component(spark):
-    """Three far groups of three parallel edges each, bound 3: all are bundled; bound 2: one of each group stays straight and is reported."""
+def test_components_above_the_block_are_bundled_whole(spark, monkeypatch):
+    """Three far groups of three parallel edges each: in blocks of two or in one task, all edges bend, and in the same way."""
+    monkeypatch.setattr(bundling, "fdeb", partial(bundling.fdeb, cycles=2, iterations=4))
     rows = [(10 * g + i, FIRST, 40.0 * g - 60, 0.2 * i, 40.0 * g - 40, 0.2 * i) for g in range(3) for i in range(3)] + [(99, FIRST, 0.0, -60.0, 0.5, -70.0)]
     source = spark.createDataFrame(rows, "id long, ts timestamp, from_lon double, from_lat double, to_lon double, to_lat double")
-    for most, left in ((3, 0), (2, 3)):
-        s = EngineSession(source, EngineConfig(fixed_days=3000, most_bundled=most), FIRST, LAST, fixed_interval=True)
+    drawn = []
+    for block in (20000, 2):
+        s = EngineSession(source, EngineConfig(fixed_days=3000, bundling_block=block), FIRST, LAST, fixed_interval=True)
         got = list(s.handle({"bundling": 1, "edgeStatus": 1}))[-1]
-        assert (got.counters["edgesCnt"], got.counters["isolatedEdgesCnt"], got.counters["unbundledEdgesCnt"]) == (10, 1, left)
-        # A straight edge is one segment.
-        assert got.edges.where("x1 = x2 - 20").count() == left and got.edges.count() > 100
+        assert (got.counters["edgesCnt"], got.counters["isolatedEdgesCnt"]) == (10, 1) and "unbundledEdgesCnt" not in got.counters
+        assert got.edges.where("x1 = x2 - 20").isEmpty()
+        drawn.append(sorted(tuple(round(r[c], 9) for c in ("x1", "y1", "x2", "y2")) for r in got.edges.collect()))
+    assert drawn[0] == drawn[1] and len(drawn[0]) > 30
+
+
+def test_compatibility_below_the_join_is_an_error(spark, sf):
+    s = EngineSession(derived.flights(spark, sf), EngineConfig(fixed_days=3000, compatibility=0.4), FIRST, LAST, fixed_interval=True)
+    with pytest.raises(ValueError):
+        list(s.handle({"bundling": 1, "clustering": 1, "zoom": 0, "radius": 80}))
 
 
 def test_incremental_bundling_above_the_bound(spark, sf):
