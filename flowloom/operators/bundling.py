@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import compat
+from flowloom.functions.bind import bound
 from flowloom.functions.geo import gradient, length2
 from flowloom.operators import forces, kernel
 from flowloom.operators.graph import components
@@ -55,9 +56,7 @@ def compatible_pairs(edges: DataFrame, threshold: float = THRESHOLD) -> DataFram
     close = length2("p.mx", "p.my", "q.mx", "q.my") < (mean * (1 / THRESHOLD - 1)) * (mean * (1 / THRESHOLD - 1))
     alike = F.greatest("p.len", "q.len") < F.least("p.len", "q.len") * MOST_RATIO
     pairs = p.join(q, same & once & close & alike)
-    # No factor is above 1 by more than its last bits, so a pair whose product falls below the threshold needs no further factor. explode binds
-    # a product to a column of its own: filters would otherwise be pushed into the join, each with all factors before it written out again.
-    bound = lambda c: F.explode(F.array(c))
+    # No factor is above 1 by more than its last bits, so a pair whose product falls below the threshold needs no further factor.
     low = threshold - 1e-9
     scored = pairs.withColumn("score", bound(compat.angle("p", "q", True) * compat.scale("p", "q", True))).where(F.col("score") > low)
     scored = scored.withColumn("score", bound(F.col("score") * compat.position("p", "q", True))).where(F.col("score") > low)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions import compat, geo, text
+from flowloom.functions.bind import bound
 from flowloom.operators import bundling, clusters, edges, pairs, render, rollup, treecut, viewport
 from flowloom.operators.graph import components
 from flowloom.operators.grid import Grid, stored
@@ -573,7 +574,7 @@ def treecut_edges(spark, sf_dir):
 
 def _cluster_edges(spark, sf_dir, flights=None) -> DataFrame:
     """All flights (or these edges) rolled up to wide tiles of zoom 0, as segments between tile centres."""
-    e = rollup.to_tiles(flight_edges(spark, sf_dir) if flights is None else flights, 0, 80.0).where("ax != bx or ay != by")
+    e = rollup.to_tiles(flight_edges(spark, sf_dir) if flights is None else flights, 0, 80.0).withColumn("apart", bound(F.expr("ax != bx or ay != by"))).where("apart")
     at = lambda c: (F.col(c) + F.lit(0.5)) * F.lit(10.0) + F.col(c) * F.col(c) * F.lit(0.125)
     return e.select((F.col("ax") * 1000000 + F.col("ay") * 10000 + F.col("bx") * 100 + F.col("by")).alias("id"), at("ax").alias("fx"), at("ay").alias("fy"), at("bx").alias("tx"), at("by").alias("ty"), "weight")
 
