@@ -83,6 +83,8 @@ def parts(docs: DataFrame) -> DataFrame:
 #: Which weak part each kind completes: identifiers and endpoints go with secrets.
 SIDE = {"access": "name", "login": "name", "endpoint": "name", "assign": "secret", "hex": "secret", "token": "secret"}
 WEAK = ("login", "token", "endpoint")
+#: Characters of a stretch of text, and spans of a run, that mask() handles at once.
+CUT, PART = 4096, 512
 
 
 def tagged(kind: str, *more: Column) -> Column:
@@ -124,17 +126,54 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def gaps(found: Column) -> Column:
+    """What lies between the spans of `found` (sorted by start), as structs (a, b); the spans that overlap one before are part of it.
+
+    A fold over all spans would copy its result for each of them, so runs of PART spans are folded each by itself, from the furthest
+    end of the runs before.
+    """
+
+    def of_runs(runs):
+        ends = F.transform(runs, lambda r: F.array_max(F.transform(r, lambda s: s["end"])))
+
+        def fold(run, i):
+            at = F.coalesce(F.array_max(F.filter(ends, lambda _, k: k < i)), F.lit(0))
+            start = F.struct(at.cast("long").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out"))
+            new = lambda a, s: F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.struct(a["at"].alias("a"), s["start"].cast("long").alias("b"))))).otherwise(a["out"])
+            return F.aggregate(run, start, lambda a, s: F.struct(F.greatest(a["at"], s["end"].cast("long")).alias("at"), new(a, s).alias("out")), lambda a: a["out"])
+
+        return F.flatten(F.transform(runs, fold))
+
+    count = F.floor((F.size(found) - 1) / F.lit(PART)).cast("int")
+    return let(F.transform(F.sequence(F.lit(0), count), lambda i: F.slice(found, i * PART + 1, F.lit(PART))), of_runs)
+
+
 def mask(text: Column, found: Column, with_text: str = "[SECRET]") -> Column:
-    """The text with every span of `found` replaced; overlapping spans become one."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with every span of `found` (in order) replaced; overlapping spans become one. Linear in the text and its spans.
+
+    Places count characters, and a substring is found by walking from the start of its text. So the text is first cut into stretches of CUT
+    characters, in one pass, and every piece that stays is put together from these.
+    """
+
+    def of_stretches(stretches):
+        def piece(a, b):
+            i, j = (F.floor(x / F.lit(CUT)).cast("int") for x in (a, b))
+            at = lambda k: F.coalesce(F.get(stretches, k), F.lit(""))
+            first, left, right = at(i), (a % CUT + 1).cast("int"), (b % CUT).cast("int")
+            whole = F.array_join(F.slice(stretches, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+            return F.when(i == j, F.substr(first, left, (b - a).cast("int"))).otherwise(F.concat(F.substr(first, left, F.lit(CUT)), whole, F.substr(at(j), F.lit(1), right)))
 
-    def step(a, s):
-        between = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
-        new = F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(between, F.lit(with_text)))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), new.alias("out"))
+        kept = F.transform(gaps(found), lambda g: piece(g["a"], g["b"]))
+        end = F.array_max(F.transform(found, lambda s: s["end"])).cast("long")
+        tail = piece(end, F.greatest(F.length(text).cast("long"), end))
+        return F.array_join(F.concat(kept, F.array(tail)), with_text)
 
-    whole = F.aggregate(found, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.greatest(F.length(text) - a["at"], F.lit(0)).cast("int"))))
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+    return F.when(F.size(found) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), of_stretches)).otherwise(text)
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
