@@ -4,8 +4,8 @@ Every word is labelled by forward-backward, so a text that switches languages is
 document gets the label with the largest mean marginal. Features: the word, its affixes, its character
 trigrams and the lexicons of the languages, hashed; transitions between labels are learned with them.
 
-The field is fitted on the driver on a bounded sample of labelled rows: DOCS_PER_LANG documents of each
-language, chosen by a hash of doc_id, with all their words, cut into chains of WINDOW words. The gradient is the exact one of the
+The field is fitted on the driver on a bounded sample of labelled rows: at most DOCS_PER_LANG documents of each
+language, chosen by a hash of id and text, cut into chains of WINDOW words, of which CHAINS_PER_LANG are taken at most. The gradient is the exact one of the
 log-likelihood: single and pair marginals come from the same forward and backward messages.
 Prediction covers all words of all documents and needs no shuffle. Long texts are cut into chunks whose transfer matrices
 are computed side by side and then chained, which gives the exact marginals of the whole chain.
@@ -17,12 +17,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import table
 
 DOCS_PER_LANG, WINDOW = 120, 24
+#: Chains of each language at most: a few long texts don't outgrow the driver.
+CHAINS_PER_LANG = 4000
 HASHED = 1 << 16
 EPOCHS, RATE, DECAY = 40, 0.5, 1e-4
 CHUNK = 32
@@ -252,29 +254,40 @@ def remainder():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Field:
-    """Fits a field on about docs_per_lang labelled documents of each language; docs has doc_id, text, lang."""
-    sizes = {r["lang"]: r["count"] for r in docs.where(F.col("lang").isNotNull() & (remainder() != 0)).groupBy("lang").count().collect()}
+def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chains_per_lang: int = CHAINS_PER_LANG) -> Field:
+    """Fits a field on at most docs_per_lang labelled documents of each language, and chains_per_lang chains of their words; docs has doc_id, text, lang.
+
+    A document is an id with a text, so rows that repeat one count once, and rows of one id with different texts are different documents.
+    Documents, and chains where the texts are long, are chosen by hashes.
+    """
+    place = F.xxhash64("doc_id", "text", F.lit("langid")).bitwiseAND(F.lit((1 << 40) - 1))
+    rows = training_rows(docs).select("lang", "text", place.alias("place"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()}
+    # Twice as many as asked for pass the first, coarse choice, so that the exact one sorts few.
     share = F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per_lang / n))).otherwise(share)
-    place = (F.xxhash64("doc_id", F.lit("langid")).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40)))
-    chosen = training_rows(docs).where(place < share).select("lang", "text")
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * docs_per_lang + 20) / max(n, 1)))).otherwise(share)
+    near = rows.where(F.col("place") / F.lit(float(1 << 40)) <= share).dropDuplicates(["lang", "place"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = near.withColumn("n", first).where(F.col("n") <= docs_per_lang).select("lang", "text", "place")
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            langs, windows = [], []
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            langs, windows, at = [], [], []
+            for lang, text, place in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), batch["place"].to_pylist(), strict=True):
                 words = text.encode().split()
                 for s in range(0, len(words), WINDOW):
                     langs.append(lang)
                     windows.append(words[s : s + WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.list_(pa.binary()))], ["lang", "words"])
+                    at.append(place + s)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.list_(pa.binary())), pa.array(at, pa.int64())], ["lang", "words", "at"])
 
-    rows = chosen.mapInArrow(cut, "lang string, words array<binary>").collect()
-    return fit(sorted((r["lang"], [bytes(w) for w in r["words"]]) for r in rows))
+    chains = chosen.mapInArrow(cut, "lang string, words array<binary>, at long")
+    some = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("at"), "at", "words"))
+    taken = chains.withColumn("n", some).where(F.col("n") <= chains_per_lang).select("lang", "words").collect()
+    return fit(sorted((r["lang"], [bytes(w) for w in r["words"]]) for r in taken))
 
 
 class Labeller:
