@@ -7,6 +7,11 @@ from dataclasses import dataclass, field, fields
 from datetime import datetime
 
 
+DATES = "%Y%m%d%H%M%S"
+# Names of settings in a properties file.
+KEYS = {"firstDate": "first_date", "lastDate": "last_date", "intervalMS": "interval_ms", "minimumDuration": "minimum_days", "initialDuration": "initial_days", "fixedInterval": "fixed_days"}
+
+
 @dataclass
 class EngineConfig:
     first_date: datetime = datetime(1995, 1, 1)
@@ -20,12 +25,37 @@ class EngineConfig:
     k: int = 17
     min_zoom: int = 0
     max_zoom: int = 17
+    #: How places become clusters where a request asks for the greedy hierarchy: "pairs" inserts edge by edge, "tiles" approximates it in one pass.
+    hierarchy: str = "tiles"
     #: Distinct edges above which bundling becomes incremental, if the request asks for it.
     incremental_above: int = 1000
     compatibility: float = 0.6
     #: Edges of one component of compatible edges above which it is bundled in blocks of as many.
     bundling_block: int = 20000
 
+    @classmethod
+    def parsed(cls, properties: str, base: EngineConfig | None = None) -> EngineConfig:
+        """Settings of a properties text (key=value lines, # and ! start comments) over those of `base`; unknown keys are ignored.
+
+        Keys are KEYS or this class's own names; dates look like 20151117213452.
+        """
+        given = dict(vars(base or cls()))
+        kinds = {f.name: type(getattr(cls(), f.name)) for f in fields(cls)}
+        for line in properties.splitlines():
+            key, found, value = line.strip().partition("=")
+            name, value = KEYS.get(key.strip(), key.strip()), value.strip()
+            if found and key[:1] not in ("#", "!") and name in kinds:
+                given[name] = datetime.strptime(value, DATES) if kinds[name] is datetime else kinds[name](value)
+        return cls(**given)
+
+    @classmethod
+    def read(cls, spark, path: str, base: EngineConfig | None = None) -> EngineConfig:
+        """parsed() of a file that Spark can read; a missing one leaves the settings of `base`."""
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return base or cls()
+        return cls.parsed("\n".join(r["value"] for r in spark.read.text(path).collect()), base)
+
 
 @dataclass
 class Request:

@@ -217,3 +217,28 @@ def hierarchy(places: DataFrame, pairs: DataFrame, radius: float = 40.0, min_zoo
         out.append((up.select(z, "id", F.col("x").alias("mx"), F.col("y").alias("my"), F.col("n").alias("num_points")), members.select(z, F.col("id").alias("child"), "parent"), items.select(z, "a", "b")))
     clusters, members, edges = (reduce(DataFrame.unionByName, part) for part in zip(*out, strict=True))
     return clusters, members, edges
+
+
+def placed_at(places: DataFrame, members: DataFrame, zoom: int, max_zoom: int = MAX_ZOOM) -> DataFrame:
+    """places(id, ...) with `cluster`, the one that holds each at a zoom; members as from hierarchy()."""
+    out = places.withColumn("cluster", F.col("id"))
+    for z in range(max_zoom, zoom - 1, -1):
+        step = members.where(F.col("zoom") == z).select(F.col("child").alias("cluster"), F.col("parent").alias("_up"))
+        out = out.join(step, "cluster").drop("cluster").withColumnRenamed("_up", "cluster")
+    return out
+
+
+def node(zoom, cluster) -> Column:
+    """Name of a cluster among those of all zooms: a cluster's id is that of one of its members."""
+    return F.concat_ws(":", F.lit(zoom) if isinstance(zoom, int) else zoom, cluster)
+
+
+def closure(clusters: DataFrame, members: DataFrame, zoom: int, min_zoom: int = 0) -> DataFrame:
+    """Ancestors of clusters(id) of a zoom, by node(): id, up (0: itself), anc."""
+    now = clusters.select(F.col("id"), F.col("id").alias("at")).distinct()
+    out = now.select(node(zoom, F.col("id")).alias("id"), F.lit(0).alias("up"), node(zoom, F.col("at")).alias("anc"))
+    for up in range(1, zoom - min_zoom + 1):
+        step = members.where(F.col("zoom") == zoom - up).select(F.col("child").alias("at"), "parent")
+        now = now.join(step, "at").select("id", F.col("parent").alias("at"))
+        out = out.unionByName(now.select(node(zoom, F.col("id")).alias("id"), F.lit(up).alias("up"), node(zoom - up, F.col("at")).alias("anc")))
+    return out

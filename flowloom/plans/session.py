@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowloom.config import EngineConfig, Request, Result
 from flowloom.functions import geo, text
-from flowloom.operators import bundling, clusters, edges, render, rollup, treecut, viewport
+from flowloom.operators import bundling, clusters, edges, pairs, render, rollup, treecut, viewport
 from flowloom.operators.store import settle
 from flowloom.operators.tree import IncrementalBundler
 from flowloom.streaming import slicing
@@ -26,17 +26,29 @@ FDEB, INCREMENTAL, CLIENT = 0, 1, 2
 
 
 class EngineSession:
-    def __init__(self, source: DataFrame, config: EngineConfig | None = None, first: datetime | None = None, last: datetime | None = None, fixed_interval: bool = False):
-        """`source` is an edge source: id, ts, four coordinates and, for keyword queries, from_text and to_text."""
+    def __init__(self, source: DataFrame, config: EngineConfig | None = None, first: datetime | None = None, last: datetime | None = None, fixed_interval: bool = False, properties: str | None = None):
+        """`source` is an edge source: id, ts, four coordinates and, for keyword queries, from_text and to_text.
+
+        `properties` names a file of settings that is read again for each new query; first and last, if given, go before its dates.
+        """
         self.source, self.config, self.request = source, config or EngineConfig(), Request()
-        self.first, self.last, self.fixed = first or self.config.first_date, last or self.config.last_date, fixed_interval
+        self.dates, self.fixed, self.properties = (first, last), fixed_interval, properties
         self.reset()
 
+    @property
+    def first(self) -> datetime:
+        return self.dates[0] or self.config.first_date
+
+    @property
+    def last(self) -> datetime:
+        return self.dates[1] or self.config.last_date
+
     def reset(self) -> None:
         self.total: DataFrame | None = None
         self.model = clusters.IncrementalKMeans(self.config.k)
         self.centers: list = []
         self.bundler, self.view = None, None
+        self.levels, self.levels_of = None, None
 
     def handle(self, message: str | dict) -> Iterator[Result]:
         """One result for each slice of a new query (flag N until the last, which has Y); one for a new viewport; none for a heartbeat."""
@@ -49,6 +61,8 @@ class EngineSession:
                 yield self.draw("Y")
             return
         self.reset()
+        if self.properties is not None:
+            self.config = EngineConfig.read(self.source.sparkSession, self.properties, self.config)
         rows = self.matching()
         if r.clustering and r.clusteringAlgorithm == KMEANS:
             self.total = settle(edges.weighted(edges.between(rows, self.first, self.last, first=True), self.config.least_length2))
@@ -83,7 +97,8 @@ class EngineSession:
         if not self.request.clustering:
             return bag.select("lon", "lat", F.lit(1).cast("long").alias("size")).distinct()
         if self.request.clusteringAlgorithm == HGC:
-            inside = viewport.clusters_in_view(self.tiles(), self.zoom, self.box)
+            found = self.hierarchy()[1] if self.config.hierarchy == "pairs" else self.tiles()
+            inside = viewport.clusters_in_view(found, self.zoom, self.box)
             return inside.select(geo.x_lng("mx").alias("lon"), geo.y_lat("my").alias("lat"), F.col("num_points").alias("size"))
         if not self.centers:
             return bag.select("lon", "lat", F.lit(1).cast("long").alias("size")).limit(0)
@@ -110,6 +125,8 @@ class EngineSession:
             e = rollup.to_centers(self.total, self.centers).where("a != b")
             e = e.join(at.toDF("a", "from_lon", "from_lat"), "a").join(at.toDF("b", "to_lon", "to_lat"), "b")
             return viewport.edge_classes(e, self.box).withColumn("id", F.xxhash64("a", "b")).select(named)
+        if self.config.hierarchy == "pairs":
+            return self.edges_of_pairs().select(named)
         zoom, t = self.zoom, settle(self.tiles())
         cen = t.select("zoom", "cell_x", "cell_y", geo.x_lng("mx").alias("lon"), geo.y_lat("my").alias("lat"))
         here = cen.where(F.col("zoom") == zoom)
@@ -128,6 +145,38 @@ class EngineSession:
         raised = raised.select(F.col("in_lon").alias("from_lon"), F.col("in_lat").alias("from_lat"), F.col("out_lon").alias("to_lon"), F.col("out_lat").alias("to_lat"), "weight")
         return inner.select(named).unionByName(raised.withColumn("id", by_ends))
 
+    def hierarchy(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Places, clusters and members of the hierarchy over pairs; kept until the edges or the radius change."""
+        key = (self.total, self.request.radius)
+        if self.levels is None or self.levels_of[0] is not key[0] or self.levels_of[1] != key[1]:
+            places, links = pairs.leaves(self.total)
+            places = settle(places)
+            found, members, _ = pairs.hierarchy(places, links, self.request.radius, self.config.min_zoom, self.config.max_zoom)
+            self.levels, self.levels_of = (places, found, members), key
+        return self.levels
+
+    def edges_of_pairs(self) -> DataFrame:
+        """Edges between clusters of the hierarchy over pairs, cut to the view, with off-screen ends raised along their ancestors."""
+        zoom, (places, found, members) = self.zoom, self.hierarchy()
+        held = pairs.placed_at(places, members, zoom, self.config.max_zoom)
+        e = rollup.to_members(self.total, held.select("lon", "lat", "cluster")).where("a != b")
+        cen = settle(found.select(pairs.node(F.col("zoom"), F.col("id")).alias("node"), geo.x_lng("mx").alias("lon"), geo.y_lat("my").alias("lat")))
+        at = lambda c, p: cen.select(F.col("node").alias(c), F.col("lon").alias(f"{p}_lon"), F.col("lat").alias(f"{p}_lat"))
+        e = e.withColumns({c: pairs.node(zoom, F.col(c)) for c in ("a", "b")}).join(at("a", "from"), "a").join(at("b", "to"), "b").where(geo.length2(*edges.ENDS) > self.config.least_length2)
+        e = settle(viewport.edge_classes(e, self.box).withColumn("id", F.xxhash64("a", "b")))
+        if not self.request.treeCut:
+            return e
+        out = lambda a, b: F.when(F.col("from_in"), F.col(b)).otherwise(F.col(a))
+        cut = e.where("edge_class = 'boundary'").select(out("to_lon", "from_lon").alias("in_lon"), out("to_lat", "from_lat").alias("in_lat"), out("a", "b").alias("node"), "weight")
+        seen = e.where("from_in").select(F.col("a").alias("id")).union(e.where("to_in").select("b")).distinct()
+        line = pairs.closure(found.where(F.col("zoom") == zoom), members, zoom, self.config.min_zoom)
+        raised = treecut.cut_by_parents(cut.select(F.col("node").alias("id")).distinct(), seen, settle(line))
+        raised = cut.join(raised.select(F.col("id").alias("node"), F.col("target").alias("up")), "node").join(at("up", "out"), "up")
+        raised = raised.where(geo.length2("in_lon", "in_lat", "out_lon", "out_lat") > self.config.least_length2)
+        raised = raised.groupBy(F.col("in_lon").alias("from_lon"), F.col("in_lat").alias("from_lat"), F.col("out_lon").alias("to_lon"), F.col("out_lat").alias("to_lat")).agg(F.sum("weight").alias("weight"))
+        raised = raised.withColumn("id", F.xxhash64(*edges.ENDS))
+        return e.where("edge_class = 'internal'").select(raised.columns).unionByName(raised)
+
     def incremental(self) -> IncrementalBundler:
         """The bundler of the present zoom and clustering; another one starts from nothing."""
         r = self.request

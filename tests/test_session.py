@@ -88,3 +88,40 @@ def test_incremental_bundling_above_the_bound(spark, sf):
     s = EngineSession(derived.flights(spark, sf), EngineConfig(fixed_days=1300, incremental_above=10**9), FIRST, LAST, fixed_interval=True)
     list(s.handle(ask))
     assert s.bundler is None
+
+
+def test_hierarchy_over_pairs(spark):
+    """Two groups of edges and a far one: clusters of the pair hierarchy, edges between them, an off-screen end raised to its ancestor."""
+    rows = [(i, FIRST, -60 + 0.1 * i, 0.2 * i, 40 + 0.1 * i, 10.0) for i in range(6)] + [(20 + i, FIRST, -61.0, 2.0 * i, 150.0, 60.0 - i) for i in range(3)]
+    source = spark.createDataFrame(rows, "id long, ts timestamp, from_lon double, from_lat double, to_lon double, to_lat double")
+    s = EngineSession(source, EngineConfig(fixed_days=3000, hierarchy="pairs", max_zoom=4), FIRST, LAST, fixed_interval=True)
+    got = list(s.handle({"clustering": 1, "zoom": 3, "radius": 40, "treeCut": 0}))[-1]
+    places, found, members = s.hierarchy()
+    assert got.points.agg({"size": "sum"}).first()[0] == found.where("zoom = 3").agg({"num_points": "sum"}).first()[0] == 18
+    assert s.drawn_edges().agg({"weight": "sum"}).first()[0] == 9 and s.hierarchy()[1] is found
+    few = s.drawn_edges().count()
+    assert 2 <= few < 9
+    cut = {"newQuery": False, "treeCut": 1, "lowerLongitude": -90, "upperLongitude": 90, "lowerLatitude": -40, "upperLatitude": 40}
+    (view,) = s.handle(cut)
+    drawn = s.drawn_edges().collect()
+    assert sum(r["weight"] for r in drawn) == 9 and view.counters["edgesCnt"] == len(drawn)
+    far = [r for r in drawn if max(r["from_lon"], r["to_lon"]) > 90]
+    plain = {(round(r["lon"], 6), round(r["lat"], 6)) for r in got.points.collect()}
+    assert far and s.drawn_edges().columns[0] == "id"
+    assert all((round(r["from_lon"], 6), round(r["from_lat"], 6)) in plain for r in far)
+
+
+def test_settings_are_read_for_each_new_query(spark, tmp_path):
+    rows = [(1, datetime(2016, 5, 1), 0.0, 0.0, 5.0, 5.0), (2, datetime(2018, 5, 1), 9.0, 0.0, 5.0, 5.0)]
+    source = spark.createDataFrame(rows, "id long, ts timestamp, from_lon double, from_lat double, to_lon double, to_lat double")
+    path = tmp_path / "engine.properties"
+    path.write_text("# dates\nfirstDate=20160101000000\nlastDate = 20170101000000\nfixedInterval=400\nunknown=1\n!k=3\n")
+    s = EngineSession(source, properties=str(path), fixed_interval=True)
+    assert list(s.handle({"edgeStatus": 0}))[-1].counters["repliesCnt"] == 1
+    path.write_text("firstDate=20160101000000\nlastDate=20190101000000\nk=5\nhierarchy=pairs\n")
+    list(s.handle({"newQuery": False}))
+    assert s.config.last_date == datetime(2017, 1, 1) and s.config.fixed_days == 400
+    got = list(s.handle({"newQuery": True}))
+    assert len(got) == 3 and got[-1].counters["repliesCnt"] == 2 and (s.config.k, s.config.hierarchy, s.config.fixed_days) == (5, "pairs", 400)
+    path.unlink()
+    assert list(s.handle({"newQuery": True}))[-1].counters["repliesCnt"] == 2
