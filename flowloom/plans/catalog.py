@@ -241,6 +241,16 @@ def edge_geometry(spark, sf_dir):
     return e.select(*KEY, F.round(geo.guarded_length(*KEY), 6).alias("length"), F.round(geo.degree(*KEY), 6).alias("degree"), mid("lo_lon", "hi_lon").alias("mid_lon"), mid("lo_lat", "hi_lat").alias("mid_lat"), geo.line_width("weight").alias("width"), geo.label_size("weight").alias("label"))
 
 
+_R = "(((10.0 - lo_lon) * (hi_lon - lo_lon) + (20.0 - lo_lat) * (hi_lat - lo_lat)) / ((hi_lon - lo_lon) * (hi_lon - lo_lon) + (hi_lat - lo_lat) * (hi_lat - lo_lat)))"
+
+
+@query(f"WITH {EDGES} SELECT lo_lon, lo_lat, hi_lon, hi_lat, round({_R}, 6) AS r, round(lo_lon + {_R} * (hi_lon - lo_lon), 6) AS x, round(lo_lat + {_R} * (hi_lat - lo_lat), 6) AS y FROM weighted")
+def nearest_on_edge(spark, sf_dir):
+    """The point of every edge's line next to one place: F11."""
+    e = flight_edges(spark, sf_dir).withColumn("p", geo.project(F.lit(10.0), F.lit(20.0), *KEY))
+    return e.select(*KEY, *[F.round(F.col("p")[c], 6).alias(c) for c in ("r", "x", "y")])
+
+
 @query(f"""WITH {EDGES}, n AS (SELECT least(weight, 12) AS parts FROM weighted), g AS (SELECT parts, unnest(range(0, parts)) AS place FROM n)
 SELECT place, parts, CAST(round(CAST(255 AS FLOAT) * (CAST(place AS FLOAT) / CAST(parts AS FLOAT))) AS INTEGER) AS red, CAST(round((CAST(1 AS FLOAT) - CAST(place AS FLOAT) / CAST(parts AS FLOAT)) * CAST(255 AS FLOAT)) AS INTEGER) AS blue, count(*) AS n FROM g GROUP BY ALL""")
 def color_gradient(spark, sf_dir):
@@ -320,6 +330,22 @@ rolled AS (SELECT CASE WHEN px < qx OR (px = qx AND py <= qy) THEN px ELSE qx EN
   CASE WHEN px < qx OR (px = qx AND py <= qy) THEN qx ELSE px END AS bx, CASE WHEN px < qx OR (px = qx AND py <= qy) THEN qy ELSE py END AS by_, CAST(sum(weight) AS BIGINT) AS weight FROM cells GROUP BY ALL)"""
 
 
+@query(f"""WITH {EDGES}, {ENDS}, {TILES} SELECT zoom, count(*) AS tiles, round(40 / (512 * pow(CAST(2 AS DOUBLE), zoom)) * 1000000, 4) AS micro_radius, round(greatest(CAST(0.025 AS DOUBLE) - CAST(0.0025 AS DOUBLE) * zoom, CAST(0.001 AS DOUBLE)), 6) AS step FROM tiles GROUP BY zoom""")
+def zoom_settings(spark, sf_dir):
+    """Search radius and bundling step of every zoom, beside its number of tiles: F12, F18."""
+    steps = F.array(*[F.lit(geo.step_size(z)) for z in range(clusters.MAX_ZOOM + 1)])
+    t = clusters.tiles(_points(spark, sf_dir), RADIUS).groupBy("zoom").agg(F.count("*").alias("tiles"))
+    return t.select("zoom", "tiles", F.round(geo.zoom_radius(RADIUS, "zoom") * 1000000, 4).alias("micro_radius"), F.round(F.get(steps, F.col("zoom")), 6).alias("step"))
+
+
+@query(f"WITH {EDGES}, {cells_sql(2)} SELECT least(px * 100000 + py, qx * 100000 + qy) AS a, greatest(px * 100000 + py, qx * 100000 + qy) AS b, CAST(sum(weight) AS BIGINT) AS weight FROM cells GROUP BY 1, 2")
+def member_edges(spark, sf_dir):
+    """Edges between clusters by a table of members, as any hierarchy has one: J1, A6."""
+    e = flight_edges(spark, sf_dir)
+    places = edges.endpoints(e).withColumns(clusters.tile_of("lon", "lat", 2, RADIUS, "p"))
+    return rollup.to_members(e, places.select("lon", "lat", (F.col("p_x") * 100000 + F.col("p_y")).alias("cluster")))
+
+
 @query(f"WITH {EDGES}, {cells_sql()} SELECT ax, ay, bx, by_ AS \"by\", weight FROM rolled")
 def cluster_edges_zoom(spark, sf_dir):
     """J1, A6."""
@@ -651,6 +677,32 @@ def half_edges_render(spark, sf_dir):
     return render.half_edges(e).select("id.*", "half", "x1", "x2", F.col("color")[2].alias("blue"), "width")
 
 
+@query(f"""WITH {EDGES}, m AS (SELECT *, (lo_lon + hi_lon) / 2 AS mx, (lo_lat + hi_lat) / 2 AS my FROM weighted), h AS (
+  SELECT lo_lon AS a, lo_lat AS b, mx AS c, my AS d, weight, '0,0,255' AS color FROM m UNION ALL SELECT mx, my, hi_lon, hi_lat, weight, '255,0,0' FROM m)
+SELECT '{{"from":[' || round(a, 3) || ',' || round(b, 3) || '],"to":[' || round(c, 3) || ',' || round(d, 3) || '],"width":' || CAST(greatest(least(ceil(sqrt(weight)), 15), 1) AS INTEGER) || ',"color":[' || color || ']}}' AS json FROM h""")
+def edges_json(spark, sf_dir):
+    """Drawn halves as JSON objects."""
+    e = flight_edges(spark, sf_dir).select(F.lit(0).alias("id"), F.col("lo_lon").alias("fx"), F.col("lo_lat").alias("fy"), F.col("hi_lon").alias("tx"), F.col("hi_lat").alias("ty"), "weight")
+    return render.edges_json(render.half_edges(e).withColumns({c: F.round(c, 3) for c in ("x1", "y1", "x2", "y2")}))
+
+
+_ID = "((((CAST(round(lo_lon * 100) AS BIGINT) + 18000) * 18000 + CAST(round(lo_lat * 100) AS BIGINT) + 9000) * 36000 + CAST(round(hi_lon * 100) AS BIGINT) + 18000) * 18000 + CAST(round(hi_lat * 100) AS BIGINT) + 9000)"
+
+
+@query(f"""WITH {EDGES}, r AS (SELECT {_ID} AS id, weight, round(lo_lon / 10) * 10 + CAST(0 AS DOUBLE) AS fx, round(lo_lat / 10) * 10 + CAST(0 AS DOUBLE) AS fy, round(hi_lon / 10) * 10 + CAST(0 AS DOUBLE) AS tx, round(hi_lat / 10) * 10 + CAST(0 AS DOUBLE) AS ty FROM weighted),
+h AS (SELECT id, 0 AS place, weight, fx AS a, fy AS b, (fx + tx) / 2 AS c, (fy + ty) / 2 AS d FROM r UNION ALL SELECT id, 1, weight, (fx + tx) / 2, (fy + ty) / 2, tx, ty FROM r),
+f AS (SELECT id, place, weight, a < c OR (a = c AND b <= d) AS f, a, b, c, d FROM h)
+SELECT CASE WHEN f THEN a ELSE c END AS x1, CASE WHEN f THEN b ELSE d END AS y1, CASE WHEN f THEN c ELSE a END AS x2, CASE WHEN f THEN d ELSE b END AS y2, CAST(sum(weight) AS BIGINT) AS width,
+  arg_max(CASE place WHEN 0 THEN 0 ELSE 128 END, CAST(id AS HUGEINT) * 2 + place) AS red FROM f GROUP BY 1, 2, 3, 4""")
+def segment_merge(spark, sf_dir):
+    """Parts of paths that lie on each other become one segment of their common width: A11, B5."""
+    to = lambda c: F.round(F.col(c) / 10) * 10 + F.lit(0.0)
+    e = flight_edges(spark, sf_dir).select(F.expr(_ID).alias("id"), "weight", to("lo_lon").alias("fx"), to("lo_lat").alias("fy"), to("hi_lon").alias("tx"), to("hi_lat").alias("ty"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    path = F.array(point(F.col("fx"), F.col("fy")), point((F.col("fx") + F.col("tx")) / 2, (F.col("fy") + F.col("ty")) / 2), point(F.col("tx"), F.col("ty")))
+    return bundling.segments(e.select("id", "weight", path.alias("path"))).select("x1", "y1", "x2", "y2", "width", F.col("color")[0].alias("red"))
+
+
 @query(f"""WITH {EDGES}, {ENDS} SELECT '{{"coordinates":[' || lon || ',' || lat || '],"size":' || count(*) || '}}' AS json FROM ends GROUP BY lon, lat""")
 def points_json(spark, sf_dir):
     """R3."""
@@ -697,6 +749,15 @@ def ingest_fallback(spark, sf_dir):
     return rows.select("tweet_from", "tweet_to", at("from_create_at"), at("to_create_at"), "from_text", "to_text", "status", *places)
 
 
+@query(f"WITH {REPLIES} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM replies WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-05' GROUP BY 1")
+def bulk_load_days(spark, sf_dir):
+    """Replies loaded into a table by day, of which a slice reads its days only."""
+    r, path = derived.replies(spark, sf_dir), f"{shared_dir(spark)}/bulk-{uuid.uuid4().hex}"
+    ingest.load_bulk(r.select(F.col("id").alias("tweet_from"), F.col("ts").alias("from_create_at"), "from_text"), path)
+    some = spark.read.parquet(path).where("day >= DATE'2024-01-02' AND day < DATE'2024-01-05'")
+    return some.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum("tweet_from").alias("ids"))
+
+
 @query(f"""WITH {REPLIES} SELECT CAST(id AS VARCHAR) AS tweet_from, strftime(ts, '%Y-%m-%d %H:%M') AS from_create_at, translate(from_text, chr(10) || '|', '  ') || ' "' || id || '"' AS from_text,
   round(from_lon, 6) AS from_longitude, round(from_lat, 6) AS from_latitude, CAST(id + 1 AS VARCHAR) AS tweet_to, strftime(ts, '%Y-%m-%d %H:%M') AS to_create_at, CASE WHEN id % 3 = 0 THEN NULL ELSE 'a|b "c" ' || id END AS to_text,
   round(to_lon, 6) AS to_longitude, round(to_lat, 6) AS to_latitude FROM replies""")
