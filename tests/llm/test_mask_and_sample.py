@@ -59,3 +59,28 @@ def test_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(langid, "fit", lambda rows: again.append(rows))
     langid.learn(df.repartition(5), 120, 300)
     assert again == held
+
+
+def test_merges_in_the_row(spark, sf):
+    """The higher-order form of byte-level BPE gives the ids of the Arrow form."""
+    import struct
+
+    from flowloom.llm import bpe, bpe_rows
+
+    path, pattern = bpe.vocabulary()
+    odd = [None, "", " ", "it's 12 o'clock\n\n  ok ", "Größe 漢字 🙂🙂", "aaaaaaaaaaaaaaaaaaaaaaaa", "x y\u0085z  ", "the the the"]
+    texts = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 400").select("text").limit(40)
+    df = spark.createDataFrame([(t,) for t in odd], "text string").union(texts).withColumn("ids", F.lit("x")).withColumn("i", F.monotonically_increasing_id())
+    df = spark.createDataFrame(df.collect(), df.schema)
+    want = {r["i"]: list(struct.unpack(f"<{len(r['ids']) // 4}I", bytes(r["ids"]))) for r in bpe.encode(df, path, pattern).collect()}
+    got = {r["i"]: r["ids"] for r in bpe_rows.encode_in_row(df, path, pattern).collect()}
+    assert got == want and bpe_rows.encode_in_row(df.limit(0), path, pattern).count() == 0
+
+
+def test_rules_count_what_earlier_ones_leave(spark):
+    """Of two rules as cheap, the one that rejects what the first has left goes before the one that rejects more, but the same again."""
+    from flowloom.llm import quality
+
+    sample = quality.measures(spark.createDataFrame([(i, "some words " * 30) for i in range(100)], "doc_id long, text string"))
+    found = {"a": F.col("doc_id") < 50, "b": F.col("doc_id") < 60, "c": (F.col("doc_id") >= 60) & (F.col("doc_id") < 65), "d": F.col("doc_id") == 99}
+    assert quality.order_rules(sample, found) == ["b", "c", "d", "a"]
