@@ -96,7 +96,7 @@ def by_hand(spark, places, links, zooms, radius):
     return df, out
 
 
-@pytest.mark.parametrize("n,seed,spread,zooms", [(500, 1, 0.05, range(5, -1, -1)), (120, 2, 0.3, range(3, 0, -1))])
+@pytest.mark.parametrize("n,seed,spread,zooms", [(500, 3, 0.1, range(2, -1, -1))])
 def test_same_as_one_pair_after_the_other(spark, n, seed, spread, zooms):
     places, links = fixture(n, seed, spread)
     df, want = by_hand(spark, places, links, zooms, 40.0)
@@ -115,8 +115,7 @@ def test_same_as_one_pair_after_the_other(spark, n, seed, spread, zooms):
         assert {i: v[2] for i, v in weights[zoom].items()} == {i: v[2] for i, v in now.items()}
         assert all(v[:2] == pytest.approx(now[i][:2]) for i, v in weights[zoom].items())
         seen |= branches
-    if n == 500:
-        assert seen == {"merge", "follow", "new pair", "one side", "joined", "edge only", "oldest edge"}
+    assert seen == {"merge", "follow", "new pair", "one side", "joined", "edge only", "oldest edge"}
 
 
 def test_absorption_runs_until_nothing_overlaps(spark):
@@ -151,11 +150,11 @@ def test_hierarchy_of_places(spark, sf):
     from flowloom.sources import derived
 
     places, links = pairs.leaves(e.weighted(derived.flights(spark, sf)).where("lo_lon < -60"))
-    got, members, between = pairs.hierarchy(places, links, 40.0, 1, 3)
+    got, members, between = pairs.hierarchy(places, links, 40.0, 2, 3)
     held = places.join(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), "id").agg(F.sum("n")).first()[0]
     assert {r["s"] for r in got.groupBy("zoom").agg(F.sum("num_points").alias("s")).collect()} == {held}
     assert members.join(got.select("zoom", F.col("id").alias("parent")), ["zoom", "parent"], "left_anti").isEmpty()
-    for z in (3, 1):
+    for z in (3, 2):
         c, t = got.where(F.col("zoom") == z), between.where(F.col("zoom") == z)
         t = t.select(F.col("a").alias("id"), F.col("b").alias("target")).union(t.select("b", "a"))
         assert clusters.absorb_overlaps(c.select("id", F.col("mx").alias("x"), F.col("my").alias("y")), t, 40.0 / (512 * 2**z)).isEmpty()
