@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators.store import settle
+from flowloom.operators.store import mark, settle, sweep
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least component among an id's neighbours and then jumps to that component's own, so long
     chains shrink geometrically. A round is written to the shared folder; nothing is collected but one count.
     """
-    links = links.where("a != b")
+    since, links = mark(), links.where("a != b")
     edges = settle(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     labels = settle(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
     while True:
@@ -22,6 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         pulled = settle(labels.join(around, "id").select("id", F.col("component").alias("was"), F.least("component", "l").alias("component")))
         jump = pulled.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
         new = settle(pulled.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("beyond", "component")).alias("component")))
-        if not new.where("was != component").limit(1).count():
-            return new.select("id", "component")
         labels = new.select("id", "component")
+        if new.where("was != component").isEmpty():
+            sweep(new.sparkSession, since, new)
+            return labels
+        sweep(new.sparkSession, since, new, edges)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.clusters import MAX_ZOOM, absorb, mercator
-from flowloom.operators.store import settle
+from flowloom.operators.store import mark, settle, sweep
 from flowloom.operators.viewport import distance
 
 
@@ -205,7 +205,7 @@ def hierarchy(places: DataFrame, pairs: DataFrame, radius: float = 40.0, min_zoo
     now, out = settle(places.select("id", "x", "y", "n").join(held, "id", "left_semi")), []
     singles = items.limit(0).select("o", F.col("a").alias("id"))
     for zoom in range(max_zoom, min_zoom - 1, -1):
-        r = radius / (512.0 * 2**zoom)
+        since, r = mark(), radius / (512.0 * 2**zoom)
         members, edges, up = level(now, items, singles, r)
         if share is not None:
             members, edges, up = absorbed(members, edges, up, r, share)
@@ -213,6 +213,7 @@ def hierarchy(places: DataFrame, pairs: DataFrame, radius: float = 40.0, min_zoo
         paired = items.select(F.col("a").alias("id")).union(items.select("b")).distinct()
         singles = settle(up.join(paired, "id", "left_anti").select("o", "id"))
         now = up.select("id", "x", "y", "n")
+        sweep(now.sparkSession, since, members, items, up, singles)
         z = F.lit(zoom).alias("zoom")
         out.append((up.select(z, "id", F.col("x").alias("mx"), F.col("y").alias("my"), F.col("n").alias("num_points")), members.select(z, F.col("id").alias("child"), "parent"), items.select(z, "a", "b")))
     clusters, members, edges = (reduce(DataFrame.unionByName, part) for part in zip(*out, strict=True))

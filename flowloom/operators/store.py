@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +38,40 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.settled_at = path
+    _tables().append(path)
     return back
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a settled table that nothing reads any more."""
-    spark, path = df.sparkSession, df.settled_at
+def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a settled table that nothing reads any more."""
+    delete(df.sparkSession, df.settled_at)
+
+
+_local = threading.local()
+
+
+def _tables() -> list[str]:
+    """Tables that this thread has settled and not swept."""
+    if not hasattr(_local, "tables"):
+        _local.tables = []
+    return _local.tables
+
+
+def mark() -> int:
+    """A place in the sequence of settled tables, for sweep()."""
+    return len(_tables())
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes the tables that this thread has settled since a mark, except those that the tables to keep read."""
+    tables = _tables()
+    read = {part for df in keep for file in df.inputFiles() for part in file.split("/") if part.startswith("flowloom-")}
+    for path in tables[since:]:
+        if path.rpartition("/")[2] not in read:
+            delete(spark, path)
+    tables[since:] = [path for path in tables[since:] if path.rpartition("/")[2] in read]

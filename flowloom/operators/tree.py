@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators import bundling
 from flowloom.operators.graph import components
-from flowloom.operators.store import settle
+from flowloom.operators.store import mark, settle, sweep
 
 SIZE_CAP, CHILDREN, SIGMA = 16_400, 50, 0.2
 #: Score above which a representative pulls an edge, and above which the nodes below it are looked at.
@@ -360,7 +360,7 @@ class IncrementalBundler:
 
         Leaves that are not among them stay as they are.
         """
-        spark = edges.sparkSession
+        spark, since = edges.sparkSession, mark()
         leaves = spark.createDataFrame([], LEAVES) if self.leaves is None else self.leaves
         was = leaves.select("id", F.struct(*ENDS, "weight").alias("was"), "node")
         far = F.lit(False)
@@ -391,6 +391,7 @@ class IncrementalBundler:
         kept = kept.select("id", *ENDS, F.coalesce("weight", "w").alias("weight"), "node", "lonely", "path")
         self.leaves = settle(kept.unionByName(done))
         counts = state.agg(F.count_if("new").alias("new"), F.count_if("moved").alias("moved")).first()
+        sweep(spark, since, self.leaves)
         return {"new": counts["new"], "moved": counts["moved"]}
 
     def insert(self, groups: DataFrame) -> DataFrame:

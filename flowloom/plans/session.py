@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from flowloom.config import EngineConfig, Request, Result
 from flowloom.functions import geo, text
 from flowloom.operators import bundling, clusters, edges, pairs, render, rollup, treecut, viewport
-from flowloom.operators.store import settle
+from flowloom.operators.store import mark, settle, sweep
 from flowloom.operators.tree import IncrementalBundler
 from flowloom.streaming import slicing
 
@@ -33,8 +33,14 @@ class EngineSession:
         """
         self.source, self.config, self.request = source, config or EngineConfig(), Request()
         self.dates, self.fixed, self.properties = (first, last), fixed_interval, properties
+        self.since = mark()
         self.reset()
 
+    def close(self) -> None:
+        """Ends the session and deletes its tables, and with them what its results read."""
+        self.reset()
+        sweep(self.source.sparkSession, self.since, self.source)
+
     @property
     def first(self) -> datetime:
         return self.dates[0] or self.config.first_date

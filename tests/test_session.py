@@ -7,7 +7,7 @@ from functools import partial
 import pytest
 
 from flowloom.config import EngineConfig
-from flowloom.operators import bundling, edges
+from flowloom.operators import bundling, edges, store
 from flowloom.plans.session import EngineSession
 from flowloom.sources import derived
 
@@ -125,3 +125,20 @@ def test_settings_are_read_for_each_new_query(spark, tmp_path):
     assert len(got) == 3 and got[-1].counters["repliesCnt"] == 2 and (s.config.k, s.config.hierarchy, s.config.fixed_days) == (5, "pairs", 400)
     path.unlink()
     assert list(s.handle({"newQuery": True}))[-1].counters["repliesCnt"] == 2
+
+
+def test_a_closed_session_leaves_no_tables(spark, tmp_path, monkeypatch):
+    """Steps of an operator go when it is done, the rest when the session ends; tables of others stay."""
+    monkeypatch.setattr(store, "shared_dir", lambda spark: str(tmp_path))
+    rows = [(i, FIRST, -60 + 0.1 * i, 0.2 * i, 40 + 0.1 * i, 10.0) for i in range(6)]
+    source = store.settle(spark.createDataFrame(rows, "id long, ts timestamp, from_lon double, from_lat double, to_lon double, to_lat double"))
+    s = EngineSession(source, EngineConfig(fixed_days=3000, hierarchy="pairs", max_zoom=1), FIRST, LAST, fixed_interval=True)
+    got = list(s.handle({"clustering": 1, "zoom": 1, "bundling": 0}))[-1]
+    assert got.edges.count() >= 0 and 1 < len(list(tmp_path.iterdir())) < 40
+    s.close()
+    assert len(list(tmp_path.iterdir())) == 1 and source.count() == 6
+    from flowloom.operators.graph import components
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
+    found = components(links)
+    assert len(list(tmp_path.iterdir())) == 2 and {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
