@@ -84,3 +84,17 @@ def test_rules_count_what_earlier_ones_leave(spark):
     sample = quality.measures(spark.createDataFrame([(i, "some words " * 30) for i in range(100)], "doc_id long, text string"))
     found = {"a": F.col("doc_id") < 50, "b": F.col("doc_id") < 60, "c": (F.col("doc_id") >= 60) & (F.col("doc_id") < 65), "d": F.col("doc_id") == 99}
     assert quality.order_rules(sample, found) == ["b", "c", "d", "a"]
+
+
+def test_pipeline_mixes_in_order_of_slots(spark, sf):
+    """As many readings as the mix of these documents has, each at the slot in which it begins."""
+    import corpus_pipeline
+    from flowloom.llm import mixing
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    read = [r["doc_id"] for r in corpus_pipeline.mixture(spark, docs, sf).select("doc_id").collect()]
+    more = F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source")
+    keyed = docs.withColumn("doc_id", corpus_pipeline.identity(*more))
+    taken = mixing.mix(keyed).where("taken > 0").select(F.ceil(F.col("taken") / F.col("size")).alias("n"))
+    plan = mixing.mix_schedule(mixing.sized_documents(keyed)).where("word_from = 0 AND word_to > 0").orderBy("slot", "start").select("doc_id.id").collect()
+    assert len(read) == taken.agg(F.sum("n")).first()[0] and read == [r["id"] for r in plan]
