@@ -59,15 +59,14 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix reads it: whole turns, and once more for a part of one.
+    """Each document as often as the mix reads it, in the order of the schedule: whole turns, and once more for a part of one.
 
-    Rows that repeat a document (id, source and text) give it the turns of all of them together.
+    A reading stands at the slot in which it begins. Rows that repeat a document (id, source and text) give it the turns of all of them together.
     """
     keyed = docs.withColumn(KEY, identity(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source")))
-    taken = mixing.mix(keyed.select(F.col(KEY).alias("doc_id"), "source", "text")).where("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias(KEY)).agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(TURNS))
-    once = keyed.join(times, KEY).dropDuplicates([KEY])
-    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), TURNS)).alias(KEY)).select(docs.columns)
+    plan = mixing.mix_schedule(mixing.sized_documents(keyed.select(F.col(KEY).alias("doc_id"), "source", "text")))
+    begins = plan.where("word_from = 0 AND word_to > 0").select(F.col("doc_id").alias(KEY), F.struct("slot", "start").alias(TURNS))
+    return keyed.dropDuplicates([KEY]).join(begins, KEY).orderBy(TURNS).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
