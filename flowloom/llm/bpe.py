@@ -106,7 +106,8 @@ def _schema(df: DataFrame, drop: str, field: str) -> str:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds `ids_col` (binary: ids as little-endian unsigned 32-bit integers); a column of that name is replaced.
 
-    A null or empty text has no ids. Every row keeps its other columns.
+    A null or empty text has no ids. Every row keeps its other columns. Rows that repeat a text get the same ids, an empty table gives no
+    rows. A very long text is encoded whole: its words one after the other, a very long word by a heap.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     docs = docs.drop(ids_col)

@@ -152,7 +152,9 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last third replaced by the beginning of the next document, by descending doc_id. A
-    null text is empty. One row per input row.
+    null text is empty. One row per input row; rows of one id follow each other in an order that depends on their texts alone. An empty table gives no
+    rows, the only document is its own next one, other columns are not read. A very long text is one row, and so is its tree, which has some 36
+    characters for each paragraph.
     """
     n = F.length("text")
     cut = F.floor(n / F.lit(3)).cast("int")

@@ -382,7 +382,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, removed (array of low, high: maximal byte runs), kept (binary).
 
     Texts are taken as UTF-8; a null text is empty. A null doc_id comes before all others; rows that repeat a
-    doc_id come in the order of a hash of their text. One row per input row.
+    doc_id come in the order of a hash of their text. One row per input row. An empty table gives no rows, other columns are not read. A
+    very long text is cut into stretches in one task, with some 100 bytes of arrays for each byte of it.
     """
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     if docs.groupBy("doc").count().where("count > 1").limit(1).count():
