@@ -21,7 +21,11 @@ KEY, TURNS, SPANS = "_document", "_turns", "_spans"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no text, no letter) or whose words agree on none."""
+    """Drops documents without a language (no text, no letter) or whose words agree on none.
+
+    Every other row stays as it is, repeated ones too; a very long text is labelled whole; an empty table gives no rows, and so does one without
+    labels to learn from.
+    """
     names = [f"_{i}" for i in range(len(docs.columns))]  # so that nothing of theirs is replaced
     found = langid.predict(docs.toDF(*names), langid.learn(docs.select("doc_id", "text", "lang")), names[docs.columns.index("text")])
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(names).toDF(*docs.columns)
@@ -36,7 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the smallest id.
 
     Documents that share an id, or have none, are told apart by their texts. Rows that repeat a document, and documents
-    without words, stay once for each id and text.
+    without words, stay once for each id and text. Very long texts are rows like others; an empty table gives no rows.
     """
     found = jaccard.join(docs, percent=PERCENT, words=WORDS).withColumn("document", F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), "h"))
     groups = found.where("n_shingles > 0").groupBy("component").agg(F.min("document").alias("document")).select("document")
@@ -46,7 +50,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret and every linked part of a credential by a mask."""
+    """Replaces every secret and every linked part of a credential by a mask.
+
+    Null texts stay null, rows that repeat a document are masked alike, a very long text is masked whole in linear time; an empty table gives no
+    rows.
+    """
     held = F.struct(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"), "h")
     found = secrets.scan(docs).where(F.size("spans") > 0).select(held.alias(KEY), F.col("spans").alias(SPANS)).dropDuplicates([KEY])
     joined = docs.withColumn(KEY, identity()).join(found, KEY, "left")
@@ -62,6 +70,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix reads it, in the order of the schedule: whole turns, and once more for a part of one.
 
     A reading stands at the slot in which it begins. Rows that repeat a document (id, source and text) give it the turns of all of them together.
+    Documents without words are not read; a very long text spans many slots and is read as one row; an empty table gives no rows.
     """
     keyed = docs.withColumn(KEY, identity(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source")))
     plan = mixing.mix_schedule(mixing.sized_documents(keyed.select(F.col(KEY).alias("doc_id"), "source", "text")))
@@ -70,7 +79,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) and their number beside the documents' columns."""
+    """Token ids (little-endian unsigned 32-bit integers) and their number beside the documents' columns.
+
+    A null text has none; very long texts are encoded whole; an empty table gives no rows. Columns named ids or n_tokens are replaced.
+    """
     path, pattern = bpe.vocabulary()
     return bpe.encode(docs, path, pattern).withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
 
