@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.geo import lat_y, length2, lng_x
 from flowloom.operators.graph import components
-from flowloom.operators.store import settle
+from flowloom.operators.store import drop, settle
 from flowloom.operators.viewport import radius_join
 
 MAX_ZOOM = 17
@@ -163,6 +163,13 @@ def assign(points: DataFrame, centers: list[tuple[float, float]]) -> DataFrame:
     return at.withColumn("k", k).select(*points.columns, "k", "d2")
 
 
+def assigned(points: DataFrame, centers: list[tuple[float, float]]) -> DataFrame:
+    """As assign(), with the centres in a literal array: the code that Spark generates is the same for all centres and compiled once."""
+    every = F.lit([v for at in centers for v in map(float, at)])
+    far = F.transform(F.sequence(F.lit(0), F.lit(len(centers) - 1)), lambda i: F.struct(length2("lon", "lat", every[2 * i], every[2 * i + 1]).alias("d2"), i.alias("k")))
+    return points.withColumn("_near", F.array_min(far)).select(*points.columns, F.col("_near.k").alias("k"), F.col("_near.d2").alias("d2"))
+
+
 def lloyd_step(points: DataFrame, centers) -> DataFrame:
     """k, lon, lat, n, sse of the new centres; a centre without points keeps its place."""
     rows = assign(points, centers).groupBy("k").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count("*").alias("n"), F.sum("d2").alias("sse"))
@@ -178,18 +185,26 @@ def seeds(points: DataFrame, k: int) -> list[tuple[float, float]]:
 
 
 def kmeans(points: DataFrame, k: int = 17, most: int = 2000, tol: float = 1e-6):
-    """Lloyd's iterations until the SSE falls by less than `tol` of itself: (centres, sizes, sse by iteration). Raises if `most` don't settle it."""
-    centers, history, sizes = seeds(points, k), [], []
+    """Lloyd's iterations until the SSE falls by less than `tol` of itself: (centres, sizes, sse by iteration). Raises if `most` don't settle it.
+
+    The points are read once and counted by place; each iteration goes over the places and brings k rows of sums to the driver.
+    """
+    places = settle(points.groupBy("lon", "lat").agg(F.count("*").alias("n")))
+    centers, history, sizes = seeds(places, k), [], []
+    total = lambda c: F.sum(F.col(c) * F.col("n"))
     for _ in range(most):
         if not centers:
             break
-        rows = sorted(lloyd_step(points, centers).collect(), key=lambda r: r["k"])
-        centers, sizes = [(r["lon"], r["lat"]) for r in rows], [r["n"] for r in rows]
-        history.append(sum(r["sse"] for r in rows))
+        sums = assigned(places, centers).groupBy("k").agg(total("lon").alias("x"), total("lat").alias("y"), F.sum("n").alias("m"), total("d2").alias("sse"))
+        rows = {r["k"]: r for r in sums.collect()}
+        centers = [(rows[i]["x"] / rows[i]["m"], rows[i]["y"] / rows[i]["m"]) if i in rows else at for i, at in enumerate(centers)]
+        sizes = [rows[i]["m"] if i in rows else 0 for i in range(len(centers))]
+        history.append(sum(rows[i]["sse"] for i in sorted(rows)))
         if len(history) > 1 and history[-2] - history[-1] <= tol * max(history[-2], 1e-12):
             break
     else:
         raise RuntimeError(f"k-means is not settled after {most} iterations")
+    drop(places)
     return centers, sizes, history
 
 

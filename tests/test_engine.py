@@ -112,6 +112,23 @@ def test_kmeans_edges(spark):
     assert tie["k"] == 0
 
 
+def test_kmeans_reads_its_points_once(spark):
+    """However many iterations it takes: the points may stand for joins of whole tables."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    line = spark.range(300).select((F.col("id") % 100).cast("double").alias("lon"), (F.col("id") % 7).cast("double").alias("lat"))
+    centers, sizes, history = clusters.kmeans(line.mapInArrow(count, line.schema), 5)
+    assert seen.value == 300 and sum(sizes) == 300 and len(history) > 2
+    (x, y), n = centers[0], sizes[0]
+    at = clusters.assign(line, centers).where("k = 0").agg(F.avg("lon"), F.avg("lat"), F.count("*")).first()
+    assert (x, y, n) == (pytest.approx(at[0]), pytest.approx(at[1]), at[2])
+
+
 def test_tree_cut_by_parents(spark):
     parent = {"A": "W", "B": "X", "C": "W", "D": "Y", "E": "X", "F": "X", "G": "Y", "H": "V", "W": "R", "X": "R", "Y": "R", "V": "R"}
 
