@@ -679,11 +679,11 @@ def half_edges_render(spark, sf_dir):
 
 @query(f"""WITH {EDGES}, m AS (SELECT *, (lo_lon + hi_lon) / 2 AS mx, (lo_lat + hi_lat) / 2 AS my FROM weighted), h AS (
   SELECT lo_lon AS a, lo_lat AS b, mx AS c, my AS d, weight, '0,0,255' AS color FROM m UNION ALL SELECT mx, my, hi_lon, hi_lat, weight, '255,0,0' FROM m)
-SELECT '{{"from":[' || round(a, 3) || ',' || round(b, 3) || '],"to":[' || round(c, 3) || ',' || round(d, 3) || '],"width":' || CAST(greatest(least(ceil(sqrt(weight)), 15), 1) AS INTEGER) || ',"color":[' || color || ']}}' AS json FROM h""")
+SELECT '{{"from":[' || round(a, 3) + CAST(0 AS DOUBLE) || ',' || round(b, 3) + CAST(0 AS DOUBLE) || '],"to":[' || round(c, 3) + CAST(0 AS DOUBLE) || ',' || round(d, 3) + CAST(0 AS DOUBLE) || '],"width":' || CAST(greatest(least(ceil(sqrt(weight)), 15), 1) AS INTEGER) || ',"color":[' || color || ']}}' AS json FROM h""")
 def edges_json(spark, sf_dir):
-    """Drawn halves as JSON objects."""
+    """Drawn halves as JSON objects; a zero has no sign."""
     e = flight_edges(spark, sf_dir).select(F.lit(0).alias("id"), F.col("lo_lon").alias("fx"), F.col("lo_lat").alias("fy"), F.col("hi_lon").alias("tx"), F.col("hi_lat").alias("ty"), "weight")
-    return render.edges_json(render.half_edges(e).withColumns({c: F.round(c, 3) for c in ("x1", "y1", "x2", "y2")}))
+    return render.edges_json(render.half_edges(e).withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("x1", "y1", "x2", "y2")}))
 
 
 _ID = "((((CAST(round(lo_lon * 100) AS BIGINT) + 18000) * 18000 + CAST(round(lo_lat * 100) AS BIGINT) + 9000) * 36000 + CAST(round(hi_lon * 100) AS BIGINT) + 18000) * 18000 + CAST(round(hi_lat * 100) AS BIGINT) + 9000)"
