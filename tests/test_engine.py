@@ -363,3 +363,16 @@ def test_nearest_searches_write_no_pairs(spark, monkeypatch):
         assert asked[0][1] < 10 and asked[-1][0] < 150
         assert sorted(map(tuple, viewport.nearest_per_cell(a, b, 10.0, -30.0, 5.0, 9).collect())) == cells
     assert viewport.nearest_within(a, b.limit(0), 10.0).isEmpty() and viewport.nearest_per_cell(a.limit(0), b, 10.0, -30.0, 5.0, 9).isEmpty()
+
+
+def test_greedy_in_strips_takes_few_rounds(spark, monkeypatch):
+    """A chain of 400 points, each waiting for the one before: one round for each strip, the same centres as by single rounds."""
+    monkeypatch.setattr(clusters, "IN_STRIP", 100)
+    points = spark.createDataFrame([(i, i / 400) for i in range(400)], "id long, x double")
+    chain = spark.createDataFrame([(i, i - d) for i in range(1, 400) for d in (1, 2) if i >= d], "id long, other long")
+    rounds, plain = [], clusters.settle
+    monkeypatch.setattr(clusters, "settle", lambda df: rounds.append(1) or plain(df))
+    assert {r["id"]: r["centre"] for r in clusters.first_in_strips(points, chain).collect()} == {i: i % 3 == 0 for i in range(400)}
+    assert len(rounds) <= 5
+    with pytest.raises(RuntimeError):
+        clusters.first_in_strips(points, spark.createDataFrame([(1, 2), (2, 1)], "id long, other long")).count()
