@@ -15,17 +15,23 @@ return pairs in rounds: one partner for each member, then up to 16, 256 and so o
 become one meanwhile. So a large group is linked by about as many pairs as it has members, and yet every
 pair that the sketch allows is verified, or lies within one component already.
 
+What is large is dealt in DEALS parts, one after the other, so that the disk holds the shuffle of one of them: the blocks of all sets, and the texts, which
+are read once more for the n-grams of all sets that share a block. Tables are deleted as soon as nothing reads them.
+
 N-grams are 64-bit hashes; a set is told from others by 128 bits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import materialize, table
 from flowloom.operators.graph import components
+from flowloom.operators.store import drop, mark, sweep
 
 #: Words of a shingle, and the similarity in hundredths.
 WORDS, PERCENT = 3, 90
@@ -39,6 +45,8 @@ COLUMNS = 8
 BLOCK = 512
 #: Partners of a member that a round of the second comparison takes: 1, in the next so many times as many, until none is left.
 WIDEN = 16
+#: Parts in which blocks and texts are shuffled, one after the other.
+DEALS = 4
 #: Sets that a task remembers, so as to cut equal ones into blocks once.
 SEEN = 1 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -275,11 +283,15 @@ def dealt(members: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
 
 
+def in_deals(rows: DataFrame, key: str, then) -> DataFrame:
+    """then(rows) for each of the DEALS parts of the rows by the hash `key`, each written by itself."""
+    return reduce(DataFrame.union, [materialize(then(rows.where(F.pmod(key, F.lit(DEALS)) == i))) for i in range(DEALS)])
+
+
 def incidence(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """nodes(node, rep) -> node, n, columns: the rows of the matrix as COLUMNS arrays of n-gram hashes. rep names a document of the set."""
     rep = nodes.select(F.col("node").alias("wanted"), F.col("rep.h").alias("h"), F.col("rep.no_id").alias("no_id"), F.col("rep.id").alias("id"))
     given = docs.select(text_hash().alias("h"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "text")
-    texts = given.join(rep, ["h", "no_id", "id"]).select("text", "wanted")
 
     def run(batches):
         import pyarrow as pa
@@ -300,7 +312,11 @@ def incidence(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                     sets.append(np.split(grams.view(np.int64), np.searchsorted(grams, edges)))
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, kind)], ["node", "n", "columns"])
 
-    return texts.mapInArrow(run, "node long, n long, columns array<array<long>>").dropDuplicates(["node"])
+    def part(given):
+        texts = given.join(rep, ["h", "no_id", "id"]).select("text", "wanted")
+        return texts.mapInArrow(run, "node long, n long, columns array<array<long>>").dropDuplicates(["node"])
+
+    return in_deals(given, "h", part)
 
 
 def overlap(x: Column, y: Column, n: Column, m: Column, least: Column) -> Column:
@@ -315,10 +331,8 @@ def overlap(x: Column, y: Column, n: Column, m: Column, least: Column) -> Column
     return F.aggregate(F.arrays_zip(x.alias("x"), y.alias("y")), start, step, lambda a: a["o"])
 
 
-def overlaps(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose n-grams overlap enough; nodes(node, rep) names a document of each set."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(incidence(nodes.join(ends, "node"), docs, words))
+def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose n-grams overlap enough; sets as from incidence()."""
     both = pairs.join(sets.toDF("a", "n", "x"), "a").join(sets.toDF("b", "m", "y"), "b")
     least = F.ceil((F.col("n") + F.col("m")) * percent / F.lit(100 + percent))
     return both.where(overlap(F.col("x"), F.col("y"), F.col("n"), F.col("m"), least) >= least).select("a", "b")
@@ -333,26 +347,33 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     other id is in its component. Other columns are ignored; an empty table gives no rows. Very long texts are one row
     of a task each, with a few bytes for each word.
     """
-    docs = docs.select("doc_id", "text")
-    whole = materialize(digest(docs, percent, words))
+    since, docs = mark(), docs.select("doc_id", "text")
+    digests = whole = materialize(digest(docs, percent, words))
     names = whole.where("node is not null").groupBy("node")
     rep = F.min(F.struct("h", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")))
     clashes = [r["node"] for r in names.agg(F.min("node2").alias("x"), F.max("node2").alias("y")).where("x < y").collect()]
     if clashes:  # different sets with the same first 64 bits: n * n / 2**65 of n are expected
         whole = whole.withColumn("node", F.when(F.col("node").isin(clashes), F.xxhash64("node", "node2")).otherwise(F.col("node")))
-    nodes = materialize(whole.where("node is not null").groupBy("node").agg(rep.alias("rep"), F.min("doc_id").alias("least")))
+    rows = materialize(whole.select("doc_id", "h", "n", "node"))
+    nodes = materialize(rows.where("node is not null").groupBy("node").agg(rep.alias("rep"), F.min("doc_id").alias("least")))
     flat = whole.where("node is not null").select("node", F.explode("schemes").alias("s"))
     entry = flat.select("node", "s.own", F.explode("s.keys").alias("key"))
     of_key = Window.partitionBy("key")
     # A bucket counts if it holds two different sets, one of them in its own size class; copies of a set are one member.
     mixed = (F.min("node").over(of_key) < F.max("node").over(of_key)) & F.max("own").over(of_key)
-    shared = entry.withColumn("mixed", mixed).where("mixed").select("key", "node", "own").dropDuplicates()
-    shared = materialize(shared.withColumn("m", F.count("*").over(of_key)).withColumn("pivot", F.min(F.when(F.col("own"), F.col("node"))).over(of_key)))
+
+    def meeting(entry):
+        shared = entry.withColumn("mixed", mixed).where("mixed").select("key", "node", "own").dropDuplicates()
+        return shared.withColumn("m", F.count("*").over(of_key)).withColumn("pivot", F.min(F.when(F.col("own"), F.col("node"))).over(of_key))
+
+    shared = in_deals(entry, "key", meeting)
     met = shared.select("node").distinct()
     sketches = materialize(whole.where("sketch is not null").select("node", "n", "sketch").join(met, "node").dropDuplicates(["node"]))
+    drop(digests)
+    sets = incidence(nodes.select("node", "rep").join(met, "node"), docs, words)
     tried = shared.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     tried = tried.join(sketches.withColumnRenamed("node", "a"), "a").join(sketches.toDF("b", "n2", "sketch2"), "b")
-    first = materialize(overlaps(materialize(pivot_pairs(tried, percent)), nodes.select("node", "rep"), docs, percent, words))
+    first = materialize(overlaps(materialize(pivot_pairs(tried, percent)), sets, percent))
     label = components(first)
     # All have met the pivot; the others of a bucket meet if they stand in different components and one is in its own class.
     members = shared.where("node != pivot").drop("pivot").join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -363,7 +384,7 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
         found = materialize(cross_pairs(dealt(members, sketches), percent, most))
         pairs, more = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("node")).distinct()
         if pairs.limit(1).count():
-            links = materialize(links.union(overlaps(pairs, nodes.select("node", "rep"), docs, percent, words)))
+            links = materialize(links.union(overlaps(pairs, sets, percent)))
             label = components(links)
         if not more.limit(1).count():
             break
@@ -373,9 +394,11 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     placed = nodes.select("node", "least").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     final = placed.join(smallest, "label").select("node", "component_id", "label")
-    out = whole.where("node is not null").select("doc_id", "h", "n", "node").join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "h", F.col("label").alias("component"))
-    alone = whole.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "h", F.lit(None).cast("long").alias("component"))
-    return out.unionByName(alone)
+    out = rows.where("node is not null").join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "h", F.col("label").alias("component"))
+    alone = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "h", F.lit(None).cast("long").alias("component"))
+    out = materialize(out.unionByName(alone))
+    sweep(out.sparkSession, since, out)
+    return out
 
 
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:
