@@ -6,6 +6,8 @@ missing coordinate are left out rather than put at (0, 0).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,20 +80,23 @@ def unknown(batch: DataFrame, leaves: DataFrame) -> DataFrame:
 def matching(edges: DataFrame, existing: DataFrame, radius: float) -> DataFrame:
     """Pairs of an edge and an existing hyperedge whose ends lie within `radius` of each other, side by side.
 
-    An equi-join on the cells of both ends, then the exact distances: one side stands in the 3 x 3 cells around its lower end, the other in those
-    around its higher end, so that a pair meets once, each row has nine copies, and a place of many edges is split by their other ends.
+    An equi-join on the cells of both ends, then the exact distances: a cell is two radii wide, so what lies within one of them is in this cell or in the
+    next on the nearer side. One side stands in those cells of its lower end, the other in those of its higher end, so that a pair meets once, each
+    row has four copies, and a place of many edges is split by their other ends. The four cells are one long, 16 bits each: cells of equal bits lie 65536 apart.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    half = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
 
     def placed(rows, p, spread):
-        out = rows.select(*[F.col(c).alias(f"{p}_{c}") for c in KEY], *[cell(c).alias(f"c{i}") for i, c in enumerate(KEY)])
-        for i in spread:
-            out = out.withColumn("_o", near).withColumn(f"c{i}", F.col(f"c{i}") + F.col("_o")).drop("_o")
-        return out
+        out = rows.select(*[F.col(c).alias(f"{p}_{c}") for c in KEY], *[half(c).alias(f"c{i}") for i, c in enumerate(KEY)])
+        for i in range(len(KEY)):
+            # By halves of a cell: what lies within a radius is at most one half away.
+            own = F.shiftright(f"c{i}", 1)
+            out = out.withColumn(f"c{i}", F.explode(F.array(own, own + F.col(f"c{i}").bitwiseAND(1) * 2 - 1)) if i in spread else own)
+        bits = [F.shiftleft(F.col(f"c{i}").bitwiseAND(0xFFFF), 16 * i) for i in range(len(KEY))]
+        return out.select(*[f"{p}_{c}" for c in KEY], reduce(lambda x, y: x.bitwiseOR(y), bits).alias("cells"))
 
     d = lambda a: length2(f"e_{a}_lon", f"e_{a}_lat", f"h_{a}_lon", f"h_{a}_lat") <= radius * radius
-    joined = placed(edges, "e", (2, 3)).join(placed(existing, "h", (0, 1)), ["c0", "c1", "c2", "c3"])
+    joined = placed(edges, "e", (2, 3)).join(placed(existing, "h", (0, 1)), "cells")
     return joined.where(d("lo") & d("hi")).select(*[f"e_{c}" for c in KEY], *[f"h_{c}" for c in KEY])
 
 

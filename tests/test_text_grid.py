@@ -34,6 +34,19 @@ def test_stemmed_queries(spark):
     assert found("!dog & the") == [True, True, False, True]
 
 
+def test_few_words_are_stemmed(spark):
+    """Only words that may have a stem of the query are stemmed, and none that has one is left out."""
+    rng = random.Random(3)
+    parts = ["gener", "al", "iz", "ing", "ational", "ful", "li", "y", "e", "s", "ed", "eed", "tt", "ment", "ion", "ies", "ie", "b", "a", "oy", "ogi", "9"]
+    held = sorted({"".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(1500)} | set(stemmer.EXCEPTIONS) | {w.split()[0] for w in STEMS.replace("\n", " ").split(", ")})
+    stems = {w: stemmer.stem(w) for w in held}
+    for s in {s[:2]: s for s in stems.values()}.values():
+        rows = spark.createDataFrame([(w,) for w in held], "w string")
+        kept = {r["w"] for r in rows.where(text.may_stem_to(F.col("w"), [s])).collect()}
+        assert {w for w in held if stems[w] == s} <= kept and len(kept) < len(held) / 2
+    assert all(w in stemmer.EXCEPTIONS or w.startswith(s[:2]) for w, s in stems.items())
+
+
 @pytest.mark.parametrize("step", [0.7, 5.0, 60.0])
 def test_grid_index(spark, tmp_path, step):
     rng = random.Random(6)
@@ -70,3 +83,17 @@ def test_hyperedges_match_once(spark):
     near = lambda p, q, i: (p[i] - q[i]) ** 2 + (p[i + 1] - q[i + 1]) ** 2 <= 0.25
     got = edges.matching(df(a), df(b), 0.5)
     assert sorted(tuple(r) for r in got.collect()) == sorted((*p, *q) for p in a for q in b if near(p, q, 0) and near(p, q, 2))
+
+
+def test_hyperedges_have_four_copies(spark):
+    """Rows that meet: each side has four copies; places below zero, on the borders of cells and exactly a radius apart."""
+    at = [-2.0, -1.5, -1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 1.0]
+    rng = random.Random(9)
+    rows = lambda n: sorted({tuple(rng.choice(at) for _ in range(4)) for _ in range(n)})
+    a, b = rows(150), rows(150)
+    df = lambda r: spark.createDataFrame(r, ", ".join(f"{c} double" for c in edges.KEY))
+    near = lambda p, q, i: (p[i] - q[i]) ** 2 + (p[i + 1] - q[i + 1]) ** 2 <= 0.25
+    got = edges.matching(df(a), df(b), 0.5)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((*p, *q) for p in a for q in b if near(p, q, 0) and near(p, q, 2))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(array(") == 4 and "explode([-1,0,1])" not in plan
