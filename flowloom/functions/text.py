@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from flowloom.functions.stemmer import stem, stem_column
+from flowloom.functions.stemmer import EXCEPTIONS, stem, stem_column
 
 STOP = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 _WORD = r"[^a-z0-9]+"
@@ -74,21 +74,36 @@ def without_stop_words(tree):
     return (tree[0], *left) if len(left) == 2 else left[0] if left else None
 
 
+def words_of(tree) -> list[str]:
+    return [tree] if isinstance(tree, str) else [w for x in tree[1:] for w in words_of(x)]
+
+
+def may_stem_to(word: Column, stems: list[str]) -> Column:
+    """True for every word with one of the stems, and for few others: no rule changes the first two characters of a word, save the listed exceptions."""
+    there = word.isin(*EXCEPTIONS)
+    for start in sorted({s[:2] for s in stems}):
+        there = there | word.startswith(start)
+    return there
+
+
 def matches(text: Column, query: str, stemmed: bool = True) -> Column:
     """True where the text satisfies the query. Stemmed queries lose their stop words; one of stop words alone matches no text."""
     tree = parse(query)
     held = words(text)
     if stemmed:
-        held, tree = F.transform(held, stem_column), without_stop_words(tree)
+        tree = without_stop_words(tree)
         if tree is None:
             return F.lit(False)
+        stems = [stem(w) for w in words_of(tree)]
+        held = F.transform(F.filter(held, lambda w: may_stem_to(w, stems)), stem_column)
 
-    def test(tree) -> Column:
+    def test(tree, held) -> Column:
         if isinstance(tree, str):
             return F.array_contains(held, stem(tree) if stemmed else tree)
         if tree[0] == "!":
-            return ~test(tree[1])
-        a, b = test(tree[1]), test(tree[2])
+            return ~test(tree[1], held)
+        a, b = test(tree[1], held), test(tree[2], held)
         return a & b if tree[0] == "&" else a | b
 
-    return test(tree)
+    # Bound once: else every word of the query would split and stem the text again.
+    return F.get(F.transform(F.array(held), lambda h: test(tree, h)), F.lit(0)) if stemmed else test(tree, held)
