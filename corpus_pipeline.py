@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm import bpe, jaccard, langid, mixing, secrets
 from flowloom.llm.common import materialize, table
+from flowloom.operators.store import mark, sweep
 
 #: A document stays if the mean marginal of its language is at least this.
 SURE = 0.4
@@ -36,6 +37,11 @@ def identity(*more: Column) -> Column:
     return F.struct(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"), jaccard.text_hash().alias("h"), *more)
 
 
+def typed(docs: DataFrame, other: DataFrame) -> DataFrame:
+    """docs with the KEY in the type that a table has it in (read back, its fields may be null): else a join casts it, and the texts are shuffled twice."""
+    return docs.withColumn(KEY, F.col(KEY).cast(other.schema[KEY].dataType))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the smallest id.
 
@@ -46,7 +52,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = found.where("n_shingles > 0").groupBy("component").agg(F.min("document").alias("document")).select("document")
     wanted = groups.union(found.where("n_shingles = 0").select("document")).distinct()
     wanted = wanted.select(F.struct("document.id", "document.no_id", "document.h").alias(KEY))
-    return docs.withColumn(KEY, identity()).join(wanted, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
+    return typed(docs.withColumn(KEY, identity()), wanted).join(wanted, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,10 +78,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A reading stands at the slot in which it begins. Rows that repeat a document (id, source and text) give it the turns of all of them together.
     Documents without words are not read; a very long text spans many slots and is read as one row; an empty table gives no rows.
     """
+    since = mark()
     keyed = docs.withColumn(KEY, identity(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source")))
     plan = mixing.mix_schedule(mixing.sized_documents(keyed.select(F.col(KEY).alias("doc_id"), "source", "text")))
-    begins = plan.where("word_from = 0 AND word_to > 0").select(F.col("doc_id").alias(KEY), F.struct("slot", "start").alias(TURNS))
-    return keyed.dropDuplicates([KEY]).join(begins, KEY).orderBy(TURNS).select(docs.columns)
+    begins = materialize(plan.where("word_from = 0 AND word_to > 0").select(F.col("doc_id").alias(KEY), F.struct("slot", "start").alias(TURNS)))
+    sweep(spark, since, begins)  # the schedule's tables and shuffles are gone before the texts are shuffled
+    return typed(keyed, begins).dropDuplicates([KEY]).join(begins, KEY).orderBy(TURNS).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
