@@ -13,7 +13,8 @@ that are equal are one row from the start; each bucket is first compared with on
 into components, and only sets of different components in a bucket are compared after that, in blocks inside a task. Blocks
 return pairs in rounds: one partner for each member, then up to 16, 256 and so on of those whose components have not
 become one meanwhile. So a large group is linked by about as many pairs as it has members, and yet every
-pair that the sketch allows is verified, or lies within one component already.
+pair that the sketch allows is verified, or lies within one component already. A round's links join the components found before;
+earlier links are not gone through again.
 
 What is large is dealt in DEALS parts, one after the other, so that the disk holds the shuffle of one of them: the blocks of all sets, and the texts, which
 are read once more for the n-grams of all sets that share a block. Tables are deleted as soon as nothing reads them.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import materialize, table
-from flowloom.operators.graph import components
+from flowloom.operators.graph import components, grown
 from flowloom.operators.store import drop, mark, sweep
 
 #: Words of a shingle, and the similarity in hundredths.
@@ -377,15 +378,14 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     label = components(first)
     # All have met the pivot; the others of a bucket meet if they stand in different components and one is in its own class.
     members = shared.where("node != pivot").drop("pivot").join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    links, most = first, 1
+    most = 1
     while True:
         low, high, some, m = F.min("label").over(of_key), F.max("label").over(of_key), F.max("own").over(of_key), F.count("*").over(of_key)
         members = materialize(members.withColumns({"low": low, "high": high, "some": some, "m": m}).where("low < high and some").drop("low", "high", "some"))
         found = materialize(cross_pairs(dealt(members, sketches), percent, most))
         pairs, more = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("node")).distinct()
         if pairs.limit(1).count():
-            links = materialize(links.union(overlaps(pairs, sets, percent)))
-            label = components(links)
+            label = grown(label, materialize(overlaps(pairs, sets, percent)))
         if not more.limit(1).count():
             break
         members = members.drop("label").join(more, ["key", "node"], "left_semi").join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))

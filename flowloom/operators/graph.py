@@ -27,3 +27,13 @@ def components(links: DataFrame) -> DataFrame:
             sweep(new.sparkSession, since, new)
             return labels
         sweep(new.sparkSession, since, new, edges)
+
+
+def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of the links behind `labels` and of these new ones, of which only the components that they join are gone through."""
+    at = lambda e: labels.select(F.col("id").alias(e), F.col("component").alias(f"of_{e}"))
+    between = links.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    joined = components(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    beyond = joined.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
+    moved = labels.join(beyond, "component", "left").select("id", F.coalesce("beyond", "component").alias("component"))
+    return settle(moved.unionByName(joined.join(labels.select("id"), "id", "left_anti")))
