@@ -135,13 +135,20 @@ def fdeb(edges: DataFrame, pairs: DataFrame, step: float = 0.025, pulls: DataFra
 
 
 def segments(paths: DataFrame) -> DataFrame:
-    """Rendered segments: x1, y1, x2, y2, width (sum over edges that share it), color of the largest part."""
+    """Rendered segments: x1, y1, x2, y2, width (sum over edges that share it), color of the largest part (by id, then place in the path).
+
+    Id, place and number of parts are digits of one decimal, whose maximum Spark finds by hashing: a task holds its segments, not its rows, as sorting would.
+    """
     n = F.size("path") - 1
     rows = paths.where("size(path) > 1").select("id", "weight", n.alias("parts"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.struct(F.col("path")[i].alias("p"), F.col("path")[i + 1].alias("q")))).alias("at", "s"))
     forward = (F.col("s.p.x") < F.col("s.q.x")) | ((F.col("s.p.x") == F.col("s.q.x")) & (F.col("s.p.y") <= F.col("s.q.y")))
     pick = lambda a, b: F.when(forward, F.col(a)).otherwise(F.col(b))
-    rows = rows.select("id", "weight", "at", pick("s.p.x", "s.q.x").alias("x1"), pick("s.p.y", "s.q.y").alias("y1"), pick("s.q.x", "s.p.x").alias("x2"), pick("s.q.y", "s.p.y").alias("y2"), gradient("at", "parts").alias("color"))
-    return rows.groupBy("x1", "y1", "x2", "y2").agg(F.sum("weight").alias("width"), F.max_by("color", F.struct("id", "at")).alias("color"))
+    rows = rows.select("id", "weight", "at", pick("s.p.x", "s.q.x").alias("x1"), pick("s.p.y", "s.q.y").alias("y1"), pick("s.q.x", "s.p.x").alias("x2"), pick("s.q.y", "s.p.y").alias("y2"), "parts")
+    digits = F.lit(10**9).cast("long")
+    part = F.col("id").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("at").cast("long") * digits + F.col("parts").cast("long")
+    found = rows.groupBy("x1", "y1", "x2", "y2").agg(F.sum("weight").alias("width"), F.max(part.cast("decimal(38,0)")).alias("part"))
+    place = F.pmod("part", F.lit(10**18).cast("decimal(38,0)")).cast("long")
+    return found.select("x1", "y1", "x2", "y2", "width", gradient(F.floor(place / digits).cast("int"), (place % digits).cast("int")).alias("color"))
 
 
 def path_length(path: str):
