@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,14 +60,36 @@ def in_reach(sites: DataFrame, centres: DataFrame) -> DataFrame:
     return both.where((F.col("o2") < F.col("o")) & (F.col("distance") <= F.col("reach"))).select("id", "centre", "distance")
 
 
+#: Undecided sites, at most, that one task decides in their order. While there are more, all cells decide in rounds.
+IN_TASK = 20_000
+
+
+def decided(open_: DataFrame) -> DataFrame:
+    """Those of at most IN_TASK sites that become centres, one after the other in one task."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, centres, kept = max(rows["reach"].to_pylist()), {}, []
+        sites = sorted((o["h"], o["p"], o["q"], i, x, y, reach) for i, *(x, y, o, reach) in zip(*(rows[c].to_pylist() for c in ("id", "x", "y", "o", "reach")), strict=True))
+        for *o, i, x, y, reach in sites:
+            ci, cj = math.floor(x / side), math.floor(y / side)
+            near = (c for a in (-1, 0, 1) for b in (-1, 0, 1) for c in centres.get((ci + a, cj + b), ()))
+            if not any(p < o and math.sqrt((x - u) * (x - u) + (y - v) * (y - v)) <= reach for p, u, v in near):
+                centres.setdefault((ci, cj), []).append((o, x, y))
+                kept.append(i)
+        return pa.table({"id": pa.array(kept, pa.int64())})
+
+    return open_.join(open_.groupBy(F.lit(0).alias("all")).applyInArrow(run, "id long"), "id", "left_semi")
+
+
 def first_centres(sites: DataFrame) -> DataFrame:
     """sites(id, x, y, o, reach, fixed, ci, cj) -> those that become centres: the fixed ones, and every one without an earlier centre in its reach."""
     new, open_, found = sites.where("fixed"), sites.where("NOT fixed"), []
     while True:
         found.append(new)
         open_ = settle(open_.join(in_reach(open_, new).select("id").distinct(), "id", "left_anti"))
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+        left = open_.count()
+        if left <= IN_TASK:
+            return reduce(DataFrame.unionByName, [*found, settle(decided(open_))] if left else found)
         least = spread(open_.groupBy("ci", "cj").agg(F.min("o").alias("least"))).groupBy("ci", "cj").agg(F.min("least").alias("least"))
         new = settle(open_.join(least, ["ci", "cj"]).where("o <= least").select(sites.columns))
         open_ = open_.join(new.select("id"), "id", "left_anti")
@@ -112,38 +135,48 @@ def choose(items: DataFrame, known: DataFrame, waiting: DataFrame, choices: Data
     end = lambda e: can.select(F.col("id").alias(e), F.col("centre").alias(f"c{e}"), F.col("distance").alias(f"d{e}"))
     mine = lambda e: waiting.select(F.col("id").alias(e), F.col("w").alias(f"w{e}"))
     flagged = items.join(mine("a"), "a", "left").join(mine("b"), "b", "left")
-    sure, left = edges_between(flagged.where("wa IS NULL AND wb IS NULL"), known), settle(flagged.where("wa IS NOT NULL OR wb IS NOT NULL"))
-    options = settle(left.join(end("a"), "a").join(end("b"), "b").withColumns({"lo": F.least("ca", "cb"), "hi": F.greatest("ca", "cb")}))
-    sure = settle(sure)
-    while True:
-        at = lambda e: known.select(F.col("id").alias(e), F.col("parent").alias(f"p{e}"))  # noqa: B023, E731
-        now = options.join(at("a"), "a", "left").join(at("b"), "b", "left")
-        open_ = settle(now.where("(pa IS NULL OR pb IS NULL) AND (pa IS NULL OR pa = ca) AND (pb IS NULL OR pb = cb)"))
-        edges = sure.unionByName(edges_between(left, known)).groupBy("lo", "hi").agg(F.min("t").alias("t"))
-        if open_.isEmpty():
-            return known, settle(edges)
+    sure, left = settle(edges_between(flagged.where("wa IS NULL AND wb IS NULL"), known)), settle(flagged.where("wa IS NOT NULL OR wb IS NOT NULL"))
+    places = "(wa <=> o OR wb <=> o)"
+    both = lambda rows: rows.join(end("a"), "a").join(end("b"), "b").withColumns({"lo": F.least("ca", "cb"), "hi": F.greatest("ca", "cb")})
+    placing = settle(both(left.where(places)))
+    # Of the others, only what may found an edge that a placing pair can join, before it and before any that is known.
+    asked = placing.where("lo != hi").groupBy("lo", "hi").agg(F.max("o").alias("last")).join(sure, ["lo", "hi"], "left").select("lo", "hi", F.least("last", "t").alias("until"))
+    founding = both(left.where(f"NOT {places}")).join(asked, ["lo", "hi"]).where("o < until").select(placing.columns)
+    given = lambda e: F.when(F.col(f"w{e}").isNull(), F.col(f"c{e}")).alias(f"p{e}")
+    open_, edges = settle(placing.unionByName(founding).select("*", given("a"), given("b"))), sure
+    while not open_.isEmpty():
         first = open_.groupBy("lo", "hi").agg(F.min("o").alias("first"))
-        seen = open_.join(edges, ["lo", "hi"], "left").join(first, ["lo", "hi"])
+        seen = open_.where(places).join(edges, ["lo", "hi"], "left").join(first, ["lo", "hi"])
         older = F.when((F.col("t") < F.col("o")) & (F.col("ca") != F.col("cb")), F.struct("t", (F.col("da") + F.col("db")).alias("d"), "ca", "cb"))
         best = seen.groupBy("o", "a", "b", "wa", "wb", "pa", "pb").agg(
-            F.min(older).alias("edge"), F.min(F.when(F.col("first") < F.col("o"), F.col("first"))).alias("before"), F.min(F.struct("da", "ca")).alias("na"), F.min(F.struct("db", "cb")).alias("nb")
+            F.min(older).alias("edge"), F.min(F.when((F.col("first") < F.col("o")) & (F.col("ca") != F.col("cb")), F.col("first"))).alias("before"), F.min(F.struct("da", "ca")).alias("na"), F.min(F.struct("db", "cb")).alias("nb")
         )
         ready = "(pa IS NOT NULL OR wa = o) AND (pb IS NOT NULL OR wb = o) AND (before IS NULL OR edge.t < before)"
         done = best.where(ready).withColumns({"ca": F.coalesce("edge.ca", "na.ca"), "cb": F.coalesce("edge.cb", "nb.cb")})
-        placed = done.where("pa IS NULL").select(F.col("a").alias("id"), F.col("ca").alias("parent")).unionByName(done.where("pb IS NULL").select(F.col("b").alias("id"), F.col("cb").alias("parent")))
-        known = settle(known.unionByName(placed))
+        placed = settle(done.where("pa IS NULL").select(F.col("a").alias("id"), F.col("ca").alias("parent")).unionByName(done.where("pb IS NULL").select(F.col("b").alias("id"), F.col("cb").alias("parent"))))
+        known = known.unionByName(placed)
+        new = lambda e: placed.select(F.col("id").alias(e), F.col("parent").alias(f"n{e}"))  # noqa: B023, E731
+        now = open_.join(new("a"), "a", "left").join(new("b"), "b", "left").withColumns({"pa": F.coalesce("pa", "na"), "pb": F.coalesce("pb", "nb")}).drop("na", "nb")
+        now = settle(now.where("(pa IS NULL OR pa = ca) AND (pb IS NULL OR pb = cb)"))
+        found = now.where("pa IS NOT NULL AND pb IS NOT NULL AND ca != cb")
+        edges = edges.unionByName(found.groupBy("lo", "hi").agg(F.min("o").alias("t")))
+        open_ = now.where("pa IS NULL OR pb IS NULL")
+    known = settle(known)
+    return known, settle(sure.unionByName(edges_between(left, known)).groupBy("lo", "hi").agg(F.min("t").alias("t")))
+
+
+def touched(clusters: DataFrame, items: DataFrame, singles: DataFrame) -> DataFrame:
+    """clusters(id, x, y, n), items(o, a, b), singles(o, id) -> the clusters with o, the first pair or single insertion of each, and mate, its other end there."""
+    first = items.select(F.col("a").alias("id"), "o", F.col("b").alias("mate")).unionByName(items.select(F.col("b").alias("id"), "o", F.col("a").alias("mate")))
+    first = first.groupBy("id").agg(F.min("o").alias("o"), F.min_by("mate", "o").alias("mate")).unionByName(singles.select("id", "o", F.lit(None).cast("long").alias("mate")))
+    return settle(clusters.join(first, "id"))
 
 
-def level(clusters: DataFrame, items: DataFrame, singles: DataFrame, r: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One zoom: clusters(id, x, y, n), items(o, a, b), singles(o, id) of the level before -> members(id, parent, o), edges(lo, hi, t).
+def level(own: DataFrame, items: DataFrame, r: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One zoom: touched() clusters and items(o, a, b) of the level before -> members(id, parent, o), edges(lo, hi, t).
 
     Third, the clusters of this level (id, x, y, n, o).
     """
-    touched = items.select(F.col("a").alias("id"), "o", F.col("b").alias("mate")).unionByName(items.select(F.col("b").alias("id"), "o", F.col("a").alias("mate")))
-    touched = touched.groupBy("id").agg(F.min("o").alias("o"), F.min_by("mate", "o").alias("mate")).unionByName(singles.select("id", "o", F.lit(None).cast("long").alias("mate")))
-    own = settle(clusters.join(touched, "id"))
-    if apart(own, r):
-        return own.select("id", F.col("id").alias("parent"), "o"), items.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("o").alias("t")), own.select("id", "x", "y", "n", "o")
     other = own.select(F.col("id").alias("mate"), F.col("x").alias("mx"), F.col("y").alias("my"), F.col("n").alias("mn"), F.col("o").alias("mo"))
     close = distance("x", "y", "mx", "my") <= r
     kind = F.when(F.col("mate").isNull(), "single").when(close & (F.col("mo") == F.col("o")), "merged").when(close, "follow").otherwise("end")
@@ -200,20 +233,23 @@ def hierarchy(places: DataFrame, pairs: DataFrame, radius: float = 40.0, min_zoo
     With `share`, each level ends with absorption; None leaves overlapping clusters apart. Places in no pair are left out; so are pairs
     of a place with itself.
     """
-    items = settle(pairs.where("a != b").select("o", "a", "b"))
+    items = settle(pairs.where("a != b").select("o", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     held = items.select(F.col("a").alias("id")).union(items.select("b")).distinct()
-    now, out = settle(places.select("id", "x", "y", "n").join(held, "id", "left_semi")), []
+    now, out, own = settle(places.select("id", "x", "y", "n").join(held, "id", "left_semi")), [], None
     singles = items.limit(0).select("o", F.col("a").alias("id"))
     for zoom in range(max_zoom, min_zoom - 1, -1):
         since, r = mark(), radius / (512.0 * 2**zoom)
-        members, edges, up = level(now, items, singles, r)
-        if share is not None:
-            members, edges, up = absorbed(members, edges, up, r, share)
-        items = settle(edges.select(F.col("t").alias("o"), F.col("lo").alias("a"), F.col("hi").alias("b")))
-        paired = items.select(F.col("a").alias("id")).union(items.select("b")).distinct()
-        singles = settle(up.join(paired, "id", "left_anti").select("o", "id"))
-        now = up.select("id", "x", "y", "n")
-        sweep(now.sparkSession, since, members, items, up, singles)
+        own = touched(now, items, singles) if own is None else own
+        if apart(own, r):  # nothing can merge, join or be absorbed: the level repeats the one before, and the next one inserts the same
+            members, up = own.select("id", F.col("id").alias("parent")), own
+        else:
+            members, edges, up = level(own, items, r)
+            if share is not None:
+                members, edges, up = absorbed(members, edges, up, r, share)
+            items = edges.select(F.col("t").alias("o"), F.col("lo").alias("a"), F.col("hi").alias("b"))
+            paired = items.select(F.col("a").alias("id")).union(items.select("b")).distinct()
+            singles, now, own = up.join(paired, "id", "left_anti").select("o", "id"), up.select("id", "x", "y", "n"), None
+            sweep(now.sparkSession, since, members, items, up)
         z = F.lit(zoom).alias("zoom")
         out.append((up.select(z, "id", F.col("x").alias("mx"), F.col("y").alias("my"), F.col("n").alias("num_points")), members.select(z, F.col("id").alias("child"), "parent"), items.select(z, "a", "b")))
     clusters, members, edges = (reduce(DataFrame.unionByName, part) for part in zip(*out, strict=True))

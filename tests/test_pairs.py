@@ -159,3 +159,30 @@ def test_hierarchy_of_places(spark, sf):
         t = t.select(F.col("a").alias("id"), F.col("b").alias("target")).union(t.select("b", "a"))
         assert clusters.absorb_overlaps(c.select("id", F.col("mx").alias("x"), F.col("my").alias("y")), t, 40.0 / (512 * 2**z)).isEmpty()
     assert [x.count() for x in pairs.hierarchy(places.limit(0), links.limit(0), 40.0, 2, 3)] == [0, 0, 0]
+
+
+def test_levels_of_places_far_apart_write_nothing(spark, monkeypatch):
+    """Nine zooms at which no two places are near repeat the finest one: they cost no tables, and the coarser ones are the same."""
+    written = []
+    monkeypatch.setattr(pairs, "settle", lambda df, f=pairs.settle: written.append(1) or f(df))
+    places = spark.createDataFrame([(i, 0.1 * i, 0.5, 1) for i in range(9)], "id long, x double, y double, n long")
+    links = spark.createDataFrame([(5, 1), (1, 8), (2, 3)], "a long, b long").select(pairs.order_of(F.col("a"), F.col("b")).alias("o"), "a", "b")
+    got, members, edges = pairs.hierarchy(places, links, 40.0, 9, 17)
+    assert len(written) == 3
+    assert {(r["zoom"], r["child"], r["parent"]) for r in members.collect()} == {(z, i, i) for z in range(9, 18) for i in (1, 2, 3, 5, 8)}
+    assert {(r["zoom"], r["a"], r["b"]) for r in edges.collect()} == {(z, *e) for z in range(9, 18) for e in ((1, 5), (1, 8), (2, 3))}
+    assert {(r["zoom"], r["id"], r["num_points"]) for r in got.collect()} == {(z, i, 1) for z in range(9, 18) for i in (1, 2, 3, 5, 8)}
+
+
+@pytest.mark.parametrize("most", [0, 60])
+def test_centres_in_rounds_and_in_one_task(spark, monkeypatch, most):
+    """The same centres as one site after the other, by rounds alone and with the last ones in one task; sites of one place in the order don't cover each other."""
+    monkeypatch.setattr(pairs, "IN_TASK", most)
+    rng = random.Random(7)
+    rows = [(i, rng.random(), rng.random(), (rng.randrange(150), 0, 0), rng.choice((0.05, 0.1)), i % 9 == 0) for i in range(300)]
+    sites = spark.createDataFrame(rows, "id long, x double, y double, o struct<h:long,p:long,q:long>, reach double, fixed boolean").withColumns(pairs.cells(0.05))
+    want = {}
+    for i, x, y, o, reach, fixed in sorted(rows, key=lambda s: s[3]):
+        if fixed or not any(p < o and math.hypot(x - u, y - v) <= reach for u, v, p in want.values()):
+            want[i] = (x, y, o)
+    assert {r["id"] for r in pairs.first_centres(sites).collect()} == set(want)
