@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.store import mark, settle, sweep
 
 
+#: Rows, at most, that one task goes through. While there are more, rounds of joins do it.
+IN_TASK = 20_000
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """components() of at most IN_TASK links, in one task."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        up: dict[int, int] = {}
+
+        def root(i):
+            while (above := up.setdefault(i, i)) != i:
+                up[i] = i = up[above]
+            return i
+
+        for a, b in zip(rows["a"].to_pylist(), rows["b"].to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        ids = list(up)
+        return pa.table({"id": pa.array(ids, pa.int64()), "component": pa.array([root(i) for i in ids], pa.int64())})
+
+    return links.groupBy(F.lit(0).alias("all")).applyInArrow(run, "id long, component long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) of longs -> id, component: the smallest id that is reachable, for every id that has a link.
 
-    Each round takes the least component among an id's neighbours and then jumps to that component's own, so long
+    Few links are one task, without rounds. Else each round takes the least component among an id's neighbours and then jumps to that component's own, so long
     chains shrink geometrically. A round is written to the shared folder; nothing is collected but one count.
     """
     since, links = mark(), links.where("a != b")
-    edges = settle(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    once = settle(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if once.count() <= IN_TASK:
+        labels = settle(joined(once))
+        sweep(labels.sparkSession, since, labels)
+        return labels
+    edges = once.union(once.select(F.col("b"), F.col("a")))
     labels = settle(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
     while True:
         around = edges.join(labels.select(F.col("id").alias("b"), F.col("component").alias("l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l"))

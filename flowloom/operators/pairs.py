@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.clusters import MAX_ZOOM, absorb, mercator
+from flowloom.operators.graph import IN_TASK
 from flowloom.operators.store import mark, settle, sweep
 from flowloom.operators.viewport import distance
 
@@ -60,10 +61,6 @@ def in_reach(sites: DataFrame, centres: DataFrame) -> DataFrame:
     return both.where((F.col("o2") < F.col("o")) & (F.col("distance") <= F.col("reach"))).select("id", "centre", "distance")
 
 
-#: Undecided sites, at most, that one task decides in their order. While there are more, all cells decide in rounds.
-IN_TASK = 20_000
-
-
 def decided(open_: DataFrame) -> DataFrame:
     """Those of at most IN_TASK sites that become centres, one after the other in one task."""
 
@@ -82,7 +79,10 @@ def decided(open_: DataFrame) -> DataFrame:
 
 
 def first_centres(sites: DataFrame) -> DataFrame:
-    """sites(id, x, y, o, reach, fixed, ci, cj) -> those that become centres: the fixed ones, and every one without an earlier centre in its reach."""
+    """sites(id, x, y, o, reach, fixed, ci, cj) -> those that become centres: the fixed ones, and every one without an earlier centre in its reach.
+
+    While more than IN_TASK sites are undecided, all cells decide in rounds; one task decides the rest in their order.
+    """
     new, open_, found = sites.where("fixed"), sites.where("NOT fixed"), []
     while True:
         found.append(new)
