@@ -141,14 +141,31 @@ def absorb_overlaps(clusters: DataFrame, targets: DataFrame, radius: float, shar
 
     clusters(id, x, y), targets(id, target).
     """
-    links = targets.select("id", "target").distinct()
+    near = near_pairs(clusters, radius)
+    return overlapping(near, links_of(near, targets).distinct(), share)
+
+
+def near_pairs(clusters: DataFrame, radius: float) -> DataFrame:
+    """Clusters (id, x, y) within `radius` of each other: id, other, the smaller id first."""
+    return radius_join(clusters, clusters, radius).where("id < other").select("id", "other")
+
+
+def links_of(near: DataFrame, targets: DataFrame) -> DataFrame:
+    """Those of targets(id, target) that a cluster of near(id, other) has."""
+    return targets.select("id", "target").join(near.select("id").union(near.select("other")).distinct(), "id", "left_semi")
+
+
+def overlapping(near: DataFrame, links: DataFrame, share: float) -> DataFrame:
+    """absorb_overlaps() of near(id, other), with links_of() these, no row twice."""
     sizes = links.groupBy("id").agg(F.count("*").alias("size"))
-    near = radius_join(clusters, clusters, radius).where("id < other").select("id", "other")
-    # One row for each target of the first cluster of a pair, and a sum: no set is gathered.
-    hit = near.join(links, "id").join(links.select(F.col("id").alias("other"), "target"), ["other", "target"]).groupBy("id", "other").agg(F.count("*").alias("shared"))
-    both = hit.join(sizes, "id").join(sizes.select(F.col("id").alias("other"), F.col("size").alias("size2")), "other")
-    alike = F.col("shared") / F.least("size", "size2")
-    return both.where(alike > share).select(F.col("id").alias("keep"), F.col("other").alias("drop"), alike.alias("similarity"))
+    sized = near.join(sizes, "id").join(sizes.select(F.col("id").alias("other"), F.col("size").alias("size2")), "other")
+    less = F.col("size") <= F.col("size2")
+    sized = sized.withColumns({"few": F.when(less, F.col("id")).otherwise(F.col("other")), "many": F.when(less, F.col("other")).otherwise(F.col("id")), "least": F.least("size", "size2")})
+    # One row for each target of the cluster with fewer, and a sum: no set is gathered.
+    each = sized.select("id", "other", "least", "few", "many").join(links.select(F.col("id").alias("few"), "target"), "few")
+    hit = each.join(links.select(F.col("id").alias("many"), "target"), ["many", "target"]).groupBy("id", "other", "least").agg(F.count("*").alias("shared"))
+    alike = F.col("shared") / F.col("least")
+    return hit.where(alike > share).select(F.col("id").alias("keep"), F.col("other").alias("drop"), alike.alias("similarity"))
 
 
 def absorb_once(clusters: DataFrame, targets: DataFrame, into: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -160,14 +177,15 @@ def absorb_once(clusters: DataFrame, targets: DataFrame, into: DataFrame) -> tup
 
 
 def absorb(clusters: DataFrame, targets: DataFrame, radius: float, share: float = 0.6) -> tuple[DataFrame, DataFrame | None]:
-    """Merges overlapping clusters, with the sets of their targets, until no pair within `radius` agrees for more than `share`.
+    """Merges overlapping clusters, with the sets of their targets (no row twice), until no pair within `radius` agrees for more than `share`.
 
     Clusters that are joined by pairs, directly or not, become one at once: the one with the smallest id, at the weighted mean. Returns clusters (id, x, y, n) and
     kept (id, kept) for every absorbed or absorbing cluster; None if there is no such pair.
     """
     kept = None
     while True:
-        pairs = settle(absorb_overlaps(clusters, targets, radius, share))
+        near = settle(near_pairs(clusters, radius))
+        pairs = near if near.isEmpty() else settle(overlapping(near, links_of(near, targets), share))
         if pairs.isEmpty():
             return clusters, kept
         into = components(pairs.select(F.col("keep").alias("a"), F.col("drop").alias("b")))

@@ -19,6 +19,10 @@ Which ends open clusters depends on places alone: the earliest undecided site of
 and everything in reach of it is decided with it. Which edge a pair joins depends on edges between the few clusters in its reach; it is decided
 once the oldest known one is older than every undecided pair that might found another. The order is hashed, so chains of waiting pairs stay short.
 No neighbourhood is expanded into pairs of places: sites meet clusters, of which a cell holds few.
+
+Pairs are far more than places. So a level goes through all of them three times: for each cluster's first pair, for the few that may found an edge before the last
+pair that could join it, and to carry them over to the clusters of the level. Their place in the order is a number, and what a pass needs of the clusters
+is broadcast while they are at most AT_HAND.
 """
 
 from __future__ import annotations
@@ -31,29 +35,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.clusters import MAX_ZOOM, absorb, mercator
-from flowloom.operators.graph import IN_TASK
 from flowloom.operators.store import mark, settle, sweep
 from flowloom.operators.viewport import distance
 
 
+#: Rows, at most, that one task goes through. While there are more, rounds of joins do it.
+IN_TASK = 100_000
+#: Rows, at most, of a table of clusters that is broadcast to the tasks which go through the pairs.
+AT_HAND = 2_000_000
+
+
 def order_of(a: Column, b: Column) -> Column:
     """Place in the order of insertion: a hash of both ids, then the ids."""
     return F.struct(F.xxhash64(a, b).alias("h"), a.alias("p"), b.alias("q"))
 
 
 def cells(r: float) -> dict:
-    """Columns ci, cj of cells of diameter 2r: what lies within 2r is at most two cells away."""
-    side = F.lit(r * math.sqrt(2))
+    """Columns ci, cj of cells of side 2r: what lies within 2r is in a cell or in one beside it."""
+    side = F.lit(2 * r)
     return {"ci": F.floor(F.col("x") / side).cast("long"), "cj": F.floor(F.col("y") / side).cast("long")}
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Each row once for each of the 5 x 5 cells around its own."""
-    around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    """Each row once for each of the 3 x 3 cells around its own."""
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     far = rows.withColumn("_i", around).withColumn("_j", around)
     return far.withColumns({"ci": F.col("ci") + F.col("_i"), "cj": F.col("cj") + F.col("_j")}).drop("_i", "_j")
 
 
+def at_hand(clusters: DataFrame, n: int) -> DataFrame:
+    """A settled table of n clusters, to be joined to pairs."""
+    return F.broadcast(clusters) if n <= AT_HAND else clusters
+
+
 def in_reach(sites: DataFrame, centres: DataFrame) -> DataFrame:
     """sites(id, x, y, o, reach, ci, cj) beside the earlier centres in their reach: id, centre, distance."""
     near = spread(centres.select(F.col("id").alias("centre"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("o").alias("o2"), "ci", "cj"))
@@ -66,8 +80,9 @@ def decided(open_: DataFrame) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         side, centres, kept = max(rows["reach"].to_pylist()), {}, []
-        sites = sorted((o["h"], o["p"], o["q"], i, x, y, reach) for i, *(x, y, o, reach) in zip(*(rows[c].to_pylist() for c in ("id", "x", "y", "o", "reach")), strict=True))
-        for *o, i, x, y, reach in sites:
+        plain = lambda o: tuple(o.values()) if isinstance(o, dict) else o
+        sites = sorted((plain(o), i, x, y, reach) for i, x, y, o, reach in zip(*(rows[c].to_pylist() for c in ("id", "x", "y", "o", "reach")), strict=True))
+        for o, i, x, y, reach in sites:
             ci, cj = math.floor(x / side), math.floor(y / side)
             near = (c for a in (-1, 0, 1) for b in (-1, 0, 1) for c in centres.get((ci + a, cj + b), ()))
             if not any(p < o and math.sqrt((x - u) * (x - u) + (y - v) * (y - v)) <= reach for p, u, v in near):
@@ -96,14 +111,27 @@ def first_centres(sites: DataFrame) -> DataFrame:
 
 
 def apart(clusters: DataFrame, r: float) -> bool:
-    """Whether no two clusters lie within 2r of each other. Distances are looked at only if no cell holds two."""
-    placed = clusters.select("id", "x", "y").withColumns(cells(r))
-    if not placed.groupBy("ci", "cj").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    """Whether no two clusters lie within 2r of each other. Distances are looked at only if no cell of diameter 2r holds two."""
+    placed = clusters.select("id", "x", "y")
+    small = lambda c: F.floor(F.col(c) / F.lit(r * math.sqrt(2))).cast("long")
+    if not placed.groupBy(small("x").alias("ci"), small("y").alias("cj")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return False
+    placed = placed.withColumns(cells(r))
     near = spread(placed.select(F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), "ci", "cj"))
     return placed.join(near, ["ci", "cj"]).where("id != other").where(distance("x", "y", "x2", "y2") <= 2 * r).isEmpty()
 
 
+def still(clusters: DataFrame, zoom: int, min_zoom: int, radius: float) -> list[int]:
+    """Zooms from `zoom` up at which no two clusters are near: what is apart at one is so at all finer ones."""
+    if not apart(clusters, radius / (512.0 * 2**zoom)):
+        return []
+    yes, no = zoom, min_zoom - 1
+    while yes - no > 1:
+        z = (yes + no) // 2
+        yes, no = (z, no) if apart(clusters, radius / (512.0 * 2**z)) else (yes, z)
+    return list(range(zoom, yes - 1, -1))
+
+
 def roots(follows: DataFrame) -> DataFrame:
     """follows(id, root) -> the same, with every root that follows another replaced by that one's root."""
     follows = settle(follows)
@@ -123,28 +151,96 @@ def edges_between(items: DataFrame, known: DataFrame) -> DataFrame:
     return both.groupBy(F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi")).agg(F.min("o").alias("t"))
 
 
-def choose(items: DataFrame, known: DataFrame, waiting: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parents of all clusters and the edges of the level.
+def carried(items: DataFrame, parents: DataFrame, n: int) -> DataFrame:
+    """items(o, a, b) between the parents of their ends: lo, hi, t. Of n clusters, those that are not in parents(id, parent) stay what they are.
 
-    items(o, a, b); known(id, parent); waiting(id, w): clusters without a parent and the pair that places them; choices(id, centre,
-    distance): what they can join.
+    Only a pair with an end in a cluster of several can meet another one: if these are few, the others need no shuffle.
+    """
+    held = parents.groupBy("parent").agg(F.count("*").alias("held"))
+    to = settle(parents.join(held, "parent").where("id != parent OR held > 1").select("id", "parent", (F.col("held") > 1).alias("several")))
+    changed = to.count()
+    at = lambda e: at_hand(to.select(F.col("id").alias(e), F.col("parent").alias(f"p{e}"), F.col("several").alias(f"s{e}")), changed)
+    both = items.select("o", "a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({"pa": F.coalesce("pa", "a"), "pb": F.coalesce("pb", "b")}).where("pa != pb")
+    lo, hi, meets = F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi"), F.coalesce("sa", F.lit(False)) | F.coalesce("sb", F.lit(False))
+    first = lambda rows: rows.groupBy(lo, hi).agg(F.min("o").alias("t"))
+    if 2 * changed > n:
+        return settle(first(both))
+    return settle(first(both.where(meets)).unionByName(both.where(~meets).select(lo, hi, F.col("o").alias("t"))))
+
+
+def may_found(items: DataFrame, placing: DataFrame, can: DataFrame, follows: DataFrame) -> DataFrame:
+    """Of items(o, a, b), ends by their roots, those before the last of the placing pairs that could join an edge at what their ends can join."""
+    asked = placing.where("lo != hi")
+    last = asked.select(F.col("lo").alias("centre"), "o").unionByName(asked.select(F.col("hi").alias("centre"), "o")).groupBy("centre").agg(F.max("o").alias("until"))
+    until = settle(can.join(last, "centre").groupBy("id").agg(F.max("until").alias("until")))
+    until = settle(until.select("id", F.col("id").alias("root"), "until").unionByName(follows.join(until.withColumnRenamed("id", "root"), "root").select("id", "root", "until")))
+    n = until.count()
+    at = lambda e: at_hand(until.select(F.col("id").alias(e), F.col("root").alias(f"r{e}"), F.col("until").alias(f"u{e}")), n)
+    early = items.join(at("a"), "a").join(at("b"), "b").where((F.col("o") < F.col("ua")) & (F.col("o") < F.col("ub")))
+    return settle(early.select("o", F.col("ra").alias("a"), F.col("rb").alias("b")).where("a != b"))
+
+
+def placed_in_order(open_: DataFrame, edges: DataFrame) -> DataFrame:
+    """Parents (id, parent) of the clusters that at most IN_TASK rows of choose() place, one pair after the other in one task."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        parent, since, choices = {}, {}, {}
+        for r in rows.to_pylist():
+            choices.setdefault(r["o"], []).append(r)
+            if r["t"] is not None:
+                since[r["lo"], r["hi"]] = r["t"]
+        for o in sorted(choices):
+            can = choices[o]
+            one = can[0]
+            here = {e: one[f"p{e}"] if one[f"p{e}"] is not None else parent.get(one[e]) for e in ("a", "b")}
+            can = [r for r in can if here["a"] in (None, r["ca"]) and here["b"] in (None, r["cb"])]
+            if not can:
+                continue
+            if one["wa"] == o or one["wb"] == o:
+                older = [(since[r["lo"], r["hi"]], r["da"] + r["db"], r["ca"], r["cb"]) for r in can if r["ca"] != r["cb"] and since.get((r["lo"], r["hi"]), o) < o]
+                ca, cb = min(older)[2:] if older else (min((r["da"], r["ca"]) for r in can)[1], min((r["db"], r["cb"]) for r in can)[1])
+                for e, c in (("a", ca), ("b", cb)):
+                    if here[e] is None:
+                        parent[one[e]] = c
+            elif here["a"] is None or here["b"] is None:
+                continue
+            else:
+                ca, cb = here["a"], here["b"]
+            if ca != cb:
+                key = min(ca, cb), max(ca, cb)
+                since[key] = min(since.get(key, o), o)
+        return pa.table({"id": pa.array(list(parent), pa.int64()), "parent": pa.array(list(parent.values()), pa.int64())})
+
+    known = edges.groupBy("lo", "hi").agg(F.min("t").alias("t"))
+    return open_.join(known, ["lo", "hi"], "left").groupBy(F.lit(0).alias("all")).applyInArrow(run, "id long, parent long")
+
+
+def choose(items: DataFrame, firsts: DataFrame, known: DataFrame, waiting: DataFrame, choices: DataFrame, follows: DataFrame) -> DataFrame:
+    """Parents of all clusters but those that follow others.
+
+    items(o, a, b); firsts(o, a, b): the pairs that place waiting clusters, ends by their roots; known(id, parent); waiting(id, w): clusters without a parent
+    and the pair that places them; choices(id, centre, distance): what they can join; follows(id, root).
     """
     if waiting.isEmpty():
-        return known, settle(edges_between(items, known))
+        return known
     can = choices.unionByName(known.select("id", F.col("parent").alias("centre"), F.lit(0.0).alias("distance")))
     end = lambda e: can.select(F.col("id").alias(e), F.col("centre").alias(f"c{e}"), F.col("distance").alias(f"d{e}"))
     mine = lambda e: waiting.select(F.col("id").alias(e), F.col("w").alias(f"w{e}"))
-    flagged = items.join(mine("a"), "a", "left").join(mine("b"), "b", "left")
-    sure, left = settle(edges_between(flagged.where("wa IS NULL AND wb IS NULL"), known)), settle(flagged.where("wa IS NOT NULL OR wb IS NOT NULL"))
+    flagged = lambda rows: rows.join(mine("a"), "a", "left").join(mine("b"), "b", "left")
     places = "(wa <=> o OR wb <=> o)"
     both = lambda rows: rows.join(end("a"), "a").join(end("b"), "b").withColumns({"lo": F.least("ca", "cb"), "hi": F.greatest("ca", "cb")})
-    placing = settle(both(left.where(places)))
+    placing = settle(both(flagged(firsts)))
     # Of the others, only what may found an edge that a placing pair can join, before it and before any that is known.
+    early = settle(flagged(may_found(items, placing, can, follows)).where(f"NOT {places}"))
+    sure = settle(edges_between(early.where("wa IS NULL AND wb IS NULL"), known))
     asked = placing.where("lo != hi").groupBy("lo", "hi").agg(F.max("o").alias("last")).join(sure, ["lo", "hi"], "left").select("lo", "hi", F.least("last", "t").alias("until"))
-    founding = both(left.where(f"NOT {places}")).join(asked, ["lo", "hi"]).where("o < until").select(placing.columns)
+    founding = both(early.where("wa IS NOT NULL OR wb IS NOT NULL")).join(asked, ["lo", "hi"]).where("o < until").select(placing.columns)
     given = lambda e: F.when(F.col(f"w{e}").isNull(), F.col(f"c{e}")).alias(f"p{e}")
     open_, edges = settle(placing.unionByName(founding).select("*", given("a"), given("b"))), sure
-    while not open_.isEmpty():
+    while left := open_.count():
+        if left <= IN_TASK:
+            known = known.unionByName(placed_in_order(open_, edges))
+            break
         first = open_.groupBy("lo", "hi").agg(F.min("o").alias("first"))
         seen = open_.where(places).join(edges, ["lo", "hi"], "left").join(first, ["lo", "hi"])
         older = F.when((F.col("t") < F.col("o")) & (F.col("ca") != F.col("cb")), F.struct("t", (F.col("da") + F.col("db")).alias("d"), "ca", "cb"))
@@ -161,15 +257,14 @@ def choose(items: DataFrame, known: DataFrame, waiting: DataFrame, choices: Data
         found = now.where("pa IS NOT NULL AND pb IS NOT NULL AND ca != cb")
         edges = edges.unionByName(found.groupBy("lo", "hi").agg(F.min("o").alias("t")))
         open_ = now.where("pa IS NULL OR pb IS NULL")
-    known = settle(known)
-    return known, settle(sure.unionByName(edges_between(left, known)).groupBy("lo", "hi").agg(F.min("t").alias("t")))
+    return settle(known)
 
 
 def touched(clusters: DataFrame, items: DataFrame, singles: DataFrame) -> DataFrame:
-    """clusters(id, x, y, n), items(o, a, b), singles(o, id) -> the clusters with o, the first pair or single insertion of each, and mate, its other end there."""
+    """clusters(id, x, y, n), items(o, a, b), singles(o, id) -> the clusters with o, the first pair or single insertion of each, mate, its other end there, and links, the number of pairs."""
     first = items.select(F.col("a").alias("id"), "o", F.col("b").alias("mate")).unionByName(items.select(F.col("b").alias("id"), "o", F.col("a").alias("mate")))
-    first = first.groupBy("id").agg(F.min("o").alias("o"), F.min_by("mate", "o").alias("mate")).unionByName(singles.select("id", "o", F.lit(None).cast("long").alias("mate")))
-    return settle(clusters.join(first, "id"))
+    first = first.groupBy("id").agg(F.min("o").alias("o"), F.min_by("mate", "o").alias("mate"), F.count("*").alias("links"))
+    return clusters.join(first.unionByName(singles.select("id", "o", F.lit(None).cast("long").alias("mate"), F.lit(0).cast("long").alias("links"))), "id")
 
 
 def level(own: DataFrame, items: DataFrame, r: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -193,13 +288,13 @@ def level(own: DataFrame, items: DataFrame, r: float) -> tuple[DataFrame, DataFr
     known = settle(known)
     waiting = settle(own.where("kind = 'end'").join(known.select("id"), "id", "left_anti").select("id", F.col("o").alias("w")))
     follows = roots(own.where("kind = 'follow'").select("id", F.col("mate").alias("root")))
-    at = lambda e: follows.select(F.col("id").alias(e), F.col("root").alias(f"r{e}"))
-    items = items.join(at("a"), "a", "left").join(at("b"), "b", "left").select("o", F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b")
-    known, edges = choose(settle(items), known, waiting, found.join(waiting.select("id"), "id", "left_semi"))
+    pair = own.join(waiting.select("id"), "id", "left_semi").select("o", "id", "mate").join(follows.select(F.col("id").alias("mate"), "root"), "mate", "left").withColumn("root", F.coalesce("root", "mate"))
+    firsts = pair.select("o", F.when(F.col("id") < F.col("mate"), F.col("id")).otherwise(F.col("root")).alias("a"), F.when(F.col("id") < F.col("mate"), F.col("root")).otherwise(F.col("id")).alias("b"))
+    known = choose(items, firsts.where("a != b").distinct(), known, waiting, found.join(waiting.select("id"), "id", "left_semi"), follows)
     parents = known.unionByName(follows.join(known.select(F.col("id").alias("root"), "parent"), "root").select("id", "parent"))
     members = settle(own.select("id", "o", "x", "y", "n").join(parents, "id"))
     up = members.groupBy(F.col("parent").alias("id")).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("y"), F.sum("n").alias("n"), F.min("o").alias("o"))
-    return members.select("id", "parent", "o"), edges, settle(up)
+    return members.select("id", "parent", "o"), carried(items, members.select("id", "parent"), own.count()), settle(up)
 
 
 def absorbed(members: DataFrame, edges: DataFrame, up: DataFrame, r: float, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -210,52 +305,86 @@ def absorbed(members: DataFrame, edges: DataFrame, up: DataFrame, r: float, shar
         return members, edges, up
     at = lambda e: kept.select(F.col("id").alias(e), F.col("kept").alias(f"k{e}"))
     members = members.join(at("parent"), "parent", "left").select("id", F.coalesce("kparent", "parent").alias("parent"), "o")
-    ends = edges.join(at("lo"), "lo", "left").join(at("hi"), "hi", "left").select(F.coalesce("klo", "lo").alias("p"), F.coalesce("khi", "hi").alias("q"), "t").where("p != q")
-    edges = ends.groupBy(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).agg(F.min("t").alias("t"))
+    edges = carried(edges.select(F.col("t").alias("o"), F.col("lo").alias("a"), F.col("hi").alias("b")), kept.select("id", F.col("kept").alias("parent")), up.count())
     up = up.join(at("id"), "id", "left").withColumn("id", F.coalesce("kid", "id"))
     up = up.groupBy("id").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("y"), F.sum("n").alias("n"), F.min("o").alias("o"))
-    return settle(members), settle(edges), settle(up)
+    return settle(members), edges, settle(up)
 
 
 def leaves(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (lo_lon, lo_lat, hi_lon, hi_lat) -> places (id, x, y, n: ends of edges there, lon, lat) and pairs of places (o, a, b)."""
+    """Edges (lo_lon, lo_lat, hi_lon, hi_lat), counted once if there are several of them -> places (id, x, y, n: ends of edges there, lon, lat) and pairs of places (o, a, b)."""
     place = lambda e: F.xxhash64(f"{e}_lon", f"{e}_lat")
-    rows = edges.withColumns({"p": place("lo"), "q": place("hi")}).where("p != q")
-    ends = rows.select(F.explode(F.array(*[F.struct(F.col(i).alias("id"), F.col(f"{e}_lon").alias("lon"), F.col(f"{e}_lat").alias("lat")) for i, e in (("p", "lo"), ("q", "hi"))])).alias("e")).select("e.*")
+    sides = (("p", "lo"), ("q", "hi"))
+    rows = edges.withColumns({i: place(e) for i, e in sides}).where("p != q")
+    rows = settle(rows.groupBy("p", "q").agg(*[F.min(f"{e}_{c}").alias(f"{e}_{c}") for _, e in sides for c in ("lon", "lat")]))
+    ends = reduce(DataFrame.unionByName, [rows.select(F.col(i).alias("id"), F.col(f"{e}_lon").alias("lon"), F.col(f"{e}_lat").alias("lat")) for i, e in sides])
     places = mercator(ends.groupBy("id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"), F.count("*").alias("n")))
-    pairs = rows.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    pairs = rows.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     return places.select("id", F.col("mx").alias("x"), F.col("my").alias("y"), "n", "lon", "lat"), pairs.select(order_of(F.col("a"), F.col("b")).alias("o"), "a", "b")
 
 
+def numbered(pairs: DataFrame) -> DataFrame:
+    """pairs(o, a, b) with a number in place of o, in the same order: sums over pairs then go by hashing, and rows are short."""
+    fields = pairs.schema["o"].dataType
+    order = [F.col(f"o.{f}") for f in fields.names] if hasattr(fields, "names") else [F.col("o")]
+    return pairs.orderBy(*order).select(F.monotonically_increasing_id().alias("o"), "a", "b")
+
+
+def levels(places: DataFrame, pairs: DataFrame, radius: float = 40.0, min_zoom: int = 0, max_zoom: int = MAX_ZOOM, share: float | None = 0.6) -> list[tuple[list[int], DataFrame, DataFrame, DataFrame]]:
+    """hierarchy() by groups of zooms at which nothing changes: zooms, clusters (id, x, y, n, links), members (id, parent), pairs (o, a, b)."""
+    items = settle(numbered(pairs.where("a != b").select("o", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    singles = items.limit(0).select("o", F.col("a").alias("id"))
+    own, out, zoom = settle(touched(settle(places.select("id", "x", "y", "n")), items, singles)), [], max_zoom
+    while zoom >= min_zoom:
+        if same := still(own, zoom, min_zoom, radius):  # nothing can merge, join or be absorbed: the levels repeat the one before, and the next one inserts the same
+            out.append((same, own, own.select("id", F.col("id").alias("parent")), items))
+            zoom = same[-1] - 1
+            continue
+        since, r = mark(), radius / (512.0 * 2**zoom)
+        members, edges, up = level(own, items, r)
+        if share is not None:
+            members, edges, up = absorbed(members, edges, up, r, share)
+        items = edges.select(F.col("t").alias("o"), F.col("lo").alias("a"), F.col("hi").alias("b"))
+        paired = items.select(F.col("a").alias("id")).union(items.select("b")).distinct()
+        own = settle(touched(up.select("id", "x", "y", "n"), items, up.join(paired, "id", "left_anti").select("o", "id")))
+        sweep(own.sparkSession, since, members, items, own)
+        out.append(([zoom], own, members.select("id", "parent"), items))
+        zoom -= 1
+    return out
+
+
+def at_zooms(rows: DataFrame, zooms: list[int]) -> DataFrame:
+    """Each row once for each zoom."""
+    return rows.select(F.lit(zooms[0]).alias("zoom") if len(zooms) == 1 else F.explode(F.lit(zooms)).alias("zoom"), "*")
+
+
 def hierarchy(places: DataFrame, pairs: DataFrame, radius: float = 40.0, min_zoom: int = 0, max_zoom: int = MAX_ZOOM, share: float | None = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
     """places(id, x, y, n), pairs(o, a, b) -> clusters (zoom, id, mx, my, num_points), members (zoom, child, parent), edges (zoom, a, b).
 
     With `share`, each level ends with absorption; None leaves overlapping clusters apart. Places in no pair are left out; so are pairs
     of a place with itself.
     """
-    items = settle(pairs.where("a != b").select("o", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    held = items.select(F.col("a").alias("id")).union(items.select("b")).distinct()
-    now, out, own = settle(places.select("id", "x", "y", "n").join(held, "id", "left_semi")), [], None
-    singles = items.limit(0).select("o", F.col("a").alias("id"))
-    for zoom in range(max_zoom, min_zoom - 1, -1):
-        since, r = mark(), radius / (512.0 * 2**zoom)
-        own = touched(now, items, singles) if own is None else own
-        if apart(own, r):  # nothing can merge, join or be absorbed: the level repeats the one before, and the next one inserts the same
-            members, up = own.select("id", F.col("id").alias("parent")), own
-        else:
-            members, edges, up = level(own, items, r)
-            if share is not None:
-                members, edges, up = absorbed(members, edges, up, r, share)
-            items = edges.select(F.col("t").alias("o"), F.col("lo").alias("a"), F.col("hi").alias("b"))
-            paired = items.select(F.col("a").alias("id")).union(items.select("b")).distinct()
-            singles, now, own = up.join(paired, "id", "left_anti").select("o", "id"), up.select("id", "x", "y", "n"), None
-            sweep(now.sparkSession, since, members, items, up)
-        z = F.lit(zoom).alias("zoom")
-        out.append((up.select(z, "id", F.col("x").alias("mx"), F.col("y").alias("my"), F.col("n").alias("num_points")), members.select(z, F.col("id").alias("child"), "parent"), items.select(z, "a", "b")))
+    out = [
+        (
+            at_zooms(own.select("id", F.col("x").alias("mx"), F.col("y").alias("my"), F.col("n").alias("num_points")), zooms),
+            at_zooms(members.select(F.col("id").alias("child"), "parent"), zooms),
+            at_zooms(items.select("a", "b"), zooms),
+        )
+        for zooms, own, members, items in levels(places, pairs, radius, min_zoom, max_zoom, share)
+    ]
     clusters, members, edges = (reduce(DataFrame.unionByName, part) for part in zip(*out, strict=True))
     return clusters, members, edges
 
 
+def counted(places: DataFrame, pairs: DataFrame, radius: float = 40.0, min_zoom: int = 0, max_zoom: int = MAX_ZOOM, share: float | None = 0.6) -> DataFrame:
+    """The clusters of hierarchy() with `children`, the number of clusters of the level before in each, and `edges`, of the edges at it."""
+    out = []
+    for zooms, own, members, _ in levels(places, pairs, radius, min_zoom, max_zoom, share):
+        held = members.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
+        out.append(at_zooms(own.join(held, "id").select("id", F.col("x").alias("mx"), F.col("y").alias("my"), F.col("n").alias("num_points"), "children", F.col("links").alias("edges")), zooms))
+    return reduce(DataFrame.unionByName, out)
+
+
 def placed_at(places: DataFrame, members: DataFrame, zoom: int, max_zoom: int = MAX_ZOOM) -> DataFrame:
     """places(id, ...) with `cluster`, the one that holds each at a zoom; members as from hierarchy()."""
     out = places.withColumn("cluster", F.col("id"))

@@ -471,10 +471,7 @@ def hgc_greedy(spark, sf_dir):
 @query()
 def hgc_pairs(spark, sf_dir):
     """The greedy hierarchy over pairs of all flights, zooms 17 to 0: G3-G8. Clusters with the number of their edges and of the clusters that they hold."""
-    found, members, between = pairs.hierarchy(*pairs.leaves(flight_edges(spark, sf_dir)), RADIUS)
-    ends = between.select("zoom", F.col("a").alias("id")).union(between.select("zoom", "b")).groupBy("zoom", "id").agg(F.count("*").alias("edges"))
-    held = members.groupBy("zoom", F.col("parent").alias("id")).agg(F.count("*").alias("children"))
-    return found.join(held, ["zoom", "id"]).join(ends, ["zoom", "id"], "left").fillna({"edges": 0})
+    return pairs.counted(*pairs.leaves(edges.canonical(edges.decoded(derived.flights(spark, sf_dir)))), RADIUS)
 
 
 def _targets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -186,3 +186,58 @@ def test_centres_in_rounds_and_in_one_task(spark, monkeypatch, most):
         if fixed or not any(p < o and math.hypot(x - u, y - v) <= reach for u, v, p in want.values()):
             want[i] = (x, y, o)
     assert {r["id"] for r in pairs.first_centres(sites).collect()} == set(want)
+
+
+def levels_by_rounds(spark, monkeypatch, most, at_hand):
+    monkeypatch.setattr(pairs, "IN_TASK", most)
+    monkeypatch.setattr(pairs, "AT_HAND", at_hand)
+    places, links = fixture(160, 5, 0.1)
+    df, want = by_hand(spark, places, links, [2, 1], 40.0)
+    _, members, edges = pairs.hierarchy(spark.createDataFrame(places, "id long, x double, y double, n long"), df, 40.0, 1, 2, None)
+    assert {(r["zoom"], r["child"], r["parent"]) for r in members.collect()} == {(z, i, p) for z, parent, *_ in want for i, p in parent.items()}
+    assert {(r["zoom"], r["a"], r["b"]) for r in edges.collect()} == {(z, *e) for z, _, between, *_ in want for e in between}
+
+
+def test_pairs_in_rounds_of_joins(spark, monkeypatch):
+    """The same levels when nothing is decided in one task and no table of clusters is broadcast by name."""
+    levels_by_rounds(spark, monkeypatch, 0, 0)
+
+
+def test_a_level_decides_few_pairs_in_one_task(spark, monkeypatch):
+    """What places the clusters of a small level is one task: it costs no table for each round."""
+    placed = []
+    monkeypatch.setattr(pairs, "placed_in_order", lambda *a, f=pairs.placed_in_order: placed.append(1) or f(*a))
+    levels_by_rounds(spark, monkeypatch, 1000, 1000)
+    assert len(placed) == 2
+
+
+def test_zooms_at_which_nothing_is_near_are_found_by_halving(spark, monkeypatch):
+    """Eighteen zooms, nothing near before zoom 3: six looks at the clusters, not one for each zoom; a look that ends at the coarsest zoom goes no further."""
+    looks = []
+    monkeypatch.setattr(pairs, "apart", lambda c, r, f=pairs.apart: looks.append(r) or f(c, r))
+    near = 40.0 / (512 * 2**3) * 2
+    own = spark.createDataFrame([(1, 0.1, 0.5), (2, 0.1 + near * 0.9, 0.5), (3, 0.9, 0.9)], "id long, x double, y double")
+    assert pairs.still(own, 17, 0, 40.0) == list(range(17, 3, -1)) and len(looks) <= 6
+    assert pairs.still(own, 3, 0, 40.0) == [] and pairs.still(own, 17, 9, 40.0) == list(range(17, 8, -1))
+
+
+def test_pairs_carried_to_parents(spark):
+    """1 and 2 become 1, 7 becomes 6 alone: pairs that meet keep the earliest place, the others stay, inner ones go; however many clusters there are."""
+    items = spark.createDataFrame([(9, 1, 3), (4, 2, 3), (5, 1, 2), (6, 3, 4), (7, 4, 7), (8, 2, 7)], "o long, a long, b long")
+    to = spark.createDataFrame([(1, 1), (2, 1), (7, 6), (3, 3), (4, 4)], "id long, parent long")
+    for n in (4, 100):
+        assert {tuple(r) for r in pairs.carried(items, to, n).collect()} == {(1, 3, 4), (3, 4, 6), (4, 6, 7), (1, 6, 8)}
+
+
+def test_numbers_keep_the_order(spark):
+    rng = random.Random(2)
+    rows = [((rng.randrange(-3, 3), rng.randrange(5), i), i, i + 1) for i in range(200)]
+    got = pairs.numbered(spark.createDataFrame(rows, "o struct<h:long,p:long,q:long>, a long, b long").repartition(7)).collect()
+    assert [r["a"] for r in sorted(got, key=lambda r: r["o"])] == [a for _, a, _ in sorted(rows)] and len({r["o"] for r in got}) == 200
+
+
+def test_overlaps_of_few_and_many_targets(spark):
+    """The share is of the smaller set, whichever id has it, repeated targets count once, and targets of clusters out of reach don't matter."""
+    c = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.5, 0.0), (3, 9.0, 9.0), (4, 9.5, 9.0), (5, 50.0, 0.0)], "id long, x double, y double")
+    t = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 10), (2, 11), (2, 12), (2, 13), (3, 20), (3, 21), (3, 22), (4, 20), (4, 20), (5, 20), (5, 10)], "id long, target long")
+    assert {tuple(r) for r in clusters.absorb_overlaps(c, t, 1.0).collect()} == {(1, 2, 1.0), (3, 4, 1.0)}
