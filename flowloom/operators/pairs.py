@@ -172,12 +172,13 @@ def may_found(items: DataFrame, placing: DataFrame, can: DataFrame, follows: Dat
     """Of items(o, a, b), ends by their roots, those before the last of the placing pairs that could join an edge at what their ends can join."""
     asked = placing.where("lo != hi")
     last = asked.select(F.col("lo").alias("centre"), "o").unionByName(asked.select(F.col("hi").alias("centre"), "o")).groupBy("centre").agg(F.max("o").alias("until"))
-    until = settle(can.join(last, "centre").groupBy("id").agg(F.max("until").alias("until")))
-    until = settle(until.select("id", F.col("id").alias("root"), "until").unionByName(follows.join(until.withColumnRenamed("id", "root"), "root").select("id", "root", "until")))
+    until = settle(can.join(last, "centre").groupBy("id").agg(F.max("until").alias("until")).withColumn("root", F.col("id")))
+    if not follows.isEmpty():
+        until = settle(until.unionByName(follows.join(until.select("root", "until"), "root").select(until.columns)))
     n = until.count()
     at = lambda e: at_hand(until.select(F.col("id").alias(e), F.col("root").alias(f"r{e}"), F.col("until").alias(f"u{e}")), n)
     early = items.join(at("a"), "a").join(at("b"), "b").where((F.col("o") < F.col("ua")) & (F.col("o") < F.col("ub")))
-    return settle(early.select("o", F.col("ra").alias("a"), F.col("rb").alias("b")).where("a != b"))
+    return early.select("o", F.col("ra").alias("a"), F.col("rb").alias("b")).where("a != b")
 
 
 def placed_in_order(open_: DataFrame, edges: DataFrame) -> DataFrame:
@@ -260,11 +261,16 @@ def choose(items: DataFrame, firsts: DataFrame, known: DataFrame, waiting: DataF
     return settle(known)
 
 
-def touched(clusters: DataFrame, items: DataFrame, singles: DataFrame) -> DataFrame:
-    """clusters(id, x, y, n), items(o, a, b), singles(o, id) -> the clusters with o, the first pair or single insertion of each, mate, its other end there, and links, the number of pairs."""
+def touched(clusters: DataFrame, items: DataFrame) -> DataFrame:
+    """clusters(id, x, y, n), items(o, a, b) -> the clusters with o, the first pair of each, mate, its other end there, and links, the number of pairs.
+
+    Clusters (id, x, y, n, o) are inserted alone at their o if they are in no pair; without o, those are left out.
+    """
     first = items.select(F.col("a").alias("id"), "o", F.col("b").alias("mate")).unionByName(items.select(F.col("b").alias("id"), "o", F.col("a").alias("mate")))
-    first = first.groupBy("id").agg(F.min("o").alias("o"), F.min_by("mate", "o").alias("mate"), F.count("*").alias("links"))
-    return clusters.join(first.unionByName(singles.select("id", "o", F.lit(None).cast("long").alias("mate"), F.lit(0).cast("long").alias("links"))), "id")
+    first = first.groupBy("id").agg(F.min("o").alias("first"), F.min_by("mate", "o").alias("mate"), F.count("*").alias("links"))
+    if "o" not in clusters.columns:
+        return clusters.join(first, "id").select("id", "x", "y", "n", F.col("first").alias("o"), "mate", "links")
+    return clusters.join(first, "id", "left").select("id", "x", "y", "n", F.coalesce("first", "o").alias("o"), "mate", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def level(own: DataFrame, items: DataFrame, r: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -333,10 +339,9 @@ def numbered(pairs: DataFrame) -> DataFrame:
 def levels(places: DataFrame, pairs: DataFrame, radius: float = 40.0, min_zoom: int = 0, max_zoom: int = MAX_ZOOM, share: float | None = 0.6) -> list[tuple[list[int], DataFrame, DataFrame, DataFrame]]:
     """hierarchy() by groups of zooms at which nothing changes: zooms, clusters (id, x, y, n, links), members (id, parent), pairs (o, a, b)."""
     items = settle(numbered(pairs.where("a != b").select("o", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    singles = items.limit(0).select("o", F.col("a").alias("id"))
-    own, out, zoom = settle(touched(settle(places.select("id", "x", "y", "n")), items, singles)), [], max_zoom
+    own, out, zoom, same = settle(touched(settle(places.select("id", "x", "y", "n")), items)), [], max_zoom, []
     while zoom >= min_zoom:
-        if same := still(own, zoom, min_zoom, radius):  # nothing can merge, join or be absorbed: the levels repeat the one before, and the next one inserts the same
+        if not same and (same := still(own, zoom, min_zoom, radius)):  # nothing can merge, join or be absorbed: the levels repeat the one before, and the next one inserts the same
             out.append((same, own, own.select("id", F.col("id").alias("parent")), items))
             zoom = same[-1] - 1
             continue
@@ -345,8 +350,7 @@ def levels(places: DataFrame, pairs: DataFrame, radius: float = 40.0, min_zoom:
         if share is not None:
             members, edges, up = absorbed(members, edges, up, r, share)
         items = edges.select(F.col("t").alias("o"), F.col("lo").alias("a"), F.col("hi").alias("b"))
-        paired = items.select(F.col("a").alias("id")).union(items.select("b")).distinct()
-        own = settle(touched(up.select("id", "x", "y", "n"), items, up.join(paired, "id", "left_anti").select("o", "id")))
+        own, same = settle(touched(up, items)), []
         sweep(own.sparkSession, since, members, items, own)
         out.append(([zoom], own, members.select("id", "parent"), items))
         zoom -= 1
